@@ -8,7 +8,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marketloom.llm import bpe, compression, language, mixing, sstable
+from marketloom.llm import bpe, compression, language, minhash, mixing, secrets, sstable
 from marketloom.llm.common import table
 
 #: The folder of the public vocabularies.
@@ -18,6 +18,10 @@ PIECES = os.path.join(VOCABULARIES, "piece_bpe_32k.model")
 END_ID = 2
 
 
+def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -26,6 +30,10 @@ def op6_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compression.judge(table(spark, sf_dir, "documents"))
 
 
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan_documents(table(spark, sf_dir, "documents"))
+
+
 def op8_sstable_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sstable.read_shards(sstable.write_shards(table(spark, sf_dir, "documents"), WORD_BPE, END_ID))
 
@@ -40,7 +48,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_source_mixing, op6_compression_bands, op8_sstable_tokens, op9_bpe_round_trip, op10_language_id)}
+    return {f.__name__: f for f in (op2_minhash_near_dedup, op3_source_mixing, op6_compression_bands, op7_secret_scan, op8_sstable_tokens, op9_bpe_round_trip, op10_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
