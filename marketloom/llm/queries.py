@@ -8,7 +8,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marketloom.llm import bpe, compression, language, lines, minhash, mixing, secrets, sstable
+from marketloom.llm import bpe, compression, language, lines, minhash, mixing, secrets, sstable, vafile
 from marketloom.llm.common import table
 
 #: The folder of the public vocabularies.
@@ -30,6 +30,10 @@ def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op4_va_file_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vafile.top_k(table(spark, sf_dir, "embeddings"))
+
+
 def op6_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compression.judge(table(spark, sf_dir, "documents"))
 
@@ -52,9 +56,9 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_line_dedup, op2_minhash_near_dedup, op3_source_mixing, op6_compression_bands, op7_secret_scan, op8_sstable_tokens, op9_bpe_round_trip, op10_language_id)}
+    return {f.__name__: f for f in (op1_line_dedup, op2_minhash_near_dedup, op3_source_mixing, op4_va_file_top_k, op6_compression_bands, op7_secret_scan, op8_sstable_tokens, op9_bpe_round_trip, op10_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
     oracle = f"SELECT doc_id, size, source_size, target, taken FROM ({mixing.ORACLE}) AS mixed"
-    return {"op1_line_dedup": lines.ORACLE, "op3_source_mixing": oracle}
+    return {"op1_line_dedup": lines.ORACLE, "op3_source_mixing": oracle, "op4_va_file_top_k": vafile.ORACLE}
