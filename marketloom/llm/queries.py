@@ -8,7 +8,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marketloom.llm import bpe, compression, language, lines, minhash, mixing, secrets, sstable, vafile
+from marketloom.llm import bpe, compression, cotraining, language, lines, minhash, mixing, secrets, sstable, vafile
 from marketloom.llm.common import table
 
 #: The folder of the public vocabularies.
@@ -34,6 +34,11 @@ def op4_va_file_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vafile.top_k(table(spark, sf_dir, "embeddings"))
 
 
+def op5_co_training_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return cotraining.score(docs, cotraining.train(docs, table(spark, sf_dir, "labels")))
+
+
 def op6_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compression.judge(table(spark, sf_dir, "documents"))
 
@@ -56,7 +61,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_line_dedup, op2_minhash_near_dedup, op3_source_mixing, op4_va_file_top_k, op6_compression_bands, op7_secret_scan, op8_sstable_tokens, op9_bpe_round_trip, op10_language_id)}
+    return {f.__name__: f for f in (op1_line_dedup, op2_minhash_near_dedup, op3_source_mixing, op4_va_file_top_k, op5_co_training_quality, op6_compression_bands, op7_secret_scan, op8_sstable_tokens, op9_bpe_round_trip, op10_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
