@@ -218,35 +218,41 @@ def vocabulary(path: str) -> WordBpe:
     return WordBpe(path)
 
 
-def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_tokens, ids and decoded of each row; rows repeat as they do in docs, other columns are left out."""
+def _sha(x: str) -> str:
+    return hashlib.sha256(x.encode("utf-8", "surrogatepass")).hexdigest()
+
+
+def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", decoded: bool = True) -> DataFrame:
+    """doc_id, n_tokens, ids, decoded_sha256 and, if asked for, decoded of each row; rows repeat as they do in docs, other
+    columns are left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = vocabulary(path)
         for batch in small_batches(batches):
             out = [*bpe.round_trips(texts_of(batch))]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array([x[0] for x in out], pa.int64()), pa.array([list(map(int, x[1].split())) for x in out], pa.list_(pa.int32())), pa.array([x[2] for x in out], pa.string())],
-                names=["doc_id", "n_tokens", "ids", "decoded"],
-            )
+            n = np.array([x[0] for x in out], np.int64)
+            ids = np.array(" ".join([x[1] for x in out if x[0]]).split(), np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32()), pa.array(ids))
+            cols = [batch.column("doc_id"), pa.array(n), lists, pa.array([_sha(x[2]) for x in out], pa.string())]
+            if decoded:
+                cols.append(pa.array([x[2] for x in out], pa.string()))
+            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_tokens", "ids", "decoded_sha256", "decoded"][: len(cols)])
 
-    return on_batches(docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text")), run, "doc_id long, n_tokens long, ids array<int>, decoded string")
+    rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
+    return on_batches(rows, run, "doc_id long, n_tokens long, ids array<int>, decoded_sha256 string" + ", decoded string" * decoded)
 
 
 def encode_digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """As encode_documents, with SHA-256 of the joined ids and of the decoded text in place of them."""
 
-    def sha(x: str) -> str:
-        return hashlib.sha256(x.encode("utf-8", "surrogatepass")).hexdigest()
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = vocabulary(path)
         for batch in small_batches(batches):
             n, ids, decoded = [], [], []
             for count, joined, back in bpe.round_trips(texts_of(batch)):
                 n.append(count)
-                ids.append(sha(joined))
-                decoded.append(sha(back))
+                ids.append(_sha(joined))
+                decoded.append(_sha(back))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return on_batches(docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text")), run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

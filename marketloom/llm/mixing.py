@@ -8,6 +8,7 @@ A source's target is then drawn from its documents, whole repetitions first: wit
 taken floor(r) times, and the rest comes from documents in the order of a seeded hash, whole ones while they fit and a
 last one in part. The order is cut by buckets of the hash: buckets below the cut are taken whole, buckets above it not at
 all, and only the rows of the bucket that holds the cut are ordered, so no source is ever sorted in one task.
+Documents are read twice and none is moved but to meet the row of its source and bucket.
 
 Size is the number of words; null text has 0. A null source is a source of its own, last in order. Rows that repeat
 count each. A source without words has target 0. Other columns are left out.
@@ -20,7 +21,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marketloom.llm.common import word_count, written
+from marketloom.llm.common import WORD, word_count, written
 
 #: Letters of a bucket's name, and so 16 ** BUCKET buckets of each source.
 BUCKET = 3
@@ -57,29 +58,49 @@ def targets(sources: DataFrame, weights: Sequence[float] = (3, 1, 2), epochs: fl
     return rows.withColumn("target", F.coalesce(target, F.col("bound"))).select("source", "source_size", "weight", "target")
 
 
-def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), epochs: float = 1.5, cap: float = 2.0, seed: str = SEED, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """doc_id, source, size, source_size, target, taken: a row for each row of docs."""
-    slim = written(docs.select(docs[id_col].alias("doc_id"), docs[source_col].alias("source"), word_count(docs[text_col]).alias("size"), seeded_order(docs[id_col], seed).alias("u")), "sizes")
-    bucket = F.substring("u", 1, BUCKET)
-    buckets = slim.groupBy("source", bucket.alias("bucket")).agg(F.sum("size").alias("bucket_size"))
-    buckets = written(buckets, "buckets")  # a row for each source and bucket at most
-    goals = targets(buckets.groupBy("source").agg(F.sum("bucket_size").alias("source_size")), weights, epochs, cap)
-    goals = goals.withColumn("whole", F.floor(F.try_divide("target", "source_size"))).fillna({"whole": 0})
+def _keyed(docs: DataFrame, seed: str, id_col: str, text_col: str, source_col: str) -> DataFrame:
+    u = seeded_order(docs[id_col], seed)
+    return docs.withColumns({"_id": docs[id_col], "_source": docs[source_col], "_size": word_count(docs[text_col].cast("string")), "_u": u, "_bucket": F.substring(u, 1, BUCKET)})
+
+
+def _taken(docs: DataFrame, weights: Sequence[float], epochs: float, cap: float, seed: str, id_col: str, text_col: str, source_col: str) -> DataFrame:
+    """docs with _size, _source_size, _target, _whole, _extra (words beyond whole repetitions) and other work columns."""
+    keyed = _keyed(docs, seed, id_col, text_col, source_col)
+    buckets = written(keyed.groupBy("_source", "_bucket").agg(F.sum("_size").alias("bucket_size")), "buckets")  # a row for each source and bucket at most
+    goals = targets(buckets.groupBy(F.col("_source").alias("source")).agg(F.sum("bucket_size").alias("source_size")), weights, epochs, cap)
+    goals = goals.withColumn("whole", F.coalesce(F.floor(F.try_divide("target", "source_size")), F.lit(0)))
     goals = goals.withColumn("rest", F.floor(F.col("target") - F.col("whole") * F.col("source_size")))
-    running = Window.partitionBy("b.source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    cut = buckets.alias("b").join(goals.alias("g"), F.col("b.source").eqNullSafe(F.col("g.source")))
-    cut = cut.select("b.source", "b.bucket", "g.source_size", "g.target", "g.whole", "bucket_size", (F.col("g.rest") - F.coalesce(F.sum("bucket_size").over(running), F.lit(0))).alias("room"))
+    running = Window.partitionBy("b._source").orderBy("b._bucket").rowsBetween(Window.unboundedPreceding, -1)
+    cut = buckets.alias("b").join(goals.alias("g"), F.col("b._source").eqNullSafe(F.col("g.source")))
+    room = F.col("g.rest") - F.coalesce(F.sum("b.bucket_size").over(running), F.lit(0))
+    cut = cut.select(F.col("b._source").alias("_s"), F.col("b._bucket").alias("_b"), F.col("g.source_size").alias("_source_size"), F.col("g.target").alias("_target"), F.col("g.whole").alias("_whole"), F.col("b.bucket_size").alias("_bucket_size"), room.alias("_room"))
     cut = written(cut, "cut")
-    d = slim.withColumn("bucket", bucket).alias("d")
-    rows = d.join(cut.alias("c"), F.col("d.source").eqNullSafe(F.col("c.source")) & (F.col("d.bucket") == F.col("c.bucket")))
-    rows = rows.select("d.doc_id", "d.source", "size", "u", "source_size", "target", "whole", "room", (F.col("room") >= F.col("bucket_size")).alias("all_fit"), (F.col("room") <= 0).alias("none_fit"))
+    rows = keyed.join(cut, keyed["_source"].eqNullSafe(cut["_s"]) & (keyed["_bucket"] == cut["_b"]))
+    all_fit, none_fit = F.col("_room") >= F.col("_bucket_size"), F.col("_room") <= 0
+    clear = rows.where(all_fit | none_fit).withColumn("_extra", F.when(none_fit, F.lit(0)).otherwise(F.col("_size")).cast("long"))
     # only the bucket with the cut is put in order
-    at_cut = rows.where("not all_fit and not none_fit")
-    order = Window.partitionBy("source").orderBy("u", F.asc_nulls_last("doc_id"), "size").rowsBetween(Window.unboundedPreceding, -1)
-    at_cut = at_cut.withColumn("extra", F.greatest(F.lit(0), F.least("size", F.col("room") - F.coalesce(F.sum("size").over(order), F.lit(0)))))
-    clear = rows.where("all_fit or none_fit").withColumn("extra", F.when(F.col("none_fit"), 0).otherwise(F.col("size")).cast("long"))
-    out = clear.unionByName(at_cut)
-    return out.select("doc_id", "source", "size", "source_size", "target", (F.col("whole") * F.col("size") + F.col("extra")).cast("long").alias("taken"))
+    order = Window.partitionBy("_source").orderBy("_u", F.asc_nulls_last("_id"), "_size").rowsBetween(Window.unboundedPreceding, -1)
+    at_cut = rows.where(~all_fit & ~none_fit).withColumn("_extra", F.greatest(F.lit(0), F.least("_size", F.col("_room") - F.coalesce(F.sum("_size").over(order), F.lit(0)))))
+    return clear.unionByName(at_cut)
+
+
+def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), epochs: float = 1.5, cap: float = 2.0, seed: str = SEED, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """doc_id, source, size, source_size, target, taken: a row for each row of docs."""
+    slim = docs.select(docs[id_col].alias("doc_id"), docs[source_col].alias("source"), docs[text_col].alias("text"))
+    rows = _taken(slim, weights, epochs, cap, seed, "doc_id", "text", "source")
+    taken = (F.col("_whole") * F.col("_size") + F.col("_extra")).cast("long")
+    return rows.select("doc_id", "source", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), taken.alias("taken"))
+
+
+def mixed(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), epochs: float = 1.5, cap: float = 2.0, seed: str = SEED, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """The mix itself: a row for each repetition, with the columns of docs. A repetition in part, of which each source has
+    one at most, holds the first words joined by one space. Rows of which no word is taken are left out."""
+    rows = _taken(docs, weights, epochs, cap, seed, id_col, text_col, source_col)
+    times = F.col("_whole") + (F.col("_extra") > 0).cast("long")
+    rows = rows.where((F.col("_size") > 0) & (times > 0)).withColumn("_turn", F.explode(F.sequence(F.lit(1).cast("long"), times)))
+    part = (F.col("_turn") > F.col("_whole")) & (F.col("_extra") < F.col("_size"))
+    words = F.array_join(F.slice(F.regexp_extract_all(F.col(text_col), F.lit(WORD), F.lit(0)), F.lit(1), F.col("_extra").cast("int")), " ")
+    return rows.withColumn(text_col, F.when(part, words).otherwise(F.col(text_col))).select(*docs.columns)
 
 
 ORACLE = """
