@@ -1,0 +1,19 @@
+"""Rounding of doubles for comparison with another engine: sums taken in another order differ in the last bits, and exact
+ties would then go either way. The half is raised by a little, so ties and what is near them go up on both sides."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+NUDGE = 0.50001
+
+
+def r(*names: str, digits: int = 4) -> list[Column]:
+    ten = 10.0**digits
+    return [(F.floor(F.col(n) * F.lit(ten) + F.lit(NUDGE)) / F.lit(ten)).alias(n.rpartition(".")[2]) for n in names]
+
+
+def R(*names: str, digits: int = 4) -> str:
+    ten = f"1e{digits}::DOUBLE"
+    return ", ".join(f"floor({n} * {ten} + {NUDGE}::DOUBLE) / {ten} AS {n.rpartition('.')[2]}" for n in names)
