@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from marketloom.operators import indicators as ind
 from marketloom.plans.registry import query
-from marketloom.plans.rounding import R, r
+from marketloom.functions.rounding import R, r
 from marketloom.sources.testdata import BARS, bars
 
 
