@@ -1 +1,87 @@
-"""Queries to come."""
+"""Queries on codes and short texts."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from marketloom.functions import codes, text
+from marketloom.plans.registry import query
+from marketloom.sources.testdata import table
+
+
+def _codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("p_partkey")
+    six = F.lpad((k * 7919 % 1000000).cast("string"), 6, "0")
+    raw = F.when(k % 6 == 0, F.concat(F.lit(" sh"), six)).when(k % 6 == 1, F.concat(six, F.lit(".SZ"))).when(k % 6 == 2, F.concat((k % 9999).cast("string"), F.lit(".hk"))).when(k % 6 == 3, F.concat(F.lit("HK"), (k % 9999).cast("string"))).when(k % 6 == 4, F.concat(F.lit("bj"), six)).otherwise("brk.b")
+    return table(spark, sf_dir, "part").select("p_partkey", raw.alias("raw"))
+
+
+RAW = """raw AS (SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN ' sh' || s WHEN 1 THEN s || '.SZ' WHEN 2 THEN CAST(p_partkey % 9999 AS VARCHAR) || '.hk' WHEN 3 THEN 'HK' || CAST(p_partkey % 9999 AS VARCHAR) WHEN 4 THEN 'bj' || s ELSE 'brk.b' END AS raw
+  FROM (SELECT *, lpad(CAST(p_partkey * 7919 % 1000000 AS VARCHAR), 6, '0') AS s FROM part))"""
+
+
+@query(f"""WITH {RAW}, c AS (SELECT p_partkey, upper(trim(raw)) AS c FROM raw), n AS (SELECT p_partkey, c, CASE WHEN regexp_matches(c, '^(SH|SZ)[0-9]{{5,6}}$') OR regexp_matches(c, '^BJ[0-9]{{6}}$') THEN substr(c, 3)
+  WHEN regexp_matches(c, '^HK[0-9]{{1,5}}$') THEN 'HK' || lpad(substr(c, 3), 5, '0') WHEN regexp_matches(c, '^[0-9]{{1,5}}[.]HK$') THEN 'HK' || lpad(regexp_extract(c, '^([0-9]+)', 1), 5, '0')
+  WHEN regexp_matches(c, '^[0-9]{{5,6}}[.](SH|SZ|SS|BJ)$') THEN regexp_extract(c, '^([0-9]+)', 1) ELSE c END AS code FROM c)
+SELECT p_partkey, code, CASE WHEN regexp_matches(c, '^HK[0-9]{{1,5}}$') OR regexp_matches(c, '^[0-9]{{1,5}}[.]HK$') OR regexp_matches(c, '^[0-9]{{5}}$') THEN 'hk' WHEN regexp_matches(c, '^[A-Z]{{1,5}}([.][A-Z])?$') THEN 'us' ELSE 'cn' END AS market,
+  CASE WHEN regexp_matches(code, '^(60|90)') THEN 'SSE' WHEN regexp_matches(code, '^(00|20|30)') THEN 'SZSE' WHEN regexp_matches(code, '^(4|8|92)') THEN 'BSE' ELSE 'CN' END AS exchange FROM n""")
+def code_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = _codes(spark, sf_dir).withColumn("code", codes.normalize(F.col("raw")))
+    return df.select("p_partkey", "code", codes.market(F.col("raw")).alias("market"), codes.exchange(F.col("code")).alias("exchange"))
+
+
+@query("""SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN o_totalprice WHEN 1 THEN floor(o_totalprice) WHEN 2 THEN floor(o_totalprice) / 2 WHEN 3 THEN NULL ELSE floor(o_totalprice) + 0.5 END AS price FROM orders""")
+def price_point_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = F.floor("o_totalprice")
+    t = (
+        F.when(F.col("o_orderkey") % 5 == 0, F.col("o_totalprice").cast("string"))
+        .when(F.col("o_orderkey") % 5 == 1, F.concat(F.lit("理想买入点："), p.cast("string"), F.lit("元（MA20 附近）")))
+        .when(F.col("o_orderkey") % 5 == 2, F.concat(F.lit("止损: MA5 下方 "), (p / 2).cast("string"), F.lit(" 元")))
+        .when(F.col("o_orderkey") % 5 == 3, "暂无")
+        .otherwise(F.concat(F.lit("约 "), p.cast("string"), F.lit(".5 (MA10)")))
+    )
+    return table(spark, sf_dir, "orders").select("o_orderkey", text.price_point(t).alias("price"))
+
+
+@query("""SELECT event_id, CASE event_id % 8 WHEN 7 THEN NULL WHEN 3 THEN DATE '2024-02-01' - CAST(event_id % 20 AS INTEGER) WHEN 4 THEN DATE '2024-02-01' - 7 * CAST(event_id % 5 AS INTEGER) ELSE CAST(ts AS DATE) END AS published FROM events""")
+def publish_date_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k, ts = F.col("event_id"), F.col("ts")
+    t = (
+        F.when(k % 8 == 0, F.date_format(ts, "yyyy-MM-dd HH:mm:ss")).when(k % 8 == 1, F.date_format(ts, "yyyy年M月d日")).when(k % 8 == 2, F.unix_timestamp(ts).cast("string"))
+        .when(k % 8 == 3, F.concat((k % 20).cast("string"), F.lit(" days ago"))).when(k % 8 == 4, F.concat((k % 5).cast("string"), F.lit("周前"))).when(k % 8 == 5, F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss'Z'"))
+        .when(k % 8 == 6, (F.unix_timestamp(ts) * 1000).cast("string")).otherwise("soon")
+    )
+    return table(spark, sf_dir, "events").select("event_id", text.published(t, F.lit("2024-02-01 12:00:00").cast("timestamp")).alias("published"))
+
+
+@query("""SELECT l_orderkey, l_linenumber, CASE WHEN l_returnflag = 'R' THEN 'sell' WHEN l_returnflag = 'A' THEN 'buy' END AS side, sha256(CAST(l_orderkey AS VARCHAR) || '|' || CAST(l_linenumber AS VARCHAR) || '|' || printf('%.8f', l_quantity) || '|' || printf('%.8f', l_extendedprice)) AS hash FROM lineitem""")
+def trade_dedup_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    side = F.when(F.col("l_returnflag") == "R", "证券卖出").when(F.col("l_returnflag") == "A", " Buy ").otherwise("?")
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", text.trade_side(side).alias("side"), text.dedup_hash(F.col("l_orderkey"), F.col("l_linenumber"), F.format_string("%.8f", "l_quantity"), F.format_string("%.8f", "l_extendedprice")).alias("hash"))
+
+
+@query("""SELECT s_suppkey, CASE s_suppkey % 4 WHEN 3 THEN NULL WHEN 0 THEN (s_suppkey % 9 + 1) / 10.0::DOUBLE WHEN 1 THEN (s_suppkey % 9 + 1) / 10.0::DOUBLE ELSE CAST(s_suppkey % 9 + 1 AS DOUBLE) END AS per_share,
+  CASE WHEN abs(s_acctbal) >= 1e8 THEN 'big' WHEN abs(s_acctbal) >= 1e4 THEN printf('%.2f万元', s_acctbal / 1e4) ELSE printf('%.0f元', round(s_acctbal)) END AS amount FROM supplier""")
+def dividend_plan_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("s_suppkey")
+    n = (k % 9 + 1).cast("string")
+    plan = F.when(k % 4 == 0, F.concat(F.lit("10派"), n, F.lit("元(含税)"))).when(k % 4 == 1, F.concat(F.lit("每10股派发"), n, F.lit("元"))).when(k % 4 == 2, F.concat(F.lit("每股派"), n, F.lit("元"))).otherwise("10送5")
+    return table(spark, sf_dir, "supplier").select("s_suppkey", text.dividend_per_share(plan).alias("per_share"), text.amount_text(F.col("s_acctbal")).alias("amount"))
+
+
+@query("""SELECT doc_id, CASE WHEN length(text) > 200 THEN substr(text, 1, 197) || '...' ELSE text END AS snippet FROM documents""")
+def snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", text.snippet(F.col("text")).alias("snippet"))
+
+
+@query()
+def text_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(text.chunks(F.col("text"), 2000)).alias("n", "chunk"))
+
+
+@query()
+def name_fuzzy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = table(spark, sf_dir, "nation").select(F.col("n_name").alias("known"), F.col("n_nationkey").alias("code"))
+    asked = table(spark, sf_dir, "nation").select(F.concat(F.substring("n_name", 1, 3), F.lit("X"), F.substring("n_name", 5, 40)).alias("name"))
+    return text.fuzzy_names(asked, names)
