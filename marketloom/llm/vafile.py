@@ -25,7 +25,8 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marketloom.llm.common import on_batches, ship, written
+from marketloom.functions.shipping import ship
+from marketloom.llm.common import on_batches, written
 
 BLOCK, BLOCKS_A_TASK, QUERIES_A_TASK = 512, 64, 1024
 CELLS = 64
