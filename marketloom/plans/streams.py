@@ -1 +1,54 @@
-"""Queries to come."""
+"""Queries that run streams over the events table until all of it is read, and the batch SQL that gives the same."""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from marketloom.functions.rounding import R, r
+from marketloom.plans.registry import query
+from marketloom.sources.testdata import BARS, bars, table
+from marketloom.streaming import streams
+
+
+def _checkpoint(spark: SparkSession) -> str:
+    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="marketloom-")
+    return f"{base}/streams/{uuid.uuid4().hex}"
+
+
+def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+    rows = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    return rows.withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+@query("SELECT user_id, event_type, count(*) > 0 AS seen FROM events GROUP BY user_id, event_type")
+def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = streams.dedup(_events(spark, sf_dir), ["user_id", "event_type"], "ts", "60 days")
+    return streams.drained(f"d{uuid.uuid4().hex}", s.select("user_id", "event_type", F.lit(True).alias("seen")), _checkpoint(spark))
+
+
+@query(f"WITH g AS (SELECT date_trunc('hour', ts) AS begins, event_type, count(*) AS n, sum(value) AS total FROM events GROUP BY 1, 2) SELECT begins, event_type, n, {R('total', digits=3)} FROM g")
+def stream_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = streams.windowed(_events(spark, sf_dir), "ts", "1 hour", ["event_type"], "60 days")
+    return streams.drained(f"w{uuid.uuid4().hex}", s.select(F.col("w.start").alias("begins"), "event_type", "n", "total"), _checkpoint(spark), "complete").select("begins", "event_type", "n", *r("total", digits=3))
+
+
+@query()
+def stream_breaker(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _events(spark, sf_dir).select(F.concat(F.lit("s"), (F.col("user_id") % 7).cast("string")).alias("source"), "ts", (F.col("value") < 50).alias("ok"))
+    return streams.drained(f"b{uuid.uuid4().hex}", streams.breaker(e), _checkpoint(spark))
+
+
+@query(f"""WITH {BARS}, q AS (SELECT code, CASE WHEN CAST(code AS INTEGER) % 2 = 0 THEN date ELSE date + 1000 END AS date, 0.0 AS open, close AS pre_close, high * 2 AS high, low, close + 1 AS close, volume FROM bars QUALIFY row_number() OVER (PARTITION BY code ORDER BY date DESC) = 1)
+SELECT coalesce(b.code, q.code) AS code, coalesce(b.date, q.date) AS date, coalesce(nullif(q.open, 0), nullif(q.pre_close, 0), b.open) AS open, coalesce(nullif(q.high, 0), b.high) AS high, coalesce(nullif(q.low, 0), b.low) AS low, coalesce(nullif(q.close, 0), b.close) AS close, coalesce(nullif(q.volume, 0), b.volume) AS volume
+FROM bars b FULL JOIN q ON b.code = q.code AND b.date = q.date""")
+def stream_bar_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from marketloom.operators.indicators import latest
+
+    b = bars(spark, sf_dir)
+    q = latest(b).select("code", F.when(F.col("code").cast("int") % 2 == 0, F.col("date")).otherwise(F.date_add("date", 1000)).alias("date"), F.lit(0.0).alias("open"), F.col("close").alias("pre_close"), (F.col("high") * 2).alias("high"), "low", (F.col("close") + 1).alias("close"), "volume")
+    return streams.upsert_bars(q, b.select("code", "date", "open", "high", "low", "close", "volume"))

@@ -1 +1,57 @@
-"""Queries to come."""
+"""Queries on write semantics and on reading sources."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from marketloom.functions.rounding import R, r
+from marketloom.plans.registry import query
+from marketloom.sources import writes
+from marketloom.sources.testdata import BARS, bars, table
+
+
+@query(f"WITH {BARS}, n AS (SELECT code, CASE WHEN CAST(code AS INTEGER) % 2 = 0 THEN date ELSE date + 10000 END AS date, close * 2 AS close FROM bars WHERE date >= DATE '2001-01-01') SELECT code, date, close FROM bars b WHERE NOT EXISTS (SELECT 1 FROM n WHERE n.code = b.code AND n.date = b.date) UNION ALL SELECT * FROM n")
+def upsert_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
+    old = bars(spark, sf_dir).select("code", "date", "close")
+    new = old.where("date >= date'2001-01-01'").select("code", F.when(F.col("code").cast("int") % 2 == 0, F.col("date")).otherwise(F.date_add("date", 10000)).alias("date"), (F.col("close") * 2).alias("close"))
+    return writes.upsert(old, new, ["code", "date"])
+
+
+@query("""WITH o AS (SELECT c_custkey AS key, c_name AS title, c_mktsegment AS snippet, 'q' || c_nationkey AS query_id FROM customer WHERE c_custkey % 3 <> 0), n AS (SELECT c_custkey AS key, CASE WHEN c_custkey % 5 = 0 THEN '' ELSE upper(c_name) || '!' END AS title, CASE WHEN c_custkey % 7 = 0 THEN NULL ELSE 'new' END AS snippet, 'n' || c_nationkey AS query_id FROM customer WHERE c_custkey % 4 <> 0)
+SELECT coalesce(o.key, n.key) AS key, coalesce(nullif(n.title, ''), o.title) AS title, coalesce(nullif(n.snippet, ''), o.snippet) AS snippet, coalesce(o.query_id, n.query_id) AS query_id FROM o FULL JOIN n ON o.key = n.key""")
+def merge_news(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c, k = table(spark, sf_dir, "customer"), F.col("c_custkey")
+    old = c.where(k % 3 != 0).select(k.alias("key"), F.col("c_name").alias("title"), F.col("c_mktsegment").alias("snippet"), F.concat(F.lit("q"), F.col("c_nationkey").cast("string")).alias("query_id"))
+    new = c.where(k % 4 != 0).select(k.alias("key"), F.when(k % 5 == 0, "").otherwise(F.concat(F.upper("c_name"), F.lit("!"))).alias("title"), F.when(k % 7 == 0, None).otherwise("new").alias("snippet"), F.concat(F.lit("n"), F.col("c_nationkey").cast("string")).alias("query_id"))
+    return writes.merge_news(old, new)
+
+
+@query("SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F')")
+def cascade_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders")
+    ids = o.where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("id"))
+    return writes.cascade_delete(o.select(F.col("o_orderkey").alias("id")), table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey"), ids, "l_orderkey")[1]
+
+
+_EDGES = ", ".join(f"('{a}', '{b}')" for a, bs in writes.ALLOWED.items() for b in bs)
+_STATES = list(writes.ALLOWED)
+
+
+@query(f"""WITH s AS (SELECT o_orderkey AS run_id, [{', '.join(f"'{x}'" for x in _STATES)}] AS l, o_orderkey % 9 AS a, o_custkey % 9 AS b FROM orders), c AS (SELECT run_id, l[a + 1] AS status, CASE WHEN run_id % 4 = 0 THEN NULL ELSE l[b + 1] END AS to_ FROM s)
+SELECT run_id, CASE WHEN (status, to_) IN ({_EDGES}) THEN to_ ELSE status END AS status, CASE WHEN to_ IS NOT NULL THEN (status, to_) IN ({_EDGES}) END AS accepted FROM c""")
+def run_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders")
+    state = lambda c: F.element_at(F.array(*map(F.lit, _STATES)), (F.col(c) % 9 + 1).cast("int"))
+    runs = o.select(F.col("o_orderkey").alias("run_id"), state("o_orderkey").alias("status"))
+    return writes.change_status(runs, o.where("o_orderkey % 4 <> 0").select(F.col("o_orderkey").alias("run_id"), state("o_custkey").alias("to")))
+
+
+@query(f"""WITH {BARS}, a AS (SELECT * FROM bars WHERE CAST(code AS INTEGER) % 3 <> 0 AND date >= DATE '2001-01-01'), b AS (SELECT * FROM bars WHERE date >= DATE '2001-03-01'),
+  p AS (SELECT 0 AS source, code, date, close, volume / 100 * 100.0 AS volume, volume / 100 * 100.0 * close AS amount FROM a UNION ALL SELECT 1, code, date, close, volume, amount / 1000 * 1000.0 FROM b WHERE code NOT IN (SELECT code FROM a)) SELECT source, code, date, close, {R('volume', 'amount')} FROM p""")
+def source_failover(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = bars(spark, sf_dir)
+    first = df.where((F.col("code").cast("int") % 3 != 0) & (F.col("date") >= "2001-01-01")).select("code", F.col("date").alias("datetime"), "open", "high", "low", "close", F.col("volume").alias("vol"))
+    second = df.where(F.col("date") >= "2001-03-01").select("code", F.col("date").alias("trade_date"), "close", (F.col("volume") / 100).alias("vol"), (F.col("amount") / 1000).alias("amount"))
+    both = writes.failover([writes.normalize_source(first, "pytdx"), writes.normalize_source(second, "tushare")])
+    return both.select("source", "code", "date", "close", *r("volume", "amount"))
