@@ -2,19 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from marketloom.functions.advice import direction, position
 from marketloom.operators.asof import asof
 
-W = Window.partitionBy("code").orderBy("date")
+
+def W() -> WindowSpec:  # noqa: N802  windows need a session, so they are made when asked for
+    return Window.partitionBy("code").orderBy("date")
+
 
 
 def with_forward(bars: DataFrame, days: int) -> DataFrame:
     """Bars with `ahead`, the next `days` bars in order."""
     bar = F.struct("date", "high", "low", "close")
-    return bars.select("code", "date", "close", F.collect_list(bar).over(W.rowsBetween(1, days)).alias("ahead"))
+    return bars.select("code", "date", "close", F.collect_list(bar).over(W().rowsBetween(1, days)).alias("ahead"))
 
 
 def candidates(analyses: DataFrame, results: DataFrame) -> DataFrame:

@@ -3,18 +3,24 @@ serves them all. NaN is turned to null at the edge; a symbol's bars are unique b
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-BY_CODE = Window.partitionBy("code")
-W = BY_CODE.orderBy("date")
+def BY_CODE() -> WindowSpec:  # noqa: N802  windows need a session, so they are made when asked for
+    return Window.partitionBy("code")
+
+
+def W() -> WindowSpec:  # noqa: N802
+    return BY_CODE().orderBy("date")
+
+
 #: EMA block: what is older than a block weighs less than a double can tell, for any span up to 60.
 EMA_BLOCK = 1000
 
 
 def back(n: int, to: int = 0):
     """The frame from n rows back."""
-    return W.rowsBetween(-n, to)
+    return W().rowsBetween(-n, to)
 
 
 def sma(c: str, n: int) -> Column:
@@ -25,18 +31,18 @@ def sma(c: str, n: int) -> Column:
 def moving_averages(bars: DataFrame) -> DataFrame:
     """ma5, ma10, ma20 strictly; ma60, or ma20 for the whole series of a symbol with fewer than 60 bars."""
     out = bars.withColumns({f"ma{n}": sma("close", n) for n in (5, 10, 20, 60)})
-    return out.withColumn("ma60", F.when(F.count("*").over(BY_CODE) >= 60, F.col("ma60")).otherwise(F.col("ma20")))
+    return out.withColumn("ma60", F.when(F.count("*").over(BY_CODE()) >= 60, F.col("ma60")).otherwise(F.col("ma20")))
 
 
 def lenient_averages(bars: DataFrame) -> DataFrame:
     """Averages over what there is, and the stored volume ratio against the five bars before."""
-    before = F.avg("volume").over(W.rowsBetween(-5, -1))
+    before = F.avg("volume").over(W().rowsBetween(-5, -1))
     out = bars.withColumns({f"ma{n}": F.avg("close").over(back(n - 1)) for n in (5, 10, 20)})
     return out.withColumn("volume_ratio", F.when(before.isNull() | ((before == 0) & (F.col("volume") == 0)), F.lit(1.0)).otherwise(F.try_divide("volume", before)))
 
 
 def pct_change(bars: DataFrame) -> DataFrame:
-    return bars.withColumn("pct_chg", F.coalesce((F.try_divide("close", F.lag("close").over(W)) - 1) * 100, F.lit(0.0)))
+    return bars.withColumn("pct_chg", F.coalesce((F.try_divide("close", F.lag("close").over(W())) - 1) * 100, F.lit(0.0)))
 
 
 def ema(df: DataFrame, source: str, span: int, to: str) -> DataFrame:
@@ -44,7 +50,7 @@ def ema(df: DataFrame, source: str, span: int, to: str) -> DataFrame:
     and the block before gives the start, so weights stay in range however long a series is."""
     a = 2.0 / (span + 1)
     b = 1.0 - a
-    i = F.row_number().over(W) - 1
+    i = F.row_number().over(W()) - 1
     df = df.withColumn("_i", i).withColumn("_b", F.floor(F.col("_i") / EMA_BLOCK).cast("int"))
     k = F.col("_i") - F.col("_b") * EMA_BLOCK
     term = F.when(F.col("_i") == 0, F.col(source)).otherwise(F.lit(a) * F.col(source) * F.pow(F.lit(b), -k))
@@ -61,11 +67,11 @@ def macd(bars: DataFrame) -> DataFrame:
 
 def macd_status(df: DataFrame) -> DataFrame:
     """Adds macd_status; symbols with fewer than 26 bars are BULLISH by default."""
-    gap, before = F.col("dif") - F.col("dea"), F.lag(F.col("dif") - F.col("dea")).over(W)
-    zero = F.lag("dif").over(W)
+    gap, before = F.col("dif") - F.col("dea"), F.lag(F.col("dif") - F.col("dea")).over(W())
+    zero = F.lag("dif").over(W())
     golden, death = (before <= 0) & (gap > 0), (before >= 0) & (gap < 0)
     status = (
-        F.when(F.row_number().over(W) < 26, "BULLISH")
+        F.when(F.row_number().over(W()) < 26, "BULLISH")
         .when(golden & (F.col("dif") > 0), "GOLDEN_CROSS_ZERO")
         .when((zero <= 0) & (F.col("dif") > 0), "CROSSING_UP")
         .when(golden, "GOLDEN_CROSS")
@@ -80,24 +86,24 @@ def macd_status(df: DataFrame) -> DataFrame:
 
 def rsi(bars: DataFrame, spans: tuple[int, ...] = (6, 12, 24)) -> DataFrame:
     """Simple-mean RSI; the first bar counts as no change; 50 until n bars or when nothing moves."""
-    change = F.coalesce(F.col("close") - F.lag("close").over(W), F.lit(0.0))
+    change = F.coalesce(F.col("close") - F.lag("close").over(W()), F.lit(0.0))
     df = bars.withColumns({"_g": F.greatest(change, F.lit(0.0)), "_l": F.greatest(-change, F.lit(0.0))})
     for n in spans:
         g, l = F.avg("_g").over(back(n - 1)), F.avg("_l").over(back(n - 1))
-        df = df.withColumn(f"rsi{n}", F.when((F.row_number().over(W) < n) | ((g < 1e-12) & (l < 1e-12)), 50.0).when(l < 1e-12, 100.0).otherwise(100 - 100 / (1 + F.try_divide(g, l))))
+        df = df.withColumn(f"rsi{n}", F.when((F.row_number().over(W()) < n) | ((g < 1e-12) & (l < 1e-12)), 50.0).when(l < 1e-12, 100.0).otherwise(100 - 100 / (1 + F.try_divide(g, l))))
     return df.drop("_g", "_l")
 
 
 def rsi_status(df: DataFrame) -> DataFrame:
     r = F.col("rsi12")
-    return df.withColumn("rsi_status", F.when(F.row_number().over(W) < 24, "NEUTRAL").when(r > 70, "OVERBOUGHT").when(r > 60, "STRONG_BUY").when(r >= 40, "NEUTRAL").when(r >= 30, "WEAK").otherwise("OVERSOLD"))
+    return df.withColumn("rsi_status", F.when(F.row_number().over(W()) < 24, "NEUTRAL").when(r > 70, "OVERBOUGHT").when(r > 60, "STRONG_BUY").when(r >= 40, "NEUTRAL").when(r >= 30, "WEAK").otherwise("OVERSOLD"))
 
 
 def trend_status(df: DataFrame) -> DataFrame:
     """Adds trend_status and trend_strength to moving_averages(); null before 20 bars."""
     up, down = F.try_divide((F.col("ma5") - F.col("ma20")) * 100, "ma20"), F.try_divide((F.col("ma20") - F.col("ma5")) * 100, "ma5")
-    wider_up = (up > F.lag(up, 4).over(W)) & (up > 5)
-    wider_down = (down > F.lag(down, 4).over(W)) & (down > 5)
+    wider_up = (up > F.lag(up, 4).over(W())) & (up > 5)
+    wider_down = (down > F.lag(down, 4).over(W())) & (down > 5)
     a, b, c = F.col("ma5"), F.col("ma10"), F.col("ma20")
     status = (
         F.when(c.isNull(), None)
@@ -113,12 +119,12 @@ def trend_status(df: DataFrame) -> DataFrame:
 
 def volume_status(df: DataFrame) -> DataFrame:
     """Adds volume_ratio_5d (against the five bars before; 0 if they have none) and volume_status."""
-    before = F.avg("volume").over(W.rowsBetween(-5, -1))
-    ratio = F.when((F.row_number().over(W) >= 5) & (before > 0), F.col("volume") / before).otherwise(0.0)
-    rose = F.col("close") > F.lag("close").over(W)
+    before = F.avg("volume").over(W().rowsBetween(-5, -1))
+    ratio = F.when((F.row_number().over(W()) >= 5) & (before > 0), F.col("volume") / before).otherwise(0.0)
+    rose = F.col("close") > F.lag("close").over(W())
     df = df.withColumn("volume_ratio_5d", ratio)
     r = F.col("volume_ratio_5d")
-    return df.withColumn("volume_status", F.when(F.row_number().over(W) < 5, "NORMAL").when(r >= 1.5, F.when(rose, "HEAVY_UP").otherwise("HEAVY_DOWN")).when(r <= 0.7, F.when(rose, "SHRINK_UP").otherwise("SHRINK_DOWN")).otherwise("NORMAL"))
+    return df.withColumn("volume_status", F.when(F.row_number().over(W()) < 5, "NORMAL").when(r >= 1.5, F.when(rose, "HEAVY_UP").otherwise("HEAVY_DOWN")).when(r <= 0.7, F.when(rose, "SHRINK_UP").otherwise("SHRINK_DOWN")).otherwise("NORMAL"))
 
 
 def support_resistance(df: DataFrame, tolerance: float = 0.02) -> DataFrame:
@@ -178,7 +184,7 @@ def trend_signal(bars: DataFrame, threshold: float = BIAS_THRESHOLD) -> DataFram
 
 def latest(df: DataFrame) -> DataFrame:
     """The last bar of each symbol."""
-    return df.withColumn("_r", F.row_number().over(BY_CODE.orderBy(F.desc("date")))).where("_r = 1").drop("_r")
+    return df.withColumn("_r", F.row_number().over(BY_CODE().orderBy(F.desc("date")))).where("_r = 1").drop("_r")
 
 
 def calculate_ma(bars: DataFrame, periods: tuple[int, ...] = (5, 10, 20, 30, 60, 120, 250)) -> DataFrame:
@@ -190,11 +196,11 @@ def calculate_ma(bars: DataFrame, periods: tuple[int, ...] = (5, 10, 20, 30, 60,
 
 def volume_analysis(bars: DataFrame, days: int = 30) -> DataFrame:
     """Volume and price over each symbol's last bars; here the five-bar mean includes the last bar."""
-    n = F.row_number().over(BY_CODE.orderBy(F.desc("date")))
+    n = F.row_number().over(BY_CODE().orderBy(F.desc("date")))
     df = bars.withColumn("n", n).where(F.col("n") <= days)
-    df = df.withColumn("up", F.coalesce(F.col("close") > F.lag("close").over(W), F.lit(False)))
-    df = df.withColumn("m20", F.avg(F.when(F.col("n") <= 20, F.col("volume"))).over(BY_CODE)).withColumn("m10", F.avg(F.when(F.col("n") <= 10, F.col("volume"))).over(BY_CODE))
-    df = df.withColumn("m20", F.when(F.count("*").over(BY_CODE) >= 20, F.col("m20")).otherwise(F.col("m10")))
+    df = df.withColumn("up", F.coalesce(F.col("close") > F.lag("close").over(W()), F.lit(False)))
+    df = df.withColumn("m20", F.avg(F.when(F.col("n") <= 20, F.col("volume"))).over(BY_CODE())).withColumn("m10", F.avg(F.when(F.col("n") <= 10, F.col("volume"))).over(BY_CODE()))
+    df = df.withColumn("m20", F.when(F.count("*").over(BY_CODE()) >= 20, F.col("m20")).otherwise(F.col("m10")))
     g = df.groupBy("code").agg(
         F.count("*").alias("period_days"),
         F.max(F.when(F.col("n") == 1, F.col("volume"))).alias("latest_volume"),
@@ -214,19 +220,19 @@ def volume_analysis(bars: DataFrame, days: int = 30) -> DataFrame:
 
 def candle_patterns(bars: DataFrame, days: int = 60) -> DataFrame:
     """code, pattern, offset (bars back from the last): shapes of each symbol's last bars, each name once, the latest kept."""
-    n = F.row_number().over(BY_CODE.orderBy(F.desc("date")))
-    df = bars.withColumn("n", n).where(F.col("n") <= days).withColumn("size", F.count("*").over(BY_CODE))
+    n = F.row_number().over(BY_CODE().orderBy(F.desc("date")))
+    df = bars.withColumn("n", n).where(F.col("n") <= days).withColumn("size", F.count("*").over(BY_CODE()))
     top, bottom = F.greatest("open", "close"), F.least("open", "close")
     df = df.withColumns({"body": F.abs(F.col("close") - F.col("open")), "us": F.col("high") - top, "ls": bottom - F.col("low"), "bull": F.col("close") > F.col("open"), "bear": F.col("close") < F.col("open")})
-    df = df.withColumn("mean_body", F.avg("body").over(BY_CODE))
-    lag = lambda c, k=1: F.lag(c, k).over(W)
+    df = df.withColumn("mean_body", F.avg("body").over(BY_CODE()))
+    lag = lambda c, k=1: F.lag(c, k).over(W())
     body, m, last, o, c = F.col("body"), F.col("mean_body"), F.col("n") == 1, F.col("open"), F.col("close")
     recent, middle = F.col("n") <= 3, (lag("open", 2) + lag("close", 2)) / 2
     df = df.withColumns({"pc": lag("close"), "star": (lag("body", 2) > m * 1.5) & (lag("body") < m * 0.4) & (body > m * 1.5) & last & (F.col("size") >= 3)})
     bull_engulf = last & (F.col("size") >= 3) & F.col("bull") & lag("bear") & (o < lag("close")) & (c > lag("open"))
     bear_engulf = last & (F.col("size") >= 3) & F.col("bear") & lag("bull") & (o > lag("close")) & (c < lag("open"))
     box = last & (F.col("size") >= 10) & (F.coalesce(F.try_divide((F.max("high").over(back(9)) - F.min("low").over(back(9))) * 100, F.min("low").over(back(9))), F.lit(0.0)) < 8)
-    breakout = last & (F.col("size") >= 21) & (c > F.max("high").over(W.rowsBetween(-20, -1))) & (F.col("volume") > F.avg("volume").over(W.rowsBetween(-5, -1)) * 1.5)
+    breakout = last & (F.col("size") >= 21) & (c > F.max("high").over(W().rowsBetween(-20, -1))) & (F.col("volume") > F.avg("volume").over(W().rowsBetween(-5, -1)) * 1.5)
     shape = lambda name, when, at: F.when(when, F.struct(F.lit(name).alias("pattern"), at.alias("offset")))
     here = (1 - F.col("n")).cast("int")
     fixed = lambda k: F.lit(k)
@@ -254,8 +260,8 @@ def candle_patterns(bars: DataFrame, days: int = 60) -> DataFrame:
 def double_bottom(bars: DataFrame, days: int = 60) -> DataFrame:
     """code, offset, low1, low2: the two lowest lows (the earlier first among equals) at least five bars apart, within 3 % of
     each other, with a high between them more than 3 % above the first."""
-    n = F.row_number().over(BY_CODE.orderBy(F.desc("date")))
-    df = bars.withColumn("n", n).where(F.col("n") <= days).withColumn("k", F.row_number().over(BY_CODE.orderBy("low", F.desc("n"))))
+    n = F.row_number().over(BY_CODE().orderBy(F.desc("date")))
+    df = bars.withColumn("n", n).where(F.col("n") <= days).withColumn("k", F.row_number().over(BY_CODE().orderBy("low", F.desc("n"))))
     pair = df.where("k <= 2").groupBy("code").agg(F.max("n").alias("n1"), F.min("n").alias("n2"), F.max_by("low", "n").alias("low1"), F.min_by("low", "n").alias("low2"))
     pair = pair.where((F.col("n1") - F.col("n2") >= 5) & (F.abs(F.col("low1") - F.col("low2")) / F.greatest("low1", "low2") < 0.03))
     between = df.select("code", "n", "high").join(pair, "code").where("n between n2 and n1")
@@ -265,9 +271,9 @@ def double_bottom(bars: DataFrame, days: int = 60) -> DataFrame:
 def rule_strategies(bars: DataFrame) -> DataFrame:
     """code, date, strategy: the machine-checkable strategies that each bar meets."""
     df = moving_averages(bars)
-    prev5 = F.avg("volume").over(W.rowsBetween(-5, -1))
-    df = df.withColumns({"ratio": F.try_divide("volume", prev5), "bias": F.try_divide((F.col("close") - F.col("ma5")) * 100, "ma5"), "hi20": F.max("high").over(W.rowsBetween(-20, -1)), "above": (F.col("ma5") > F.col("ma10")).cast("int")})
-    df = df.withColumns({"cross": (F.col("above") == 1) & (F.lag("above").over(W) == 0), "ma20_before": F.lag("ma20", 5).over(W), "top": F.try_divide(F.col("close") - F.col("low"), F.col("high") - F.col("low"))})
+    prev5 = F.avg("volume").over(W().rowsBetween(-5, -1))
+    df = df.withColumns({"ratio": F.try_divide("volume", prev5), "bias": F.try_divide((F.col("close") - F.col("ma5")) * 100, "ma5"), "hi20": F.max("high").over(W().rowsBetween(-20, -1)), "above": (F.col("ma5") > F.col("ma10")).cast("int")})
+    df = df.withColumns({"cross": (F.col("above") == 1) & (F.lag("above").over(W()) == 0), "ma20_before": F.lag("ma20", 5).over(W()), "top": F.try_divide(F.col("close") - F.col("low"), F.col("high") - F.col("low"))})
     df = df.withColumn("boxed", (F.max("high").over(back(9)) / F.min("low").over(back(9)) < 1.08) & (F.count("*").over(back(9)) == 10))
     df = df.withColumn("crossed", F.max(F.col("cross").cast("int")).over(back(2)) == 1)
     c = F.col

@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import datetime
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from marketloom.functions.rounding import half_up
 
-W = Window.partitionBy("code").orderBy("date")
+
+def W() -> WindowSpec:  # noqa: N802  windows need a session, so they are made when asked for
+    return Window.partitionBy("code").orderBy("date")
+
 
 
 def universe(raw: DataFrame) -> DataFrame:
@@ -24,16 +27,16 @@ def factor_snapshot(bars: DataFrame, instruments: DataFrame, trade_date: datetim
     """A row for each instrument with 20 bars in the last 2 * lookback days, the last of them on trade_date."""
     df = bars.where(F.col("date").between(F.date_sub(F.lit(trade_date), 2 * lookback), F.lit(trade_date)))
     df = df.join(instruments.select("code", "name", "list_date", "is_st"), "code")
-    last = lambda c, n: F.avg(c).over(W.rowsBetween(-(n - 1), 0))
-    before = W.rowsBetween(-5, -1)
+    last = lambda c, n: F.avg(c).over(W().rowsBetween(-(n - 1), 0))
+    before = W().rowsBetween(-5, -1)
     df = df.withColumns(
         {
-            "n": F.count("*").over(W.rowsBetween(Window.unboundedPreceding, 0)),
+            "n": F.count("*").over(W().rowsBetween(Window.unboundedPreceding, 0)),
             "ma5": last("close", 5), "ma10": last("close", 10), "ma20": last("close", 20), "ma60": last("close", 60),
-            "high_before": F.max("high").over(W.rowsBetween(-breakout, -1)),
+            "high_before": F.max("high").over(W().rowsBetween(-breakout, -1)),
             "_amount": F.coalesce(F.avg(F.coalesce("amount", F.lit(0.0))).over(before), F.lit(0.0)),
             "_volume": F.coalesce(F.avg(F.coalesce("volume", F.lit(0.0))).over(before), F.lit(0.0)),
-            "pct_chg": F.coalesce((F.try_divide("close", F.lag("close").over(W)) - 1) * 100, F.lit(0.0)),
+            "pct_chg": F.coalesce((F.try_divide("close", F.lag("close").over(W())) - 1) * 100, F.lit(0.0)),
         }
     )
     df = df.where((F.col("date") == F.lit(trade_date)) & (F.col("n") >= 20))
