@@ -183,7 +183,8 @@ def classes(docs: DataFrame, least: float = LEAST, id_col: str = "doc_id", text_
     placed = placed.select("digest", "first_id", "root", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"))
     text = docs[text_col].cast("string")
     source = docs.select(docs[id_col].cast("long").alias("first_id"), text.alias("text"), digest(text).alias("digest"))
-    shown = source.alias("s").join(placed.alias("m"), (F.col("s.digest") == F.col("m.digest")) & F.col("s.first_id").eqNullSafe(F.col("m.first_id"))).select("m.root", "m.p", "m.q", "m.digest", "s.text")
+    # merged at every size of the table: texts are dealt by digest whether or not the members would fit in a broadcast
+    shown = source.alias("s").join(placed.hint("merge").alias("m"), (F.col("s.digest") == F.col("m.digest")) & F.col("s.first_id").eqNullSafe(F.col("m.first_id"))).select("m.root", "m.p", "m.q", "m.digest", "s.text")
     pairs = written(_compared(shown, least), "compared")
     if cut:  # a text stands in several pairs of parts
         grown = components(pairs, "digest", "lead")
