@@ -15,7 +15,7 @@ by (doc_id, line), stays and the others are deleted; joined, these deletions are
 Lines compare without white space at their ends. Lines without words are no letters: runs reach over them and they stay.
 Whole copies collapse before the array: a text is represented by its least doc_id, its other copies lose all worded lines
 if it has min_words words, and are left with empty text. Rows with the same id and text are one document and are treated
-alike. Null ids come last; null text stays null. Other columns stay as they are. Work columns begin with `_`.
+alike. Null ids come last; null text stays null. Other columns, of any name, stay as they are. An empty table gives none.
 """
 
 from __future__ import annotations
@@ -122,15 +122,17 @@ def deletions(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id
 def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with text_col shortened; same rows, same columns."""
     gone = written(deletions(docs, min_words, id_col, text_col), "deletions")
-    marked = docs.withColumn("_digest", digest(docs[text_col].cast("string")))
+    # rows travel as one struct, so no column of theirs can clash with a work column
+    marked = docs.select(F.struct(*docs.columns).alias("row"), digest(docs[text_col].cast("string")).alias("_digest"))
     rows = marked.join(gone, "_digest", "left")
+    old = f"row.`{text_col}`"
     # the outer transform names the split lines, so that they are split once
-    shorter = F.expr(f"transform(array(split(`{text_col}`, '\\n', -1)), lines -> array_join(flatten(transform(_kept, k -> slice(lines, k.a + 1, greatest(0, least(k.b, size(lines)) - k.a)))), '\\n'))[0]")
-    first = F.col(id_col).eqNullSafe(F.col("_first_id"))
-    blank_only = F.expr(f"array_join(filter(split(`{text_col}`, '\\n', -1), x -> regexp_count(x, '[^\\\\x20\\\\x09-\\\\x0D]+') = 0), '\\n')")
-    text = F.when(F.col("_kept").isNull(), F.col(text_col)).when(first, shorter).when(F.col("_whole"), blank_only).otherwise(shorter)
+    shorter = F.expr(f"transform(array(split({old}, '\\n', -1)), lines -> array_join(flatten(transform(_kept, k -> slice(lines, k.a + 1, greatest(0, least(k.b, size(lines)) - k.a)))), '\\n'))[0]")
+    first = F.col(f"row.`{id_col}`").eqNullSafe(F.col("_first_id"))
+    blank_only = F.expr(f"array_join(filter(split({old}, '\\n', -1), x -> regexp_count(x, '[^\\\\x20\\\\x09-\\\\x0D]+') = 0), '\\n')")
+    text = F.when(F.col("_kept").isNull(), F.col(old)).when(first, shorter).when(F.col("_whole"), blank_only).otherwise(shorter)
     text = F.when(F.col("_kept").isNotNull() & ~text.rlike(r"[^\x20\x09-\x0D]"), F.lit("")).otherwise(text)
-    return rows.withColumn(text_col, text).select(*docs.columns)
+    return rows.select(*(text.alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in docs.columns))
 
 
 #: The same for DuckDB, on `documents`, by the text of each shortest run.

@@ -211,9 +211,11 @@ def one_of_each(docs: DataFrame, least: float = LEAST, id_col: str = "doc_id", t
     lead = texts.where("digest = lead").select(F.col("digest").alias("_digest"), F.col("first_id").alias("_first"))
     worded = rows.where("worded").select("doc_id", "digest")
     repeated = worded.groupBy("doc_id", "digest").count().where("count > 1").limit(1).count() > 0
-    marked = docs.withColumn("_digest", digest(docs[text_col].cast("string")))
-    has_words = F.coalesce(F.col(text_col).rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
-    with_words = marked.where(has_words).alias("d").join(lead.alias("l"), (F.col("d._digest") == F.col("l._digest")) & F.col(f"d.{id_col}").eqNullSafe(F.col("l._first"))).select("d.*")
+    # rows travel as one struct, so no column of theirs can clash with a work column
+    own_id, own_text = F.col(f"row.`{id_col}`").cast("long"), F.col(f"row.`{text_col}`").cast("string")
+    marked = docs.select(F.struct(*docs.columns).alias("row")).withColumn("_digest", digest(own_text))
+    has_words = F.coalesce(own_text.rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    with_words = marked.where(has_words).join(lead, "_digest").where(own_id.eqNullSafe(F.col("_first"))).drop("_first")
     if repeated:
-        with_words = with_words.dropDuplicates([id_col, "_digest"])
-    return with_words.unionByName(marked.where(~has_words)).drop("_digest")
+        with_words = with_words.withColumn("_id", own_id).dropDuplicates(["_id", "_digest"]).drop("_id")
+    return with_words.unionByName(marked.where(~has_words)).select("row.*")

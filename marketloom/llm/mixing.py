@@ -58,14 +58,15 @@ def targets(sources: DataFrame, weights: Sequence[float] = (3, 1, 2), epochs: fl
     return rows.withColumn("target", F.coalesce(target, F.col("bound"))).select("source", "source_size", "weight", "target")
 
 
-def _keyed(docs: DataFrame, seed: str, id_col: str, text_col: str, source_col: str) -> DataFrame:
+def _keyed(docs: DataFrame, carry: list[str], seed: str, id_col: str, text_col: str, source_col: str) -> DataFrame:
+    """The columns to carry travel as one struct, so none of them can clash with a work column."""
     u = seeded_order(docs[id_col], seed)
-    return docs.withColumns({"_id": docs[id_col], "_source": docs[source_col], "_size": word_count(docs[text_col].cast("string")), "_u": u, "_bucket": F.substring(u, 1, BUCKET)})
+    return docs.select(F.struct(*(docs[c] for c in carry)).alias("row"), docs[id_col].alias("_id"), docs[source_col].alias("_source"), word_count(docs[text_col].cast("string")).alias("_size"), u.alias("_u"), F.substring(u, 1, BUCKET).alias("_bucket"))
 
 
-def _taken(docs: DataFrame, weights: Sequence[float], epochs: float, cap: float, seed: str, id_col: str, text_col: str, source_col: str) -> DataFrame:
+def _taken(docs: DataFrame, carry: list[str], weights: Sequence[float], epochs: float, cap: float, seed: str, id_col: str, text_col: str, source_col: str) -> DataFrame:
     """docs with _size, _source_size, _target, _whole, _extra (words beyond whole repetitions) and other work columns."""
-    keyed = _keyed(docs, seed, id_col, text_col, source_col)
+    keyed = _keyed(docs, carry, seed, id_col, text_col, source_col)
     buckets = written(keyed.groupBy("_source", "_bucket").agg(F.sum("_size").alias("bucket_size")), "buckets")  # a row for each source and bucket at most
     goals = targets(buckets.groupBy(F.col("_source").alias("source")).agg(F.sum("bucket_size").alias("source_size")), weights, epochs, cap)
     goals = goals.withColumn("whole", F.coalesce(F.floor(F.try_divide("target", "source_size")), F.lit(0)))
@@ -86,21 +87,21 @@ def _taken(docs: DataFrame, weights: Sequence[float], epochs: float, cap: float,
 
 def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), epochs: float = 1.5, cap: float = 2.0, seed: str = SEED, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """doc_id, source, size, source_size, target, taken: a row for each row of docs."""
-    slim = docs.select(docs[id_col].alias("doc_id"), docs[source_col].alias("source"), docs[text_col].alias("text"))
-    rows = _taken(slim, weights, epochs, cap, seed, "doc_id", "text", "source")
+    rows = _taken(docs, [id_col, source_col], weights, epochs, cap, seed, id_col, text_col, source_col)
     taken = (F.col("_whole") * F.col("_size") + F.col("_extra")).cast("long")
-    return rows.select("doc_id", "source", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), taken.alias("taken"))
+    return rows.select(F.col(f"row.`{id_col}`").alias("doc_id"), F.col(f"row.`{source_col}`").alias("source"), F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), taken.alias("taken"))
 
 
 def mixed(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), epochs: float = 1.5, cap: float = 2.0, seed: str = SEED, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The mix itself: a row for each repetition, with the columns of docs. A repetition in part, of which each source has
     one at most, holds the first words joined by one space. Rows of which no word is taken are left out."""
-    rows = _taken(docs, weights, epochs, cap, seed, id_col, text_col, source_col)
+    rows = _taken(docs, docs.columns, weights, epochs, cap, seed, id_col, text_col, source_col)
     times = F.col("_whole") + (F.col("_extra") > 0).cast("long")
     rows = rows.where((F.col("_size") > 0) & (times > 0)).withColumn("_turn", F.explode(F.sequence(F.lit(1).cast("long"), times)))
     part = (F.col("_turn") > F.col("_whole")) & (F.col("_extra") < F.col("_size"))
-    words = F.array_join(F.slice(F.regexp_extract_all(F.col(text_col), F.lit(WORD), F.lit(0)), F.lit(1), F.col("_extra").cast("int")), " ")
-    return rows.withColumn(text_col, F.when(part, words).otherwise(F.col(text_col))).select(*docs.columns)
+    words = F.array_join(F.slice(F.regexp_extract_all(F.col(f"row.`{text_col}`").cast("string"), F.lit(WORD), F.lit(0)), F.lit(1), F.col("_extra").cast("int")), " ")
+    text = F.when(part, words).otherwise(F.col(f"row.`{text_col}`"))
+    return rows.select(*(text.alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in docs.columns))
 
 
 ORACLE = """
