@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import importlib.util
 import os
 from collections.abc import Callable
 
@@ -11,8 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from marketloom.llm import bpe, compression, cotraining, language, lines, minhash, mixing, secrets, sstable, vafile
 from marketloom.llm.common import table
 
-#: The folder of the public vocabularies.
-VOCABULARIES = os.environ.get("MARKETLOOM_VOCABULARIES") or os.path.dirname(importlib.util.find_spec("public_tokenizers").origin)
+#: The folder of the public vocabularies, on every machine.
+VOCABULARIES = os.environ.get("MARKETLOOM_VOCABULARIES", "/opt/tokenizers")
 WORD_BPE = os.path.join(VOCABULARIES, "word_bpe_49k.json")
 PIECES = os.path.join(VOCABULARIES, "piece_bpe_32k.model")
 END_ID = 2
