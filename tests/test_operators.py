@@ -208,3 +208,26 @@ def test_breaker(spark, tmp_path):
     s = spark.readStream.schema("source string, ts timestamp, ok boolean").parquet(str(tmp_path / "in"))
     got = [(r.state, r.ts) for r in streams.drained("breaker_test", streams.breaker(s), str(tmp_path / "cp")).orderBy("ts").collect()]
     assert got == [("open", t(2)), ("closed", t(310))]
+
+
+def test_replay_with_dividend_and_split(spark):
+    from marketloom.operators import misc
+
+    d = [dt.date(2024, 1, i) for i in range(1, 6)]
+    kind = "account int, on date, id int, kind string, quantity double, price double, charges double, ratio double"
+    cash = spark.createDataFrame([(1, d[0], 1, "deposit", 10000.0, None, None, None)], kind)
+    acts = spark.createDataFrame([(1, d[2], 1, "dividend", None, 1.0, None, None), (1, d[3], 2, "split", None, None, None, 2.0)], kind)
+    trades = spark.createDataFrame([(1, d[1], 1, "buy", 100.0, 10.0, 0.0, None)], kind)
+    r = misc.replay(misc.ledger(cash, acts, trades), ["account"]).first()
+    assert (r.cash, r.quantity, r.cost) == (9100.0, 200.0, 1000.0)
+    same_day = spark.createDataFrame([(1, d[1], 1, "dividend", None, 1.0, None, None)], kind)
+    assert misc.replay(misc.ledger(cash.withColumn("quantity", F.lit(2000.0)), same_day, trades), ["account"]).first().cash == 1000.0
+
+
+def test_modes_only_loosen_or_tighten():
+    from marketloom.operators import misc
+
+    base = {"candidate_limit": 30, "min_volume_ratio": 1.2, "x": 1}
+    assert misc.resolve_mode("aggressive", base, {"candidate_limit": 50, "min_volume_ratio": 1.0}) == {"candidate_limit": 50, "min_volume_ratio": 1.0, "x": 1}
+    assert misc.resolve_mode("quality", base, {"candidate_limit": 50, "min_volume_ratio": 1.5}) == {"candidate_limit": 30, "min_volume_ratio": 1.5, "x": 1}
+    assert misc.resolve_mode("balanced", base, {"candidate_limit": 50}) == base
