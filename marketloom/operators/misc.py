@@ -100,3 +100,21 @@ def replay(events: DataFrame, keys: Sequence[str] = ("account", "symbol")) -> Da
 
     df = packed.withColumn("z", F.aggregate("events", zero, step))
     return df.select(*keys, F.col("z.q").alias("quantity"), F.col("z.cost").alias("cost"), F.col("z.cash").alias("cash"), F.col("z.pnl").alias("realized_pnl"))
+
+
+def open_markets(symbols: DataFrame, calendar: DataFrame, day: Column) -> DataFrame:
+    """symbols: code, market. calendar: market, on, open. Symbols whose market trades on the day; a market or day that the
+    calendar doesn't know passes."""
+    there = calendar.where(F.col("on") == day).select("market", "open")
+    return symbols.join(there, "market", "left").where(F.coalesce("open", F.lit(True))).drop("open")
+
+
+def effective_day(calendar: DataFrame, day: Column) -> DataFrame:
+    """market, on: the last open day of each market that isn't after the day."""
+    return calendar.where(F.col("open") & (F.col("on") <= day)).groupBy("market").agg(F.max("on").alias("on"))
+
+
+def missing_codes(requested: DataFrame, known: DataFrame) -> DataFrame:
+    """known instruments, and a bare row for each requested code that isn't among them."""
+    absent = requested.select("code").distinct().join(known.select("code"), "code", "left_anti")
+    return known.unionByName(absent, allowMissingColumns=True)

@@ -78,3 +78,26 @@ def portfolio_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.floor("value") + 1).cast("double").alias("quantity"), F.when(k == 1, 0.01).otherwise(2.0).alias("price"), F.lit(0.5).alias("charges"), F.lit(1.001).alias("ratio"))
     parts = [e.where(F.col("kind") == "deposit"), e.where(F.col("kind").isin("dividend", "split")), e.where(F.col("kind") == "buy")]
     return misc.replay(misc.ledger(*parts), ["account"]).select("account", *r("quantity", "cost", "cash", digits=2))
+
+
+@query(f"""WITH {INSTRUMENTS}, c AS (SELECT r_name AS market, DATE '2000-01-01' + CAST(r_regionkey * 10 + k AS INTEGER) AS "on", (r_regionkey + k) % 3 <> 0 AS open FROM region, (SELECT unnest(range(10)) AS k))
+SELECT i.code, i.market FROM instruments i LEFT JOIN c ON c.market = i.market AND c."on" = DATE '2000-01-12' WHERE coalesce(c.open, true)""")
+def trading_day_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return misc.open_markets(instruments(spark, sf_dir).select("code", "market"), _calendar(spark, sf_dir), F.lit("2000-01-12").cast("date")).select("code", "market")
+
+
+def _calendar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("r_regionkey")
+    c = table(spark, sf_dir, "region").withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(9))))
+    return c.select(F.col("r_name").alias("market"), F.date_add(F.lit("2000-01-01").cast("date"), k * 10 + F.col("k")).alias("on"), ((k + F.col("k")) % 3 != 0).alias("open"))
+
+
+@query("""WITH c AS (SELECT r_name AS market, DATE '2000-01-01' + CAST(r_regionkey * 10 + k AS INTEGER) AS "on", (r_regionkey + k) % 3 <> 0 AS open FROM region, (SELECT unnest(range(10)) AS k)) SELECT market, max("on") AS "on" FROM c WHERE open AND "on" <= DATE '2000-01-25' GROUP BY market""")
+def effective_day(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return misc.effective_day(_calendar(spark, sf_dir), F.lit("2000-01-25").cast("date"))
+
+
+@query(f"WITH {INSTRUMENTS}, q AS (SELECT lpad(CAST(p_partkey % 150 AS VARCHAR), 6, '0') AS code FROM part) SELECT code, industry FROM instruments UNION ALL SELECT DISTINCT code, NULL FROM q WHERE code NOT IN (SELECT code FROM instruments)")
+def universe_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    asked = table(spark, sf_dir, "part").select(F.lpad((F.col("p_partkey") % 150).cast("string"), 6, "0").alias("code"))
+    return misc.missing_codes(asked, instruments(spark, sf_dir)).select("code", "industry")

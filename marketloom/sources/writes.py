@@ -128,3 +128,15 @@ def trade_csv(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFr
     df = df.select(F.coalesce(F.col("date").try_cast("date"), F.to_date(F.try_to_timestamp("date", F.lit("yyyyMMdd")))).alias("date"), "symbol", trade_side(F.col("side")).alias("side"), *(number(F.col(c)).alias(c) for c in ("quantity", "price", "fee", "tax"))).fillna(0.0, ["fee", "tax"])
     sized = [F.format_string("%.8f", c) for c in ("quantity", "price", "fee", "tax")]
     return df.withColumn("dedup_hash", dedup_hash(F.col("date"), F.col("symbol"), F.col("side"), *sized))
+
+
+def watch_list(spark: SparkSession, path: str) -> DataFrame:
+    """code, name of a CSV or text watch list: in each line the first token that looks like a code, and the first other one.
+    Lines without a code, such as headers, go; each code once."""
+    from marketloom.functions.codes import normalize
+
+    tokens = F.filter(F.split(F.col("value"), r"[,;\t|，；、]|\s+"), lambda x: F.trim(x) != "")
+    like = r"(?i)^((SH|SZ|BJ)?\d{5,6}(\.(SH|SZ|SS|BJ))?|HK\d{1,5}|\d{1,5}\.HK|[A-Z]{1,5}\.[A-Z])$"
+    df = spark.read.text(path).select(tokens.alias("t"))
+    df = df.select(F.try_element_at(F.filter("t", lambda x: x.rlike(like)), F.lit(1)).alias("code"), F.try_element_at(F.filter("t", lambda x: ~x.rlike(like)), F.lit(1)).alias("name"))
+    return df.where("code is not null").select(normalize(F.col("code")).alias("code"), "name").groupBy("code").agg(F.first("name", ignorenulls=True).alias("name"))

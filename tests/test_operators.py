@@ -231,3 +231,9 @@ def test_modes_only_loosen_or_tighten():
     assert misc.resolve_mode("aggressive", base, {"candidate_limit": 50, "min_volume_ratio": 1.0}) == {"candidate_limit": 50, "min_volume_ratio": 1.0, "x": 1}
     assert misc.resolve_mode("quality", base, {"candidate_limit": 50, "min_volume_ratio": 1.5}) == {"candidate_limit": 30, "min_volume_ratio": 1.5, "x": 1}
     assert misc.resolve_mode("balanced", base, {"candidate_limit": 50}) == base
+
+
+def test_watch_list(spark, tmp_path):
+    (tmp_path / "w.txt").write_text("代码,名称\nsh600519,贵州茅台\n000001.SZ;平安银行\n\n700.HK 腾讯\nsh600519,再次\n", encoding="utf-8")
+    got = {r.code: r.name for r in writes.watch_list(spark, str(tmp_path / "w.txt")).collect()}
+    assert set(got) == {"600519", "000001", "HK00700"} and got["000001"] == "平安银行"
