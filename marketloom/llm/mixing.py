@@ -8,7 +8,8 @@ A source's target is then drawn from its documents, whole repetitions first: wit
 taken floor(r) times, and the rest comes from documents in the order of a seeded hash, whole ones while they fit and a
 last one in part. The order is cut by buckets of the hash: buckets below the cut are taken whole, buckets above it not at
 all, and only the rows of the bucket that holds the cut are ordered, so no source is ever sorted in one task.
-Documents are read twice and none is moved but to meet the row of its source and bucket.
+Documents are read twice, and only those of the cut's bucket are moved (all of them where there are more than
+MOST_BROADCAST sources).
 
 Size is the number of words; null text has 0. A null source is a source of its own, last in order. Rows that repeat
 count each. A source without words has target 0. Other columns are left out.
@@ -25,6 +26,8 @@ from marketloom.llm.common import WORD, word_count, written
 
 #: Letters of a bucket's name, and so 16 ** BUCKET buckets of each source.
 BUCKET = 3
+#: Sources up to which their table, a few numbers a row, is broadcast.
+MOST_BROADCAST = 50_000
 SEED = "mix-1"
 
 
@@ -71,17 +74,23 @@ def _taken(docs: DataFrame, carry: list[str], weights: Sequence[float], epochs:
     goals = targets(buckets.groupBy(F.col("_source").alias("source")).agg(F.sum("bucket_size").alias("source_size")), weights, epochs, cap)
     goals = goals.withColumn("whole", F.coalesce(F.floor(F.try_divide("target", "source_size")), F.lit(0)))
     goals = goals.withColumn("rest", F.floor(F.col("target") - F.col("whole") * F.col("source_size")))
-    running = Window.partitionBy("b._source").orderBy("b._bucket").rowsBetween(Window.unboundedPreceding, -1)
-    cut = buckets.alias("b").join(goals.alias("g"), F.col("b._source").eqNullSafe(F.col("g.source")))
-    room = F.col("g.rest") - F.coalesce(F.sum("b.bucket_size").over(running), F.lit(0))
-    cut = cut.select(F.col("b._source").alias("_s"), F.col("b._bucket").alias("_b"), F.col("g.source_size").alias("_source_size"), F.col("g.target").alias("_target"), F.col("g.whole").alias("_whole"), F.col("b.bucket_size").alias("_bucket_size"), room.alias("_room"))
+    # for each source the bucket that holds the cut, and the words it may still take there
+    running = Window.partitionBy("b._source").orderBy("b._bucket").rowsBetween(Window.unboundedPreceding, 0)
+    ends = buckets.alias("b").join(goals.alias("g"), F.col("b._source").eqNullSafe(F.col("g.source"))).select("g.*", "b._bucket", "b.bucket_size", F.sum("b.bucket_size").over(running).alias("end"))
+    over = F.col("end") > F.col("rest")
+    cut = ends.groupBy(F.col("source").alias("_s")).agg(
+        F.first("source_size").alias("_source_size"), F.first("target").alias("_target"), F.first("whole").alias("_whole"), F.min(F.when(over, F.col("_bucket"))).alias("_cut"),
+        F.min_by(F.col("rest") - F.col("end") + F.col("bucket_size"), F.when(over, F.col("_bucket"))).alias("_room"),
+    )
     cut = written(cut, "cut")
-    rows = keyed.join(cut, keyed["_source"].eqNullSafe(cut["_s"]) & (keyed["_bucket"] == cut["_b"]))
-    all_fit, none_fit = F.col("_room") >= F.col("_bucket_size"), F.col("_room") <= 0
-    clear = rows.where(all_fit | none_fit).withColumn("_extra", F.when(none_fit, F.lit(0)).otherwise(F.col("_size")).cast("long"))
+    # a row for each source: small enough to send to every task unless there are very many, and then rows are dealt by source
+    few = cut.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
+    rows = keyed.join(F.broadcast(cut) if few else cut.hint("merge"), keyed["_source"].eqNullSafe(cut["_s"]))
+    before, at = F.col("_cut").isNull() | (F.col("_bucket") < F.col("_cut")), F.coalesce(F.col("_bucket") == F.col("_cut"), F.lit(False))
+    clear = rows.where(~at).withColumn("_extra", F.when(before, F.col("_size")).otherwise(F.lit(0)).cast("long"))
     # only the bucket with the cut is put in order
     order = Window.partitionBy("_source").orderBy("_u", F.asc_nulls_last("_id"), "_size").rowsBetween(Window.unboundedPreceding, -1)
-    at_cut = rows.where(~all_fit & ~none_fit).withColumn("_extra", F.greatest(F.lit(0), F.least("_size", F.col("_room") - F.coalesce(F.sum("_size").over(order), F.lit(0)))))
+    at_cut = rows.where(at).withColumn("_extra", F.greatest(F.lit(0), F.least("_size", F.col("_room") - F.coalesce(F.sum("_size").over(order), F.lit(0)))))
     return clear.unionByName(at_cut)
 
 
