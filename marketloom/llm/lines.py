@@ -47,7 +47,8 @@ def positions(texts: DataFrame, min_words: int) -> DataFrame:
     words. A run that repeats lies within such a stretch."""
     p = texts.select("_digest", "first_id", F.posexplode("letters").alias("ord", "x")).select("_digest", "first_id", "ord", "x.name", "x.n", "x.line")
     repeated = p.groupBy("name").agg(F.count("*").alias("count")).where("count > 1")
-    again = p.join(repeated.select("name"), "name", "left_semi")
+    # counted names are written, so that both sides of the join are dealt anew and a hot name's partition can be split
+    again = p.join(written(repeated.select("name"), "names"), "name", "left_semi")
     here = Window.partitionBy("_digest").orderBy("ord")
     again = again.withColumn("seg", F.col("ord") - F.row_number().over(here))
     again = again.withColumn("words", F.sum("n").over(Window.partitionBy("_digest", "seg"))).where(F.col("words") >= min_words).drop("words")
@@ -68,7 +69,7 @@ def doubled(p: DataFrame, rank: str, to: str, h: int) -> DataFrame:
     pairs = p.groupBy(rank, "_next").agg(F.count("*").alias("_count"))
     smaller = Window.partitionBy(rank).orderBy("_next").rowsBetween(Window.unboundedPreceding, -1)
     named = pairs.select(rank, "_next", (F.col(rank) + F.coalesce(F.sum("_count").over(smaller), F.lit(0))).alias(to))
-    return p.join(named, [rank, "_next"]).drop("_next")
+    return p.join(written(named, "ranks"), [rank, "_next"]).drop("_next")  # written: see positions()
 
 
 def later_copies(texts: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
@@ -98,7 +99,7 @@ def later_copies(texts: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     runs = runs.select("_digest", "m", left.alias("left"), right.alias("right"), F.struct(F.col("first_id").isNull().alias("z"), "first_id", "_digest", "start").alias("place"), F.transform("run", lambda x: x["line"]).alias("lines"))
     runs = written(runs, "runs")
     first = runs.groupBy("m", "left", "right").agg(F.min("place").alias("first"), F.max("place").alias("last")).where("first <> last").drop("last")
-    later = runs.join(first, ["m", "left", "right"]).where("place <> first")
+    later = runs.join(written(first, "first"), ["m", "left", "right"]).where("place <> first")
     return later.select("_digest", F.explode("lines").alias("line")).distinct()
 
 
