@@ -73,7 +73,7 @@ def labels_of_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
 ), z AS (SELECT account, q AS quantity, cost, cash FROM f QUALIFY row_number() OVER (PARTITION BY account ORDER BY n DESC) = 1) SELECT account, {R('quantity', 'cost', 'cash', digits=2)} FROM z""")
 def portfolio_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("event_id") % 5
-    e = table(spark, sf_dir, "events").where("event_id < 4000").select(
+    e = table(spark, sf_dir, "events").select(
         (F.col("user_id") % 20).alias("account"), F.to_date("ts").alias("on"), F.col("event_id").alias("id"), F.when(k == 0, "deposit").when(k == 1, "dividend").when(k == 2, "split").otherwise("buy").alias("kind"),
         (F.floor("value") + 1).cast("double").alias("quantity"), F.when(k == 1, 0.01).otherwise(2.0).alias("price"), F.lit(0.5).alias("charges"), F.lit(1.001).alias("ratio"))
     parts = [e.where(F.col("kind") == "deposit"), e.where(F.col("kind").isin("dividend", "split")), e.where(F.col("kind") == "buy")]

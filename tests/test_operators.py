@@ -224,6 +224,21 @@ def test_replay_with_dividend_and_split(spark):
     assert misc.replay(misc.ledger(cash.withColumn("quantity", F.lit(2000.0)), same_day, trades), ["account"]).first().cash == 1000.0
 
 
+def test_replay_reads_every_event(spark, tmp_path):
+    from marketloom.plans import registry
+
+    rows = [(i, (i * 7) % 50, dt.datetime(2024, 1, 1) + dt.timedelta(hours=(i * 37) % 900), float(i % 83)) for i in (*range(0, 300), *range(3990, 4600))]
+    spark.createDataFrame(rows, "event_id long, user_id long, ts timestamp, value double").write.parquet(str(tmp_path / "events.parquet"))
+    want = {}
+    for i, user, _, value in sorted(rows, key=lambda x: (x[2].date(), (0, 1, 1, 2, 2)[x[0] % 5], x[0])):
+        q, cost, cash = want.get(user % 20, (0.0, 0.0, 0.0))
+        n = value + 1
+        steps = [(q, cost, cash + n), (q, cost, cash + q * 0.01), (q * 1.001, cost, cash), *[(q + n, cost + n * 2 + 0.5, cash - n * 2 - 0.5)] * 2]
+        want[user % 20] = steps[i % 5]
+    got = {r.account: (r.quantity, r.cost, r.cash) for r in registry.queries()["portfolio_replay"](spark, str(tmp_path)).collect()}
+    assert set(got) == set(want) and all(abs(a - b) < 0.011 for k in want for a, b in zip(got[k], want[k]))
+
+
 def test_modes_only_loosen_or_tighten():
     from marketloom.operators import misc
 
