@@ -13,7 +13,7 @@ Offsets are code points, end exclusive. Null text has no findings. Rows repeat a
 from __future__ import annotations
 
 import base64
-import binascii
+import bisect
 import bz2
 import hashlib
 import io
@@ -40,7 +40,13 @@ _PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _ESCAPE = re.compile(
     r"\\u[dD][89abAB][0-9A-Fa-f]{2}\\u[dD][c-fC-F][0-9A-Fa-f]{2}|\\u\{([0-9A-Fa-f]{1,6})\}|[\\%]u([0-9A-Fa-f]{4})|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})|&#[xX]([0-9A-Fa-f]{1,6});|&#([0-9]{1,7});"
 )
-_BASE64 = re.compile(r"[A-Za-z0-9+/]{16,}={0,2}|[A-Za-z0-9_-]{16,}={0,2}")
+#: A maximal run over both alphabets, joined over single line breaks.
+_BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])(?=(?:[A-Za-z0-9+/_-]|\r?\n(?=[A-Za-z0-9+/_-])){16})[A-Za-z0-9+/_-]++(?:\r?\n[A-Za-z0-9+/_-]++)*+(?:(?:\r?\n)?=){0,2}")
+LEAST_RUN = 16
+_BREAK = re.compile(r"\r?\n")
+_STARTS = re.compile(r"[+/_-]+|\r?\n")
+#: How base64 of gzip, zlib, bzip2 and zstandard data begins.
+_MAGIC = re.compile(r"H4sI|eA[E-H]|eF[4-7]|eJ[w-z]|eN[o-r]|Qlpo|KLUv/")
 MOST_UNPACKED = 1 << 26  # of one compressed run; beyond it is taken for a decompression bomb and left packed
 
 
@@ -140,26 +146,56 @@ def _readable(data: bytes) -> str | None:
     return text if text and text.replace("\n", "").replace("\t", "").replace("\r", "").isprintable() else None
 
 
+def _decoded(run: str) -> bytes:
+    """As much of a run as makes whole bytes."""
+    run = run[: len(run) - (len(run) % 4 == 1)]
+    return base64.b64decode(run + "=" * (-len(run) % 4))
+
+
 def _base64_layers(layer: Layer) -> Iterator[Layer]:
+    """Of each run: what it decodes to from its start, and from wherever letters may have been put before it that aren't its
+    own (at a line break or a sign of either alphabet), once for each of the four phases; and what is packed in it."""
     for m in _BASE64.finditer(layer.text):
-        run = m[0].rstrip("=").replace("-", "+").replace("_", "/")
-        if len(run) % 4 == 1:
-            continue
-        try:
-            data = base64.b64decode(run + "=" * (-len(run) % 4))
-        except binascii.Error:
+        body = m[0].rstrip("=\r\n")
+        run = _BREAK.sub("", body).replace("-", "+").replace("_", "/")
+        if len(run) < LEAST_RUN:
             continue
+        # starts in the text, and how many letters of the run lie before them
+        starts, gone = [(0, 0)], 0
+        for b in _STARTS.finditer(body):
+            gone += len(b[0]) if b[0][-1] == "\n" else 0
+            starts.append((b.end(), b.end() - gone))
+        b = layer.span(m.start(), m.end())[1]
         path = (*layer.path, "base64")
-        while packed := _unpacked(data):
-            if packed[1] == data:
-                break
-            path, data = (*path, packed[0]), packed[1]
-            if len(path) > 64:
-                break
-        text = _readable(data)
-        if text:
-            a, b = layer.span(*m.span())
-            yield Layer(text, [a] * len(text), [b] * len(text), path)
+        phases: set[int] = set()
+        for at, k in starts:
+            if k % 4 not in phases and len(run) - k >= LEAST_RUN:
+                phases.add(k % 4)
+                text = _readable(_decoded(run[k:]))
+                if text:
+                    a = layer.span(m.start() + at, m.end())[0]
+                    yield Layer(text, [a] * len(text), [b] * len(text), path)
+        if not (magic := _MAGIC.search(run)):
+            continue
+        places = [(k, at) for at, k in starts]
+        while magic:
+            k = magic.start()
+            first, at = places[bisect.bisect(places, (k, len(body))) - 1]
+            a = layer.span(m.start() + at + k - first, m.end())[0]
+            yield from _packed_layers(_decoded(run[k:]), a, b, path)
+            magic = _MAGIC.search(run, k + 1)
+
+
+def _packed_layers(data: bytes, a: int, b: int, path: tuple[str, ...]) -> Iterator[Layer]:
+    while packed := _unpacked(data):
+        if packed[1] == data:
+            break
+        path, data = (*path, packed[0]), packed[1]
+        if len(path) > 64:
+            break
+    text = _readable(data)
+    if text:
+        yield Layer(text, [a] * len(text), [b] * len(text), path)
 
 
 def scan(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
