@@ -2,7 +2,7 @@
 
 Each text is a layer. A layer is scanned for the base kinds, then unwrapped: percent escapes and character escapes give
 the same layer with the escapes resolved; each base64 run gives a layer of its own, decompressed where it turns out to be
-gzip, zlib, bzip2 or zstandard. New layers join the worklist until it is empty; a layer whose text has been seen in this
+gzip, zlib, bzip2 or zstandard. Every layer is scanned, also one that isn't valid text. New layers join the worklist until it is empty; a layer whose text has been seen in this
 document is not entered again, so compressed data that holds itself ends. Every letter of a layer knows the span of the
 original text that it came from, and what is found is reported there, as `assign`, `access` or `hex` after the path of
 decoders, for example `base64.gzip.assign`. Spans that the text shows plainly are the base; decoding only adds to them.
@@ -138,12 +138,13 @@ def _unpacked(data: bytes) -> tuple[str, bytes] | None:
     return (name, out) if 0 < len(out) < MOST_UNPACKED else None
 
 
-def _readable(data: bytes) -> str | None:
-    try:
-        text = data.decode("utf-8")
-    except UnicodeDecodeError:
-        return None
-    return text if text and text.replace("\n", "").replace("\t", "").replace("\r", "").isprintable() else None
+def _texts(data: bytes) -> list[str]:
+    """Decoded data as text, whatever it is: as UTF-8 with marks for what isn't valid; with zero bytes, as UTF-16 of either
+    order and with those bytes left out, too. The base kinds and all escapes are ASCII, so marks hide none of them."""
+    out = [data.decode("utf-8", "replace")]
+    if b"\0" in data:
+        out += [data.decode("utf-16-le", "replace"), data.decode("utf-16-be", "replace"), data.replace(b"\0", b"").decode("utf-8", "replace")]
+    return [x for x in out if x]
 
 
 def _decoded(run: str) -> bytes:
@@ -171,9 +172,8 @@ def _base64_layers(layer: Layer) -> Iterator[Layer]:
         for at, k in starts:
             if k % 4 not in phases and len(run) - k >= LEAST_RUN:
                 phases.add(k % 4)
-                text = _readable(_decoded(run[k:]))
-                if text:
-                    a = layer.span(m.start() + at, m.end())[0]
+                a = layer.span(m.start() + at, m.end())[0]
+                for text in _texts(_decoded(run[k:])):
                     yield Layer(text, [a] * len(text), [b] * len(text), path)
         if not (magic := _MAGIC.search(run)):
             continue
@@ -193,8 +193,7 @@ def _packed_layers(data: bytes, a: int, b: int, path: tuple[str, ...]) -> Iterat
         path, data = (*path, packed[0]), packed[1]
         if len(path) > 64:
             break
-    text = _readable(data)
-    if text:
+    for text in _texts(data):
         yield Layer(text, [a] * len(text), [b] * len(text), path)
 
 
