@@ -1,11 +1,16 @@
 """Secret scan with a recursive decoding worklist.
 
 Each text is a layer. A layer is scanned for the base kinds, then unwrapped: percent escapes and character escapes give
-the same layer with the escapes resolved; each base64 run gives a layer of its own, decompressed where it turns out to be
-gzip, zlib, bzip2 or zstandard. Every layer is scanned, also one that isn't valid text. New layers join the worklist until it is empty; a layer whose text has been seen in this
-document is not entered again, so compressed data that holds itself ends. Every letter of a layer knows the span of the
-original text that it came from, and what is found is reported there, as `assign`, `access` or `hex` after the path of
-decoders, for example `base64.gzip.assign`. Spans that the text shows plainly are the base; decoding only adds to them.
+the same layer with the escapes resolved; each base64 run gives layers of its own, and what turns out to be gzip, zlib,
+bzip2 or zstandard in it is unpacked. Every layer is scanned, also one that isn't valid text. New layers join the worklist
+until it is empty; a layer whose text has been seen in this document is not entered again, so compressed data that holds
+itself ends. Every letter of a layer knows the span of the original text that it came from, and what is found is reported
+there, as `assign`, `access` or `hex` after the path of decoders, for example `base64.gzip.assign`. Spans that the text
+shows plainly are the base; decoding only adds to them.
+
+Unpacked data is read as a stream, member after member, in pieces of about PIECE bytes, which end where no kind or escape
+goes on; each piece is a layer. Where MOST_PIECE bytes have no such place, pieces overlap by OVERLAP. All of a piece stands
+for one span of the original, so it doesn't matter in which piece something is found.
 
 Offsets are code points, end exclusive. Null text has no findings. Rows repeat as in the input, other columns are left out.
 """
@@ -16,12 +21,13 @@ import base64
 import bisect
 import bz2
 import hashlib
-import io
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import chain
 from typing import NamedTuple
 
+import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
@@ -47,21 +53,39 @@ _BREAK = re.compile(r"\r?\n")
 _STARTS = re.compile(r"[+/_-]+|\r?\n")
 #: How base64 of gzip, zlib, bzip2 and zstandard data begins.
 _MAGIC = re.compile(r"H4sI|eA[E-H]|eF[4-7]|eJ[w-z]|eN[o-r]|Qlpo|KLUv/")
-MOST_UNPACKED = 1 << 26  # of one compressed run; beyond it is taken for a decompression bomb and left packed
+PIECE, MOST_PIECE, OVERLAP, STEP = 1 << 22, 1 << 24, 1 << 20, 1 << 16
+#: Bytes that are in no kind, base64 run or escape: a piece may end after one.
+_BETWEEN = [bytes([c]) for c in b",()[]<>!?*|~`@$^"]
+_ERRORS = (zlib.error, OSError, EOFError, ValueError, zstandard.ZstdError)
 
 
 class Layer(NamedTuple):
-    """text, where its letters come from in the original (None: as they are), and the decoders so far."""
+    """text, where its letters come from in the original (None: as they are; one number: all from one span), and the decoders
+    so far."""
 
     text: str
-    begins: list[int] | None
-    ends: list[int] | None
+    begins: list[int] | int | None
+    ends: list[int] | int | None
     path: tuple[str, ...]
 
     def span(self, a: int, b: int) -> tuple[int, int]:
+        if isinstance(self.begins, int):
+            return self.begins, self.ends
         return (a, b) if self.begins is None else (self.begins[a], self.ends[b - 1])
 
 
+class Packed(NamedTuple):
+    """Compressed data, which can be read again and again, with its span and the decoders before it. above: digests of the
+    first piece of each stream that it was unpacked from."""
+
+    stream: Callable[[], Iterator[bytes]]
+    begin: int
+    end: int
+    path: tuple[str, ...]
+    above: frozenset[bytes] = frozenset()
+    ended: list[int] | None = None  # given the count of its bytes once they are unpacked
+
+
 def base_spans(text: str) -> list[tuple[str, int, int]]:
     """Leftmost non-overlapping matches of each kind, without those that are too short."""
     found = []
@@ -75,6 +99,8 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 def _resolved(layer: Layer, name: str, pattern: re.Pattern, decode) -> Layer:
     """The layer with each match replaced by decode(match), a list of (letter, begin, end)."""
     text, at = layer.text, 0
+    if isinstance(layer.begins, int):
+        return layer._replace(text=pattern.sub(lambda m: "".join(x[0] for x in decode(m)), text), path=(*layer.path, name))
     out: list[str] = []
     begins: list[int] = []
     ends: list[int] = []
@@ -120,31 +146,126 @@ def _escape(m: re.Match) -> list[tuple[str, int, int]]:
     return [(chr(code), *m.span())]
 
 
-def _unpacked(data: bytes) -> tuple[str, bytes] | None:
-    """Decompressed data and the name of its format."""
-    try:
-        if data[:2] == b"\x1f\x8b":
-            name, out = "gzip", zlib.decompressobj(31).decompress(data, MOST_UNPACKED)
-        elif data[:1] == b"\x78" and len(data) > 1 and (data[0] << 8 | data[1]) % 31 == 0:
-            name, out = "zlib", zlib.decompressobj().decompress(data, MOST_UNPACKED)
-        elif data[:3] == b"BZh":
-            name, out = "bzip2", bz2.BZ2Decompressor().decompress(data, MOST_UNPACKED)
-        elif data[:4] == b"\x28\xb5\x2f\xfd":
-            name, out = "zstd", zstandard.ZstdDecompressor().stream_reader(io.BytesIO(data)).read(MOST_UNPACKED)
-        else:
-            return None
-    except (zlib.error, OSError, EOFError, ValueError, zstandard.ZstdError):
-        return None
-    return (name, out) if 0 < len(out) < MOST_UNPACKED else None
+def _format(data: bytes) -> str | None:
+    if data[:2] == b"\x1f\x8b":
+        return "gzip"
+    if data[:1] == b"\x78" and len(data) > 1 and (data[0] << 8 | data[1]) % 31 == 0:
+        return "zlib"
+    return "bzip2" if data[:3] == b"BZh" else "zstd" if data[:4] == b"\x28\xb5\x2f\xfd" else None
+
 
+class _Source:
+    """Reads chunks in steps. taken: bytes read so far, without those put back."""
 
-def _texts(data: bytes) -> list[str]:
-    """Decoded data as text, whatever it is: as UTF-8 with marks for what isn't valid; with zero bytes, as UTF-16 of either
-    order and with those bytes left out, too. The base kinds and all escapes are ASCII, so marks hide none of them."""
-    out = [data.decode("utf-8", "replace")]
+    def __init__(self, chunks: Iterator[bytes]):
+        self.chunks, self.held, self.taken, self.failed = chunks, b"", 0, False
+
+    def head(self) -> bytes:
+        while len(self.held) < 4 and (more := next(self.chunks, b"")):
+            self.held += more
+        return self.held[:4]
+
+    def read(self, most: int) -> bytes:
+        self.head()
+        out, self.held = self.held[:most], self.held[most:]
+        self.taken += len(out)
+        return out
+
+    def put_back(self, data: bytes) -> None:
+        self.held, self.taken = data + self.held, self.taken - len(data)
+
+
+def _members(name: str, source: _Source) -> Iterator[bytes]:
+    """What the next members of a format hold, in steps; of a damaged one, as much as comes out."""
+    # a few bytes of zstandard may make 128 kB, and its reader can't be stopped between
+    step = 256 if name == "zstd" else STEP
+    try:
+        while _format(source.head()) == name:
+            if name == "zstd":
+                reader = zstandard.ZstdDecompressor().decompressobj()
+            else:
+                reader = bz2.BZ2Decompressor() if name == "bzip2" else zlib.decompressobj(31 if name == "gzip" else 15)
+            data = source.read(step)
+            while True:
+                out = reader.decompress(data) if name == "zstd" else reader.decompress(data, STEP)
+                if out:
+                    yield out
+                if reader.eof:
+                    break
+                data = b"" if name == "zstd" else getattr(reader, "unconsumed_tail", b"")
+                if not data and (name == "zstd" or len(out) < STEP):
+                    data = source.read(step)
+                    if not data:
+                        return
+            source.put_back(reader.unused_data)
+            while name == "gzip" and source.head()[:1] == b"\0":  # padding between members
+                source.put_back(source.read(STEP).lstrip(b"\0"))
+    except _ERRORS:
+        source.failed = True
+
+
+def _pieces(chunks: Iterator[bytes]) -> Iterator[bytes]:
+    held, limit = bytearray(), PIECE
+    for chunk in chunks:
+        held += chunk
+        if len(held) < limit:
+            continue
+        cut = max(map(held.rfind, _BETWEEN)) + 1
+        if cut:
+            yield bytes(held[:cut])
+            del held[:cut]
+            limit = len(held) + PIECE
+        elif len(held) < MOST_PIECE:
+            limit = min(2 * limit, MOST_PIECE)
+        else:
+            yield bytes(held)
+            del held[: len(held) - OVERLAP]
+            limit = MOST_PIECE
+    if held:
+        yield bytes(held)
+
+
+def _unpacked(packed: Packed) -> Iterator[Layer | Packed]:
+    """The layers of packed data, and what is packed in it again."""
+    source, part = _Source(packed.stream()), 0
+    while name := _format(source.head()):
+        path, pieces = (*packed.path, name), _pieces(_members(name, source))
+        first, second = next(pieces, b""), next(pieces, b"")
+        mark = hashlib.blake2b(first, digest_size=16).digest()
+        if _format(first) and mark not in packed.above:
+            stream = (lambda part=part: _part(packed.stream, part)) if second else (lambda first=first: iter([first]))
+            yield Packed(stream, packed.begin, packed.end, path, packed.above | {mark})
+        for piece in chain((first, second), pieces):
+            for text in _texts(piece) if piece else ():
+                yield Layer(text, packed.begin, packed.end, path)
+        if source.failed:
+            return
+        part += 1
+    if packed.ended is not None:
+        packed.ended.append(source.taken)
+
+
+def _part(stream: Callable[[], Iterator[bytes]], part: int) -> Iterator[bytes]:
+    """Unpacks a stream anew, as it is too large to be held: what its part of that number holds."""
+    source = _Source(stream())
+    for k in range(part + 1):
+        for chunk in _members(_format(source.head()) or "", source):
+            if k == part:
+                yield chunk
+
+
+def _texts(data: bytes) -> Iterator[str]:
+    """Decoded data as text, whatever it is: as UTF-8, or else byte by byte; with zero bytes, as UTF-16 of either order and
+    with those bytes left out, too. The base kinds and all escapes are ASCII, so what stands for other letters hides none."""
+    try:
+        yield data.decode("utf-8")
+    except UnicodeDecodeError:
+        yield data.decode("latin-1")
     if b"\0" in data:
-        out += [data.decode("utf-16-le", "replace"), data.decode("utf-16-be", "replace"), data.replace(b"\0", b"").decode("utf-8", "replace")]
-    return [x for x in out if x]
+        for order in ("<u2", ">u2"):
+            units = np.frombuffer(data, order, len(data) // 2)
+            yield np.where(units < 128, units, 255).astype(np.uint8).tobytes().decode("latin-1")
+        yield data.replace(b"\0", b"").decode("latin-1")
 
 
 def _decoded(run: str) -> bytes:
@@ -153,7 +274,7 @@ def _decoded(run: str) -> bytes:
     return base64.b64decode(run + "=" * (-len(run) % 4))
 
 
-def _base64_layers(layer: Layer) -> Iterator[Layer]:
+def _base64_layers(layer: Layer) -> Iterator[Layer | Packed]:
     """Of each run: what it decodes to from its start, and from wherever letters may have been put before it that aren't its
     own (at a line break or a sign of either alphabet), once for each of the four phases; and what is packed in it."""
     for m in _BASE64.finditer(layer.text):
@@ -168,33 +289,35 @@ def _base64_layers(layer: Layer) -> Iterator[Layer]:
             starts.append((b.end(), b.end() - gone))
         b = layer.span(m.start(), m.end())[1]
         path = (*layer.path, "base64")
+        magic = _MAGIC.search(run)
+        places = [(k, at) for at, k in starts] if magic else []
+        while magic:
+            k = magic.start()
+            first, at = places[bisect.bisect(places, (k, len(body))) - 1]
+            a = layer.span(m.start() + at + k - first, m.end())[0]
+            stream = lambda k=k: (_decoded(run[i : i + STEP]) for i in range(k, len(run), STEP))
+            source = _Source(stream())
+            name = _format(source.head())
+            if name and next(_members(name, source), b""):
+                ended: list[int] = []
+                yield Packed(stream, a, b, path, ended=ended)
+                k += sum(ended) * 4 // 3  # what is packed in these letters isn't looked for in their midst
+            magic = _MAGIC.search(run, k + 1)
         phases: set[int] = set()
         for at, k in starts:
             if k % 4 not in phases and len(run) - k >= LEAST_RUN:
                 phases.add(k % 4)
                 a = layer.span(m.start() + at, m.end())[0]
                 for text in _texts(_decoded(run[k:])):
-                    yield Layer(text, [a] * len(text), [b] * len(text), path)
-        if not (magic := _MAGIC.search(run)):
-            continue
-        places = [(k, at) for at, k in starts]
-        while magic:
-            k = magic.start()
-            first, at = places[bisect.bisect(places, (k, len(body))) - 1]
-            a = layer.span(m.start() + at + k - first, m.end())[0]
-            yield from _packed_layers(_decoded(run[k:]), a, b, path)
-            magic = _MAGIC.search(run, k + 1)
+                    yield Layer(text, a, b, path)
 
 
-def _packed_layers(data: bytes, a: int, b: int, path: tuple[str, ...]) -> Iterator[Layer]:
-    while packed := _unpacked(data):
-        if packed[1] == data:
-            break
-        path, data = (*path, packed[0]), packed[1]
-        if len(path) > 64:
-            break
-    for text in _texts(data):
-        yield Layer(text, [a] * len(text), [b] * len(text), path)
+def _inner(layer: Layer) -> Iterator[Layer | Packed]:
+    if "%" in layer.text and _PERCENT.search(layer.text):
+        yield _resolved(layer, "url", _PERCENT, _percent)
+    if ("\\" in layer.text or "&#" in layer.text or "%u" in layer.text) and _ESCAPE.search(layer.text):
+        yield _resolved(layer, "unicode", _ESCAPE, _escape)
+    yield from _base64_layers(layer)
 
 
 def scan(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
@@ -203,25 +326,24 @@ def scan(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, in
     order = lambda x: (x[1], rank[x[0].rpartition(".")[2]], x[2], x[0])
     base = sorted(base_spans(text), key=order)
     known, found = set(base), list(base)
-    work, seen = [Layer(text, None, None, ())], {text}
+    mark = lambda x: hashlib.blake2b(x.encode("utf-8", "surrogatepass"), digest_size=16).digest()
+    # held as digests, and new layers are made one by one: what is unpacked may be many times the text
+    work, seen = [iter([Layer(text, None, None, ())])], set()
     while work:
-        layer = work.pop()
-        if layer.path:
-            for kind, a, b in base_spans(layer.text):
-                span = (kind, *layer.span(a, b))
-                if span not in known:
-                    known.add(span)
-                    found.append((".".join((*layer.path, kind)), *span[1:]))
-        new: list[Layer] = []
-        if "%" in layer.text and _PERCENT.search(layer.text):
-            new.append(_resolved(layer, "url", _PERCENT, _percent))
-        if ("\\" in layer.text or "&#" in layer.text or "%u" in layer.text) and _ESCAPE.search(layer.text):
-            new.append(_resolved(layer, "unicode", _ESCAPE, _escape))
-        new += _base64_layers(layer)
-        for x in new:
-            if x.text not in seen:
-                seen.add(x.text)
-                work.append(x)
+        layer = next(work[-1], None)
+        if layer is None:
+            work.pop()
+        elif isinstance(layer, Packed):
+            work.append(_unpacked(layer))
+        elif (key := mark(layer.text)) not in seen:
+            seen.add(key)
+            if layer.path:
+                for kind, a, b in base_spans(layer.text):
+                    span = (kind, *layer.span(a, b))
+                    if span not in known:
+                        known.add(span)
+                        found.append((".".join((*layer.path, kind)), *span[1:]))
+            work.append(_inner(layer))
     return base, sorted(found, key=order)
 
 
