@@ -15,6 +15,8 @@ and every row is accepted. Other columns are left out.
 from __future__ import annotations
 
 import math
+import re
+import string
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -33,6 +35,13 @@ MOST_LABELLED, MOST_POOL = 6000, 6000
 #: Rows that are likelier bad than this says are rejected.
 THRESHOLD = 0.5
 SLOTS = 32
+_LETTERS, _ASCII = string.ascii_letters.encode(), re.compile(r"[\x00-\x7f]+")
+
+
+def letter_count(text: str, raw: bytes) -> int:
+    """Letters of any script; raw: the text's bytes, which count those of ASCII faster."""
+    ascii_ = len(raw) - len(raw.translate(None, _LETTERS))
+    return ascii_ if text.isascii() else ascii_ + sum(map(str.isalpha, _ASCII.sub("", text)))
 
 
 def text_view(text: str | None) -> list[float]:
@@ -41,7 +50,7 @@ def text_view(text: str | None) -> list[float]:
     lines = [x for x in raw.split(b"\n") if x.strip()]
     bytes_ = np.sqrt(np.bincount(np.frombuffer(raw, np.uint8), minlength=256) / n)
     k = max(1, len(words))
-    letters = max(1, sum(map(str.isalpha, text or "")) if len(raw) < 4096 else len(raw) - raw.count(b" "))
+    letters = max(1, letter_count(text or "", raw))
     upper = sum(raw.count(bytes([c])) for c in range(65, 91))
     first = sum(w[:1].isupper() for w in words)
     more = [

@@ -261,6 +261,14 @@ def test_quality_awkward(spark, docs, none):
     assert cotraining.score(none, cotraining.train(none, labels)).count() == 0
 
 
+def test_letters_count_the_same_at_every_length():
+    for part in ("12345 AB 678,90\n", "Привет Мир ABC ", "日本語 X1 ", "plain Words "):
+        short, long = cotraining.text_view(part * 20), cotraining.text_view(part * 2000)
+        assert np.isclose(short[4], long[4])
+    x = "Aé1Ж字 ²ǅ_\u0301"
+    assert cotraining.letter_count(x, x.encode()) == sum(map(str.isalpha, x))
+
+
 # -- quality rules ------------------------------------------------------------------------------------------------
 
 
