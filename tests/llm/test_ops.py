@@ -304,6 +304,21 @@ def test_bands_reject_loops_and_noise():
     assert compression.ratio(z, noise) < 2.1
 
 
+def test_noise_of_several_alphabets_is_rejected(spark):
+    import base64
+
+    rnd = random.Random(2)
+    words = {
+        "base64": (lambda: base64.b64encode(rnd.randbytes(6)).decode(), (200, 300, 900, 3000, 6000, 12_000, 30_000, 300_000)),
+        "letters": (lambda: "".join(rnd.choices("abcdefghijklmnopqrstuvwxyz", k=rnd.randrange(2, 10))), (1500, 3000, 6000, 12_000, 30_000, 300_000)),
+        "hex8": (lambda: f"{rnd.getrandbits(32):08x}", (3000, 6000, 12_000, 30_000, 300_000)),
+        "hex2": (lambda: f"{rnd.randrange(256):02x}", (12_000, 30_000, 300_000)),
+        "decimal": (lambda: str(rnd.randrange(10**6)), (6000, 12_000, 30_000, 300_000)),
+    }
+    rows = [(i, " ".join(word() for _ in range(n))[:n]) for i, (word, n) in enumerate((w, n) for w, ns in words.values() for n in ns)]
+    assert not [(r.doc_id, r.ratio) for r in compression.judge(spark.createDataFrame(rows, "doc_id long, text string")).collect() if r.kept]
+
+
 # -- secrets ------------------------------------------------------------------------------------------------------
 
 
