@@ -3,10 +3,11 @@
 Each text is a layer. A layer is scanned for the base kinds, then unwrapped: percent escapes and character escapes give
 the same layer with the escapes resolved; each base64 run gives layers of its own, and what turns out to be gzip, zlib,
 bzip2 or zstandard in it is unpacked. Every layer is scanned, also one that isn't valid text. New layers join the worklist
-until it is empty; a layer whose text has been seen in this document is not entered again, so compressed data that holds
-itself ends. Every letter of a layer knows the span of the original text that it came from, and what is found is reported
-there, as `assign`, `access` or `hex` after the path of decoders, for example `base64.gzip.assign`. Spans that the text
-shows plainly are the base; decoding only adds to them.
+until it is empty; a layer that is met again inside itself ends a cycle, and one that is met again elsewhere isn't searched
+twice, but what it holds is reported at every place. Every letter of a layer knows the span of the original text that it came
+from, and what is found is reported there, as `assign`, `access` or `hex` after the path of decoders, for example
+`base64.gzip.assign`. Spans that the text shows plainly are the base; decoding only adds to them, and a kind is reported once
+for a span.
 
 Unpacked data is read as a stream, member after member, in pieces of about PIECE bytes, which end where no kind or escape
 goes on; each piece is a layer. Where MOST_PIECE bytes have no such place, pieces overlap by OVERLAP. All of a piece stands
@@ -22,7 +23,9 @@ import bisect
 import bz2
 import hashlib
 import re
+import sys
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
 from itertools import chain
 from typing import NamedTuple
@@ -59,19 +62,51 @@ _BETWEEN = [bytes([c]) for c in b",()[]<>!?*|~`@$^"]
 _ERRORS = (zlib.error, OSError, EOFError, ValueError, zstandard.ZstdError)
 
 
+class Places:
+    """Where the letters of a layer come from in the original, as runs: letters that were copied one after the other, or one
+    letter that stands for the span of an escape (`end` is -1 for the first sort)."""
+
+    def __init__(self) -> None:
+        self.at, self.begin, self.end = array("q"), array("q"), array("q")
+
+    def add(self, at: int, begin: int, end: int = -1) -> None:
+        self.at.append(at)
+        self.begin.append(begin)
+        self.end.append(end)
+
+    def copy(self, other: Places | None, a: int, b: int, at: int) -> None:
+        """Letters a to b of the layer that `other` belongs to (None: the original) go to `at`."""
+        if other is None:
+            if b > a:
+                self.add(at, a)
+            return
+        i = bisect.bisect(other.at, a) - 1
+        while i < len(other.at) and other.at[i] < b:
+            x = max(other.at[i], a)
+            if other.end[i] < 0:
+                self.add(at + x - a, other.begin[i] + x - other.at[i])
+            elif x == other.at[i]:
+                self.add(at + x - a, other.begin[i], other.end[i])
+            i += 1
+
+    def span(self, a: int, b: int) -> tuple[int, int]:
+        i, j = bisect.bisect(self.at, a) - 1, bisect.bisect(self.at, b - 1) - 1
+        begin = self.begin[i] + (a - self.at[i] if self.end[i] < 0 else 0)
+        return begin, self.begin[j] + b - self.at[j] if self.end[j] < 0 else self.end[j]
+
+
 class Layer(NamedTuple):
-    """text, where its letters come from in the original (None: as they are; one number: all from one span), and the decoders
-    so far."""
+    """text, where its letters come from in the original (None: as they are; a pair: all from one span), and the decoders so
+    far."""
 
     text: str
-    begins: list[int] | int | None
-    ends: list[int] | int | None
+    places: Places | tuple[int, int] | None
     path: tuple[str, ...]
 
     def span(self, a: int, b: int) -> tuple[int, int]:
-        if isinstance(self.begins, int):
-            return self.begins, self.ends
-        return (a, b) if self.begins is None else (self.begins[a], self.ends[b - 1])
+        if isinstance(self.places, tuple):
+            return self.places
+        return (a, b) if self.places is None else self.places.span(a, b)
 
 
 class Packed(NamedTuple):
@@ -98,28 +133,22 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 def _resolved(layer: Layer, name: str, pattern: re.Pattern, decode) -> Layer:
     """The layer with each match replaced by decode(match), a list of (letter, begin, end)."""
-    text, at = layer.text, 0
-    if isinstance(layer.begins, int):
-        return layer._replace(text=pattern.sub(lambda m: "".join(x[0] for x in decode(m)), text), path=(*layer.path, name))
-    out: list[str] = []
-    begins: list[int] = []
-    ends: list[int] = []
-
-    def keep(a: int, b: int) -> None:
-        out.append(text[a:b])
-        begins.extend(range(a, b) if layer.begins is None else layer.begins[a:b])
-        ends.extend(range(a + 1, b + 1) if layer.ends is None else layer.ends[a:b])
-
+    text, at, path = layer.text, 0, (*layer.path, name)
+    if isinstance(layer.places, tuple):
+        return Layer(pattern.sub(lambda m: "".join(x[0] for x in decode(m)), text), layer.places, path)
+    out, size, places = [], 0, Places()
     for m in pattern.finditer(text):
-        keep(at, m.start())
+        places.copy(layer.places, at, m.start(), size)
+        out.append(text[at : m.start()])
+        size += m.start() - at
         for letter, a, b in decode(m):
             out.append(letter)
-            x, y = layer.span(a, b)
-            begins.append(x)
-            ends.append(y)
+            places.add(size, *layer.span(a, b))
+            size += 1
         at = m.end()
-    keep(at, len(text))
-    return Layer("".join(out), begins, ends, (*layer.path, name))
+    places.copy(layer.places, at, len(text), size)
+    out.append(text[at:])
+    return Layer("".join(out), places, path)
 
 
 def _percent(m: re.Match) -> list[tuple[str, int, int]]:
@@ -237,7 +266,7 @@ def _unpacked(packed: Packed) -> Iterator[Layer | Packed]:
             yield Packed(stream, packed.begin, packed.end, path, packed.above | {mark})
         for piece in chain((first, second), pieces):
             for text in _texts(piece) if piece else ():
-                yield Layer(text, packed.begin, packed.end, path)
+                yield Layer(text, (packed.begin, packed.end), path)
         if source.failed:
             return
         part += 1
@@ -309,7 +338,7 @@ def _base64_layers(layer: Layer) -> Iterator[Layer | Packed]:
                 phases.add(k % 4)
                 a = layer.span(m.start() + at, m.end())[0]
                 for text in _texts(_decoded(run[k:])):
-                    yield Layer(text, a, b, path)
+                    yield Layer(text, (a, b), path)
 
 
 def _inner(layer: Layer) -> Iterator[Layer | Packed]:
@@ -320,30 +349,85 @@ def _inner(layer: Layer) -> Iterator[Layer | Packed]:
     yield from _base64_layers(layer)
 
 
+def _mark(layer: Layer) -> bytes:
+    """Equal for layers of equal text whose letters come from the same places, or all from any one span."""
+    h = hashlib.blake2b(layer.text.encode("utf-8", "surrogatepass"), digest_size=16)
+    if isinstance(layer.places, Places):
+        for x in (layer.places.at, layer.places.begin, layer.places.end):
+            h.update(x.tobytes())
+    return h.digest()
+
+
+class _Work:
+    """A layer or packed data that is being searched. span: of a layer from one span, which is kept by its mark. found: the
+    path of decoders to each kind below it. cut: how deep in the worklist the uppermost layer lies that ended a cycle below."""
+
+    __slots__ = ("span", "mark", "depth", "inner", "found", "cut")
+
+    def __init__(self, span: tuple[int, int] | None, mark: bytes | None, depth: int, inner: Iterator[Layer | Packed]):
+        self.span, self.mark, self.depth, self.inner = span, mark, depth, inner
+        self.found: dict[str, tuple[str, ...]] = {}
+        self.cut = sys.maxsize
+
+
+_NOTHING: dict[str, tuple[str, ...]] = {}
+
+
 def scan(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
     """Base spans, and all spans, each by start, then kind, then end."""
     rank = {k: i for i, k in enumerate(KINDS)}
     order = lambda x: (x[1], rank[x[0].rpartition(".")[2]], x[2], x[0])
     base = sorted(base_spans(text), key=order)
     known, found = set(base), list(base)
-    mark = lambda x: hashlib.blake2b(x.encode("utf-8", "surrogatepass"), digest_size=16).digest()
-    # held as digests, and new layers are made one by one: what is unpacked may be many times the text
-    work, seen = [iter([Layer(text, None, None, ())])], set()
+
+    def report(span: tuple[int, int], kind: str, path: tuple[str, ...]) -> None:
+        if (kind, *span) not in known:
+            known.add((kind, *span))
+            found.append((".".join((*path, kind)), *span))
+
+    def below(top: _Work, span: tuple[int, int], kinds: dict[str, tuple[str, ...]]) -> None:
+        for kind, path in kinds.items():
+            if top.span is None:
+                report(span, kind, path)
+            else:
+                top.found.setdefault(kind, path)
+
+    whole = Layer(text, None, ())
+    # layers are made one by one. Of a layer from one span the kinds below it are held, three at most, by the layer's mark
+    held: dict[bytes, dict[str, tuple[str, ...]]] = {}
+    seen, above = {_mark(whole)}, {}
+    work = [_Work(None, None, 0, _inner(whole))]
     while work:
-        layer = next(work[-1], None)
+        top = work[-1]
+        layer = next(top.inner, None)
         if layer is None:
             work.pop()
+            if top.mark is not None:
+                del above[top.mark]
+                if top.cut >= len(work):
+                    held[top.mark] = {k: p[top.depth :] for k, p in top.found.items()} or _NOTHING
+            if work and top.cut < len(work):
+                work[-1].cut = min(work[-1].cut, top.cut)
+            if top.span is not None:
+                below(work[-1], top.span, top.found)
         elif isinstance(layer, Packed):
-            work.append(_unpacked(layer))
-        elif (key := mark(layer.text)) not in seen:
-            seen.add(key)
-            if layer.path:
-                for kind, a, b in base_spans(layer.text):
-                    span = (kind, *layer.span(a, b))
-                    if span not in known:
-                        known.add(span)
-                        found.append((".".join((*layer.path, kind)), *span[1:]))
-            work.append(_inner(layer))
+            work.append(_Work((layer.begin, layer.end), None, 0, _unpacked(layer)))
+        elif isinstance(layer.places, tuple):
+            mark = _mark(layer)
+            if mark in above:
+                top.cut = min(top.cut, above[mark])
+            elif (kinds := held.get(mark)) is not None:
+                below(top, layer.places, {k: layer.path + p for k, p in kinds.items()})
+            else:
+                above[mark] = len(work)
+                work.append(_Work(layer.places, mark, len(layer.path), _inner(layer)))
+                for kind, _, _ in base_spans(layer.text):
+                    work[-1].found.setdefault(kind, layer.path)
+        elif (mark := _mark(layer)) not in seen:
+            seen.add(mark)
+            for kind, a, b in base_spans(layer.text):
+                report(layer.span(a, b), kind, layer.path)
+            work.append(_Work(None, None, 0, _inner(layer)))
     return base, sorted(found, key=order)
 
 
