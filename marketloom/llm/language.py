@@ -5,15 +5,18 @@ probability in a language is the sum over all ways to cut it into pieces, found
 product over its words (no piece spans white space). Probabilities are fitted by expectation maximisation: the
 forward-backward pass gives each piece's expected count over all segmentations of the training words.
 
-Training uses a bounded sample: about `per_lang` rows of each language, chosen by a hash of the id, each with its whole
-text; what reaches the driver are their word counts. Every row is scored. Null text, or text without a letter, is `und`
-with score 0. Rows repeat as they do in the input; other columns are left out. With no training rows all is `und`.
+Training uses a bounded sample: about `per_lang` texts of each language, chosen by a hash of the text, so that an id or a
+text that fills a third of all rows counts once; each is read whole, and what reaches the driver are its word counts. A
+letter is a character of a general category L. Every row is scored. Null text, or text without a letter, is `und` with
+score 0. Rows repeat as they do in the input; other columns are left out. With no training rows all is `und`.
+
+Words of up to SHORT letters are taken many at a time, longer ones one by one with sums that are divided as they go; both
+give the same number.
 """
 
 from __future__ import annotations
 
 import math
-import re
 import uuid
 from collections import Counter, defaultdict
 from collections.abc import Iterator
@@ -21,16 +24,18 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marketloom.llm.common import on_batches, small_batches, texts_of
+from marketloom.llm.common import digest, on_batches, small_batches, texts_of, written
 
-LONGEST = 10  # letters of a piece
 ROUNDS = 3
-SHORT, SCALE = 48, 64.0  # words up to SHORT letters are taken many at a time; SCALE a letter keeps their products in range
-MOST_WORDS = 700_000
-_LETTER = re.compile(r"[^\W\d_]").search
+SHORT, SCALE = 48, 64.0  # SCALE a letter keeps the products of a word's probabilities in range
+#: What a worker keeps of words that it has scored.
+MOST_WORDS, MOST_LETTERS = 700_000, 32 << 20
+#: Languages up to which their table, a row each, is broadcast to find training rows.
+MOST_BROADCAST = 10_000
 
 
 def pieces_of(path: str) -> list[str]:
@@ -39,15 +44,16 @@ def pieces_of(path: str) -> list[str]:
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     found = (model.id_to_piece(i) for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i) or model.is_unused(i)))
-    return list(dict.fromkeys(p.lower() for p in found if len(p) <= LONGEST))
+    return list(dict.fromkeys(p.lower() for p in found ))
 
 
-_RUNS = re.compile(r"[^\W\d_]+").findall
+_RUNS, _ASCII_RUNS = regex.compile(r"\p{L}+").findall, regex.compile("[a-z]+").findall
 
 
 def words_of(text: str) -> list[str]:
     """Runs of letters, in lower case."""
-    return _RUNS(text.lower())
+    text = text.lower()
+    return _ASCII_RUNS(text) if text.isascii() else _RUNS(text)
 
 
 class PieceTable:
@@ -60,6 +66,7 @@ class PieceTable:
         of_length: dict[int, list[int]] = defaultdict(list)
         for i, p in enumerate(pieces):
             of_length[len(p)].append(i)
+        self.longest = max(of_length, default=1)  # letters of a piece
         self.hashes = np.zeros(len(pieces) + 1, np.uint64)  # the last: no piece
         for n, places in of_length.items():
             codes, h = letters([pieces[i] for i in places], n), np.zeros(len(places), np.uint64)
@@ -95,6 +102,22 @@ class PieceTable:
         return out
 
 
+def long_lattice(word: str, table: PieceTable, most: int = 1 << 12) -> Iterator[np.ndarray]:
+    """For a word of any length, in blocks: a row for each letter, the piece of each length that ends there, or -1."""
+    codes = letters([word], len(word))[0]
+    for begin in range(0, len(word), most):
+        n = min(most, len(word) - begin)
+        ahead = min(begin, table.longest - 1)
+        some = codes[begin - ahead : begin + n]
+        out, h = np.full((n, table.longest), -1, np.int64), np.zeros(len(some), np.uint64)
+        for size in range(1, min(table.longest, len(some)) + 1):
+            h = table.add(h[: len(some) - size + 1], some[size - 1 :])
+            pieces = table.find(h)
+            ends = np.arange(len(h)) + size - 1 - ahead
+            out[ends[ends >= 0], size - 1] = pieces[ends >= 0]
+        yield out
+
+
 def letters(words: list[str], n: int) -> np.ndarray:
     return np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), "<u4").reshape(len(words), n).astype(np.uint64)
 
@@ -111,7 +134,7 @@ def lattices(words: list[str], table: PieceTable, most: int = 1 << 14) -> Iterat
             codes, spans = letters([words[k] for k in some], n), []
             for begin in range(n):
                 h = np.zeros(len(some), np.uint64)
-                for end in range(begin + 1, min(n, begin + LONGEST) + 1):
+                for end in range(begin + 1, min(n, begin + table.longest) + 1):
                     h = table.add(h, codes[:, end - 1])
                     pieces = table.find(h)
                     has = np.flatnonzero(pieces >= 0)
@@ -131,6 +154,7 @@ class Model:
         self.find = PieceTable(pieces)
         self.rows = np.concatenate([table, np.zeros((1, len(langs)))])
         self.slots: dict[str, int] = {}
+        self.held = 0  # letters of these words
         self.scores = np.zeros((0, len(langs)))
 
     def log_probabilities(self, words: list[str]) -> np.ndarray:
@@ -160,25 +184,31 @@ class Model:
         return out
 
     def _long(self, word: str) -> np.ndarray:
-        """The same for a word of any length: only the last LONGEST sums are held, divided by the latest at each letter."""
-        forward, logs = [np.ones(len(self.langs))], np.zeros(len(self.langs))
-        for end in range(1, len(word) + 1):
-            x, whole = np.zeros(len(self.langs)), False
-            for back in range(1, min(end, LONGEST) + 1):
-                k = self.index.get(word[end - back : end])
-                if k is not None:
-                    x, whole = x + forward[-back] * self.table[k], whole or back == 1
-            if not whole:
-                x = x + forward[-1] * self.floor
-            forward = [f / x for f in forward[-LONGEST + 1 :]] + [np.ones(len(self.langs))]
-            logs += np.log(x)
-        return logs
+        """The same for a word of any length: only the last sums are held, and divided by the latest now and then."""
+        most, langs = self.find.longest, len(self.langs)
+        forward, logs = np.zeros((most, langs)), np.zeros(langs)  # the sums up to the last letters, the latest last
+        forward[-1] = 1
+        for pieces in long_lattice(word, self.find):
+            for found in pieces:
+                at = np.flatnonzero(found >= 0)
+                x = (forward[most - 1 - at] * self.rows[found[at]] * SCALE ** (at + 1)[:, None]).sum(0)
+                if found[0] < 0:
+                    x += forward[-1] * self.floor * SCALE
+                forward[:-1] = forward[1:]
+                forward[-1] = x
+                if x.min() < 1e-100 or x.max() > 1e100:
+                    logs += np.log(np.maximum(x, 5e-324))
+                    forward /= np.maximum(x, 5e-324)
+        return logs + np.log(np.maximum(forward[-1], 5e-324)) - len(word) * math.log(SCALE)
 
     def learn(self, words: set[str]) -> None:
         new = [w for w in words if w not in self.slots]
-        if len(self.slots) + len(new) > MOST_WORDS:
-            self.slots, new = {}, list(words)
+        size = sum(map(len, new))
+        if len(self.slots) + len(new) > MOST_WORDS or self.held + size > MOST_LETTERS:
+            self.slots, new, self.held = {}, list(words), 0
             self.scores = self.scores[:0]
+            size = sum(map(len, new))
+        self.held += size
         if new:
             begin = len(self.slots)
             if begin + len(new) > len(self.scores):
@@ -191,7 +221,7 @@ class Model:
     def predict(self, texts: list[str]) -> list[tuple[str, float]]:
         if not self.langs:
             return [("und", 0.0)] * len(texts)
-        cut = [words_of(x) if _LETTER(x) else [] for x in texts]
+        cut = [*map(words_of, texts)]
         self.learn(set(chain.from_iterable(cut)))
         out = []
         for words in cut:
@@ -207,14 +237,14 @@ class Model:
 
 def fit(counts: dict[str, Counter], pieces: list[str], rounds: int = ROUNDS) -> Model:
     """counts: of the training words of each language. Each round takes expected piece counts over all segmentations
-    (forward-backward) and divides; words above SHORT letters are left to what the others teach."""
+    (forward-backward) and divides."""
     langs = sorted(counts)
     single = sorted({"▁"}.union(c for words in counts.values() for w in words for c in w))
     pieces = list(dict.fromkeys([*pieces, *single]))  # single letters make every word reachable
     find = PieceTable(pieces)
     table = np.zeros((len(pieces), len(langs)))
     for k, lang in enumerate(langs):
-        words = [w for w in counts[lang] if len(w) < SHORT]
+        words, long = [w for w in counts[lang] if len(w) < SHORT], [w for w in counts[lang] if len(w) >= SHORT]
         weights = np.array([counts[lang][w] for w in words], float)
         groups = [(weights[at], spans) for at, spans in lattices(["▁" + w for w in words], find)]
         p = np.full(len(pieces), 1 / len(pieces))
@@ -222,6 +252,8 @@ def fit(counts: dict[str, Counter], pieces: list[str], rounds: int = ROUNDS) ->
             expected, q = np.zeros(len(pieces) + 1), np.append(p, 0.0)
             for weight, spans in groups:
                 _expect(weight, spans, q, expected)
+            for w in long:
+                _expect_long(counts[lang][w], "▁" + w, find, q, expected)
             p = (expected[:-1] + 0.1) / (expected[:-1].sum() + 0.1 * len(pieces))
         table[:, k] = p
     return Model(langs, pieces, table, float(table.min()) if langs else 1e-9)
@@ -240,23 +272,67 @@ def _expect(weight: np.ndarray, spans: list[tuple[int, int, np.ndarray, np.ndarr
         np.add.at(expected, pieces, (share * forward[begin] * backward[end])[has] * p[pieces] * SCALE ** (end - begin))
 
 
+def _expect_long(weight: float, word: str, table: PieceTable, p: np.ndarray, expected: np.ndarray, block: int = 1 << 12) -> None:
+    """The same for a long word: sums of either direction are divided at each letter, and blocks of the word overlap by eight
+    of the longest pieces on either side, beyond which where the sums start no longer counts."""
+    ahead = 8 * table.longest
+    for begin in range(0, len(word), block):
+        first, last = max(0, begin - ahead), min(len(word), begin + block + ahead)
+        found = np.concatenate([*long_lattice(word[first:last], table)])
+        n = last - first
+        weights = p[found] * (found >= 0)  # of the pieces that end at each letter, by length
+        forward, by = np.zeros(n + 1), np.ones(n + 1)  # forward[i] times the product of by[: i + 1] is the sum
+        forward[0] = 1
+        for end in range(1, n + 1):
+            m = min(end, table.longest)
+            x = 0.0
+            scale = 1.0
+            for size in range(1, m + 1):
+                x += forward[end - size] * scale * weights[end - 1, size - 1]
+                scale /= by[end - size]
+            by[end] = x
+            forward[end] = 1.0
+        backward = np.zeros(n + 1)
+        backward[n] = 1.0
+        for start in range(n - 1, -1, -1):
+            x, scale = 0.0, 1.0
+            for size in range(1, min(n - start, table.longest) + 1):
+                scale /= by[start + size]
+                x += backward[start + size] * scale * weights[start + size - 1, size - 1]
+            backward[start] = x
+        for size in range(1, table.longest + 1):
+            ends = np.arange(max(size, begin - first + 1), min(n, begin - first + block) + 1)
+            scale = np.ones(len(ends))
+            for k in range(size):
+                scale /= by[ends - k]
+            np.add.at(expected, found[ends - 1, size - 1], weight * backward[ends] * scale * weights[ends - 1, size - 1])
+
+
 def is_held_out(id_col: Column) -> Column:
     return F.coalesce(F.crc32(id_col.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
 def train(docs: DataFrame, path: str, per_lang: int = 300, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
     """Learns from rows with a language whose id isn't held out."""
-    rows = docs.select(docs[id_col].alias("doc_id"), docs[text_col].cast("string").alias("text"), docs[lang_col].alias("lang")).where(~is_held_out(F.col("doc_id")) & F.col("lang").isNotNull())
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row for each language
-    mark = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
-    chosen = F.lit(False)
-    for lang, n in sizes.items():
-        chosen = chosen | ((F.col("lang") == lang) & (mark < F.lit(per_lang / n)))
-    words = rows.where(chosen).select("lang", F.explode(F.split(F.lower("text"), r"\P{L}+")).alias("word")).where("word <> ''")
-    counts: dict[str, Counter] = {lang: Counter() for lang in sizes}
-    for r in words.groupBy("lang", "word").count().toLocalIterator():
-        counts[r["lang"]][r["word"]] = r["count"]
-    return fit({k: v for k, v in counts.items() if v}, pieces_of(path))
+    text = docs[text_col].cast("string")
+    rows = docs.where(~is_held_out(docs[id_col])).select(docs[lang_col].cast("string").alias("lang"), text.alias("text")).where("lang is not null and text is not null")
+    shares = written(rows.groupBy("lang").agg((F.lit(float(per_lang)) / F.count("*")).alias("share")), "languages")  # a row for each language
+    few = shares.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
+    mark = F.pmod(F.xxhash64("text"), F.lit(1 << 30)) / float(1 << 30)
+    chosen = rows.join(F.broadcast(shares) if few else shares, "lang").where(mark < F.col("share"))
+    chosen = chosen.groupBy("lang", digest(F.col("text")).alias("digest")).agg(F.first("text").alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small_batches(batches):
+            counts = Counter((lang, word) for lang, text in zip(batch.column("lang").to_pylist(), texts_of(batch)) for word in words_of(text))
+            langs, words = zip(*counts) if counts else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(words, pa.string()), pa.array(counts.values(), pa.int64())], names=["lang", "word", "n"])
+
+    found = on_batches(chosen.select("lang", "text"), run, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    counts: dict[str, Counter] = defaultdict(Counter)
+    for r in found.toLocalIterator():  # words of a bounded sample
+        counts[r["lang"]][r["word"]] = r["n"]
+    return fit(counts, pieces_of(path))
 
 
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

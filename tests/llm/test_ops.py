@@ -594,6 +594,29 @@ def test_forward_sums_all_segmentations():
         assert np.allclose(np.exp(got), [brute("▁" + word, k) for k in (0, 1)])
         assert np.allclose(got, model._long("▁" + word))
     assert np.isfinite(model.log_probabilities(["xy" * 5000])).all()
+    for word in ("xyy" * 10, "xzy" * 12):
+        assert np.allclose(model.log_probabilities([word])[0], model._long("▁" + word))
+
+
+def test_long_words_are_learnt_like_short_ones():
+    table = language.PieceTable(["▁", "x", "y", "xy", "▁x", "yy", "xyyxyyxyyxyy"])
+    p = np.array([0.1, 0.2, 0.2, 0.2, 0.1, 0.1, 0.1, 0.0])
+    for word in ("▁xyyx", "▁" + "xyy" * 12):
+        short, long = np.zeros(8), np.zeros(8)
+        ((_, spans),) = language.lattices([word], table)
+        language._expect(np.array([3.0]), spans, p, short)
+        language._expect_long(3.0, word, table, p, long)
+        assert np.allclose(short[:7], long[:7])
+    long, cut = np.zeros(8), np.zeros(8)
+    language._expect_long(1.0, "▁" + "xyyx" * 300, table, p, long)
+    language._expect_long(1.0, "▁" + "xyyx" * 300, table, p, cut, block=64)
+    assert np.allclose(long[:7], cut[:7])
+
+
+def test_every_piece_of_the_vocabulary_counts():
+    pieces = language.pieces_of(queries.PIECES)
+    assert max(map(len, pieces)) > 10 and "▁information" in pieces
+    assert language.words_of("½ ² Ⅷ ① _1") == [] and language.words_of("Ünï²çö 日本x") == ["ünï", "çö", "日本x"]
 
 
 def test_language_held_out(spark):
@@ -607,11 +630,20 @@ def test_language_awkward(docs, none):
     model = language.train(docs, queries.PIECES, per_lang=50)
     rows = language.predict(docs, model).collect()
     assert len(rows) == docs.count() and all(0 <= r.score <= 1 for r in rows)
+    odd = language.predict(docs.limit(1).select("doc_id", F.lit("½ ² Ⅷ ① 12 _").alias("text")), model).first()
+    assert (odd.lang_pred, odd.score) == ("und", 0.0)
     assert {r.lang_pred for r in rows if r.doc_id in (4, 5, 6)} == {"und"} and {r.lang_pred for r in rows} <= {"en", "de", "und"}
     assert language.predict(none, language.train(none, queries.PIECES)).count() == 0
     assert {r.lang_pred for r in language.predict(docs, language.train(none, queries.PIECES)).collect()} == {"und"}
 
 
+def test_language_sample_is_bounded_whatever_repeats(spark):
+    rows = [(0, "the same words of one text", "en")] * 300 + [(None, f"ein anderer Satz mit Nummer {'abcdefghij'[i % 10]}", "de") for i in range(200)]
+    model = language.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), queries.PIECES, per_lang=1000)
+    assert model.langs == ["de", "en"]
+    assert [x[0] for x in model.predict(["the text", "ein Satz"])] == ["en", "de"]
+
+
 # -- pipeline -----------------------------------------------------------------------------------------------------
 
 
