@@ -23,9 +23,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one is made only where none is configured (tests)."""
+    """The folder that driver and executors share. A folder of this machine is made only where none is configured and there
+    are no other machines (tests); on a cluster the setting is needed."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="marketloom-")
         spark.sparkContext.setCheckpointDir(base)
     return base
@@ -36,12 +39,27 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: lineage is cut, and losing an executor costs nothing."""
+    """df as a Parquet table in the shared folder: lineage is cut, and losing an executor costs nothing. The table goes when
+    the application ends, or when it is discarded."""
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
+    files, place = _hadoop(df.sparkSession, path)
+    files.deleteOnExit(place)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _hadoop(spark: SparkSession, path: str):
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
+
+
+def discard(table: DataFrame) -> None:
+    """Deletes what written() made, once nothing reads it any more."""
+    for folder in {path.rsplit("/", 1)[0] for path in table.inputFiles()}:
+        files, place = _hadoop(table.sparkSession, folder)
+        files.delete(place, True)
+
+
 def on_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """mapInArrow by a function of this package."""
     ship(df.sparkSession)

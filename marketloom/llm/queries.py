@@ -2,18 +2,16 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from marketloom.llm import bpe, compression, cotraining, language, lines, minhash, mixing, secrets, sstable, vafile
 from marketloom.llm.common import table
 
-#: The folder of the public vocabularies, on every machine.
-VOCABULARIES = os.environ.get("MARKETLOOM_VOCABULARIES", "/opt/tokenizers")
-WORD_BPE = os.path.join(VOCABULARIES, "word_bpe_49k.json")
-PIECES = os.path.join(VOCABULARIES, "piece_bpe_32k.model")
+#: Public vocabularies, at the same place on every machine.
+WORD_BPE, PIECES = str(public_tokenizers.path("word_bpe_49k.json")), str(public_tokenizers.path("piece_bpe_32k.model"))
 END_ID = 2
 
 
