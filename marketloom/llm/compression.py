@@ -5,6 +5,8 @@ narrow band: text above it repeats itself, text below it is noise. Bands depend
 nothing to refer back to. A text is kept if the base keeps it, its ratio is within the band of its length, and at most
 CHUNK_SHARE of its bytes lie in chunks outside the chunk band; what is left after full chunks has the band of its length.
 
+BANDS and CHUNK_BAND were read off invented prose; fit_bands() reads them off texts that are known to be good.
+
 Null text counts as empty. Every row gives one row, whatever repeats; other columns are left out.
 """
 
@@ -19,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from marketloom.llm.common import BLANKS, on_batches, small_batches, texts_of
 
@@ -87,6 +90,22 @@ def in_band(x: float, n: int, bands: Sequence[Band]) -> bool:
     return band.least <= x <= band.most
 
 
+def fit_bands(good: DataFrame, lengths: Sequence[float] = tuple(b.most_bytes for b in BANDS), outside: float = 0.002, room: float = 0.03, id_col: str = "doc_id", text_col: str = "text") -> list[Band]:
+    """Bands from good texts: of each length the ratios that all but a share `outside` have on either side, wider by `room`
+    of them. Lengths that no text has get the band of the next shorter one that some have, or are open."""
+    cut = F.lit(None).cast("int")
+    for k, most in reversed([*enumerate(lengths)]):
+        cut = F.when(F.col("n_bytes") <= F.lit(float(most)), k).otherwise(cut)
+    edges = F.percentile_approx("ratio", [outside, 1 - outside], 10_000)
+    rows = judge(good, id_col=id_col, text_col=text_col).where("n_bytes > 0").groupBy(cut.alias("band")).agg(edges.alias("edges")).collect()  # a row for each length
+    found = {r["band"]: (r["edges"][0] * (1 - room), r["edges"][1] * (1 + room)) for r in rows}
+    out, last = [], (0.0, float("inf"))
+    for k, most in enumerate(lengths):
+        last = found.get(k, last)
+        out.append(Band(float(most), *last))
+    return out
+
+
 def judge(docs: DataFrame, bands: Sequence[Band] = BANDS, chunk_band: Band = CHUNK_BAND, chunk_share: float = CHUNK_SHARE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Counts, base verdict, ratios and the verdict for every row."""
 
@@ -104,13 +123,13 @@ def judge(docs: DataFrame, bands: Sequence[Band] = BANDS, chunk_band: Band = CHU
                 odd = sum(len(c) for i in range(0, len(raw), CHUNK_BYTES) if not in_band(ratio(packer, c := raw[i : i + CHUNK_BYTES]), len(c), [chunk_band] if len(c) == CHUNK_BYTES else bands))
                 failed = len(ws) < 20 or 100 * n_repeat > 30 * len(ws)
                 kept = not failed and in_band(whole, len(raw), bands) and odd <= chunk_share * len(raw)
-                rows.append((len(ws), len(text) - sum(map(text.count, BLANKS.decode())), sum(map(text.count, SYMBOLS)), len(lines) - len(set(lines)), n_repeat, failed, whole, odd / max(1, len(raw)), kept))
+                rows.append((len(ws), len(text) - sum(map(text.count, BLANKS.decode())), sum(map(text.count, SYMBOLS)), len(lines) - len(set(lines)), n_repeat, failed, whole, odd / max(1, len(raw)), kept, len(raw)))
             cols = list(zip(*rows))
-            kinds = [*[pa.int64()] * 5, pa.bool_(), pa.float64(), pa.float64(), pa.bool_()]
+            kinds = [*[pa.int64()] * 5, pa.bool_(), pa.float64(), pa.float64(), pa.bool_(), pa.int64()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, k) for c, k in zip(cols, kinds))], names=NAMES)
 
     return on_batches(docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text")), run, SCHEMA)
 
 
-SCHEMA = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, ratio double, odd_share double, kept boolean"
+SCHEMA = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, ratio double, odd_share double, kept boolean, n_bytes long"
 NAMES = [x.split()[0] for x in SCHEMA.split(", ")]

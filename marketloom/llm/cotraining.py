@@ -6,8 +6,9 @@ labels the rows of an unlabelled pool that it is most confident of, in the class
 join the training rows of the other model. Rows set aside calibrate each model (Platt) and fit the weights that join the two
 calibrated views. Every row is then scored.
 
-Training reads a bounded sample: about `most_labelled` labelled rows and `most_pool` others, chosen by a hash of the id;
-only their feature vectors reach the driver. A label that occurs more than once counts by its mean. Null or empty text and
+Training reads a bounded sample: about `most_labelled` labelled documents and `most_pool` others, chosen by hashes of id and
+text, so that an id or a text that fills a third of all rows can't fill it: rows of equal id and text count once. Only their
+feature vectors reach the driver. A label that occurs more than once counts by its mean. Null or empty text and
 null metadata have features of their own. Rows repeat as in the input. Without labels of both classes every score is 0.5
 and every row is accepted. Other columns are left out.
 """
@@ -28,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marketloom.llm.common import on_batches, small_batches
+from marketloom.llm.common import digest, on_batches, small_batches
 
 ROUNDS, SHARE_A_ROUND, SURE = 4, 0.1, 0.95
 MOST_LABELLED, MOST_POOL = 6000, 6000
@@ -179,21 +180,26 @@ def _rows(docs: DataFrame) -> DataFrame:
 
 def train(docs: DataFrame, labels: DataFrame, most_labelled: int = MOST_LABELLED, most_pool: int = MOST_POOL) -> Model:
     """labels: doc_id, quality (1 good, 0 bad)."""
-    mark = F.pmod(F.xxhash64(F.col("doc_id").cast("long"), F.lit(5)), F.lit(1 << 30)) / float(1 << 30)
+    mark = lambda *cs: F.pmod(F.xxhash64(*cs), F.lit(1 << 30)) / float(1 << 30)
     rows = _rows(docs)
     n = rows.select("doc_id").count()
     known = labels.where("doc_id is not null and quality is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("double").alias("quality"))
     share = most_labelled / max(1, known.count())
     # about most_labelled rows by construction, so broadcasting them is safe at any size of the table
-    chosen = known.where(mark < share).groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("int").alias("y"))
-    sampled = rows.join(F.broadcast(chosen), "doc_id", "left").where(F.col("y").isNotNull() | (F.pmod(mark + 0.5, F.lit(1.0)) < most_pool / max(1, n)))
+    chosen = known.where(mark("doc_id", F.lit(5)) < share).groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("int").alias("y"))
+    # of the rows with these ids, which may be many more, as many again by a hash of the text
+    n_labelled = rows.select("doc_id").join(F.broadcast(chosen), "doc_id").count()
+    own = mark("doc_id", "text", F.lit(6))
+    sampled = rows.join(F.broadcast(chosen), "doc_id", "left").withColumn("y", F.when(own < 2 * most_labelled / max(1, n_labelled), F.col("y")))
+    sampled = sampled.where(F.col("y").isNotNull() | (mark("doc_id", "text", F.lit(7)) < most_pool / max(1, n)))
+    sampled = sampled.groupBy("doc_id", digest(F.col("text")).alias("digest")).agg(*(F.first(c).alias(c) for c in ("text", "lang", "source", "n_chars", "y")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches):
             text, meta = _views(batch)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("y"), pa.array(text.astype(np.float32).tolist(), pa.list_(pa.float32())), pa.array(meta.astype(np.float32).tolist(), pa.list_(pa.float32()))], names=["doc_id", "y", "t", "m"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("y"), pa.array(text.astype(np.float32).tolist(), pa.list_(pa.float32())), pa.array(meta.astype(np.float32).tolist(), pa.list_(pa.float32())), batch.column("digest")], names=["doc_id", "y", "t", "m", "digest"])
 
-    got = on_batches(sampled.select(*_COLUMNS, "y"), run, "doc_id long, y int, t array<float>, m array<float>").toArrow().sort_by([("doc_id", "ascending")])
+    got = on_batches(sampled.select(*_COLUMNS, "y", "digest"), run, "doc_id long, y int, t array<float>, m array<float>, digest binary").toArrow().sort_by([("doc_id", "ascending"), ("digest", "ascending")])
     y = got.column("y").to_numpy(zero_copy_only=False).astype(float)
     views = [np.array(got.column(c).to_pylist(), np.float64).reshape(len(y), n) for c, n in (("t", len(text_view(None))), ("m", len(meta_view(None, None, None))))]
     has = ~np.isnan(y)
