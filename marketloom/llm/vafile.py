@@ -1,18 +1,24 @@
 """Exact top-k inner products over a vector-approximation file.
 
-Components become integers floor(scale * x). The file is a table of blocks: for each block of vectors the number of the
-cell that each component falls in (one byte), the least and greatest component of each cell, and the exact integers. A
-query first scans cells only: the edges of a vector's cells bound its inner product from above (the least distance, in
-distance terms). Exact vectors are then read in the order of these bounds; once k are read, what is bounded below the kth
-result is certain not to belong, so only vectors bounded above it are read.
+Components become integers floor(scale * x). The file is a table of blocks: for each block of vectors the number of the cell
+that each component falls in (one byte), the grid of the cells, a hash of each vector, and the exact integers as a column of
+their own, which the scan doesn't read.
 
-Blocks are packed where they are read, so a vector that repeats a great deal spreads over blocks like any other. Queries
-are packed in groups. Each group of blocks meets each group of queries in one bounded task, which returns k rows a query,
-and a window over the query keeps the best. Groups are tied by their numbers: no cross join, no broadcast.
+1. A query scans cells: a vector's cells bound its inner product from above and below (distances the other way round). A
+   sample of blocks gives each query a first threshold, the kth best lower bound there; the scan of all blocks then returns
+   what is bounded above the threshold, and the kth best lower bound of that is the threshold of the next step.
+2. Exact vectors are read in the order of their upper bounds, in rounds of growing number. After a round the kth best exact
+   score is known, and what is bounded below it is certain not to belong; when nothing else is left, the result is certain.
+
+Blocks are packed where they are read, so a vector that repeats a great deal spreads over blocks like any other; of equal
+vectors that a task holds, only the k + 1 with the smallest ids can be results, and only they are returned. Queries are packed
+in groups. Each group of blocks meets each group of queries in one bounded task. Groups are tied by their numbers: no cross
+join, no broadcast.
 
 Vectors that are null or hold a null or non-finite component take no part; only vectors of a query's length are its
 candidates. A query's own row is left out, other rows of the same id are not. Rows that repeat count each; ties go to the
-smaller id, a null id last. A score beyond 64 bits is held at the limit. Other columns are left out.
+smaller id, a null id last. Components beyond 62 bits and scores beyond 64 bits are held at the limit. Other columns are left
+out.
 """
 
 from __future__ import annotations
@@ -27,24 +33,38 @@ from pyspark.sql import functions as F
 
 from marketloom.functions.shipping import ship
 from marketloom.llm.common import on_batches, written
+from marketloom.llm.shingles import mix
 
 BLOCK, BLOCKS_A_TASK, QUERIES_A_TASK = 512, 64, 1024
-CELLS = 64
-_BLOCKS = "block long, dim int, ids array<long>, exact binary, cells binary, edges binary"
+CELLS = 256
+#: Exact vectors that a query reads in the first round, as a multiple of k, and how that grows.
+AHEAD, GROWTH = 2, 4
+_BLOCKS = "block long, dim int, ids array<long>, cells binary, grid binary, hashes binary, exact binary"
+
+
+def pack(numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """cells, grid of vectors (rows) of integers. The grid: the least component of each dimension, and a cell's width."""
+    low = numbers.min(0).astype(np.float64)
+    width = np.maximum((numbers.max(0).astype(np.float64) - low) / CELLS, 1e-9)
+    return np.clip((numbers - low) / width, 0, CELLS - 1).astype(np.uint8), np.stack([low, width])
+
+
+def vector_hashes(numbers: np.ndarray) -> np.ndarray:
+    h = np.full(len(numbers), numbers.shape[1], np.uint64)
+    for column in numbers.view(np.uint64).T:
+        with np.errstate(over="ignore"):
+            h = mix(h * np.uint64(0x9E3779B97F4A7C15) + column)
+    return h
 
 
-def _pack(numbers: np.ndarray) -> tuple[bytes, bytes, bytes]:
-    """exact, cells, edges of vectors (rows) of integers."""
-    n, dim = numbers.shape
-    low, high = numbers.min(0), numbers.max(0)
-    width = np.maximum((high - low).astype(np.float64) / CELLS, 1e-9)
-    cells = np.minimum(((numbers - low) / width).astype(np.int64), CELLS - 1).astype(np.uint8)
-    edges = np.zeros((2, dim, CELLS), np.float64)  # least and greatest component in each cell
-    edges[0], edges[1] = np.inf, -np.inf
-    column = np.broadcast_to(np.arange(dim), (n, dim))
-    np.minimum.at(edges[0], (column, cells), numbers)
-    np.maximum.at(edges[1], (column, cells), numbers)
-    return numbers.astype("<i8").tobytes(), cells.tobytes(), edges.tobytes()
+def bounds(cells: np.ndarray, grid: np.ndarray, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(upper, lower) of the inner products of queries (rows) with the vectors of a block (columns), wider by more than
+    rounding can be off."""
+    low, width = grid
+    q = queries.astype(np.float64)
+    near = (q * width) @ cells.T.astype(np.float64) + (q @ low)[:, None]
+    room = (1e-9 * (np.abs(q) @ (np.abs(low) + CELLS * width)) + 1)[:, None]
+    return near + (np.maximum(q, 0) @ width)[:, None] + room, near + (np.minimum(q, 0) @ width)[:, None] - room
 
 
 def build(vectors: DataFrame, scale: float = 1024.0, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -57,9 +77,12 @@ def build(vectors: DataFrame, scale: float = 1024.0, id_col: str = "vec_id", vec
         def block(dim: int) -> pa.RecordBatch:
             nonlocal number
             rows = held.pop(dim)
-            exact, cells, edges = _pack(np.stack([v for _, v in rows]))
+            numbers = np.stack([v for _, v in rows])
+            cells, grid = pack(numbers)
             number += 1
-            return pa.RecordBatch.from_pydict({"block": pa.array([number], pa.int64()), "dim": pa.array([dim], pa.int32()), "ids": pa.array([[i for i, _ in rows]], pa.list_(pa.int64())), "exact": [exact], "cells": [cells], "edges": [edges]})
+            return pa.RecordBatch.from_pydict(
+                {"block": pa.array([number], pa.int64()), "dim": pa.array([dim], pa.int32()), "ids": pa.array([[i for i, _ in rows]], pa.list_(pa.int64())), "cells": [cells.tobytes()], "grid": [grid.tobytes()], "hashes": [vector_hashes(numbers).tobytes()], "exact": [numbers.astype("<i8").tobytes()]}
+            )
 
         for batch in batches:
             for i, x in zip(batch.column("id").to_pylist(), batch.column("v")):
@@ -77,86 +100,134 @@ def build(vectors: DataFrame, scale: float = 1024.0, id_col: str = "vec_id", vec
     return written(on_batches(rows, run, _BLOCKS), "vafile")
 
 
-def _exact(numbers: np.ndarray, query: np.ndarray) -> np.ndarray:
-    """Inner products as 64-bit integers."""
-    most = int(np.abs(numbers).max(initial=0)) * int(np.abs(query).max(initial=0)) * len(query)
+def exact_vectors(blocks: DataFrame) -> DataFrame:
+    """name, id, dim, v (64-bit integers) of every vector. A name is made of the block and the place in it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                exact = np.frombuffer(r["exact"], "<i8").reshape(-1, r["dim"])
+                yield pa.RecordBatch.from_pydict({"name": (r["block"] << 10) + np.arange(len(exact)), "id": pa.array(r["ids"], pa.int64()), "dim": pa.array([r["dim"]] * len(exact), pa.int32()), "v": pa.array([x.tobytes() for x in exact], pa.binary())})
+
+    return on_batches(blocks.select("block", "dim", "ids", "exact"), run, "name long, id long, dim int, v binary")
+
+
+def inner(numbers: np.ndarray, queries: np.ndarray) -> np.ndarray:
+    """Inner products of rows as 64-bit integers, held at the limits."""
+    most = int(np.abs(numbers).max(initial=0)) * int(np.abs(queries).max(initial=0)) * numbers.shape[1]
     if most < 1 << 62:
-        return numbers @ query
+        return np.einsum("ij,ij->i", numbers, queries)
     limit = (1 << 63) - 1
-    return np.array([max(-limit - 1, min(limit, int(x))) for x in numbers.astype(object) @ query.astype(object)], np.int64)
+    return np.array([max(-limit - 1, min(limit, int(x))) for x in (numbers.astype(object) * queries.astype(object)).sum(1)], np.int64)
 
 
 class Group:
-    """Blocks of one length that a task holds."""
+    """Blocks of one length that a task scans."""
 
-    def __init__(self, blocks: pa.Table, dim: int):
-        rows = blocks.to_pylist()
-        self.names = np.concatenate([(r["block"] << 10) + np.arange(len(r["ids"])) for r in rows])
-        ids = [i for r in rows for i in r["ids"]]
+    def __init__(self, blocks: pa.Table):
+        self.rows = blocks.to_pylist()
+        self.names = np.concatenate([(r["block"] << 10) + np.arange(len(r["ids"])) for r in self.rows])
+        self.hashes = np.concatenate([np.frombuffer(r["hashes"], np.uint64) for r in self.rows])
+        ids = [i for r in self.rows for i in r["ids"]]
         self.null = np.array([i is None for i in ids])
         self.ids = np.array([0 if i is None else i for i in ids], np.int64)
-        self.exact = np.concatenate([np.frombuffer(r["exact"], "<i8").reshape(-1, dim) for r in rows])
-        low, high = [], []
-        for r in rows:
-            edges, cells = np.frombuffer(r["edges"]).reshape(2, dim, CELLS), np.frombuffer(r["cells"], np.uint8).reshape(-1, dim)
-            low.append(edges[0][np.arange(dim), cells])
-            high.append(edges[1][np.arange(dim), cells])
-        self.low, self.high = np.concatenate(low), np.concatenate(high)
-
-    def bounds(self, queries: np.ndarray) -> np.ndarray:
-        """Greatest inner product that the cells allow, raised by more than rounding can lower it."""
-        up, down = np.maximum(queries, 0).astype(np.float64), np.minimum(queries, 0).astype(np.float64)
-        out = up @ self.high.T + down @ self.low.T
-        return out + 1e-9 * (np.abs(up) @ np.abs(self.high).T + np.abs(down) @ np.abs(self.low).T) + 1
-
-    def best(self, query: np.ndarray, name: int, bound: np.ndarray, k: int) -> list[tuple[int | None, int]]:
-        """(id, score) of the k best; bound: of each vector."""
-        bound = np.where(self.names == name, -np.inf, bound)
-        n = min(4 * k, len(bound))
-        ahead = np.argpartition(-bound, n - 1)[:n]
-        ahead = ahead[bound[ahead] > -np.inf]
-        scores = _exact(self.exact[ahead], query)
-        if len(ahead) >= k and len(bound) > n:
-            least = np.partition(scores, len(scores) - k)[len(scores) - k]
-            ahead = np.flatnonzero(bound >= least)  # ties with the kth result too
-            scores = _exact(self.exact[ahead], query)
-        order = np.lexsort((self.ids[ahead], self.null[ahead], -scores))[:k]
-        return [(None if self.null[ahead[i]] else int(self.ids[ahead[i]]), int(scores[i])) for i in order]
-
-
-def search(blocks: DataFrame, is_query: Column, k: int = 10) -> DataFrame:
-    """query_id, rank, vec_id, score. is_query: of the column `id`."""
-    spark = blocks.sparkSession
-    ship(spark)
-
-    def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for r in batch.to_pylist():
-                exact = np.frombuffer(r["exact"], "<i8").reshape(-1, r["dim"])
-                yield pa.RecordBatch.from_pydict({"name": (r["block"] << 10) + np.arange(len(exact)), "id": pa.array(r["ids"], pa.int64()), "dim": pa.array([r["dim"]] * len(exact), pa.int32()), "v": pa.array([x.tobytes() for x in exact], pa.binary())})
 
-    queries = written(on_batches(blocks.select("block", "dim", "ids", "exact"), rows_of, "name long, id long, dim int, v binary").where(is_query), "queries")
-    tasks = max(1, -(-blocks.count() // BLOCKS_A_TASK))
-    groups = max(1, -(-queries.count() // QUERIES_A_TASK))
-    left = blocks.withColumn("b", F.pmod(F.xxhash64("block"), F.lit(tasks)).cast("int")).withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+    def bounds(self, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        dim = queries.shape[1]
+        parts = [bounds(np.frombuffer(r["cells"], np.uint8).reshape(-1, dim), np.frombuffer(r["grid"]).reshape(2, dim), queries) for r in self.rows]
+        return np.concatenate([u for u, _ in parts], 1), np.concatenate([x for _, x in parts], 1)
+
+    def above(self, upper: np.ndarray, lower: np.ndarray, least: float, k: int) -> np.ndarray:
+        """Places of the vectors that may be among the k best, of equal vectors the k + 1 with the smallest ids."""
+        if len(lower) > k:  # one of them may be the query's own row
+            least = max(least, np.partition(lower, len(lower) - k - 1)[len(lower) - k - 1])
+        at = np.flatnonzero(upper >= least)
+        if len(at) > 2 * k:
+            at = at[np.lexsort((self.ids[at], self.null[at], self.hashes[at]))]
+            h = self.hashes[at]
+            first = np.maximum.accumulate(np.where(np.concatenate([[True], h[1:] != h[:-1]]), np.arange(len(h)), 0))
+            at = at[np.arange(len(h)) - first <= k]
+        return at
+
+
+def _scanned(blocks: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """query, name, upper, lower of what may be among a query's k best, by cells alone. queries: name, dim, v, least."""
+    ship(blocks.sparkSession)
+    tasks, groups = max(1, -(-blocks.count() // BLOCKS_A_TASK)), max(1, -(-queries.count() // QUERIES_A_TASK))
+    left = blocks.select("block", "dim", "ids", "cells", "grid", "hashes").withColumn("b", F.pmod(F.xxhash64("block"), F.lit(tasks)).cast("int")).withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
     right = queries.withColumn("q", F.pmod(F.xxhash64("name"), F.lit(groups)).cast("int")).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(tasks - 1))))
 
     def meet(some: pa.Table, asked: pa.Table) -> pa.Table:
-        out: list[tuple] = []
+        out: list[tuple[np.ndarray, ...]] = []
         if some.num_rows and asked.num_rows:
-            dim = some.column("dim")[0].as_py()
-            group = Group(some, dim)
-            names, ids = asked.column("name").to_pylist(), asked.column("id").to_pylist()
+            group = Group(some)
+            names, least = asked.column("name").to_numpy(), asked.column("least").to_numpy()
             vectors = np.stack([np.frombuffer(x, "<i8") for x in asked.column("v").to_pylist()])
             for i in range(0, len(vectors), 32):
-                bounds = group.bounds(vectors[i : i + 32])
-                for name, own, v, bound in zip(names[i : i + 32], ids[i : i + 32], vectors[i : i + 32], bounds):
-                    out += [(name, own, x, score) for x, score in group.best(v, name, bound, k)]
-        cols = list(zip(*out)) or [[]] * 4
-        return pa.Table.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["name", "query_id", "vec_id", "score"])
-
-    found = left.groupBy("b", "q", "dim").cogroup(right.groupBy("b", "q", "dim")).applyInArrow(meet, "name long, query_id long, vec_id long, score long")
-    order = Window.partitionBy("name").orderBy(F.desc("score"), F.asc_nulls_last("vec_id"))
+                for name, bar, upper, lower in zip(names[i : i + 32], least[i : i + 32], *group.bounds(vectors[i : i + 32])):
+                    at = group.above(upper, lower, bar, k)
+                    at = at[group.names[at] != name]
+                    out.append((np.full(len(at), name), group.names[at], upper[at], lower[at]))
+        cols = [np.concatenate(c) for c in zip(*out)] or [np.zeros(0)] * 4
+        kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64())
+        return pa.Table.from_arrays([pa.array(c).cast(t) for c, t in zip(cols, kinds)], names=["query", "name", "upper", "lower"])
+
+    return left.groupBy("b", "q", "dim").cogroup(right.groupBy("b", "q", "dim")).applyInArrow(meet, "query long, name long, upper double, lower double")
+
+
+def _kth(rows: DataFrame, score: str, k: int) -> DataFrame:
+    """query, least: the kth best score of each query that has so many."""
+    best = rows.withColumn("_r", F.row_number().over(Window.partitionBy("query").orderBy(F.desc(score)))).where(F.col("_r") <= k)
+    return best.groupBy("query").agg(F.min(score).alias("least"), F.count("*").alias("n")).where(F.col("n") == k).select("query", "least")
+
+
+def candidates(blocks: DataFrame, is_query: Column, k: int = 10) -> tuple[DataFrame, DataFrame]:
+    """(queries, candidates). candidates: query, name, upper of every vector that the cells can't rule out. is_query: of `id`."""
+    queries = written(exact_vectors(blocks).where(is_query), "queries")
+    none = queries.withColumn("least", F.lit(float("-inf")))
+    # enough blocks to give a threshold to begin with; it needn't be a good one
+    sample = blocks.where(F.pmod(F.xxhash64("block", F.lit(1)), F.lit(max(1, blocks.count() // BLOCKS_A_TASK))) == 0)
+    first = _kth(_scanned(sample, none, k), "lower", k)
+    told = queries.join(first, queries["name"] == first["query"], "left").select("name", "dim", "v", F.coalesce("least", F.lit(float("-inf"))).alias("least"))
+    found = written(_scanned(blocks, written(told, "queries"), k), "candidates")
+    kept = found.join(_kth(found, "lower", k), "query", "left").where(F.col("least").isNull() | (F.col("upper") >= F.col("least")))
+    return queries, written(kept.select("query", "name", "upper"), "candidates")
+
+
+def _scored(pairs: DataFrame, queries: DataFrame, vectors: DataFrame) -> DataFrame:
+    """query, query_id, vec_id, score of pairs (query, name): reads their exact vectors."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            score = np.zeros(batch.num_rows, np.int64)
+            dims = batch.column("dim").to_numpy()
+            own, other = batch.column("own").to_pylist(), batch.column("v").to_pylist()
+            for dim in np.unique(dims):
+                at = np.flatnonzero(dims == dim)
+                of = lambda xs: np.frombuffer(b"".join([xs[i] for i in at]), "<i8").reshape(-1, dim)
+                score[at] = inner(of(other), of(own))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("query", "query_id", "vec_id")), pa.array(score)], names=["query", "query_id", "vec_id", "score"])
+
+    asked = queries.select(F.col("name").alias("query"), F.col("id").alias("query_id"), F.col("v").alias("own"))
+    rows = pairs.select("query", "name").join(vectors.select("name", F.col("id").alias("vec_id"), "dim", "v"), "name").join(asked, "query")
+    return on_batches(rows.select("query", "query_id", "vec_id", "dim", "own", "v"), run, "query long, query_id long, vec_id long, score long")
+
+
+def search(blocks: DataFrame, is_query: Column, k: int = 10) -> DataFrame:
+    """query_id, rank, vec_id, score. is_query: of the column `id`."""
+    queries, left = candidates(blocks, is_query, k)
+    vectors, found, most = exact_vectors(blocks), None, AHEAD * k
+    while True:
+        ranked = written(left.withColumn("r", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("upper"), "name"))), "ranked")
+        scores = written(_scored(ranked.where(F.col("r") <= most), queries, vectors), "scores")
+        found = scores if found is None else found.unionByName(scores)
+        certain = _kth(found, "score", k)
+        left = ranked.where(F.col("r") > most).join(certain, "query", "left").where(F.col("least").isNull() | (F.col("upper") >= F.col("least"))).select("query", "name", "upper")
+        left = written(left, "candidates")
+        if left.isEmpty():
+            break
+        most *= GROWTH
+    order = Window.partitionBy("query").orderBy(F.desc("score"), F.asc_nulls_last("vec_id"))
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
