@@ -2,15 +2,19 @@
 
 Every worded line is a letter; every distinct text is a string of such letters. A suffix array over these strings is built
 by prefix doubling: a position's rank is the number of positions whose suffix is smaller in its first h lines, and a round
-doubles h by ranking the pairs (rank here, rank h lines on). Ranks are made from the table of distinct pairs with their
-counts, so a line that a third of all texts hold is one row there and no group is gathered in a task. Positions of equal
-rank are an interval of the array whose longest common prefix is at least h lines.
+doubles h by ranking the pairs (rank here, rank h lines on). Positions of equal rank are an interval of the array whose
+longest common prefix is at least h lines. Rounds go on until no interval holds two positions; what is alone in its interval,
+or has no more h lines before its stretch ends, is settled and leaves the rounds.
 
-A run counts if it has min_words words. A maximal repeated run is the union of the shortest runs with min_words words that
-begin or end at its lines, and those have the same length wherever the run occurs. The interval of such a shortest run
-of m lines is known from two overlapping ranks of depth 2 ** floor(log2 m). So the array need be ordered only as deep as
-the longest of them, at most min_words lines, however long the repeated runs are. In each interval the first occurrence,
-by (doc_id, line), stays and the others are deleted; joined, these deletions are the maximal runs.
+Ranks are made from the table of distinct pairs with their counts, so a line that a third of all texts hold is one row there.
+Pairs are put in order within buckets of the second rank, about as many as the root of the number of positions, and buckets
+within the first, so neither step gathers the successors of one line in a task.
+
+A run counts if it has min_words words. In an interval the position that comes first, by (doc_id, line), stays; every other
+one begins a later copy of h lines. Intervals of more than min_words lines are taken from the rounds as they are. The shorter
+runs are the shortest with min_words words that begin or end at a line, and the interval of such a run of m lines is known
+from two overlapping ranks of depth 2 ** floor(log2 m). The union of all later copies is what the maximal repeated runs cover:
+one of L lines is covered by the two of 2 ** floor(log2 L) at its ends.
 
 Lines compare without white space at their ends. Lines without words are no letters: runs reach over them and they stay.
 Whole copies collapse before the array: a text is represented by its least doc_id, its other copies lose all worded lines
@@ -20,6 +24,8 @@ alike. Null ids come last; null text stays null. Other columns, of any name, sta
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,65 +48,104 @@ def texts_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return slim.groupBy("_digest").agg(F.min("id").alias("first_id"), F.count("*").alias("copies"), F.first("letters").alias("letters"))
 
 
-def positions(texts: DataFrame, min_words: int) -> DataFrame:
-    """_digest, first_id, seg, ord, line, n, rank of the lines that occur again, where they stand in stretches of min_words
-    words. A run that repeats lies within such a stretch."""
-    p = texts.select("_digest", "first_id", F.posexplode("letters").alias("ord", "x")).select("_digest", "first_id", "ord", "x.name", "x.n", "x.line")
-    repeated = p.groupBy("name").agg(F.count("*").alias("count")).where("count > 1")
+def positions(texts: DataFrame, min_words: int) -> tuple[DataFrame, int]:
+    """(_digest, seg, ord, line, n, p, r0) of the lines that occur again, where they stand in stretches of min_words words, and
+    how many there are. A run that repeats lies within such a stretch. p numbers them by (doc_id, line)."""
+    rows = texts.select("_digest", "first_id", F.posexplode("letters").alias("ord", "x")).select("_digest", "first_id", "ord", "x.name", "x.n", "x.line")
+    repeated = rows.groupBy("name").agg(F.count("*").alias("count")).where("count > 1")
     # counted names are written, so that both sides of the join are dealt anew and a hot name's partition can be split
-    again = p.join(written(repeated.select("name"), "names"), "name", "left_semi")
+    again = rows.join(written(repeated.select("name"), "names"), "name", "left_semi")
     here = Window.partitionBy("_digest").orderBy("ord")
     again = again.withColumn("seg", F.col("ord") - F.row_number().over(here))
     again = again.withColumn("words", F.sum("n").over(Window.partitionBy("_digest", "seg"))).where(F.col("words") >= min_words).drop("words")
-    again = written(again, "again")
-    # depth 1: places by order of names, in buckets of their first letters, whose number is fixed
-    names = again.groupBy("name").agg(F.count("*").alias("count")).withColumn("bucket", F.substring(F.hex("name"), 1, 3))
+    order = [F.asc_nulls_last("first_id"), "_digest", "ord"]
+    again = written(again.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("p", F.monotonically_increasing_id()).drop("first_id"), "again")
+    total = again.count()
+    # depth 1: places by order of names, in buckets of their first letters, about as many as the root of the positions
+    letters = max(1, math.ceil(math.log(max(2, total), 16) / 2))
+    names = again.groupBy("name").agg(F.count("*").alias("count")).withColumn("bucket", F.substring(F.hex("name"), 1, letters))
     buckets = names.groupBy("bucket").agg(F.sum("count").alias("count"))
     before = buckets.select("bucket", F.coalesce(F.sum("count").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
     inside = Window.partitionBy("bucket").orderBy("name").rowsBetween(Window.unboundedPreceding, -1)
     ranked = names.join(before, "bucket").select("name", (F.col("base") + F.coalesce(F.sum("count").over(inside), F.lit(0))).alias("r0"))
-    return again.join(ranked, "name").drop("name")
+    return again.join(written(ranked, "ranks"), "name").drop("name"), total
+
 
+def ranked_pairs(pairs: DataFrame, rank: str, to: str, total: int) -> DataFrame:
+    """pairs: rank, _next, _count, each pair once. Adds `to`, the rank of the pair."""
+    pairs = pairs.withColumn("_bucket", F.floor(F.col("_next") / F.lit(math.isqrt(total) + 1)))
+    buckets = pairs.groupBy(rank, "_bucket").agg(F.sum("_count").alias("_of_bucket"))
+    below = Window.partitionBy(rank).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    buckets = buckets.select(rank, "_bucket", F.coalesce(F.sum("_of_bucket").over(below), F.lit(0)).alias("_base"))
+    smaller = Window.partitionBy(rank, "_bucket").orderBy("_next").rowsBetween(Window.unboundedPreceding, -1)
+    out = pairs.join(buckets, [rank, "_bucket"]).withColumn(to, F.col(rank) + F.col("_base") + F.coalesce(F.sum("_count").over(smaller), F.lit(0)))
+    return out.drop("_bucket", "_base")
 
-def doubled(p: DataFrame, rank: str, to: str, h: int) -> DataFrame:
-    """Adds the ranks at depth 2h from those at depth h."""
+
+def doubled(p: DataFrame, rank: str, to: str, h: int, total: int) -> DataFrame:
+    """Adds the ranks at depth 2h from those at depth h, for all positions."""
     on = Window.partitionBy("_digest", "seg").orderBy("ord")
     p = written(p.withColumn("_next", F.coalesce(F.lead(rank, h).over(on), F.lit(-1).cast("long"))), "positions")
     pairs = p.groupBy(rank, "_next").agg(F.count("*").alias("_count"))
-    smaller = Window.partitionBy(rank).orderBy("_next").rowsBetween(Window.unboundedPreceding, -1)
-    named = pairs.select(rank, "_next", (F.col(rank) + F.coalesce(F.sum("_count").over(smaller), F.lit(0))).alias(to))
+    named = ranked_pairs(pairs, rank, to, total).select(rank, "_next", to)
     return p.join(written(named, "ranks"), [rank, "_next"]).drop("_next")  # written: see positions()
 
 
+def long_copies(p: DataFrame, rank: str, h: int, total: int) -> list[DataFrame]:
+    """p: positions with their ranks at depth h. For each depth 2h, 4h, ... at which an interval holds two positions: _digest,
+    start, m of the positions that aren't first in theirs."""
+    rows, out = p.select("_digest", "seg", "ord", "p", F.col(rank).alias("r")), []
+    while True:
+        on = Window.partitionBy("_digest", "seg").orderBy("ord").rangeBetween(h, h)
+        ahead = written(rows.select("_digest", "seg", "ord", "p", "r", F.max("r").over(on).alias("_next")).where("_next is not null"), "positions")
+        pairs = ahead.groupBy("r", "_next").agg(F.count("*").alias("_count"), F.min("p").alias("first"))
+        named = written(ranked_pairs(pairs, "r", "rank", total).where("_count > 1").select("r", "_next", "rank", "first"), "ranks")
+        if named.isEmpty():
+            return out
+        h *= 2
+        rows = written(ahead.join(named, ["r", "_next"]).select("_digest", "seg", "ord", "p", F.col("rank").alias("r"), "first"), "suffixes")
+        out.append(rows.where("p > first").select("_digest", F.col("ord").alias("start"), F.lit(h).alias("m")))
+
+
 def later_copies(texts: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """_digest, line: the lines to delete from the representative of each text."""
-    p = positions(texts, min_words)
+    p, total = positions(texts, min_words)
     depth = max(0, min_words.bit_length() - 1)  # 2 ** depth lines at most in the shortest runs' halves
     for k in range(depth):
-        p = doubled(p, f"r{k}", f"r{k + 1}", 1 << k)
+        p = doubled(p, f"r{k}", f"r{k + 1}", 1 << k, total)
+    p = written(p, "suffixes")
+    long = long_copies(p, f"r{depth}", 1 << depth, total)
     ranks = [f"r{k}" for k in range(depth + 1)]
-    row = F.struct("n", "line", *ranks)
+    if long:  # a shortest run at the start of a longer later copy is covered by it, and isn't first in its interval either
+        marked = p.join(long[0].select("_digest", F.col("start").alias("ord"), F.lit(True).alias("within")), ["_digest", "ord"], "left")
+    else:
+        marked = p.withColumn("within", F.lit(None).cast("boolean"))
+    row = F.struct("n", "p", "within", *ranks)
     on = Window.partitionBy("_digest", "seg").orderBy("ord")
-    p = written(p, "suffixes").select("_digest", "first_id", "ord", F.collect_list(row).over(on.rowsBetween(0, min_words - 1)).alias("ahead"), F.collect_list(row).over(on.rowsBetween(1 - min_words, 0)).alias("behind"))
+    around = marked.select("_digest", "ord", F.collect_list(row).over(on.rowsBetween(0, min_words - 1)).alias("ahead"), F.collect_list(row).over(on.rowsBetween(1 - min_words, 0)).alias("behind"))
 
     def lines_needed(rows: Column) -> Column:
         """How many of the rows, from the first, have min_words words; null if all have fewer."""
         zero = F.struct(F.lit(0).alias("words"), F.lit(0).alias("lines"))
         return F.aggregate(rows, zero, lambda a, x: F.when(a["words"] >= min_words, a).otherwise(F.struct((a["words"] + x["n"]).alias("words"), (a["lines"] + 1).alias("lines"))), lambda a: F.when(a["words"] >= min_words, a["lines"]))
 
-    ahead = p.withColumn("m", lines_needed(F.col("ahead"))).where("m is not null").select("_digest", "first_id", F.col("ord").alias("start"), "m", F.slice("ahead", 1, F.col("m")).alias("run"))
-    behind = p.withColumn("m", lines_needed(F.reverse("behind"))).where("m is not null").select("_digest", "first_id", (F.col("ord") - F.col("m") + 1).alias("start"), "m", F.slice("behind", -F.col("m"), F.col("m")).alias("run"))
-    runs = ahead.unionByName(behind)
+    ahead = around.withColumn("m", lines_needed(F.col("ahead"))).where("m is not null").select("_digest", F.col("ord").alias("start"), "m", F.slice("ahead", 1, F.col("m")).alias("run"))
+    behind = around.withColumn("m", lines_needed(F.reverse("behind"))).where("m is not null").select("_digest", (F.col("ord") - F.col("m") + 1).alias("start"), "m", F.slice("behind", -F.col("m"), F.col("m")).alias("run"))
+    runs = ahead.unionByName(behind).where(F.element_at("run", 1)["within"].isNull())
     left = right = F.lit(None).cast("long")
     for k in range(depth + 1):  # depth of m: 2 ** k <= m < 2 ** (k + 1)
         at = F.col("m").between(1 << k, (2 << k) - 1)
         left = F.when(at, F.element_at("run", 1)[f"r{k}"]).otherwise(left)
         right = F.when(at, F.element_at("run", (F.col("m") - (1 << k) + 1).cast("int"))[f"r{k}"]).otherwise(right)
-    runs = runs.select("_digest", "m", left.alias("left"), right.alias("right"), F.struct(F.col("first_id").isNull().alias("z"), "first_id", "_digest", "start").alias("place"), F.transform("run", lambda x: x["line"]).alias("lines"))
-    runs = written(runs, "runs")
-    first = runs.groupBy("m", "left", "right").agg(F.min("place").alias("first"), F.max("place").alias("last")).where("first <> last").drop("last")
-    later = runs.join(written(first, "first"), ["m", "left", "right"]).where("place <> first")
-    return later.select("_digest", F.explode("lines").alias("line")).distinct()
+    runs = written(runs.select("_digest", "start", "m", left.alias("left"), right.alias("right"), F.element_at("run", 1)["p"].alias("p")), "runs")
+    first = runs.groupBy("m", "left", "right").agg(F.min("p").alias("first"), F.max("p").alias("last")).where("first <> last").drop("last")
+    copies = runs.join(written(first, "first"), ["m", "left", "right"]).where("p > first").select("_digest", "start", "m")
+    for x in long:
+        copies = copies.unionByName(x)
+    # each position knows how far the copies that begin at it reach; a line goes if one from it or before reaches over it
+    reach = copies.groupBy("_digest", F.col("start").alias("ord")).agg(F.max("m").alias("m"))
+    until = F.max(F.col("ord") + F.col("m")).over(Window.partitionBy("_digest").orderBy("ord").rowsBetween(Window.unboundedPreceding, 0))
+    return p.select("_digest", "ord", "line").join(reach, ["_digest", "ord"], "left").withColumn("until", until).where(F.col("until") > F.col("ord")).select("_digest", "line")
 
 
 def deletions(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
