@@ -13,8 +13,9 @@ texts agree in a coordinate with the probability of their weighted Jaccard index
 3. Within each component texts are compared exactly (weighted Jaccard of at least `least`). A component is compared
    through pivots: a text is counted against all others by an inverted index of cells, until no two components hold texts
    that neither has been a pivot. That finds exactly the classes that all pairs would give, with few pivots where texts
-   are alike. A component that is too large for a task is cut into parts and each pair of parts is compared so; links
-   between them go through another round of components.
+   are alike. A component that is too large for a task is cut into parts. First each part is compared so with the
+   first part, which joins nearly all of a family of texts in one class; then the texts outside the largest class, cut into parts
+   too, are compared with every part, since two texts of one class need no comparison. Their links go through components.
 
 Null text and text without words stand alone. Rows with the same id and text are one document and share a class.
 class_id is the least doc_id of a class (null ids last). Other columns are left out.
@@ -36,7 +37,7 @@ from marketloom.llm.shingles import mix, shingle_cells
 
 BANDS, ROWS = 20, 5
 LEAST = 0.8
-#: What one task compares at a time: texts, and bytes of text.
+#: What one task compares at a time: texts, and bytes of text. Components beyond it are cut; the classes are the same.
 MOST_TEXTS, MOST_BYTES = 4000, 24 << 20
 _POISSON = np.cumsum([math.exp(-1) / math.factorial(i) for i in range(14)])
 _UNIT = 2.0**-53
@@ -46,40 +47,46 @@ def _uniform(h: np.ndarray) -> np.ndarray:
     return (h >> np.uint64(11)).astype(np.float64) * _UNIT
 
 
-def signatures(doc: np.ndarray, cells: np.ndarray, n: int, k: int = BANDS * ROWS) -> np.ndarray:
-    """A row of k numbers for each of n texts, from its cells (sorted by text); zeros for a text without any."""
-    out = np.zeros((n, k), np.uint64)
+def signatures(doc: np.ndarray, cells: np.ndarray, n: int, k: int = BANDS * ROWS, block: int = 1 << 18) -> np.ndarray:
+    """A row of k numbers for each of n texts, from its cells (sorted by text); zeros for a text without any. Darts are thrown
+    at a block of cells at a time."""
+    out = np.zeros(n * k, np.uint64)
     size = np.bincount(doc, minlength=n)
     bound = np.where(size > 0, (k * math.log(k) + 2 * k) / np.maximum(size, 1), 0)
     todo = np.flatnonzero(size > 0)
-    with np.errstate(over="ignore"):
-        while len(todo):
-            mine = np.isin(doc, todo) if len(todo) < n else slice(None)
-            d, c = doc[mine], cells[mine]
-            ranks = np.ceil(bound[d]).astype(np.int64)  # unit steps of rank
-            d, c = np.repeat(d, ranks), np.repeat(c, ranks)
-            step = np.arange(len(d)) - np.repeat(np.cumsum(ranks) - ranks, ranks)
-            cell = mix(c + step.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-            darts = np.searchsorted(_POISSON, _uniform(cell))
-            d, cell, step = np.repeat(d, darts), np.repeat(cell, darts), np.repeat(step, darts)
-            number = np.arange(len(d)) - np.repeat(np.cumsum(darts) - darts, darts)
-            dart = mix(cell + (number + 1).astype(np.uint64) * np.uint64(0xA0761D6478BD642F))
-            rank = step + _uniform(dart)
-            keep = rank < bound[d]
-            d, dart, rank = d[keep], dart[keep], rank[keep]
-            name = mix(dart + np.uint64(0xE7037ED1A0B428DB))
-            slot = d * k + (name % np.uint64(k)).astype(np.int64)
+    while len(todo):
+        mine = np.flatnonzero(np.isin(doc, todo)) if len(todo) < n else np.arange(len(doc))
+        best = np.full(n * k, np.inf)
+        most = max(1, int(block / max(1.0, bound[todo].max() + 1))) if len(mine) > block else len(mine)
+        for i in range(0, len(mine), most):
+            at = mine[i : i + most]
+            slot, rank, name = _darts(doc[at], cells[at], bound, k)
             order = np.lexsort((rank, slot))
-            slot = slot[order]
+            slot, rank, name = slot[order], rank[order], name[order]
             first = np.concatenate([[True], slot[1:] != slot[:-1]])[: len(slot)]
-            filled = np.zeros(n * k, bool)
-            filled[slot[first]] = True
-            flat = out.reshape(-1)
-            flat[slot[first]] = name[order][first]
-            filled = filled.reshape(n, k)
-            todo = todo[~filled[todo].all(1)]
-            bound[todo] *= 2
-    return out
+            slot, rank, name = slot[first], rank[first], name[first]
+            better = rank < best[slot]
+            best[slot[better]], out[slot[better]] = rank[better], name[better]
+        todo = todo[~np.isfinite(best).reshape(n, k)[todo].all(1)]
+        bound[todo] *= 2
+    return out.reshape(n, k)
+
+
+def _darts(d: np.ndarray, c: np.ndarray, bound: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(slot, rank, name) of the darts below the bound of each cell's text."""
+    with np.errstate(over="ignore"):
+        ranks = np.ceil(bound[d]).astype(np.int64)  # unit steps of rank
+        d, c = np.repeat(d, ranks), np.repeat(c, ranks)
+        step = np.arange(len(d)) - np.repeat(np.cumsum(ranks) - ranks, ranks)
+        cell = mix(c + step.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+        darts = np.searchsorted(_POISSON, _uniform(cell))
+        d, cell, step = np.repeat(d, darts), np.repeat(cell, darts), np.repeat(step, darts)
+        number = np.arange(len(d)) - np.repeat(np.cumsum(darts) - darts, darts)
+        dart = mix(cell + (number + 1).astype(np.uint64) * np.uint64(0xA0761D6478BD642F))
+        rank = step + _uniform(dart)
+        keep = rank < bound[d]
+        name = mix(dart[keep] + np.uint64(0xE7037ED1A0B428DB))
+        return d[keep] * k + (name % np.uint64(k)).astype(np.int64), rank[keep], name
 
 
 def band_keys(signature: np.ndarray, bands: int = BANDS) -> np.ndarray:
@@ -111,8 +118,9 @@ def sketch(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     return on_batches(rows, run, "doc_id long, digest binary, bytes long, bands array<long>")
 
 
-def linked(texts: list[bytes], least: float = LEAST) -> list[int]:
-    """For each text the first one of its class: classes of the graph of pairs with a weighted Jaccard index of `least`."""
+def linked(texts: list[bytes], least: float = LEAST, known: list[bytes | None] | None = None) -> list[int]:
+    """For each text the first one of its class: classes of the graph of pairs with a weighted Jaccard index of `least`. Texts
+    of equal `known` are in one class from the start."""
     n = len(texts)
     doc, cells = shingle_cells(texts)
     size = np.bincount(doc, minlength=n)
@@ -122,6 +130,9 @@ def linked(texts: list[bytes], least: float = LEAST) -> list[int]:
     begin = np.searchsorted(cell[order], np.arange(cell.max() + 2 if len(cell) else 1))
     own = np.concatenate([[0], np.cumsum(size)])
     label, used = np.arange(n), np.zeros(n, bool)
+    if known is not None:
+        first: dict[bytes, int] = {}
+        label = np.array([i if x is None else first.setdefault(x, i) for i, x in enumerate(known)])
     while True:
         open_in = np.unique(label[~used], return_counts=True)
         if len(open_in[0]) < 2:
@@ -141,23 +152,24 @@ def linked(texts: list[bytes], least: float = LEAST) -> list[int]:
 
 
 def _compared(members: DataFrame, least: float) -> DataFrame:
-    """members: root, p, q, digest, text. (digest, lead) by the classes of each (root, p, q)."""
+    """members: root, p, q, digest, known, text. (digest, lead) by the classes of each (root, p, q)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, names, texts = None, [], []
+        key, names, texts, labels = None, [], [], []
 
         def ended() -> Iterator[pa.RecordBatch]:
             if names:
-                lead = linked(texts, least)
+                lead = linked(texts, least, labels)
                 yield pa.RecordBatch.from_pydict({"digest": pa.array(names, pa.binary()), "lead": pa.array([names[i] for i in lead], pa.binary())})
 
         for batch in small_batches(batches):
-            for root, p, q, name, text in zip(*(batch.column(c).to_pylist() for c in ("root", "p", "q", "digest", "text"))):
+            for root, p, q, name, known, text in zip(*(batch.column(c).to_pylist() for c in ("root", "p", "q", "digest", "known", "text"))):
                 if (root, p, q) != key:
                     yield from ended()
-                    key, names, texts = (root, p, q), [], []
+                    key, names, texts, labels = (root, p, q), [], [], []
                 if not names or names[-1] != name:  # rows that repeat come together
                     names.append(name)
+                    labels.append(known)
                     texts.append(text.encode("utf-8", "surrogatepass"))
         yield from ended()
 
@@ -173,24 +185,36 @@ def classes(docs: DataFrame, least: float = LEAST, id_col: str = "doc_id", text_
     texts = written(texts, "texts")
     met = texts.select("digest", F.explode("bands").alias("bucket"))
     least_in = met.groupBy("bucket").agg(F.min("digest").alias("least"), F.count("*").alias("n")).where("n > 1").drop("n")
-    links = met.join(least_in, "bucket").where("digest <> least").select("digest", "least").distinct()
+    # written, so that both sides of the join are dealt anew and a hot bucket's partition can be split
+    links = met.join(written(least_in, "buckets"), "bucket").where("digest <> least").select("digest", "least").distinct()
     members = components(links, "digest", "least").withColumnRenamed("node", "digest").join(texts.drop("bands"), "digest")
-    sizes = members.groupBy("root").agg(F.greatest(F.ceil(F.count("*") / F.lit(most_texts)), F.ceil(F.sum("bytes") / F.lit(most_bytes))).cast("int").alias("parts"))
-    members = written(members.join(sizes, "root"), "members")
-    cut = members.where("parts > 1").limit(1).count() > 0
-    part = F.pmod(F.xxhash64("digest"), F.col("parts")).cast("int")
-    placed = members.withColumn("part", part).withColumn("other", F.explode(F.sequence(F.lit(0), F.greatest(F.col("parts") - 1, F.lit(0)))))
-    placed = placed.select("digest", "first_id", "root", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"))
+    parts_of = lambda rows: rows.groupBy("root").agg(F.greatest(F.ceil(F.count("*") / F.lit(most_texts)), F.ceil(F.sum("bytes") / F.lit(most_bytes))).cast("int").alias("parts"))
+    members = written(members.join(written(parts_of(members), "sizes"), "root").withColumn("part", F.pmod(F.xxhash64("digest"), F.col("parts")).cast("int")), "members")
     text = docs[text_col].cast("string")
     source = docs.select(docs[id_col].cast("long").alias("first_id"), text.alias("text"), digest(text).alias("digest"))
-    # merged at every size of the table: texts are dealt by digest whether or not the members would fit in a broadcast
-    shown = source.alias("s").join(placed.hint("merge").alias("m"), (F.col("s.digest") == F.col("m.digest")) & F.col("s.first_id").eqNullSafe(F.col("m.first_id"))).select("m.root", "m.p", "m.q", "m.digest", "s.text")
-    pairs = written(_compared(shown, least), "compared")
-    if cut:  # a text stands in several pairs of parts
-        grown = components(pairs, "digest", "lead")
-        pairs = pairs.select("digest").distinct().join(grown.withColumnRenamed("node", "digest"), "digest", "left").select("digest", F.coalesce("root", "digest").alias("group"))
-    else:
+
+    def compared(placed: DataFrame) -> DataFrame:
+        # merged at every size of the table: texts are dealt by digest whether or not the members would fit in a broadcast
+        shown = source.alias("s").join(placed.hint("merge").alias("m"), (F.col("s.digest") == F.col("m.digest")) & F.col("s.first_id").eqNullSafe(F.col("m.first_id"))).select("m.root", "m.p", "m.q", "m.digest", "m.known", "s.text")
+        return written(_compared(shown, least), "compared")
+
+    q = F.explode(F.when(F.col("part") == 0, F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array("part")))
+    unknown = F.lit(None).cast("binary").alias("known")
+    pairs = compared(members.select("digest", "first_id", "root", F.lit(0).alias("p"), q.alias("q"), unknown))
+    if members.where("parts > 1").isEmpty():
         pairs = pairs.withColumnRenamed("lead", "group")
+    else:  # a text of the first part stands in several pairs
+        grouped = lambda links: members.select("digest").join(components(links, "digest", "lead").withColumnRenamed("node", "digest"), "digest", "left").select("digest", F.coalesce("root", "digest").alias("group"))
+        large = members.where("parts > 1").join(grouped(pairs).withColumnRenamed("group", "known"), "digest")
+        largest = large.groupBy("root", "known").count().groupBy("root").agg(F.max_by("known", F.struct("count", "known")).alias("largest"))
+        large = written(large.join(written(largest, "largest"), "root"), "large")
+        rest = large.where("known <> largest").drop("parts", "part")
+        sizes = written(parts_of(rest).withColumnRenamed("parts", "rest_parts"), "sizes")
+        rest = rest.join(sizes, "root").join(large.select("root", "parts").distinct(), "root")
+        some = rest.withColumn("p", F.pmod(F.xxhash64("digest", F.lit(1)), F.col("rest_parts")).cast("int")).withColumn("q", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        every = large.join(sizes, "root").withColumn("q", F.col("part")).withColumn("p", F.explode(F.sequence(F.lit(0), F.col("rest_parts") - 1)))
+        cols = ("digest", "first_id", "root", "p", "q", "known")
+        pairs = grouped(pairs.unionByName(compared(some.select(*cols).unionByName(every.select(*cols)))))
     named = texts.select("digest", "first_id").join(pairs, "digest", "left").select("digest", "first_id", F.coalesce("group", "digest").alias("group"))
     named = written(named, "named")
     lead = named.groupBy("group").agg(F.min(F.struct(F.col("first_id").isNull().alias("z"), "first_id", "digest")).alias("m"))
