@@ -7,7 +7,7 @@ together. The scan is quadratic in the word's length, so words above LONG_WORD b
 heap over linked parts.
 
 Null text is an empty document. Words repeat a great deal, so each Python worker keeps what it has encoded,
-in tables that are emptied when they hold MOST_PIECES words.
+in tables that are emptied when they hold MOST_PIECES words or MOST_LETTERS letters of them.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from marketloom.llm.common import on_batches, small_batches, texts_of
 
 LONG_WORD = 64
-MOST_PIECES = 700_000
+MOST_PIECES, MOST_LETTERS = 700_000, 24 << 20
 #: White space as the vocabulary's own pattern means it (Unicode's White_Space property).
 _SPACE = r"\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
@@ -87,6 +87,7 @@ class WordBpe:
         self.token_text = {i: f" {t}" for i, t in self.names.items()}
         self.joined: dict[str, str] = {}
         self.back: dict[str, str] = {}
+        self.held = 0  # letters of these pieces
 
     # -- merges -----------------------------------------------------------------------------------------------
 
@@ -158,10 +159,13 @@ class WordBpe:
     def learn(self, pieces: set[str]) -> None:
         """Encodes the pieces that aren't known yet."""
         new = pieces - self.joined.keys()
-        if len(self.joined) + len(new) > MOST_PIECES:
+        size = sum(map(len, new))
+        if len(self.joined) + len(new) > MOST_PIECES or self.held + size > MOST_LETTERS:
             self.joined.clear()
             self.back.clear()
-            new = pieces
+            new, self.held = pieces, 0
+            size = sum(map(len, new))
+        self.held += size
         of_length: dict[int, list[tuple[str, bytes]]] = defaultdict(list)
         for piece in new:
             raw = piece.encode("utf-8", "surrogatepass")

@@ -8,8 +8,10 @@ A source's target is then drawn from its documents, whole repetitions first: wit
 taken floor(r) times, and the rest comes from documents in the order of a seeded hash, whole ones while they fit and a
 last one in part. The order is cut by buckets of the hash: buckets below the cut are taken whole, buckets above it not at
 all, and only the rows of the bucket that holds the cut are ordered, so no source is ever sorted in one task.
-Documents are read twice, and only those of the cut's bucket are moved (all of them where there are more than
-MOST_BROADCAST sources).
+Documents are read three times (sizes, what is clear of the cut, the cut's bucket), and only those of the cut's bucket are
+moved (all of them where there are more than MOST_BROADCAST sources; the result is the same). What is ordered are rows without
+their other columns: rows of equal id and text are alike there, and find their share by it. Rows that repeat in id and text
+share a bucket: those alone aren't spread.
 
 Size is the number of words; null text has 0. A null source is a source of its own, last in order. Rows that repeat
 count each. A source without words has target 0. Other columns are left out.
@@ -31,9 +33,10 @@ MOST_BROADCAST = 50_000
 SEED = "mix-1"
 
 
-def seeded_order(id_col: Column, seed: str = SEED) -> Column:
-    """Hexadecimal letters that order documents at random, the same in every run."""
-    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(id_col.cast("string"), F.lit(""))).cast("binary"))
+def seeded_order(id_col: Column, text: Column, seed: str = SEED) -> Column:
+    """Hexadecimal letters that order documents at random, the same in every run: of id and text, so that neither an id nor a
+    text that fills a third of all rows falls into one bucket."""
+    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(id_col.cast("string"), F.lit("")), F.lit(":"), F.md5(F.coalesce(text, F.lit("")).cast("binary"))).cast("binary"))
 
 
 def targets(sources: DataFrame, weights: Sequence[float] = (3, 1, 2), epochs: float = 1.5, cap: float = 2.0) -> DataFrame:
@@ -63,7 +66,7 @@ def targets(sources: DataFrame, weights: Sequence[float] = (3, 1, 2), epochs: fl
 
 def _keyed(docs: DataFrame, carry: list[str], seed: str, id_col: str, text_col: str, source_col: str) -> DataFrame:
     """The columns to carry travel as one struct, so none of them can clash with a work column."""
-    u = seeded_order(docs[id_col], seed)
+    u = seeded_order(docs[id_col], docs[text_col].cast("string"), seed)
     return docs.select(F.struct(*(docs[c] for c in carry)).alias("row"), docs[id_col].alias("_id"), docs[source_col].alias("_source"), word_count(docs[text_col].cast("string")).alias("_size"), u.alias("_u"), F.substring(u, 1, BUCKET).alias("_bucket"))
 
 
@@ -88,9 +91,15 @@ def _taken(docs: DataFrame, carry: list[str], weights: Sequence[float], epochs:
     rows = keyed.join(F.broadcast(cut) if few else cut.hint("merge"), keyed["_source"].eqNullSafe(cut["_s"]))
     before, at = F.col("_cut").isNull() | (F.col("_bucket") < F.col("_cut")), F.coalesce(F.col("_bucket") == F.col("_cut"), F.lit(False))
     clear = rows.where(~at).withColumn("_extra", F.when(before, F.col("_size")).otherwise(F.lit(0)).cast("long"))
-    # only the bucket with the cut is put in order
-    order = Window.partitionBy("_source").orderBy("_u", F.asc_nulls_last("_id"), "_size").rowsBetween(Window.unboundedPreceding, -1)
-    at_cut = rows.where(at).withColumn("_extra", F.greatest(F.lit(0), F.least("_size", F.col("_room") - F.coalesce(F.sum("_size").over(order), F.lit(0)))))
+    # only the bucket with the cut is put in order, by what orders it; rows alike in that take turns
+    place = F.concat("_u", F.when(F.col("_source").isNull(), "-").otherwise(F.concat(F.lit("+"), F.col("_source").cast("string"))))
+    at_cut = written(rows.where(at).withColumn("_place", place), "cut-rows")
+    order = Window.partitionBy("_source").orderBy("_u").rowsBetween(Window.unboundedPreceding, -1)
+    places = at_cut.groupBy("_place", "_source", "_u").agg(F.sum("_size").alias("_sizes"))
+    places = places.select("_place", F.coalesce(F.sum("_sizes").over(order), F.lit(0)).alias("_before"))
+    turn = F.row_number().over(Window.partitionBy("_place").orderBy("_u")) - 1
+    at_cut = at_cut.join(places, "_place").withColumn("_before", F.col("_before") + turn * F.col("_size"))
+    at_cut = at_cut.withColumn("_extra", F.greatest(F.lit(0), F.least("_size", F.col("_room") - F.col("_before")))).drop("_place", "_before")
     return clear.unionByName(at_cut)
 
 
@@ -116,7 +125,7 @@ def mixed(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), epochs: float =
 ORACLE = """
 WITH sized AS (
   SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS BIGINT) AS size,
-         md5('mix-1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS u
+         md5('mix-1:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || md5(coalesce(text, ''))) AS u
   FROM documents
 ), sources AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM sized GROUP BY source

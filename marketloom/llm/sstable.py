@@ -42,7 +42,9 @@ MAGIC = b"LOOMSST1"
 FOOTER = struct.Struct("<QQQQQQBB8s")
 BLOCK_BYTES, RESTART = 1 << 16, 16
 BLOOM_BITS, BLOOM_PROBES = 10, 7
-MOST_WORDS = 1_200_000
+MOST_WORDS, MOST_LETTERS = 1_200_000, 32 << 20
+#: Text that a shard is meant for.
+SHARD_BYTES = 256 << 20
 
 
 def store(uri: str) -> tuple[pafs.FileSystem, str]:
@@ -217,15 +219,19 @@ class LibraryEncoder:
         self.special = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items()}
         self.mark = max(self.special, default=None)
         self.known: dict[str, bytes] = {}
+        self.held = 0  # letters of these words
 
     def _packed(self, ids: Iterable[int]) -> bytes:
         return np.array(ids, f"<u{self.width}").tobytes()
 
     def learn(self, words: set[str]) -> None:
         new = words - self.known.keys()
-        if len(self.known) + len(new) > MOST_WORDS:
+        size = sum(map(len, new))
+        if len(self.known) + len(new) > MOST_WORDS or self.held + size > MOST_LETTERS:
             self.known.clear()
-            new = words
+            new, self.held = words, 0
+            size = sum(map(len, new))
+        self.held += size
         alone = [w for w in new if self.mark is None or any(t in w for t in self.special)]
         self.known.update((w, self._packed(self.tokenizer.encode(w, add_special_tokens=False).ids)) for w in alone)
         rest = sorted(new.difference(alone))
@@ -254,16 +260,19 @@ def encoder(path: str) -> LibraryEncoder:
 # -- shards -------------------------------------------------------------------------------------------------------
 
 
-def write_shards(docs: DataFrame, tokenizer: str, end_id: int, folder: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def write_shards(docs: DataFrame, tokenizer: str, end_id: int, folder: str | None = None, id_col: str = "doc_id", text_col: str = "text", shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """Writes the shards now. Returns their manifest: shard, path, n_docs, n_tokens, first_token (ids of all shards before).
 
-    Shards are as many as the session's shuffle partitions. The tie columns keep a repeated id from filling one range."""
+    There is a shard for about each shard_bytes of text, so what a writer holds doesn't grow with the table; small tables have
+    one for each task that can run at once. The tie columns keep a repeated id from filling one range."""
     spark = docs.sparkSession
     folder = folder or new_path(spark, "shards")
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
     rows = rows.withColumns({"h": F.xxhash64("text"), "tie": F.monotonically_increasing_id()})
     order = [F.asc_nulls_first("doc_id"), "h", "tie"]
-    dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text", "h")
+    size = docs.agg(F.coalesce(F.sum(F.octet_length(docs[text_col].cast("string"))), F.lit(0))).first()[0]
+    shards = max(spark.sparkContext.defaultParallelism, -(-size // shard_bytes))
+    dealt = rows.repartitionByRange(shards, *order).sortWithinPartitions(*order).select("doc_id", "text", "h")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, root = store(folder)

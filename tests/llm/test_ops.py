@@ -79,6 +79,30 @@ def test_lines_oracle(spark, duck):
     compare(queries.op1_line_dedup(spark, DATA), duck, lines.ORACLE)
 
 
+def test_long_repeated_runs(spark):
+    rnd = random.Random(9)
+    lines_ = [f"line {i}" if i % 3 else f"a longer line with number {i}" for i in range(200)]
+    own = lambda: [f"own {rnd.random()} words here {rnd.random()}" for _ in range(rnd.randrange(1, 4))]
+    rows = [(0, own() + lines_[:150] + own()), (1, own() + lines_[20:120] + own() + lines_[100:200]), (2, lines_[90:200] + ["short"] + lines_[90:97]), (3, ["x y"] * 90 + ["end"]), (4, own() + ["x y"] * 70)]
+    rows = [(i, "\n".join(x)) for i, x in rows]
+    got = {r.doc_id: r.text for r in lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    texts, seen, want = {i: t.split("\n") for i, t in rows}, {}, {}
+    for i, t in texts.items():  # every run of up to 6 lines decides which lines go
+        dead = set()
+        for a in range(len(t)):
+            for b in range(a + 1, min(len(t), a + 6) + 1):
+                if sum(len(SPLIT(x)) for x in t[a:b]) >= 6 and seen.setdefault(tuple(t[a:b]), (i, a)) != (i, a):
+                    dead.update(range(a, b))
+        want[i] = "\n".join(x for k, x in enumerate(t) if k not in dead)
+    assert got == want and sum(len(t.split("\n")) for t in want.values()) < 330
+
+
+def test_lines_with_a_very_common_line(spark):
+    rows = [(i, f"the same common line of seven words\nnumber {i} has another line of its own\nthe same common line of seven words") for i in range(3000)]
+    got = {r.doc_id: r.text for r in lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: ("the same common line of seven words\n" if i == 0 else "") + f"number {i} has another line of its own" for i in range(3000)}
+
+
 def test_lines_empty(none):
     assert lines.dedup_lines(none).count() == 0
 
@@ -144,6 +168,44 @@ def test_large_components_are_cut(spark):
     assert {r.first_id: r.class_id for r in lead.collect()} == {i: c for (i, _), c in want.items()}
 
 
+def test_large_components_of_several_classes_are_cut(spark):
+    rnd = random.Random(4)
+    bases = []
+    for b in range(4):  # neighbours share 0.7 of their shingles: one component now and then, but classes of their own
+        words = [f"w{rnd.randrange(900)}" for _ in range(150)]
+        bases.append((bases[-1][:125] + words[:25]) if bases else words)
+    rows = []
+    for i in range(80):
+        w = list(bases[i % 4])
+        w[rnd.randrange(len(w))] = f"n{i}"
+        rows.append((i, " ".join(w)))
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute_classes(rows)
+    for most in (5, 30, 4000):
+        assert {r.first_id: r.class_id for r in minhash.classes(d, most_texts=most)[1].collect()} == {i: c for (i, _), c in want.items()}
+
+
+def test_one_hub_among_many(spark):
+    """A node that a third of all links hold: components are right, and no join deals its links to one task."""
+    rows = [(0, i) for i in range(1, 2000)] + [(i, i + 1) for i in range(5000, 8000, 2)]
+    got = {r.node: r.root for r in minhash.components(spark.createDataFrame(rows, "a long, b long"), "a", "b").collect()}
+    assert got == {i: 0 for i in range(2000)} | {i + k: i for i in range(5000, 8000, 2) for k in (0, 1)}
+
+
+def test_words_of_long_texts_are_hashed_in_pieces():
+    from marketloom.llm.shingles import word_hashes
+
+    rnd = random.Random(6)
+    raws = [b"".join(rnd.choice([b"a", b"bc", b" ", b"\n", b"  ", "é".encode()]) for _ in range(rnd.randrange(90))) for _ in range(40)] + [b"x" * 1000, b"", b" ", b"end"]
+    whole = word_hashes(raws)
+    for piece in (1, 2, 7, 64, 1000):
+        cut = word_hashes(raws, piece)
+        assert (cut[0] == whole[0]).all() and (cut[1] == whole[1]).all()
+    assert len(whole[0]) == sum(len(r.split()) for r in raws) and len(set(whole[1].tolist())) == len({w for r in raws for w in r.split()})
+    doc, cells = shingle_cells([b" ".join(b"w%d" % rnd.randrange(5000) for _ in range(3000)), b"a b c d e f g h"])
+    assert (minhash.signatures(doc, cells, 2) == minhash.signatures(doc, cells, 2, block=100)).all()
+
+
 def test_near_duplicates_empty(none):
     assert minhash.near_duplicates(none).count() == 0 and minhash.one_of_each(none).count() == 0
 
@@ -201,6 +263,22 @@ def test_mixing(docs):
     assert words == +taken
 
 
+def test_mixing_with_a_repeated_id(spark):
+    rows = [(7, f"text number {i} of {i % 5} words", "s") for i in range(3000)] + [(None, f"a {i}", "s") for i in range(3000)] + [(i, "same " * 9, "t") for i in range(500)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    u = d.select(F.substring(mixing.seeded_order(F.col("doc_id"), F.col("text")), 1, mixing.BUCKET).alias("b"))
+    assert u.groupBy("b").count().agg(F.max("count")).first()[0] < 20
+    taken = Counter()
+    for r in mixing.mix(d).collect():
+        taken[r.source, r.target] += r.taken
+    assert all(abs(n - goal) <= 1 for (_, goal), n in taken.items())
+    same = spark.createDataFrame([(1, "one two three", "s", i) for i in range(40)] + [(2, "one two three four", "t", 0)], "doc_id long, text string, source string, more int")
+    taken = Counter()
+    for r in mixing.mix(same).collect():
+        taken[r.source, r.target] += r.taken
+    assert all(abs(n - goal) <= 1 for (_, goal), n in taken.items())
+
+
 def test_mixing_oracle(spark, duck):
     compare(queries.op3_source_mixing(spark, DATA), duck, queries.oracle_sql()["op3_source_mixing"])
 
@@ -227,6 +305,39 @@ def test_top_k(spark):
     assert sorted(got, key=str) == sorted(want, key=str)
 
 
+def test_top_k_reads_few_exact_vectors(spark):
+    d = spark.read.parquet(DATA.replace("sf0.001", "sf0.1") + "/embeddings.parquet")
+    blocks = vafile.build(d)
+    asked, found = vafile.candidates(blocks, F.col("id") % 100 == 0)
+    n, q = d.count(), asked.count()
+    assert 10 * q <= found.count() < 0.1 * n * q
+    upper = {(r.query, r.name): r.upper for r in found.collect()}
+    scores = vafile._scored(found, asked, vafile.exact_vectors(blocks)).collect()
+    assert len(scores) == len(upper) and all(len({r.query for r in scores}) == q for _ in "x")
+    assert sum(upper.values()) >= sum(r.score for r in scores)
+
+
+def test_bounds_hold():
+    rnd = np.random.default_rng(7)
+    for spread in (1, 1000, 2**40):
+        x = (rnd.normal(size=(300, 9)) * spread).astype(np.int64)
+        x[:, 3] = 5
+        q = (rnd.normal(size=(7, 9)) * 50).astype(np.int64)
+        upper, lower = vafile.bounds(*vafile.pack(x), q)
+        assert (upper >= q @ x.T).all() and (lower <= q @ x.T).all()
+
+
+def test_top_k_with_a_vector_that_repeats(spark):
+    rows = [(i, [1.0, 0.5, 0.25] if i % 3 else [float(i % 7), 1.0, 0.0]) for i in range(3000)]
+    got = sorted((r.query_id, r.rank, r.vec_id, r.score) for r in vafile.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect())
+    x = np.floor(np.array([v for _, v in rows]) * 1024).astype(int)
+    want = []
+    for i in range(0, 3000, 100):
+        order = sorted((-int(s), j) for j, s in enumerate(x @ x[i]) if j != i)[:10]
+        want += [(i, k + 1, j, -s) for k, (s, j) in enumerate(order)]
+    assert got == sorted(want)
+
+
 def test_top_k_large_components(spark):
     d = spark.createDataFrame([(0, [1e12, 1.0]), (1, [1e12, 0.0]), (2, [-1e12, 0.0])], "vec_id long, embedding array<double>")
     assert [(r.vec_id, r.score) for r in vafile.top_k(d).orderBy("rank").collect()] == [(1, (1 << 63) - 1), (2, -(1 << 63))]
@@ -261,6 +372,81 @@ def test_quality_awkward(spark, docs, none):
     assert cotraining.score(none, cotraining.train(none, labels)).count() == 0
 
 
+def brute_logistic(x, y, weight, ridge):
+    """Newton steps, row by row."""
+    w = np.zeros(x.shape[1] + 1)
+    for _ in range(60):
+        slope = np.append(ridge * w[:-1], 1e-6 * w[-1])
+        bend = np.diag(np.append(np.full(x.shape[1], ridge), 1e-6))
+        for row, label, k in zip(x, y, weight):
+            row = np.append(row, 1.0)
+            p = 1 / (1 + np.exp(-(row @ w)))
+            slope += k * (p - label) * row
+            bend += k * max(p * (1 - p), 1e-6) * np.outer(row, row)
+        step = np.linalg.solve(bend, slope)
+        w = w - step * min(1.0, 5.0 / max(1e-12, np.abs(step).max()))
+    return w
+
+
+def test_co_training_rounds_by_brute_force():
+    rnd = np.random.default_rng(4)
+    y = (np.arange(40) * 7 % 5 < 2).astype(int)
+    views = [rnd.normal(size=(40, k)) + y[:, None] * 2.0 for k in (3, 2)]
+    z = rnd.integers(0, 2, 60)
+    pool = [rnd.normal(size=(60, k)) + z[:, None] * 3.0 for k in (3, 2)]
+    model = cotraining.co_train((views[0], views[1]), y, (pool[0], pool[1]), rounds=2)
+    train, held, taught = [i for i in range(40) if i % 4 != 3], [i for i in range(40) if i % 4 == 3], [{}, {}]
+    for step in range(3):
+        fits = []
+        for k in (0, 1):
+            rows = sorted(taught[k])
+            x = np.array([*views[k][train], *(pool[k][i] for i in rows)])
+            fits.append(brute_logistic(x, [*y[train], *(taught[k][i] for i in rows)], [1.0] * len(train) + [0.5] * len(rows), 0.3))
+        for k in (0, 1) if step < 2 else ():
+            p = {i: 1 / (1 + np.exp(-(pool[k][i] @ fits[k][:-1] + fits[k][-1]))) for i in range(60)}
+            for label in (1.0, 0.0):
+                sure = {i: v if label else 1 - v for i, v in p.items()}
+                share = y[train].mean() if label else 1 - y[train].mean()
+                for i in sorted(sure, key=lambda i: (-sure[i], i))[: (int(60 * 0.1 * share) + 1) * (step + 1)]:
+                    if sure[i] >= 0.95:
+                        taught[1 - k].setdefault(i, label)
+    assert taught[0] and taught[1]
+    for k in (0, 1):
+        assert np.allclose(model.views[k].weights, fits[k], atol=1e-6)
+    logits = []
+    for k in (0, 1):
+        raw = views[k][held] @ fits[k][:-1] + fits[k][-1]
+        a, b = brute_logistic(raw[:, None], y[held], [1.0] * len(held), 1e-2)
+        assert np.allclose((a, b), model.platt[k], atol=1e-5)
+        logits.append(a * raw + b)
+    assert np.allclose(model.joint, brute_logistic(np.stack(logits, 1), y[held], [1.0] * len(held), 0.1), atol=1e-5)
+
+
+def test_scores_of_a_table_by_brute_force(spark, docs):
+    d = spark.read.parquet(f"{DATA}/documents.parquet")
+    model = cotraining.train(d, spark.read.parquet(f"{DATA}/labels.parquet"))
+    for rows in (d, docs.select(d.columns)):
+        want = Counter()
+        for r in rows.collect():
+            x, m = np.array(cotraining.text_view(r.text)), np.array(cotraining.meta_view(r.lang, r.source, r.n_chars))
+            z = [np.clip(a * (v @ view.weights[:-1] + view.weights[-1]) + b, -30, 30) for (a, b), v, view in zip(model.platt, (x, m), model.views)]
+            p = [1 / (1 + np.exp(-t)) for t in (*z, np.array([*z, 1.0]) @ model.joint)]
+            want[r.doc_id, *(round(float(t), 6) for t in p), bool(p[2] >= 0.5)] += 1
+        assert Counter((r.doc_id, round(r.text_score, 6), round(r.meta_score, 6), round(r.score, 6), r.accepted) for r in cotraining.score(rows, model).collect()) == want
+        kept = Counter((r.doc_id, r.text) for r in cotraining.accepted(rows, model).collect())
+        texts = Counter((r.doc_id, r.text) for r in rows.collect())
+        assert kept == Counter({k: n for k, n in texts.items() if k[0] in {w[0] for w in want if w[4]}}) or None in {k[0] for k in texts}
+
+
+def test_training_sample_is_bounded_whatever_repeats(spark, monkeypatch):
+    rows = [(1, f"word {i} of some text", "en", "s", 5) for i in range(400)] + [(1, "same", "en", "s", 4)] * 300 + [(None, f"other {i % 7}", "en", "s", 4) for i in range(300)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    seen = []
+    monkeypatch.setattr(cotraining, "co_train", lambda views, y, pool, *a: seen.append((len(y), len(pool[0]))))
+    cotraining.train(d, spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int"), most_labelled=50, most_pool=60)
+    assert 20 < seen[0][0] < 180 and seen[0][1] < 180
+
+
 def test_letters_count_the_same_at_every_length():
     for part in ("12345 AB 678,90\n", "Привет Мир ABC ", "日本語 X1 ", "plain Words "):
         short, long = cotraining.text_view(part * 20), cotraining.text_view(part * 2000)
@@ -295,6 +481,42 @@ def test_compression(spark, docs, none):
     assert compression.judge(none).count() == 0
 
 
+def brute_verdict(text):
+    """ratio, odd share and verdict, text by text."""
+    import zstandard
+
+    raw = (text or "").encode()
+    pack = lambda x: len(x) / len(zstandard.ZstdCompressor(level=3, write_checksum=False, write_content_size=False).compress(x)) if x else 0.0
+
+    def fits(x, n):
+        for most, low, high in compression.BANDS:
+            if n <= most:
+                return low <= x <= high
+
+    odd, at = 0, 0
+    while at < len(raw):
+        part = raw[at : at + 4096]
+        good = 1.95 <= pack(part) <= 2.36 if len(part) == 4096 else fits(pack(part), len(part))
+        odd += 0 if good else len(part)
+        at += 4096
+    return round(pack(raw), 9), round(odd / max(1, len(raw)), 9), not brute_base(text)[-1] and fits(pack(raw), len(raw)) and 2 * odd <= len(raw)
+
+
+def test_verdicts_by_brute_force(spark, docs):
+    for d in (docs, spark.read.parquet(f"{DATA}/documents.parquet")):
+        want = Counter((r.doc_id, *brute_verdict(r.text)) for r in d.collect())
+        assert Counter((r.doc_id, round(r.ratio, 9), round(r.odd_share, 9), r.kept) for r in compression.judge(d).collect()) == want
+        assert len({k[3] for k in want}) == 2
+
+
+def test_bands_can_be_fitted(spark):
+    d = spark.read.parquet(f"{DATA}/documents.parquet").join(spark.read.parquet(f"{DATA}/labels.parquet").where("quality = 1"), "doc_id").select("doc_id", "text")
+    bands = compression.fit_bands(d)
+    assert [b.most_bytes for b in bands] == [b.most_bytes for b in compression.BANDS] and all(b.least < b.most for b in bands)
+    r = compression.judge(d, bands=bands, chunk_share=1.0)
+    assert r.where("kept or base_failed").count() == r.count()
+
+
 def test_bands_reject_loops_and_noise():
     import zstandard
 
