@@ -7,9 +7,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from marketloom.functions.shipping import ship
 from marketloom.operators.asof import asof
 
 POSITION = ("account", "symbol")
@@ -67,7 +69,7 @@ def realized(trades: DataFrame, keys: Sequence[str] = POSITION) -> DataFrame:
 
 def average_cost(trades: DataFrame, keys: Sequence[str] = POSITION) -> DataFrame:
     """keys, quantity, cost, realized_pnl by average cost: a fold over each ledger's events in order; a sell takes its share
-    of the cost, and a position that is sold out starts anew."""
+    of the cost, and a position that is sold out starts anew. A ledger is one account's trades of one symbol."""
     event = F.struct("date", "id", signed().alias("q"), (F.col("quantity") * F.col("price")).alias("gross"), (F.col("fee") + F.col("tax")).alias("charges"))
     events = trades.groupBy(*keys).agg(F.sort_array(F.collect_list(event)).alias("events"))
     zero = F.struct(F.lit(0.0).alias("q"), F.lit(0.0).alias("cost"), F.lit(0.0).alias("pnl"))
@@ -82,16 +84,63 @@ def average_cost(trades: DataFrame, keys: Sequence[str] = POSITION) -> DataFrame
     return df.select(*keys, F.col("end.q").alias("quantity"), F.col("end.cost").alias("cost"), F.col("end.pnl").alias("realized_pnl"))
 
 
+def average_cost_sells(trades: DataFrame, keys: Sequence[str] = POSITION) -> DataFrame:
+    """keys, date, amount: the profit of each sell by average cost. The same fold, a ledger at a time in pandas, since a fold
+    in the JVM gives its end only."""
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        q, cost, rows = 0.0, 0.0, []
+        for i, x in group.sort_values(["date", "id"]).iterrows():
+            gross, charges = x["quantity"] * x["price"], x["fee"] + x["tax"]
+            if x["side"] != "sell":
+                q, cost = q + x["quantity"], cost + gross + charges
+                continue
+            part = cost * x["quantity"] / q if q > EPS else 0.0
+            q -= x["quantity"]
+            cost = 0.0 if abs(q) < EPS else cost - part
+            q = 0.0 if abs(q) < EPS else q
+            rows.append((*(x[k] for k in keys), x["date"], gross - charges - part))
+        return pd.DataFrame(rows, columns=[*keys, "date", "amount"])
+
+    ship(trades.sparkSession)
+    kinds = dict(trades.dtypes)
+    rows = trades.select(*keys, "date", "id", "side", "quantity", "price", "fee", "tax")
+    return rows.groupBy(*keys).applyInPandas(run, ", ".join(f"{k} {kinds[k]}" for k in (*keys, "date")) + ", amount double")
+
+
+#: Parts that the amounts of a currency and month are dealt to; the few rates of the month stand in each.
+SALT = 8
+
+
+def _rate_at(amounts: DataFrame, rates: DataFrame, take: str) -> DataFrame:
+    """amounts: currency, base, on. Adds `take`: the latest rate of (currency, base) by then. Rates are spread over the months in
+    which they hold, so that months are partitions of their own."""
+    keys = ("currency", "base")
+    newest = F.lit(rates.agg(F.trunc(F.max("rate_date"), "month")).first()[0]).cast("date")  # of a small table
+    after = F.lead("rate_date").over(Window.partitionBy(*keys).orderBy("rate_date"))
+    months = F.explode(F.sequence(F.trunc("rate_date", "month"), F.when(F.col("_after").isNull(), newest).otherwise(F.greatest(F.trunc("rate_date", "month"), F.trunc(F.date_sub("_after", 1), "month"))), F.expr("interval 1 month")))
+    held = rates.withColumn("_after", after).select(*keys, "rate_date", "rate", "is_stale", months.alias("month")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    df = amounts.withColumns({"month": F.least(F.trunc("on", "month"), newest), "salt": F.pmod(F.xxhash64("on", "amount", "currency"), F.lit(SALT)).cast("int")})
+    return asof(df, held, [*keys, "month", "salt"], "on", "rate_date", take).drop("month", "salt")
+
+
+def to_base(amounts: DataFrame, rates: DataFrame) -> DataFrame:
+    """amounts: currency, base, on, amount. Adds converted and stale: the latest direct rate by then, else one over the latest
+    inverse, else 1 and stale; a rate that isn't positive doesn't count. Nothing is converted in the same currency; amounts
+    about zero give 0."""
+    direct = rates.select(F.col("from_currency").alias("currency"), F.col("to_currency").alias("base"), "rate_date", "rate", "is_stale")
+    inverse = rates.select(F.col("to_currency").alias("currency"), F.col("from_currency").alias("base"), "rate_date", "rate", "is_stale")
+    df = _rate_at(_rate_at(amounts, direct, "_d"), inverse, "_i")
+    same, small = F.col("currency") == F.col("base"), F.abs("amount") <= EPS
+    d, i = F.when(F.col("_d.rate") > 0, F.col("_d.rate")), F.when(F.col("_i.rate") > 0, F.col("_i.rate"))
+    rate = F.coalesce(d, 1.0 / i, F.lit(1.0))
+    stale = F.when(d.isNotNull(), F.col("_d.is_stale")).when(i.isNotNull(), F.col("_i.is_stale")).otherwise(True)
+    return df.withColumn("converted", F.when(small, 0.0).when(same, F.col("amount")).otherwise(F.col("amount") * rate)).withColumn("stale", F.when(small | same, False).otherwise(stale)).drop("_d", "_i")
+
+
 def to_currency(amounts: DataFrame, rates: DataFrame, to: str = "CNY") -> DataFrame:
-    """amounts: currency, on, amount. Adds converted and stale: the latest direct rate by then, else one over the latest
-    inverse, else 1 and stale. Nothing is converted in the same currency; amounts about zero give 0."""
-    direct = rates.where(F.col("to_currency") == to).select(F.col("from_currency").alias("currency"), "rate_date", "rate", "is_stale")
-    inverse = rates.where(F.col("from_currency") == to).select(F.col("to_currency").alias("currency"), "rate_date", "rate", "is_stale")
-    df = asof(amounts, direct, ["currency"], "on", "rate_date", "_d")
-    df = asof(df, inverse, ["currency"], "on", "rate_date", "_i")
-    same, small = F.col("currency") == to, F.abs("amount") <= EPS
-    rate = F.coalesce("_d.rate", F.try_divide(F.lit(1.0), "_i.rate"), F.lit(1.0))
-    return df.withColumn("converted", F.when(small, 0.0).when(same, F.col("amount")).otherwise(F.col("amount") * rate)).withColumn("stale", F.when(small | same, False).otherwise(F.coalesce("_d.is_stale", "_i.is_stale", F.lit(True)))).drop("_d", "_i")
+    """to_base() with one base for all."""
+    return to_base(amounts.withColumn("base", F.lit(to)), rates).drop("base")
 
 
 def valued(held: DataFrame, closes: DataFrame) -> DataFrame:

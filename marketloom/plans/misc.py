@@ -65,7 +65,7 @@ def labels_of_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", text.volume_bucket(F.col("value") / 40).alias("volume"), text.sentiment(F.col("value")).alias("sentiment"))
 
 
-@query(f"""WITH RECURSIVE e AS (SELECT user_id % 20 AS account, CAST(ts AS DATE) AS "on", CASE event_id % 5 WHEN 0 THEN 0 WHEN 1 THEN 1 WHEN 2 THEN 1 ELSE 2 END AS priority, event_id AS id, event_id % 5 AS k, floor(value) + 1 AS quantity FROM events WHERE event_id < 4000),
+@query(f"""WITH RECURSIVE e AS (SELECT user_id % 20 AS account, CAST(ts AS DATE) AS "on", CASE event_id % 5 WHEN 0 THEN 0 WHEN 1 THEN 1 WHEN 2 THEN 1 ELSE 2 END AS priority, event_id AS id, event_id % 5 AS k, floor(value) + 1 AS quantity FROM events),
   s AS (SELECT *, row_number() OVER (PARTITION BY account ORDER BY "on", priority, id) AS n FROM e), f AS (
   SELECT DISTINCT account, 0::BIGINT AS n, 0.0::DOUBLE AS q, 0.0::DOUBLE AS cost, 0.0::DOUBLE AS cash FROM e
   UNION ALL SELECT f.account, s.n, CASE k WHEN 1 THEN q WHEN 2 THEN q * 1.001 WHEN 0 THEN q ELSE q + quantity END, CASE WHEN k >= 3 THEN cost + quantity * 2 + 0.5 ELSE cost END,
