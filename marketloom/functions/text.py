@@ -63,8 +63,8 @@ def dividend_per_share(plan: Column) -> Column:
 
 
 def trade_side(text: Column) -> Column:
-    t = F.lower(F.trim(text))
-    return F.when(t.isin("buy", "b", "买", "买入", "证券买入", "1"), "buy").when(t.isin("sell", "s", "卖", "卖出", "证券卖出", "2"), "sell").when(t.contains("买") | t.startswith("buy"), "buy").when(t.contains("卖") | t.startswith("sell"), "sell")
+    t = F.regexp_replace(F.lower(F.trim(text)), " ", "")
+    return F.when(t.isin("buy", "b", "买", "买入", "证券买入", "普通买入"), "buy").when(t.isin("sell", "s", "卖", "卖出", "证券卖出", "普通卖出"), "sell").when(t.contains("买入") | t.startswith("买"), "buy").when(t.contains("卖出") | t.startswith("卖"), "sell")
 
 
 def dedup_hash(*parts: Column) -> Column:

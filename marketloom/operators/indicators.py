@@ -269,12 +269,11 @@ def double_bottom(bars: DataFrame, days: int = 60) -> DataFrame:
 
 
 def rule_strategies(bars: DataFrame) -> DataFrame:
-    """code, date, strategy: the machine-checkable strategies that each bar meets."""
+    """code, date, strategy: the strategies of averages and volumes that each bar meets; strategies.py has those of shapes."""
     df = moving_averages(bars)
     prev5 = F.avg("volume").over(W().rowsBetween(-5, -1))
     df = df.withColumns({"ratio": F.try_divide("volume", prev5), "bias": F.try_divide((F.col("close") - F.col("ma5")) * 100, "ma5"), "hi20": F.max("high").over(W().rowsBetween(-20, -1)), "above": (F.col("ma5") > F.col("ma10")).cast("int")})
     df = df.withColumns({"cross": (F.col("above") == 1) & (F.lag("above").over(W()) == 0), "ma20_before": F.lag("ma20", 5).over(W()), "top": F.try_divide(F.col("close") - F.col("low"), F.col("high") - F.col("low"))})
-    df = df.withColumn("boxed", (F.max("high").over(back(9)) / F.min("low").over(back(9)) < 1.08) & (F.count("*").over(back(9)) == 10))
     df = df.withColumn("crossed", F.max(F.col("cross").cast("int")).over(back(2)) == 1)
     c = F.col
     near = lambda m, t: F.abs(c("close") - c(m)) / c(m) <= t
@@ -284,7 +283,6 @@ def rule_strategies(bars: DataFrame) -> DataFrame:
         "volume_breakout": (c("ratio") > 2) & (c("close") > c("hi20")) & (c("top") >= 0.7) & (c("bias") < 5),
         "bottom_volume": (c("close") <= c("hi20") * 0.85) & (c("ratio") > 3) & (c("close") > c("open")),
         "bull_trend": (c("ma5") >= c("ma10")) & (c("ma10") >= c("ma20")) & (c("ma20") > c("ma20_before")),
-        "box_oscillation": c("boxed"),
     }
     met = F.filter(F.array(*(F.when(rule, F.lit(name)) for name, rule in rules.items())), lambda x: x.isNotNull())
     return df.select("code", "date", F.explode(met).alias("strategy"))

@@ -62,6 +62,11 @@ def primary_board(boards: DataFrame) -> DataFrame:
     return named.groupBy("code").agg(F.min_by("name", F.struct((~industry).alias("other"), "ord")).alias("board"))
 
 
+def with_boards(symbols: DataFrame, boards: DataFrame) -> DataFrame:
+    """symbols: code. Its primary board, UNCLASSIFIED without one."""
+    return symbols.join(primary_board(boards), "code", "left").select("code", F.coalesce("board", F.lit("UNCLASSIFIED")).alias("board"))
+
+
 def first_activity(ledgers: Sequence[DataFrame]) -> DataFrame:
     """ledgers: account, on. The first day of each account over all of them."""
     every = ledgers[0]

@@ -235,14 +235,12 @@ def candle_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH {MA}, v AS (
   SELECT *, volume / avg(volume) OVER ({W} ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING) AS ratio, (close - ma5) * 100 / ma5 AS bias, max(high) OVER ({W} ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING) AS hi20,
-    CASE WHEN ma5 > ma10 THEN 1 WHEN ma5 <= ma10 THEN 0 END AS above, {_l('ma20', 5)} AS ma20_before, CASE WHEN high <> low THEN (close - low) / (high - low) END AS top,
-    max(high) OVER ({W} ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) / min(low) OVER ({W} ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) AS box, count(*) OVER ({W} ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) AS box_n FROM ma
+    CASE WHEN ma5 > ma10 THEN 1 WHEN ma5 <= ma10 THEN 0 END AS above, {_l('ma20', 5)} AS ma20_before, CASE WHEN high <> low THEN (close - low) / (high - low) END AS top FROM ma
 ), x AS (SELECT *, CASE WHEN above = 1 AND {_l('above')} = 0 THEN 1 ELSE 0 END AS crossing FROM v), y AS (SELECT *, max(crossing) OVER ({W} ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) = 1 AS crossed FROM x)
 SELECT code, date, 'ma_golden_cross' AS strategy FROM y WHERE crossed AND ratio > 1.2 AND bias < 5
 UNION ALL SELECT code, date, 'shrink_pullback' FROM y WHERE ma5 > ma10 AND ma10 > ma20 AND (abs(close - ma5) / ma5 <= 0.01 OR abs(close - ma10) / ma10 <= 0.02) AND ratio < 0.7
 UNION ALL SELECT code, date, 'volume_breakout' FROM y WHERE ratio > 2 AND close > hi20 AND top >= 0.7 AND bias < 5
 UNION ALL SELECT code, date, 'bottom_volume' FROM y WHERE close <= hi20 * 0.85 AND ratio > 3 AND close > open
-UNION ALL SELECT code, date, 'bull_trend' FROM y WHERE ma5 >= ma10 AND ma10 >= ma20 AND ma20 > ma20_before
-UNION ALL SELECT code, date, 'box_oscillation' FROM y WHERE box < 1.08 AND box_n = 10""")
+UNION ALL SELECT code, date, 'bull_trend' FROM y WHERE ma5 >= ma10 AND ma10 >= ma20 AND ma20 > ma20_before""")
 def rule_strategies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ind.rule_strategies(bars(spark, sf_dir))

@@ -25,12 +25,33 @@ RAW = """raw AS (SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN ' sh' || s WHE
   WHEN regexp_matches(c, '^HK[0-9]{{1,5}}$') THEN 'HK' || lpad(substr(c, 3), 5, '0') WHEN regexp_matches(c, '^[0-9]{{1,5}}[.]HK$') THEN 'HK' || lpad(regexp_extract(c, '^([0-9]+)', 1), 5, '0')
   WHEN regexp_matches(c, '^[0-9]{{5,6}}[.](SH|SZ|SS|BJ)$') THEN regexp_extract(c, '^([0-9]+)', 1) ELSE c END AS code FROM c)
 SELECT p_partkey, code, CASE WHEN regexp_matches(c, '^HK[0-9]{{1,5}}$') OR regexp_matches(c, '^[0-9]{{1,5}}[.]HK$') OR regexp_matches(c, '^[0-9]{{5}}$') THEN 'hk' WHEN regexp_matches(c, '^[A-Z]{{1,5}}([.][A-Z])?$') THEN 'us' ELSE 'cn' END AS market,
-  CASE WHEN regexp_matches(code, '^(60|90)') THEN 'SSE' WHEN regexp_matches(code, '^(00|20|30)') THEN 'SZSE' WHEN regexp_matches(code, '^(4|8|92)') THEN 'BSE' ELSE 'CN' END AS exchange FROM n""")
+  CASE WHEN substr(code, 1, 3) IN ('600', '601', '603', '605') THEN 'SSE' WHEN substr(code, 1, 3) IN ('000', '001', '002', '003', '300') THEN 'SZSE' WHEN substr(code, 1, 3) = '430' OR substr(code, 1, 2) IN ('83', '87', '92') THEN 'BSE' ELSE 'CN' END AS exchange FROM n""")
 def code_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = _codes(spark, sf_dir).withColumn("code", codes.normalize(F.col("raw")))
     return df.select("p_partkey", "code", codes.market(F.col("raw")).alias("market"), codes.exchange(F.col("code")).alias("exchange"))
 
 
+#: Codes that meet every branch of the rules.
+SAMPLES = ("600519", "601398", "603288", "605001", "604001", "688001", "000001", "001979", "002594", "003816", "004001", "300750", "301001", "430047", "400001", "838163", "870001", "880001", "920001", "900901", "510300", "159915", "HK00700", "hk700", "700.HK", "00700", "HK1234567", "SH600519", "sz000001", "SS600000", "bj920748", "600519.SH", "600519 .ss", "aapl", "BRK.B", "SPX", "^gspc", "GSPC", "DJIA", "^DJI", "NASDAQ", "^ixic", "NDX", "VIX", "^RUT", "SOX", "TOOLONG", "", "12", "hk")
+FUND_NAMES = ("Tracker Fund of Hong Kong", "SPDR S&P 500 ETF Trust", "plain company", "")
+
+
+@query(f"""WITH s AS (SELECT p_partkey, [{', '.join(f"'{x}'" for x in SAMPLES)}][p_partkey % {len(SAMPLES)} + 1] AS raw, [{', '.join(f"'{x}'" for x in FUND_NAMES)}][p_partkey // {len(SAMPLES)} % 4 + 1] AS name FROM part),
+  c AS (SELECT *, upper(trim(raw)) AS c, split_part(trim(raw), '.', 1) AS stem FROM s), i AS (SELECT *, c IN ('SPX', '^GSPC', 'GSPC', 'DJI', '^DJI', 'DJIA', 'IXIC', '^IXIC', 'NASDAQ', 'NDX', '^NDX', 'VIX', '^VIX', 'RUT', '^RUT') AS idx, regexp_matches(c, '^[A-Z]{{1,5}}([.][A-Z])?$') AS ticker FROM c),
+  f AS (SELECT *, regexp_matches(upper(stem), '^[A-Z]{{1,5}}$') OR upper(stem) LIKE 'HK%' OR regexp_matches(stem, '^[0-9]{{5}}$') AS stem_foreign FROM i)
+SELECT p_partkey, CASE WHEN idx OR ticker THEN 'us' WHEN (c LIKE '%.HK' AND regexp_matches(c[:-4], '^[0-9]{{1,5}}$')) OR (c LIKE 'HK%' AND regexp_matches(c[3:], '^[0-9]{{1,5}}$')) OR regexp_matches(c, '^[0-9]{{5}}$') THEN 'hk' ELSE 'cn' END AS tag, idx AS us_index,
+  length(stem) = 6 AND regexp_matches(stem, '^[0-9]+$') AND (stem[1] IN ('4', '8') OR stem[:2] = '92') AS bse, stem[:3] = '688' OR stem[:2] = '30' AS growth,
+  CASE WHEN regexp_matches(c, '^[0-9]{{5,6}}$') OR ticker THEN c WHEN c[-3:] IN ('.SH', '.SZ', '.SS') AND regexp_matches(trim(c[:-4]), '^[0-9]{{5,6}}$') THEN trim(c[:-4]) WHEN c[:2] IN ('SH', 'SZ', 'SS') AND regexp_matches(c[3:], '^[0-9]{{6}}$') THEN c[3:] WHEN c[:2] = 'HK' AND regexp_matches(c[3:], '^[0-9]{{5}}$') THEN c[3:] END AS imported,
+  ticker OR c LIKE 'HK%' OR regexp_matches(c, '^[0-9]{{5}}$') AS foreign_,
+  stem <> '' AND ((length(stem) = 6 AND regexp_matches(stem, '^[0-9]+$') AND stem[:2] IN ('51', '52', '56', '58', '15', '16', '18')) OR upper(stem) IN ('SPX', '^GSPC', 'GSPC', 'DJI', '^DJI', 'DJIA', 'IXIC', '^IXIC', 'NASDAQ', 'NDX', '^NDX', 'VIX', '^VIX', 'RUT', '^RUT')
+    OR (stem_foreign AND regexp_matches(upper(name), 'ETF|FUND|TRUST|INDEX|TRACKER|UNIT'))) AS fund FROM f""")
+def code_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    of = lambda xs, k: F.element_at(F.array(*map(F.lit, xs)), (k + 1).cast("int"))
+    k, raw = F.col("p_partkey"), F.col("raw")
+    df = table(spark, sf_dir, "part").select(k, of(SAMPLES, k % len(SAMPLES)).alias("raw"), of(FUND_NAMES, F.floor(k / len(SAMPLES)) % 4).alias("name"))
+    return df.select("p_partkey", codes.market_tag(raw).alias("tag"), codes.is_us_index(raw).alias("us_index"), codes.is_bse(raw).alias("bse"), codes.is_growth_board(raw).alias("growth"), codes.import_code(raw).alias("imported"), codes.is_foreign(raw).alias("foreign_"), codes.is_index_or_fund(raw, F.col("name")).alias("fund"))
+
+
 @query("""SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN o_totalprice WHEN 1 THEN floor(o_totalprice) WHEN 2 THEN floor(o_totalprice) / 2 WHEN 3 THEN NULL ELSE floor(o_totalprice) + 0.5 END AS price FROM orders""")
 def price_point_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = F.floor("o_totalprice")

@@ -5,6 +5,7 @@ reader never sees half a table and a failed job leaves the old state."""
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -21,6 +22,48 @@ def inserted(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     return new.join(old.select(*keys), keys, "left_anti")
 
 
+def replace_keys(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
+    """All old rows of the new rows' keys go; new keys may have several rows."""
+    return without_keys(old, new, keys).unionByName(new)
+
+
+def without_keys(old: DataFrame, gone: DataFrame, keys: list[str]) -> DataFrame:
+    return old.join(gone.select(*keys).distinct(), keys, "left_anti")
+
+
+def appended(old: DataFrame, new: DataFrame) -> DataFrame:
+    """Rows of usage, messages, histories and snapshots are only ever added; columns that either lacks are null."""
+    return old.unionByName(new, allowMissingColumns=True)
+
+
+def snapshot_rows(blocks: DataFrame) -> DataFrame:
+    """blocks: query_id, code, and any columns. Rows of the table of fundamental snapshots: the rest as a JSON payload."""
+    rest = [c for c in blocks.columns if c not in ("query_id", "code")]
+    return blocks.select("query_id", "code", F.to_json(F.struct(*rest)).alias("payload"))
+
+
+def history_rows(results: DataFrame) -> DataFrame:
+    """results: query_id, code, score, advice, dashboard (JSON). Rows of the analysis history, with its four prices."""
+    from marketloom.functions.payloads import price_points
+
+    return results.select("query_id", "code", "score", "advice", price_points(F.col("dashboard")).alias("p")).select("query_id", "code", "score", "advice", "p.*")
+
+
+def report_file(lines: DataFrame, path: str) -> None:
+    """A report as one text file: lines: ord, value."""
+    lines.orderBy("ord").select("value").coalesce(1).write.mode("overwrite").text(path)
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder that driver and executors share; one of this machine only where there are no others (tests)."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="marketloom-")
+    return f"{base}/{name}/{uuid.uuid4().hex}"
+
+
 def merge_news(old: DataFrame, new: DataFrame, key: str = "key", keep_first: tuple[str, ...] = ("query_id",)) -> DataFrame:
     """Upsert by key in which blanks don't replace values, and the first query id stays."""
     a, b = old.alias("a"), new.alias("b")
@@ -83,6 +126,7 @@ def store(df: DataFrame, path: str) -> None:
 #: Column names of the sources of bars, and what their units are multiplied by.
 SOURCES = {
     "tushare": ({"trade_date": "date", "vol": "volume"}, {"volume": 100.0, "amount": 1000.0}),
+    "efinance": ({"股票代码": "code", "日期": "date", "开盘": "open", "收盘": "close", "最高": "high", "最低": "low", "成交量": "volume", "成交额": "amount", "涨跌幅": "pct_chg"}, {}),
     "akshare": ({"日期": "date", "开盘": "open", "最高": "high", "最低": "low", "收盘": "close", "成交量": "volume", "成交额": "amount", "涨跌幅": "pct_chg"}, {}),
     "baostock": ({"pctChg": "pct_chg"}, {}),
     "yfinance": ({"Date": "date", "Open": "open", "High": "high", "Low": "low", "Close": "close", "Volume": "volume"}, {}),
@@ -97,7 +141,7 @@ def normalize_source(raw: DataFrame, source: str) -> DataFrame:
     names, scale = SOURCES[source]
     back = {v: k for k, v in names.items()}
     col = lambda c: F.col(f"`{back[c]}`") if back.get(c) in raw.columns else F.col(c) if c in raw.columns else F.lit(None)
-    df = raw.select(F.col("code"), col("date").cast("string").try_cast("date").alias("date"), *((col(c).cast("string").try_cast("double") * scale.get(c, 1.0)).alias(c) for c in BAR))
+    df = raw.select(col("code").alias("code"), col("date").cast("string").try_cast("date").alias("date"), *((col(c).cast("string").try_cast("double") * scale.get(c, 1.0)).alias(c) for c in BAR))
     df = df.dropna(subset=["close", "volume"])
     for c in ("open", "high", "low"):
         df = df.withColumn(c, F.coalesce(c, "close"))
@@ -114,20 +158,15 @@ def failover(sources: list[DataFrame]) -> DataFrame:
     return every.withColumn("_m", F.min("_p").over(Window.partitionBy("code"))).where("_p = _m").drop("_m").withColumnRenamed("_p", "source")
 
 
-#: Headers of brokers' trade files.
-BROKER_COLUMNS = {"date": ("成交日期", "交易日期", "date"), "symbol": ("证券代码", "股票代码", "symbol"), "side": ("买卖标志", "操作", "买卖方向", "side"), "quantity": ("成交数量", "数量", "quantity"), "price": ("成交价格", "成交均价", "price"), "fee": ("手续费", "佣金", "fee"), "tax": ("印花税", "tax")}
+def trade_csv(spark: SparkSession, path: str, broker: str = "huatai") -> DataFrame:
+    """A broker's files; see brokers.trade_files."""
+    from marketloom.sources.brokers import trade_files
 
+    return trade_files(spark, path, broker)
 
-def trade_csv(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFrame:
-    """A broker's file: first filled candidate of each column, sides normalised, with the hash that finds repeats."""
-    from marketloom.functions.text import dedup_hash, number, trade_side
 
-    raw = spark.read.option("header", True).option("encoding", encoding).csv(path)
-    pick = lambda names: F.coalesce(*(F.nullif(F.trim(F.col(f"`{c}`")), F.lit("")) for c in names if c in raw.columns), F.lit(None).cast("string"))
-    df = raw.select(*(pick(v).alias(k) for k, v in BROKER_COLUMNS.items()))
-    df = df.select(F.coalesce(F.col("date").try_cast("date"), F.to_date(F.try_to_timestamp("date", F.lit("yyyyMMdd")))).alias("date"), "symbol", trade_side(F.col("side")).alias("side"), *(number(F.col(c)).alias(c) for c in ("quantity", "price", "fee", "tax"))).fillna(0.0, ["fee", "tax"])
-    sized = [F.format_string("%.8f", c) for c in ("quantity", "price", "fee", "tax")]
-    return df.withColumn("dedup_hash", dedup_hash(F.col("date"), F.col("symbol"), F.col("side"), *sized))
+#: Most bytes of a watch list, and of one that is pasted as text.
+MOST_FILE, MOST_TEXT = 2 << 20, 100 << 10
 
 
 def watch_list(spark: SparkSession, path: str) -> DataFrame:
