@@ -37,8 +37,9 @@ from marketloom.llm.shingles import mix, shingle_cells
 
 BANDS, ROWS = 20, 5
 LEAST = 0.8
-#: What one task compares at a time: texts, and bytes of text. Components beyond it are cut; the classes are the same.
-MOST_TEXTS, MOST_BYTES = 4000, 24 << 20
+#: What is compared at a time: texts, texts in the second step, and bytes of text. Components beyond it are cut; the classes are
+#: the same.
+MOST_TEXTS, MOST_REST, MOST_BYTES = 128, 1024, 12 << 20
 _POISSON = np.cumsum([math.exp(-1) / math.factorial(i) for i in range(14)])
 _UNIT = 2.0**-53
 
@@ -177,7 +178,7 @@ def _compared(members: DataFrame, least: float) -> DataFrame:
     return on_batches(dealt, run, "digest binary, lead binary")
 
 
-def classes(docs: DataFrame, least: float = LEAST, id_col: str = "doc_id", text_col: str = "text", most_texts: int = MOST_TEXTS, most_bytes: int = MOST_BYTES) -> tuple[DataFrame, DataFrame]:
+def classes(docs: DataFrame, least: float = LEAST, id_col: str = "doc_id", text_col: str = "text", most_texts: int = MOST_TEXTS, most_rest: int = MOST_REST, most_bytes: int = MOST_BYTES) -> tuple[DataFrame, DataFrame]:
     """(rows, texts). rows: doc_id, digest of each row. texts: digest, first_id, lead, class_id of each text with words;
     lead is the digest of the text that stands for the class."""
     rows = written(sketch(docs, id_col, text_col), "sketch")
@@ -188,8 +189,8 @@ def classes(docs: DataFrame, least: float = LEAST, id_col: str = "doc_id", text_
     # written, so that both sides of the join are dealt anew and a hot bucket's partition can be split
     links = met.join(written(least_in, "buckets"), "bucket").where("digest <> least").select("digest", "least").distinct()
     members = components(links, "digest", "least").withColumnRenamed("node", "digest").join(texts.drop("bands"), "digest")
-    parts_of = lambda rows: rows.groupBy("root").agg(F.greatest(F.ceil(F.count("*") / F.lit(most_texts)), F.ceil(F.sum("bytes") / F.lit(most_bytes))).cast("int").alias("parts"))
-    members = written(members.join(written(parts_of(members), "sizes"), "root").withColumn("part", F.pmod(F.xxhash64("digest"), F.col("parts")).cast("int")), "members")
+    parts_of = lambda rows, most: rows.groupBy("root").agg(F.greatest(F.ceil(F.count("*") / F.lit(most)), F.ceil(F.sum("bytes") / F.lit(most_bytes))).cast("int").alias("parts"))
+    members = written(members.join(written(parts_of(members, most_texts), "sizes"), "root").withColumn("part", F.pmod(F.xxhash64("digest"), F.col("parts")).cast("int")), "members")
     text = docs[text_col].cast("string")
     source = docs.select(docs[id_col].cast("long").alias("first_id"), text.alias("text"), digest(text).alias("digest"))
 
@@ -207,12 +208,14 @@ def classes(docs: DataFrame, least: float = LEAST, id_col: str = "doc_id", text_
         grouped = lambda links: members.select("digest").join(components(links, "digest", "lead").withColumnRenamed("node", "digest"), "digest", "left").select("digest", F.coalesce("root", "digest").alias("group"))
         large = members.where("parts > 1").join(grouped(pairs).withColumnRenamed("group", "known"), "digest")
         largest = large.groupBy("root", "known").count().groupBy("root").agg(F.max_by("known", F.struct("count", "known")).alias("largest"))
-        large = written(large.join(written(largest, "largest"), "root"), "large")
-        rest = large.where("known <> largest").drop("parts", "part")
-        sizes = written(parts_of(rest).withColumnRenamed("parts", "rest_parts"), "sizes")
-        rest = rest.join(sizes, "root").join(large.select("root", "parts").distinct(), "root")
+        large = written(large.drop("parts", "part").join(written(largest, "largest"), "root"), "large")
+        rest = large.where("known <> largest")
+        sizes = parts_of(rest, most_rest).withColumnRenamed("parts", "rest_parts").join(parts_of(large, most_rest), "root")
+        sizes = written(sizes, "sizes")  # of components in which something is left
+        large = large.join(sizes, "root").withColumn("part", F.pmod(F.xxhash64("digest"), F.col("parts")).cast("int"))
+        rest = rest.join(sizes, "root")
         some = rest.withColumn("p", F.pmod(F.xxhash64("digest", F.lit(1)), F.col("rest_parts")).cast("int")).withColumn("q", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        every = large.join(sizes, "root").withColumn("q", F.col("part")).withColumn("p", F.explode(F.sequence(F.lit(0), F.col("rest_parts") - 1)))
+        every = large.withColumn("q", F.col("part")).withColumn("p", F.explode(F.sequence(F.lit(0), F.col("rest_parts") - 1)))
         cols = ("digest", "first_id", "root", "p", "q", "known")
         pairs = grouped(pairs.unionByName(compared(some.select(*cols).unionByName(every.select(*cols)))))
     named = texts.select("digest", "first_id").join(pairs, "digest", "left").select("digest", "first_id", F.coalesce("group", "digest").alias("group"))
