@@ -218,12 +218,14 @@ def search(blocks: DataFrame, is_query: Column, k: int = 10) -> DataFrame:
     queries, left = candidates(blocks, is_query, k)
     vectors, found, most = exact_vectors(blocks), None, AHEAD * k
     while True:
-        ranked = written(left.withColumn("r", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("upper"), "name"))), "ranked")
-        scores = written(_scored(ranked.where(F.col("r") <= most), queries, vectors), "scores")
+        # each task of the map side keeps a query's best only, so a query with many candidates isn't dealt to one task whole
+        order = Window.partitionBy("query").orderBy(F.desc("upper"), "name")
+        read = written(left.withColumn("r", F.row_number().over(order)).where(F.col("r") <= most).select("query", "name"), "read")
+        scores = written(_scored(read, queries, vectors), "scores")
         found = scores if found is None else found.unionByName(scores)
-        certain = _kth(found, "score", k)
-        left = ranked.where(F.col("r") > most).join(certain, "query", "left").where(F.col("least").isNull() | (F.col("upper") >= F.col("least"))).select("query", "name", "upper")
-        left = written(left, "candidates")
+        certain = written(_kth(found, "score", k), "certain")
+        left = left.join(certain, "query", "left").where(F.col("least").isNull() | (F.col("upper") >= F.col("least"))).select("query", "name", "upper")
+        left = written(left.join(read, ["query", "name"], "left_anti"), "candidates")
         if left.isEmpty():
             break
         most *= GROWTH
