@@ -6,7 +6,7 @@ import difflib
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -138,15 +138,25 @@ def fuzzy_names(requests: DataFrame, names: DataFrame, least: float = 0.8, near:
     """requests: name. names: known, code, each known once. The most similar known name at `least`, or at `near` if just one
     letter differs at equal length of 3 or more; names of up to two letters are never matched loosely.
 
-    A similarity of `near` bounds how lengths and letters can differ: candidates meet by (length, a letter), for the lengths
-    that the bound allows, so names that share no letter never meet."""
-    spread = lambda c: F.explode(F.array_distinct(F.split(c, "")))
-    r = requests.where(F.length("name") > 2).select("name").distinct().withColumn("l", F.length("name"))
-    low, high = F.ceil(F.col("l") * near / (2 - near)), F.floor(F.col("l") * (2 - near) / near)
-    # a similar pair shares a share of its letters; the rarer half of them need not meet: the first letters by code do
-    r = r.withColumn("n", F.explode(F.sequence(low.cast("int"), high.cast("int")))).withColumn("c", spread(F.col("name")))
-    k = names.withColumn("n", F.length("known")).withColumn("c", spread(F.col("known")))
-    pairs = r.join(k, ["n", "c"]).groupBy("name", "known", "code").agg(F.count("*").alias("shared"), F.max("l").alias("l"), F.max("n").alias("n"))
+    Letters, numbered where they repeat, are a name's tokens. A similarity of `near` takes near * (a + b) / 2 common tokens of
+    names of a and b letters, and so at least c = near / (2 - near) of either's. Two sets with that many in common share one of
+    the first a - ceil(c * a) + 1 and b - ceil(c * b) + 1 in any one order of tokens: names meet by those, rare ones first. No
+    pair is lost, and names that share common letters only don't meet. What is left is compared by common tokens, and then in
+    Python."""
+    c = near / (2 - near)
+    spelled = lambda n: F.transform(F.split(n, ""), lambda x, i: F.concat(x, F.size(F.filter(F.slice(F.split(n, ""), F.lit(1), i + 1), lambda y: y == x)).cast("string")))
+    side = lambda df, name: df.where(F.length(name) > 2).select(F.col(name), F.length(name).alias("l"), spelled(F.col(name)).alias("tokens"))
+    r, k = side(requests.select("name").distinct(), "name"), side(names.select("known").distinct(), "known")
+    seen = r.select(F.explode("tokens").alias("token")).unionByName(k.select(F.explode("tokens").alias("token"))).groupBy("token").agg(F.count("*").alias("n"))
+
+    def ahead(df: DataFrame, name: str) -> DataFrame:
+        each = df.select(name, "l", "tokens", F.explode("tokens").alias("token")).join(seen, "token")
+        each = each.withColumn("at", F.row_number().over(Window.partitionBy(name).orderBy("n", "token")))
+        return each.where(F.col("at") <= F.col("l") - F.ceil(F.col("l") * c - 1e-9) + 1).drop("at", "n")
+
+    a, b = ahead(r, "name"), ahead(k, "known").withColumnsRenamed({"l": "l2", "tokens": "tokens2"})
+    pairs = a.join(b, (a["token"] == b["token"]) & (b["l2"] >= a["l"] * c - 1e-9) & (b["l2"] <= a["l"] / c + 1e-9)).drop("token")
+    pairs = pairs.where(F.size(F.array_intersect("tokens", "tokens2")) >= near * (F.col("l") + F.col("l2")) / 2 - 1e-9).select("name", "known", "l", "l2").distinct()
 
     @F.pandas_udf("double")
     def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
@@ -154,8 +164,6 @@ def fuzzy_names(requests: DataFrame, names: DataFrame, least: float = 0.8, near:
 
     pairs = pairs.withColumn("ratio", similarity("name", "known")).where(F.col("ratio") >= near)
     differ = F.size(F.filter(F.arrays_zip(F.split("name", "").alias("a"), F.split("known", "").alias("b")), lambda x: x["a"] != x["b"]))
-    pairs = pairs.where((F.col("ratio") >= least) | ((F.col("l") == F.col("n")) & (differ == 1)))
+    pairs = pairs.where((F.col("ratio") >= least) | ((F.col("l") == F.col("l2")) & (differ == 1))).join(names, "known")
     best = pairs.groupBy("name").agg(F.max_by(F.struct("known", "code", "ratio"), F.struct("ratio", "known")).alias("m"))
     return best.select("name", "m.known", "m.code", "m.ratio")
-
-

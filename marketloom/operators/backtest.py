@@ -65,14 +65,15 @@ def summary(results: DataFrame) -> DataFrame:
     pct = lambda a, b: F.try_divide(a, b) * 100
     win, loss = n(done & (F.col("outcome") == "win")), n(done & (F.col("outcome") == "loss"))
     hit = F.col("first_hit_days").isNotNull()
-    targets = long & F.col("hit_stop_loss").isNotNull()
+    stops, takes = long & F.col("hit_stop_loss").isNotNull(), long & F.col("hit_take_profit").isNotNull()
+    targets = stops | takes
     g = results.rollup("code").agg(
         F.grouping_id().alias("_all"), F.count("*").alias("total"), n(done).alias("completed"), n(F.col("eval_status") == "insufficient_data").alias("insufficient"),
         n(long).alias("long"), n(done & (F.col("position") == "cash")).alias("cash"), win.alias("win"), loss.alias("loss"), n(done & (F.col("outcome") == "neutral")).alias("neutral"),
-        pct(n(done & F.col("direction_correct")), n(done & F.col("direction_correct").isNotNull())).alias("direction_accuracy_pct"), pct(win, win + loss).alias("win_rate_pct"),
+        pct(n(done & F.col("direction_correct")), n(done & F.col("direction_correct").isNotNull())).alias("direction_accuracy_pct"), pct(win, win + loss).alias("win_rate_pct"), pct(n(done & (F.col("outcome") == "neutral")), n(done)).alias("neutral_rate_pct"),
         F.avg(F.when(done, F.col("stock_return_pct"))).alias("avg_stock_return_pct"), F.avg(F.when(done, F.col("simulated_return_pct"))).alias("avg_simulated_return_pct"),
-        pct(n(targets & F.col("hit_stop_loss")), n(targets)).alias("stop_loss_rate"), pct(n(targets & F.col("hit_take_profit")), n(targets)).alias("take_profit_rate"),
-        pct(n(targets & (F.col("first_hit") == "ambiguous")), n(targets)).alias("ambiguous_rate"), F.avg(F.when(long & hit, F.col("first_hit_days"))).alias("avg_days_to_first_hit"),
+        pct(n(stops & F.col("hit_stop_loss")), n(stops)).alias("stop_loss_rate"), pct(n(takes & F.col("hit_take_profit")), n(takes)).alias("take_profit_rate"),
+        pct(n(targets & (F.col("first_hit") == "ambiguous")), n(targets)).alias("ambiguous_rate"), F.avg(F.when(targets & hit & F.col("first_hit").isin("stop_loss", "take_profit", "ambiguous"), F.col("first_hit_days"))).alias("avg_days_to_first_hit"),
     )
     return g.withColumn("code", F.when(F.col("_all") == 1, "__overall__").otherwise(F.col("code"))).drop("_all")
 

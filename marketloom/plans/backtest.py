@@ -66,10 +66,10 @@ _T = "eval_status = 'completed' AND position = 'long' AND hit_stop_loss IS NOT N
 SUMMARY = f"""{EVAL}, m AS (SELECT CASE WHEN grouping(code) = 1 THEN '__overall__' ELSE code END AS code, count(*) AS total, count(*) FILTER (WHERE eval_status = 'completed') AS completed, count(*) FILTER (WHERE eval_status = 'insufficient_data') AS insufficient,
   count(*) FILTER (WHERE eval_status = 'completed' AND position = 'long') AS long, count(*) FILTER (WHERE eval_status = 'completed' AND position = 'cash') AS cash,
   count(*) FILTER (WHERE outcome = 'win') AS win, count(*) FILTER (WHERE outcome = 'loss') AS loss, count(*) FILTER (WHERE outcome = 'neutral') AS neutral,
-  {_P.format("outcome = 'win'", "outcome IN ('win', 'loss')")} AS direction_accuracy_pct, {_P.format("outcome = 'win'", "outcome IN ('win', 'loss')")} AS win_rate_pct,
+  {_P.format("outcome = 'win'", "outcome IN ('win', 'loss')")} AS direction_accuracy_pct, {_P.format("outcome = 'win'", "outcome IN ('win', 'loss')")} AS win_rate_pct, {_P.format("outcome = 'neutral'", "eval_status = 'completed'")} AS neutral_rate_pct,
   avg(stock_return_pct) AS avg_stock_return_pct, avg(simulated_return_pct) AS avg_simulated_return_pct, {_P.format(_T + ' AND hit_stop_loss', _T)} AS stop_loss_rate, {_P.format(_T + ' AND hit_take_profit', _T)} AS take_profit_rate,
   {_P.format(_T + " AND first_hit = 'ambiguous'", _T)} AS ambiguous_rate, avg(first_hit_days) AS avg_days_to_first_hit FROM results GROUP BY GROUPING SETS ((code), ()))"""
-_METRICS = ("direction_accuracy_pct", "win_rate_pct", "avg_stock_return_pct", "avg_simulated_return_pct", "stop_loss_rate", "take_profit_rate", "ambiguous_rate", "avg_days_to_first_hit")
+_METRICS = ("direction_accuracy_pct", "win_rate_pct", "neutral_rate_pct", "avg_stock_return_pct", "avg_simulated_return_pct", "stop_loss_rate", "take_profit_rate", "ambiguous_rate", "avg_days_to_first_hit")
 _COUNTS = ("total", "completed", "insufficient", "long", "cash", "win", "loss", "neutral")
 
 

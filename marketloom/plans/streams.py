@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,13 +9,13 @@ from pyspark.sql import functions as F
 
 from marketloom.functions.rounding import R, r
 from marketloom.plans.registry import query
+from marketloom.sources import writes
 from marketloom.sources.testdata import BARS, bars, table
 from marketloom.streaming import streams
 
 
 def _checkpoint(spark: SparkSession) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="marketloom-")
-    return f"{base}/streams/{uuid.uuid4().hex}"
+    return writes.scratch(spark, "streams")
 
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,7 +36,13 @@ def stream_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return streams.drained(f"w{uuid.uuid4().hex}", s.select(F.col("w.start").alias("begins"), "event_type", "n", "total"), _checkpoint(spark), "complete").select("begins", "event_type", "n", *r("total", digits=3))
 
 
-@query()
+@query("""WITH RECURSIVE e AS (SELECT 's' || (user_id % 7) AS source, ts, value < 50 AS ok, CAST(floor(epoch(ts)) AS BIGINT) AS at, row_number() OVER (PARTITION BY user_id % 7 ORDER BY ts, value >= 50) AS n FROM events),
+  f AS (SELECT source, 0::BIGINT AS n, NULL::TIMESTAMP AS ts, 0 AS count, 0::BIGINT AS opened, NULL::VARCHAR AS state FROM (SELECT DISTINCT source FROM e)
+    UNION ALL SELECT e.source, e.n, e.ts, CASE WHEN f.opened > 0 AND e.at - f.opened < 300 THEN f.count WHEN e.ok THEN 0 ELSE f.count + 1 END,
+      CASE WHEN f.opened > 0 AND e.at - f.opened < 300 THEN f.opened WHEN e.ok THEN 0 WHEN f.opened > 0 OR f.count + 1 >= 3 THEN e.at ELSE 0 END,
+      CASE WHEN f.opened > 0 AND e.at - f.opened < 300 THEN NULL WHEN e.ok THEN CASE WHEN f.opened > 0 THEN 'closed' END WHEN f.opened > 0 OR f.count + 1 >= 3 THEN 'open' END
+    FROM f JOIN e ON e.source = f.source AND e.n = f.n + 1)
+SELECT source, CAST(ts AS TIMESTAMP) AS ts, state FROM f WHERE state IS NOT NULL""")
 def stream_breaker(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = _events(spark, sf_dir).select(F.concat(F.lit("s"), (F.col("user_id") % 7).cast("string")).alias("source"), "ts", (F.col("value") < 50).alias("ok"))
     return streams.drained(f"b{uuid.uuid4().hex}", streams.breaker(e), _checkpoint(spark))
@@ -50,5 +55,8 @@ def stream_bar_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     from marketloom.operators.indicators import latest
 
     b = bars(spark, sf_dir)
-    q = latest(b).select("code", F.when(F.col("code").cast("int") % 2 == 0, F.col("date")).otherwise(F.date_add("date", 1000)).alias("date"), F.lit(0.0).alias("open"), F.col("close").alias("pre_close"), (F.col("high") * 2).alias("high"), "low", (F.col("close") + 1).alias("close"), "volume")
-    return streams.upsert_bars(q, b.select("code", "date", "open", "high", "low", "close", "volume"))
+    q = latest(b).select("code", F.when(F.col("code").cast("int") % 2 == 0, F.col("date")).otherwise(F.date_add("date", 1000)).alias("date"), F.lit(0.0).alias("open"), F.col("close").alias("pre_close"), (F.col("high") * 2).alias("high"), "low", (F.col("close") + 1).alias("close"), "volume", F.lit(1).alias("at"))
+    folder = writes.scratch(spark, "quotes")
+    q.repartition(2).write.parquet(f"{folder}/quotes")
+    quotes = spark.readStream.schema(q.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/quotes")
+    return streams.upsert_stream(quotes, b.select("code", "date", "open", "high", "low", "close", "volume"), folder, f"{folder}/checkpoint")

@@ -26,12 +26,13 @@ def windowed(stream: DataFrame, ts: str, width: str, keys: list[str], delay: str
 
 def breaker(stream: DataFrame, failures: int = 3, cooldown_s: int = 300) -> DataFrame:
     """stream: source, ts, ok. A row each time a source's breaker opens or closes: source, ts, state. It opens after so many
-    failures in a row and half-opens after the cooldown; a success then closes it, a failure opens it again."""
+    failures in a row and half-opens after the cooldown; a success then closes it, a failure opens it again. What a source
+    calls in one batch is put in order (failures after successes of the same moment) and held by its task."""
 
     def step(key: tuple[Any, ...], parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         count, opened = state.get if state.exists else (0, 0)
         rows: list[tuple] = []
-        events = pd.concat(list(parts)).sort_values("ts")
+        events = pd.concat(list(parts)).sort_values(["ts", "ok"], ascending=[True, False])
         for ts, ok in zip(events["ts"], events["ok"]):
             now = int(ts.timestamp())
             if opened and now - opened < cooldown_s:
@@ -60,8 +61,33 @@ def upsert_bars(quotes: DataFrame, bars: DataFrame) -> DataFrame:
     return both.select("code", "date", F.coalesce(F.nullif("q.open", F.lit(0.0)), F.nullif("q.pre_close", F.lit(0.0)), "b.open").alias("open"), *(some(c).alias(c) for c in ("high", "low", "close", "volume")))
 
 
-def drained(query_name: str, stream: DataFrame, checkpoint: str, mode: str = "append") -> DataFrame:
-    """Runs a stream until it has read what is there, and returns what it gave."""
-    query = stream.writeStream.format("memory").queryName(query_name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def upsert_stream(quotes: DataFrame, bars: DataFrame, folder: str, checkpoint: str) -> DataFrame:
+    """Runs a stream of quotes into a table of bars until all that is there is read: each batch gives the next state of the
+    table, under a name of its own, so a batch that is run again replaces what it wrote. Of a batch the last quote of a code
+    and day counts, by `at`."""
+    spark = bars.sparkSession
+    bars.write.parquet(f"{folder}/before")
+    columns = [c for c in quotes.columns if c not in ("code", "date", "at")]
+
+    def merge(batch: DataFrame, number: int) -> None:
+        last = batch.groupBy("code", "date").agg(F.max_by(F.struct(*columns), "at").alias("q")).select("code", "date", "q.*")
+        old = batch.sparkSession.read.parquet(f"{folder}/state-{number - 1}" if number else f"{folder}/before")
+        upsert_bars(last, old).write.mode("overwrite").parquet(f"{folder}/state-{number}")
+
+    query = quotes.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
-    return stream.sparkSession.table(query_name)
+    done = query.lastProgress
+    return spark.read.parquet(f"{folder}/state-{done['batchId']}" if done else f"{folder}/before")
+
+
+def drained(query_name: str, stream: DataFrame, checkpoint: str, mode: str = "append") -> DataFrame:
+    """Runs a stream until it has read what is there, and returns what it gave: files beside the checkpoint, so nothing is
+    held by the driver. In complete mode each batch replaces the one before."""
+    out = f"{checkpoint}-out"
+    writer = stream.writeStream.queryName(query_name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True)
+    if mode == "append":
+        writer = writer.format("parquet").option("path", out)
+    else:
+        writer = writer.foreachBatch(lambda batch, number: batch.write.mode("overwrite").parquet(out))
+    writer.start().awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(out)
