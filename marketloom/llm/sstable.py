@@ -44,7 +44,7 @@ BLOCK_BYTES, RESTART = 1 << 16, 16
 BLOOM_BITS, BLOOM_PROBES = 10, 7
 MOST_WORDS, MOST_LETTERS = 1_200_000, 32 << 20
 #: Text that a shard is meant for.
-SHARD_BYTES = 256 << 20
+SHARD_BYTES = 64 << 20
 
 
 def store(uri: str) -> tuple[pafs.FileSystem, str]:
