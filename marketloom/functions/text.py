@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import difflib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -35,6 +35,7 @@ def price_point(text: Column) -> Column:
 
 #: Spark patterns of absolute dates, in the order they are tried.
 DATE_PATTERNS = ("yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd HH:mm", "yyyy-MM-dd", "yyyy/MM/dd HH:mm:ss", "yyyy/MM/dd", "yyyyMMdd", "dd MMM yyyy", "MMM dd, yyyy", "MMM d, yyyy")
+# Units of relative dates in days; minutes and hours are counted apart.
 _UNITS = {"分钟": 0, "minute": 0, "小时": 0, "hour": 0, "天": 1, "day": 1, "周": 7, "week": 7, "个月": 30, "month": 30, "年": 365, "year": 365}
 
 
@@ -55,6 +56,29 @@ def published(text: Column, now: Column) -> Column:
     return F.coalesce(word, relative, F.to_date(F.timestamp_seconds(epoch)), F.to_date(chinese), F.to_date(F.coalesce(iso, *plain)))
 
 
+#: Patterns of stored times, after ISO.
+STORED_PATTERNS = ("yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd HH:mm", "yyyy-MM-dd", "yyyy/M/d HH:mm:ss", "yyyy/M/d HH:mm", "yyyy/M/d")
+
+
+def stored_time(text: Column) -> Column:
+    """A timestamp without zone: ISO, or one of STORED_PATTERNS; null for what is none."""
+    t = F.trim(text)
+    iso = F.when(t.rlike(r"^\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}(:\d{2}(\.\d+)?)?)?$"), F.regexp_replace(t, "T", " ")).try_cast("timestamp_ntz")
+    return F.coalesce(iso, *(F.try_to_timestamp(t, F.lit(p)).cast("timestamp_ntz") for p in STORED_PATTERNS))
+
+
+def list_day(text: Column) -> Column:
+    """A listing day: 20010827, 2001-08-27 or 2001/8/27; null for blanks and what is none."""
+    t = F.trim(text)
+    return F.to_date(F.coalesce(*(F.try_to_timestamp(F.when(t.rlike(like), t), F.lit(p)) for like, p in ((r"^\d{8}$", "yyyyMMdd"), (r"^\d{4}-\d{1,2}-\d{1,2}$", "yyyy-M-d"), (r"^\d{4}/\d{1,2}/\d{1,2}$", "yyyy/M/d")))))
+
+
+def by_keywords(df: DataFrame, keywords: Sequence[str]) -> Column:
+    """The first filled value among the columns whose names hold a keyword, in the table's order."""
+    some = lambda c: F.when(~F.trim(F.col(f"`{c}`").cast("string")).isin("", "-", "nan", "None"), F.col(f"`{c}`").cast("string"))
+    return F.coalesce(*(some(c) for c in df.columns if any(k in c for k in keywords)), F.lit(None).cast("string"))
+
+
 def dividend_per_share(plan: Column) -> Column:
     """Cash per share of a plan such as 10派3元: before tax; null without cash."""
     per_ten = F.regexp_extract(plan, r"(?:每)?10股?(?:[^派]*?)派(?:发|息)?(?:现金)?(?:红利)?(\d+(?:\.\d+)?)", 1).try_cast("double")

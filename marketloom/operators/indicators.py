@@ -3,6 +3,8 @@ serves them all. NaN is turned to null at the edge; a symbol's bars are unique b
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
@@ -45,23 +47,32 @@ def pct_change(bars: DataFrame) -> DataFrame:
     return bars.withColumn("pct_chg", F.coalesce((F.try_divide("close", F.lag("close").over(W())) - 1) * 100, F.lit(0.0)))
 
 
-def ema(df: DataFrame, source: str, span: int, to: str) -> DataFrame:
-    """Recursive mean y = a x + (1 - a) y', from the first value, as a weighted running sum. Sums restart at each block,
-    and the block before gives the start, so weights stay in range however long a series is."""
-    a = 2.0 / (span + 1)
-    b = 1.0 - a
+def emas(df: DataFrame, means: Sequence[tuple[str, int, str]]) -> DataFrame:
+    """means: (source, span, name of the result). Recursive means y = a x + (1 - a) y', from the first value, as weighted
+    running sums, all in the same windows. Sums restart at each block, and the block before gives the start, so weights stay in
+    range however long a series is."""
     i = F.row_number().over(W()) - 1
     df = df.withColumn("_i", i).withColumn("_b", F.floor(F.col("_i") / EMA_BLOCK).cast("int"))
     k = F.col("_i") - F.col("_b") * EMA_BLOCK
-    term = F.when(F.col("_i") == 0, F.col(source)).otherwise(F.lit(a) * F.col(source) * F.pow(F.lit(b), -k))
     block = Window.partitionBy("code", "_b").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
-    df = df.withColumn("_z", F.sum(term).over(block) * F.pow(F.lit(b), k))
-    start = F.max_by("_z", "_i").over(Window.partitionBy("code").orderBy("_b").rangeBetween(-1, -1))
-    return df.withColumn(to, F.col("_z") + F.when(F.col("_b") > 0, F.pow(F.lit(b), k + 1) * start).otherwise(0.0)).drop("_i", "_b", "_z")
+    before = Window.partitionBy("code").orderBy("_b").rangeBetween(-1, -1)
+    sums, starts, ends = {}, {}, {}
+    for source, span, to in means:
+        a = 2.0 / (span + 1)
+        b = 1.0 - a
+        term = F.when(F.col("_i") == 0, F.col(source)).otherwise(F.lit(a) * F.col(source) * F.pow(F.lit(b), -k))
+        sums[f"_z_{to}"] = F.sum(term).over(block) * F.pow(F.lit(b), k)
+        starts[f"_s_{to}"] = F.max_by(f"_z_{to}", "_i").over(before)
+        ends[to] = F.col(f"_z_{to}") + F.when(F.col("_b") > 0, F.pow(F.lit(b), k + 1) * F.col(f"_s_{to}")).otherwise(0.0)
+    return df.withColumns(sums).withColumns(starts).withColumns(ends).drop("_i", "_b", *sums, *starts)
+
+
+def ema(df: DataFrame, source: str, span: int, to: str) -> DataFrame:
+    return emas(df, [(source, span, to)])
 
 
 def macd(bars: DataFrame) -> DataFrame:
-    df = ema(ema(bars, "close", 12, "_fast"), "close", 26, "_slow").withColumn("dif", F.col("_fast") - F.col("_slow"))
+    df = emas(bars, [("close", 12, "_fast"), ("close", 26, "_slow")]).withColumn("dif", F.col("_fast") - F.col("_slow"))
     return ema(df, "dif", 9, "dea").withColumn("bar", 2 * (F.col("dif") - F.col("dea"))).drop("_fast", "_slow")
 
 
@@ -134,7 +145,7 @@ def support_resistance(df: DataFrame, tolerance: float = 0.02) -> DataFrame:
     return df.withColumns({"support_ma5": near("ma5"), "support_ma10": near("ma10"), "support_ma20": F.coalesce(F.col("close") >= F.col("ma20"), F.lit(False)), "resistance": F.when((F.count("*").over(back(19)) == 20) & (high > F.col("close")), high)})
 
 
-# Points of the signal score.
+# Points of the signal score.
 TREND_POINTS = {"STRONG_BULL": 30, "BULL": 26, "WEAK_BULL": 18, "CONSOLIDATION": 12, "WEAK_BEAR": 8, "BEAR": 4, "STRONG_BEAR": 0}
 VOLUME_POINTS = {"SHRINK_DOWN": 15, "HEAVY_UP": 12, "NORMAL": 10, "SHRINK_UP": 6, "HEAVY_DOWN": 0}
 MACD_POINTS = {"GOLDEN_CROSS_ZERO": 15, "GOLDEN_CROSS": 12, "CROSSING_UP": 10, "BULLISH": 8, "BEARISH": 2, "CROSSING_DOWN": 0, "DEATH_CROSS": 0}

@@ -62,6 +62,18 @@ def primary_board(boards: DataFrame) -> DataFrame:
     return named.groupBy("code").agg(F.min_by("name", F.struct((~industry).alias("other"), "ord")).alias("board"))
 
 
+#: Keys under which sources give a board's name, code and kind.
+BOARD_KEYS = {"name": ("板块名称", "板块", "所属板块", "板块名", "name", "industry"), "code": ("板块代码", "代码", "code"), "type": ("板块类型", "类别", "type")}
+
+
+def normalized_boards(rows: DataFrame) -> DataFrame:
+    """rows: code, items (an array of maps of text). code, ord, name, board, type of each board with a name, its first place
+    only; names are trimmed."""
+    pick = lambda keys: F.coalesce(*(F.when(~F.lower(F.trim(F.element_at("x", F.lit(k)))).isin("", "nan", "none", "-"), F.trim(F.element_at("x", F.lit(k)))) for k in keys))
+    each = rows.select("code", F.posexplode("items").alias("ord", "x")).select("code", "ord", *(pick(keys).alias(to) for to, keys in (("name", BOARD_KEYS["name"]), ("board", BOARD_KEYS["code"]), ("type", BOARD_KEYS["type"]))))
+    return each.where("name is not null").groupBy("code", "name").agg(F.min_by(F.struct("ord", "board", "type"), "ord").alias("b")).select("code", "b.ord", "name", "b.board", "b.type")
+
+
 def with_boards(symbols: DataFrame, boards: DataFrame) -> DataFrame:
     """symbols: code. Its primary board, UNCLASSIFIED without one."""
     return symbols.join(primary_board(boards), "code", "left").select("code", F.coalesce("board", F.lit("UNCLASSIFIED")).alias("board"))
@@ -83,7 +95,8 @@ def ledger(cash: DataFrame, actions: DataFrame, trades: DataFrame) -> DataFrame:
 
 def replay(events: DataFrame, keys: Sequence[str] = ("account", "symbol")) -> DataFrame:
     """events: keys, on, priority, id, kind (buy, sell, dividend, split, deposit, withdrawal), quantity, price, charges, ratio.
-    Quantity, cost (average) and cash after all of a ledger's events: a fold in order. A dividend pays what is held then; a
+    Quantity, cost (average) and cash after all of a ledger's events: a fold in order over an array, so a
+    ledger's events must fit in a task (see ledger.py for the same by windows). A dividend pays what is held then; a
     split changes quantity, not cost."""
     e = F.struct("on", "priority", "id", "kind", *(F.coalesce(c, F.lit(0.0)).alias(c) for c in ("quantity", "price", "charges", "ratio")))
     packed = events.groupBy(*keys).agg(F.sort_array(F.collect_list(e)).alias("events"))

@@ -69,6 +69,7 @@ def screen(snapshot: DataFrame, min_list_days: int = 120, min_avg_amount: float
     return df.withColumn("rank", F.when(F.size("reasons") == 0, rank))
 
 
+# What advice adds to a score.
 AI_BONUS = {"strong_buy": 8, "buy": 6, "add": 4, "hold": 2, "wait": 0, "reduce": -4, "sell": -8}
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
-MODULES = ("indicators", "screening", "backtest", "portfolio", "market", "logs", "text", "writes", "streams", "misc", "ledger", "quotes", "search", "history", "payloads", "strategies")
+MODULES = ("indicators", "screening", "backtest", "portfolio", "market", "logs", "text", "writes", "streams", "misc", "ledger", "quotes", "search", "history", "payloads", "strategies", "sources")
 
 
 def query(oracle: str | None = None) -> Callable[[Query], Query]:

@@ -127,3 +127,45 @@ def test_chunks_are_whole_and_full():
                     at += n
                     assert at == len(lines) or len(p.encode()) + 1 + len(lines[at].encode()) > most
                 assert at == len(lines)
+
+
+def workbook(rows):
+    import io
+    import zipfile
+    from xml.sax.saxutils import escape
+
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        texts = [x for row in rows for x in row]
+        ns = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+        z.writestr("xl/sharedStrings.xml", f"<sst {ns}>" + "".join(f"<si><t>{escape(x)}</t></si>" for x in texts) + "</sst>")
+        n, body = 0, ""
+        for r, row in enumerate(rows, 1):
+            body += f'<row r="{r}">'
+            for c, x in enumerate(row):
+                if x:
+                    body += f'<c r="{chr(65 + c)}{r}" t="s"><v>{n}</v></c>'
+                n += 1
+            body += "</row>"
+        z.writestr("xl/worksheets/sheet1.xml", f"<worksheet {ns}><sheetData>{body}</sheetData></worksheet>")
+    return out.getvalue()
+
+
+def test_watch_lists(spark, tmp_path):
+    from marketloom.sources import imports
+
+    assert imports.entries("00700\n600519\n".encode()) == [(1, "00700", None), (2, "600519", None)]
+    assert imports.entries("code\n00700\n".encode()) == [(2, "00700", None)]
+    assert imports.entries("600519 贵州茅台\nAAPL Apple Inc\n00700 600000\n".encode("gbk")) == [(1, "600519", "贵州茅台"), (2, "AAPL", "Apple Inc"), (3, "00700 600000", None)]
+    assert imports.entries("名称;代码\n平安银行;000001\n;\n".encode()) == [(2, "000001", "平安银行")]
+    assert imports.entries(workbook([["股票代码", "x", "股票名称"], ["600519", "", "贵州茅台"], ["", "", "平安银行"]])) == [(2, "600519", "贵州茅台"), (3, None, "平安银行")]
+    for bad in (b"\xff\xff\xff", b"x" * (imports.MOST_FILE + 1)):
+        with pytest.raises(ValueError):
+            imports.entries(bad)
+    with pytest.raises(ValueError):
+        imports.entries(b"1", "a.xls")
+    (tmp_path / "a.csv").write_bytes("SH600519,贵州茅台\n,平安银行\n谁,\n".encode())
+    (tmp_path / "b.xlsx").write_bytes(workbook([["hk00700", "腾讯"]]))
+    names = spark.createDataFrame([("000001", "平安银行"), ("1", "谁"), ("2", "谁")], "code string, name string")
+    got = {(r.code, r.name) for r in imports.watch_lists(spark, str(tmp_path), names).collect()}
+    assert got == {("600519", "贵州茅台"), ("000001", "平安银行"), (None, "谁"), ("00700", "腾讯")}
