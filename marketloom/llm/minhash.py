@@ -48,12 +48,22 @@ def _uniform(h: np.ndarray) -> np.ndarray:
     return (h >> np.uint64(11)).astype(np.float64) * _UNIT
 
 
-def signatures(doc: np.ndarray, cells: np.ndarray, n: int, k: int = BANDS * ROWS, block: int = 1 << 18) -> np.ndarray:
-    """A row of k numbers for each of n texts, from its cells (sorted by text); zeros for a text without any. Darts are thrown
-    at a block of cells at a time."""
+def weighted_cells(names: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(element, cell, fill) of elements with real weights: a cell for each unit of weight, the last one filled in part."""
+    units = np.ceil(weights).astype(np.int64)
+    element = np.repeat(np.arange(len(names)), units)
+    number = np.arange(len(element)) - np.repeat(np.cumsum(units) - units, units)
+    with np.errstate(over="ignore"):
+        cells = mix(names[element] + number.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    return element, cells, np.minimum(1.0, weights[element] - number)
+
+
+def signatures(doc: np.ndarray, cells: np.ndarray, n: int, k: int = BANDS * ROWS, block: int = 1 << 18, fill: np.ndarray | None = None) -> np.ndarray:
+    """A row of k numbers for each of n texts, from its cells (sorted by text); zeros for a text without any. fill: how much of
+    each cell is the element's, all of it where not given. Darts are thrown at a block of cells at a time."""
     out = np.zeros(n * k, np.uint64)
-    size = np.bincount(doc, minlength=n)
-    bound = np.where(size > 0, (k * math.log(k) + 2 * k) / np.maximum(size, 1), 0)
+    size = np.bincount(doc, fill, minlength=n)
+    bound = np.where(size > 0, (k * math.log(k) + 2 * k) / np.maximum(size, 1e-9), 0)
     todo = np.flatnonzero(size > 0)
     while len(todo):
         mine = np.flatnonzero(np.isin(doc, todo)) if len(todo) < n else np.arange(len(doc))
@@ -61,7 +71,7 @@ def signatures(doc: np.ndarray, cells: np.ndarray, n: int, k: int = BANDS * ROWS
         most = max(1, int(block / max(1.0, bound[todo].max() + 1))) if len(mine) > block else len(mine)
         for i in range(0, len(mine), most):
             at = mine[i : i + most]
-            slot, rank, name = _darts(doc[at], cells[at], bound, k)
+            slot, rank, name = _darts(doc[at], cells[at], bound, k, None if fill is None else fill[at])
             order = np.lexsort((rank, slot))
             slot, rank, name = slot[order], rank[order], name[order]
             first = np.concatenate([[True], slot[1:] != slot[:-1]])[: len(slot)]
@@ -73,10 +83,11 @@ def signatures(doc: np.ndarray, cells: np.ndarray, n: int, k: int = BANDS * ROWS
     return out.reshape(n, k)
 
 
-def _darts(d: np.ndarray, c: np.ndarray, bound: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(slot, rank, name) of the darts below the bound of each cell's text."""
+def _darts(d: np.ndarray, c: np.ndarray, bound: np.ndarray, k: int, fill: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(slot, rank, name) of the darts below the bound of each cell's text and in the filled part of the cell."""
     with np.errstate(over="ignore"):
         ranks = np.ceil(bound[d]).astype(np.int64)  # unit steps of rank
+        full = np.repeat(fill, ranks) if fill is not None else None
         d, c = np.repeat(d, ranks), np.repeat(c, ranks)
         step = np.arange(len(d)) - np.repeat(np.cumsum(ranks) - ranks, ranks)
         cell = mix(c + step.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
@@ -86,6 +97,8 @@ def _darts(d: np.ndarray, c: np.ndarray, bound: np.ndarray, k: int) -> tuple[np.
         dart = mix(cell + (number + 1).astype(np.uint64) * np.uint64(0xA0761D6478BD642F))
         rank = step + _uniform(dart)
         keep = rank < bound[d]
+        if full is not None:
+            keep &= _uniform(mix(dart ^ np.uint64(0x8EBC6AF09C88C6E3))) < np.repeat(full, darts)
         name = mix(dart[keep] + np.uint64(0xE7037ED1A0B428DB))
         return d[keep] * k + (name % np.uint64(k)).astype(np.int64), rank[keep], name
 

@@ -38,7 +38,7 @@ from marketloom.llm.shingles import mix
 BLOCK, BLOCKS_A_TASK, QUERIES_A_TASK = 512, 64, 1024
 CELLS = 256
 #: Exact vectors that a query reads in the first round, as a multiple of k, and how that grows.
-AHEAD, GROWTH = 2, 4
+AHEAD, GROWTH = 4, 4
 _BLOCKS = "block long, dim int, ids array<long>, cells binary, grid binary, hashes binary, exact binary"
 
 
@@ -150,10 +150,10 @@ class Group:
         return at
 
 
-def _scanned(blocks: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+def _scanned(blocks: DataFrame, n_blocks: int, queries: DataFrame, n_queries: int, k: int) -> DataFrame:
     """query, name, upper, lower of what may be among a query's k best, by cells alone. queries: name, dim, v, least."""
     ship(blocks.sparkSession)
-    tasks, groups = max(1, -(-blocks.count() // BLOCKS_A_TASK)), max(1, -(-queries.count() // QUERIES_A_TASK))
+    tasks, groups = max(1, -(-n_blocks // BLOCKS_A_TASK)), max(1, -(-n_queries // QUERIES_A_TASK))
     left = blocks.select("block", "dim", "ids", "cells", "grid", "hashes").withColumn("b", F.pmod(F.xxhash64("block"), F.lit(tasks)).cast("int")).withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
     right = queries.withColumn("q", F.pmod(F.xxhash64("name"), F.lit(groups)).cast("int")).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(tasks - 1))))
 
@@ -184,14 +184,18 @@ def _kth(rows: DataFrame, score: str, k: int) -> DataFrame:
 def candidates(blocks: DataFrame, is_query: Column, k: int = 10) -> tuple[DataFrame, DataFrame]:
     """(queries, candidates). candidates: query, name, upper of every vector that the cells can't rule out. is_query: of `id`."""
     queries = written(exact_vectors(blocks).where(is_query), "queries")
-    none = queries.withColumn("least", F.lit(float("-inf")))
-    # enough blocks to give a threshold to begin with; it needn't be a good one
-    sample = blocks.where(F.pmod(F.xxhash64("block", F.lit(1)), F.lit(max(1, blocks.count() // BLOCKS_A_TASK))) == 0)
-    first = _kth(_scanned(sample, none, k), "lower", k)
-    told = queries.join(first, queries["name"] == first["query"], "left").select("name", "dim", "v", F.coalesce("least", F.lit(float("-inf"))).alias("least"))
-    found = written(_scanned(blocks, written(told, "queries"), k), "candidates")
+    n_blocks, n_queries = blocks.count(), queries.count()
+    told = queries.withColumn("least", F.lit(float("-inf")))
+    if n_blocks > 2 * BLOCKS_A_TASK:
+        # about a task's blocks give each query a threshold to begin with; without one the scan finds the same, and returns more
+        share = n_blocks // BLOCKS_A_TASK
+        sample = blocks.where(F.pmod(F.xxhash64("block", F.lit(1)), F.lit(share)) == 0)
+        first = _kth(_scanned(sample, 2 * BLOCKS_A_TASK, told, n_queries, k), "lower", k)
+        told = queries.join(first, queries["name"] == first["query"], "left").select("name", "dim", "v", F.coalesce("least", F.lit(float("-inf"))).alias("least"))
+        told = written(told, "queries")
+    found = written(_scanned(blocks, n_blocks, told, n_queries, k), "candidates")
     kept = found.join(_kth(found, "lower", k), "query", "left").where(F.col("least").isNull() | (F.col("upper") >= F.col("least")))
-    return queries, written(kept.select("query", "name", "upper"), "candidates")
+    return queries, kept.select("query", "name", "upper")
 
 
 def _scored(pairs: DataFrame, queries: DataFrame, vectors: DataFrame) -> DataFrame:
@@ -223,7 +227,7 @@ def search(blocks: DataFrame, is_query: Column, k: int = 10) -> DataFrame:
         read = written(left.withColumn("r", F.row_number().over(order)).where(F.col("r") <= most).select("query", "name"), "read")
         scores = written(_scored(read, queries, vectors), "scores")
         found = scores if found is None else found.unionByName(scores)
-        certain = written(_kth(found, "score", k), "certain")
+        certain = _kth(found, "score", k)
         left = left.join(certain, "query", "left").where(F.col("least").isNull() | (F.col("upper") >= F.col("least"))).select("query", "name", "upper")
         left = written(left.join(read, ["query", "name"], "left_anti"), "candidates")
         if left.isEmpty():

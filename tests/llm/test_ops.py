@@ -222,6 +222,17 @@ def test_signature_estimates_weighted_jaccard():
     assert abs((s[0] == s[1]).mean() - true) < 0.04
 
 
+def test_signature_of_real_weights():
+    rnd = np.random.default_rng(8)
+    names = rnd.integers(0, 1 << 63, 60).astype(np.uint64)
+    w = [rnd.random(60) * 3 * (rnd.random(60) < 0.8) for _ in range(2)]
+    w[1] = np.where(rnd.random(60) < 0.5, w[0], w[1])
+    cells = [minhash.weighted_cells(names[x > 0], x[x > 0]) for x in w]
+    doc = np.repeat([0, 1], [len(c[1]) for c in cells])
+    s = minhash.signatures(doc, np.concatenate([c[1] for c in cells]), 2, k=2000, fill=np.concatenate([c[2] for c in cells]))
+    assert abs((s[0] == s[1]).mean() - np.minimum(*w).sum() / np.maximum(*w).sum()) < 0.04
+
+
 # -- mixing -------------------------------------------------------------------------------------------------------
 
 
@@ -338,6 +349,22 @@ def test_top_k_with_a_vector_that_repeats(spark):
     assert got == sorted(want)
 
 
+def test_top_k_of_many_blocks(spark, monkeypatch):
+    """With a first threshold from a sample, and several groups of blocks and queries."""
+    monkeypatch.setattr(vafile, "BLOCK", 16)
+    monkeypatch.setattr(vafile, "BLOCKS_A_TASK", 4)
+    monkeypatch.setattr(vafile, "QUERIES_A_TASK", 5)
+    rnd = np.random.default_rng(11)
+    x = np.round(rnd.normal(size=(1500, 5)), 2)
+    d = spark.createDataFrame([(i, [float(c) for c in v]) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    n = np.floor(1024 * x).astype(int)
+    want = []
+    for i in range(0, 1500, 100):
+        order = sorted((-int(s), j) for j, s in enumerate(n @ n[i]) if j != i)[:10]
+        want += [(i, k + 1, j, -s) for k, (s, j) in enumerate(order)]
+    assert sorted((r.query_id, r.rank, r.vec_id, r.score) for r in vafile.top_k(d).collect()) == sorted(want)
+
+
 def test_top_k_large_components(spark):
     d = spark.createDataFrame([(0, [1e12, 1.0]), (1, [1e12, 0.0]), (2, [-1e12, 0.0])], "vec_id long, embedding array<double>")
     assert [(r.vec_id, r.score) for r in vafile.top_k(d).orderBy("rank").collect()] == [(1, (1 << 63) - 1), (2, -(1 << 63))]
