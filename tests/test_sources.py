@@ -156,7 +156,7 @@ def test_watch_lists(spark, tmp_path):
 
     assert imports.entries("00700\n600519\n".encode()) == [(1, "00700", None), (2, "600519", None)]
     assert imports.entries("code\n00700\n".encode()) == [(2, "00700", None)]
-    assert imports.entries("600519 贵州茅台\nAAPL Apple Inc\n00700 600000\n".encode("gbk")) == [(1, "600519", "贵州茅台"), (2, "AAPL", "Apple Inc"), (3, "00700 600000", None)]
+    assert imports.entries("600519 贵州茅台\nAAPL Apple Computers\n00700 600000\n".encode("gbk")) == [(1, "600519", "贵州茅台"), (2, "AAPL", "Apple Computers"), (3, "00700 600000", None)]
     assert imports.entries("名称;代码\n平安银行;000001\n;\n".encode()) == [(2, "000001", "平安银行")]
     assert imports.entries(workbook([["股票代码", "x", "股票名称"], ["600519", "", "贵州茅台"], ["", "", "平安银行"]])) == [(2, "600519", "贵州茅台"), (3, None, "平安银行")]
     for bad in (b"\xff\xff\xff", b"x" * (imports.MOST_FILE + 1)):
