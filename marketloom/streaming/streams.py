@@ -69,15 +69,16 @@ def upsert_stream(quotes: DataFrame, bars: DataFrame, folder: str, checkpoint: s
     bars.write.parquet(f"{folder}/before")
     columns = [c for c in quotes.columns if c not in ("code", "date", "at")]
 
+    newest = [-1]  # set by the batches, which run on the driver
+
     def merge(batch: DataFrame, number: int) -> None:
         last = batch.groupBy("code", "date").agg(F.max_by(F.struct(*columns), "at").alias("q")).select("code", "date", "q.*")
         old = batch.sparkSession.read.parquet(f"{folder}/state-{number - 1}" if number else f"{folder}/before")
         upsert_bars(last, old).write.mode("overwrite").parquet(f"{folder}/state-{number}")
+        newest[0] = number
 
-    query = quotes.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    query.awaitTermination()
-    done = query.lastProgress
-    return spark.read.parquet(f"{folder}/state-{done['batchId']}" if done else f"{folder}/before")
+    quotes.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{folder}/state-{newest[0]}" if newest[0] >= 0 else f"{folder}/before")
 
 
 def drained(query_name: str, stream: DataFrame, checkpoint: str, mode: str = "append") -> DataFrame:
