@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from marketloom.functions.payloads import amplitude_pct
 from marketloom.functions.rounding import R, r
 from marketloom.operators import backtest, history, indicators, misc
 from marketloom.plans.backtest import SUMMARY, _results
@@ -174,3 +175,12 @@ def session_writes(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("session"), "turn", "text")
     left = writes.without_keys(writes.appended(m, m.where("turn = 0")), m.where("session % 3 = 0"), ["session"])
     return left.groupBy("session").agg(F.count("*").alias("messages"))
+
+
+@query(f"""WITH {BARS}, x AS (SELECT code, date, high, low, close, lag(close) OVER (PARTITION BY code ORDER BY date) AS pc FROM bars), y AS (SELECT code, date, (high - low) * 100 / pc AS amplitude, close - pc AS change FROM x WHERE pc IS NOT NULL) SELECT code, date, {R('amplitude', 'change')} FROM y""")
+def amplitudes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far each bar ranged and moved against the close before."""
+    from pyspark.sql import Window
+
+    b = bars(spark, sf_dir).withColumn("pc", F.lag("close").over(Window.partitionBy("code").orderBy("date"))).where("pc is not null")
+    return b.select("code", "date", amplitude_pct(F.col("high"), F.col("low"), F.col("pc")).alias("amplitude"), (F.col("close") - F.col("pc")).alias("change")).select("code", "date", *r("amplitude", "change"))

@@ -169,3 +169,20 @@ def test_watch_lists(spark, tmp_path):
     names = spark.createDataFrame([("000001", "平安银行"), ("1", "谁"), ("2", "谁")], "code string, name string")
     got = {(r.code, r.name) for r in imports.watch_lists(spark, str(tmp_path), names).collect()}
     assert got == {("600519", "贵州茅台"), ("000001", "平安银行"), (None, "谁"), ("00700", "腾讯")}
+
+
+def test_scores_of_overridden_signals(spark):
+    from marketloom.functions import payloads
+
+    rows = spark.createDataFrame([("buy", 0.0), ("buy", 1.0), ("hold", 0.25), ("sell", 2.0), ("odd", -1.0)], "s string, c double")
+    got = [x[0] for x in rows.select(payloads.estimated_score(F.col("s"), F.col("c"))).collect()]
+    assert got == [65, 79, round(45 + 14 * 0.25), 39, 45]
+    steps = [[x[0] for x in rows.select(payloads.downgraded(F.col("s"), n)).collect()] for n in (0, 1, 2)]
+    assert steps == [["buy", "buy", "hold", "sell", "odd"], ["hold", "hold", "sell", "sell", "odd"], ["sell"] * 4 + ["odd"]]
+    assert rows.select(payloads.money_text(F.lit(1.234e8)), payloads.money_text(F.lit(12_345.0)), payloads.money_text(F.lit(999.0)), payloads.money_text(F.lit(None).cast("double"))).first()[0:4] == ("1.23 亿元", "1.23 万元", "999 元", "N/A")
+
+
+def test_resumed_and_trimmed(spark):
+    t = spark.createDataFrame([(i, s, dt.datetime(2026, 1, 1 + i // 3, i % 3)) for i, s in enumerate(["completed", "pending", "failed", "completed", "completed", "processing", "failed"])], "id long, status string, created_at timestamp")
+    assert sorted(r.id for r in history.trimmed_tasks(t, 4).collect()) == [1, 4, 5, 6]
+    assert history.trimmed_tasks(t, 7).count() == 7 and sorted(r.id for r in history.trimmed_tasks(t, 1).collect()) == [1, 5]
