@@ -103,7 +103,7 @@ def long_copies(p: DataFrame, rank: str, h: int, total: int) -> list[DataFrame]:
         if named.isEmpty():
             return out
         h *= 2
-        rows = written(ahead.join(named, ["r", "_next"]).select("_digest", "seg", "ord", "p", F.col("rank").alias("r"), "first"), "suffixes")
+        rows = ahead.join(named, ["r", "_next"]).select("_digest", "seg", "ord", "p", F.col("rank").alias("r"), "first")
         out.append(rows.where("p > first").select("_digest", F.col("ord").alias("start"), F.lit(h).alias("m")))
 
 
