@@ -39,7 +39,7 @@ BANDS, ROWS = 20, 5
 LEAST = 0.8
 #: What is compared at a time: texts, texts in the second step, and bytes of text. Components beyond it are cut; the classes are
 #: the same.
-MOST_TEXTS, MOST_REST, MOST_BYTES = 128, 1024, 12 << 20
+MOST_TEXTS, MOST_REST, MOST_BYTES = 4000, 4000, 24 << 20
 _POISSON = np.cumsum([math.exp(-1) / math.factorial(i) for i in range(14)])
 _UNIT = 2.0**-53
 
