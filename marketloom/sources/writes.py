@@ -64,6 +64,15 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{base}/{name}/{uuid.uuid4().hex}"
 
 
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """df as a Parquet table in the shared folder, which cuts its lineage; it goes when the application ends."""
+    spark, path = df.sparkSession, scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def merge_news(old: DataFrame, new: DataFrame, key: str = "key", keep_first: tuple[str, ...] = ("query_id",)) -> DataFrame:
     """Upsert by key in which blanks don't replace values, and the first query id stays."""
     a, b = old.alias("a"), new.alias("b")
