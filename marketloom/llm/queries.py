@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from marketloom.llm import bpe, compression, cotraining, language, lines, minhash, mixing, secrets, sstable, vafile
+from marketloom.llm import bpe, compression, cotraining, language, lines, lloyd, minhash, mixing, projections, secrets, sstable, trie, vafile
 from marketloom.llm.common import table
 
 #: Public vocabularies, at the same place on every machine.
@@ -57,10 +57,22 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predict(docs, language.train(docs, PIECES))
 
 
+def op11_filtering_lloyd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lloyd.compress(table(spark, sf_dir, "embeddings"))
+
+
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+def op13_projection_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return projections.search(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_line_dedup, op2_minhash_near_dedup, op3_source_mixing, op4_va_file_top_k, op5_co_training_quality, op6_compression_bands, op7_secret_scan, op8_sstable_tokens, op9_bpe_round_trip, op10_language_id)}
+    return {f.__name__: f for f in (op1_line_dedup, op2_minhash_near_dedup, op3_source_mixing, op4_va_file_top_k, op5_co_training_quality, op6_compression_bands, op7_secret_scan, op8_sstable_tokens, op9_bpe_round_trip, op10_language_id, op11_filtering_lloyd, op12_conversation_trie, op13_projection_neighbours)}
 
 
 def oracle_sql() -> dict[str, str]:
     oracle = f"SELECT doc_id, size, source_size, target, taken FROM ({mixing.ORACLE}) AS mixed"
-    return {"op1_line_dedup": lines.ORACLE, "op3_source_mixing": oracle, "op4_va_file_top_k": vafile.ORACLE}
+    return {"op1_line_dedup": lines.ORACLE, "op3_source_mixing": oracle, "op4_va_file_top_k": vafile.ORACLE, "op11_filtering_lloyd": lloyd.ORACLE, "op12_conversation_trie": trie.ORACLE}
