@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from marketloom.operators import portfolio as p
 from marketloom.operators.asof import asof
+from marketloom.sources.versions import Versions, bucket, replace_keys
 
 POSITION = ("account", "symbol", "currency")
 
@@ -104,3 +105,13 @@ def snapshot(accounts: DataFrame, cash: DataFrame, trades: DataFrame, actions: D
         "account", F.col("cash").alias("total_cash"), F.col("value").alias("market_value"), (F.col("cash") + F.col("value")).alias("equity"), F.col("realized").alias("realized_pnl"),
         (F.col("value") - F.col("cost")).alias("unrealized_pnl"), F.col("fee").alias("fee_total"), F.col("tax").alias("tax_total"), F.coalesce("fx_stale", F.lit(False)).alias("fx_stale"),
     )
+
+
+def refresh(store: Versions, accounts: DataFrame, positions: DataFrame, lots: DataFrame, snapshots: DataFrame) -> int:
+    """accounts: account, method that were computed anew. Their positions and lots are replaced, those that have none now included, and
+    their snapshot of the day (account, method, date) is added or replaced: one commit for the three tables, so that a reader never sees
+    lots of one state beside positions of another."""
+    key = ["account", "method"]
+    days = snapshots.select(*key, "date")
+    tables = {"positions": (positions, key, bucket), "lots": (lots, key, bucket), "snapshots": (snapshots, [*key, "date"], bucket)}
+    return replace_keys(store, tables, {"positions": accounts, "lots": accounts, "snapshots": days}, "account")

@@ -10,6 +10,8 @@ from marketloom.operators import ledger
 from marketloom.plans.portfolio import CUR, RATES_SQL, RAW, currency, rates, raw_trades
 from marketloom.plans.registry import query
 from marketloom.sources.testdata import BARS, bars, table
+from marketloom.sources.versions import Versions
+from marketloom.sources.writes import kept, scratch
 
 AS_OF = "2000-06-30"
 
@@ -99,3 +101,36 @@ def portfolio_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = bars(spark, sf_dir).select(F.col("code").alias("symbol"), "date", "close")
     df = ledger.snapshot(accounts, cash, t, a, b, rates(spark), F.lit(AS_OF).cast("date"))
     return df.select("account", "fx_stale", *r("total_cash", "market_value", "equity", "realized_pnl", "unrealized_pnl", "fee_total", "tax_total", digits=1))
+
+
+LATER = "2001-06-30"
+_AT = lambda day: LEDGER.replace(f"DATE '{AS_OF}'", f"DATE '{day}'")
+
+
+def _state(day: str) -> str:
+    return f"(WITH {_AT(day)} SELECT account, symbol, id, remaining, unit_cost FROM lot)"
+
+
+@query(f"""WITH a AS MATERIALIZED {_state(AS_OF)}, b AS MATERIALIZED {_state(LATER)}, every AS (SELECT DISTINCT o_custkey % 10 AS account FROM orders),
+  lots AS (SELECT * FROM a WHERE account % 2 = 1 UNION ALL SELECT * FROM b WHERE account % 2 = 0),
+  snaps AS (SELECT account, DATE '{AS_OF}' AS date, (SELECT sum(remaining * unit_cost) FROM a WHERE a.account = e.account) AS cost FROM every e UNION ALL SELECT account, DATE '{LATER}', (SELECT sum(remaining * unit_cost) FROM b WHERE b.account = e.account) FROM every e WHERE account % 2 = 0),
+  l AS (SELECT account, count(*) AS n_lots, count(DISTINCT symbol) AS n_positions, sum(remaining) AS quantity FROM lots GROUP BY account), s AS (SELECT account, count(*) AS n_days, max(date) AS newest, sum(cost) AS cost FROM snaps GROUP BY account)
+SELECT s.account, n_lots, n_positions, n_days, newest, {R('quantity', 'cost', digits=2)} FROM s LEFT JOIN l ON l.account = s.account""")
+def account_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All accounts at one day, then every other account at a later one, each as one commit of positions, lots and snapshots."""
+    t, a = (kept(x, "ledger") for x in _ledger(spark, sf_dir))
+    every = table(spark, sf_dir, "orders").select((F.col("o_custkey") % 10).alias("account")).distinct().withColumn("method", F.lit("fifo"))
+    store = Versions(spark, scratch(spark, "accounts"))
+    for day, some in ((AS_OF, F.lit(True)), (LATER, F.col("account") % 2 == 0)):
+        on = F.lit(day).cast("date")
+        rows = ledger.restated(ledger.until(t.where(some), on), ledger.until(a.where(some), on))
+        lots = kept(ledger.lots(rows).withColumn("method", F.lit("fifo")), "lots")
+        held = lots.groupBy("account", "method", "symbol", "currency").agg(F.sum("remaining").alias("quantity"), F.sum(F.col("remaining") * F.col("unit_cost")).alias("cost"))
+        cost = held.groupBy("account", "method").agg(F.sum("cost").alias("cost"))
+        refreshed = every.where(some)
+        ledger.refresh(store, refreshed, held, lots, refreshed.join(cost, ["account", "method"], "left").withColumn("date", on))
+    v = store.version()
+    lots = store.read("lots", v).groupBy("account").agg(F.count("*").alias("n_lots"))
+    held = store.read("positions", v).groupBy("account").agg(F.countDistinct("symbol").alias("n_positions"), F.sum("quantity").alias("quantity"))
+    days = store.read("snapshots", v).groupBy("account").agg(F.count("*").alias("n_days"), F.max("date").alias("newest"), F.sum("cost").alias("cost"))
+    return days.join(lots, "account", "left").join(held, "account", "left").select("account", "n_lots", "n_positions", "n_days", "newest", *r("quantity", "cost", digits=2))

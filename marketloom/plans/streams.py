@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from marketloom.functions.rounding import R, r
 from marketloom.plans.registry import query
-from marketloom.sources import writes
+from marketloom.sources import versions, writes
 from marketloom.sources.testdata import BARS, bars, table
 from marketloom.streaming import streams
 
@@ -48,15 +48,40 @@ def stream_breaker(spark: SparkSession, sf_dir: str) -> DataFrame:
     return streams.drained(f"b{uuid.uuid4().hex}", streams.breaker(e), _checkpoint(spark))
 
 
-@query(f"""WITH {BARS}, q AS (SELECT code, CASE WHEN CAST(code AS INTEGER) % 2 = 0 THEN date ELSE date + 1000 END AS date, 0.0 AS open, close AS pre_close, high * 2 AS high, low, close + 1 AS close, volume FROM bars QUALIFY row_number() OVER (PARTITION BY code ORDER BY date DESC) = 1)
-SELECT coalesce(b.code, q.code) AS code, coalesce(b.date, q.date) AS date, coalesce(nullif(q.open, 0), nullif(q.pre_close, 0), b.open) AS open, coalesce(nullif(q.high, 0), b.high) AS high, coalesce(nullif(q.low, 0), b.low) AS low, coalesce(nullif(q.close, 0), b.close) AS close, coalesce(nullif(q.volume, 0), b.volume) AS volume
-FROM bars b FULL JOIN q ON b.code = q.code AND b.date = q.date""")
-def stream_bar_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from marketloom.operators.indicators import latest
+_QUOTE = """SELECT b.code, b.day + %(days)s AS date, close + %(add)s AS price, CASE WHEN n %% 5 = 0 THEN close * 2 WHEN n %% 5 = 1 THEN 0.0 END AS open, CASE WHEN n %% 7 = 0 THEN close * 3 END AS pre_close, CASE WHEN n %% 2 = 0 THEN close * 4 END AS high,
+  CASE WHEN n %% 3 = 0 THEN close / 4 END AS low, CASE WHEN n %% 4 = 0 THEN NULL WHEN n %% 4 = 1 THEN 0.0 ELSE 7.0 END AS volume, CASE WHEN n %% 3 = 1 THEN 9.0 END AS amount, CASE WHEN n %% 3 = 2 THEN 1.5 END AS pct_chg FROM (SELECT *, date AS day, CAST(code AS INTEGER) AS n FROM last0) b WHERE %(where)s"""
+_FIRST = _QUOTE % {"days": "CASE WHEN n % 2 = 0 THEN 0 WHEN n % 3 = 0 THEN -5 ELSE 3 END", "add": "n % 3 * 0.5", "where": "n % 11 <> 1"}
+_SECOND = _QUOTE % {"days": "40", "add": "1.0", "where": "n % 6 <> 5"}
+
+
+def _merged(quotes: str, last: str) -> str:
+    return f"""SELECT q.code, CASE WHEN q.date <= l.date THEN l.date ELSE q.date END AS date, coalesce(nullif(q.open, 0), nullif(q.pre_close, 0), l.close) AS open, coalesce(nullif(q.high, 0), q.price) AS high, coalesce(nullif(q.low, 0), q.price) AS low, q.price AS close,
+    coalesce(nullif(q.volume, 0), CASE WHEN q.date <= l.date THEN l.volume ELSE 0 END) AS volume, coalesce(q.amount, CASE WHEN q.date <= l.date THEN l.amount ELSE 0 END) AS amount, coalesce(q.pct_chg, CASE WHEN q.date <= l.date THEN l.pct_chg ELSE 0 END) AS pct_chg FROM {quotes} q JOIN {last} l ON l.code = q.code WHERE q.price > 0"""
 
-    b = bars(spark, sf_dir)
-    q = latest(b).select("code", F.when(F.col("code").cast("int") % 2 == 0, F.col("date")).otherwise(F.date_add("date", 1000)).alias("date"), F.lit(0.0).alias("open"), F.col("close").alias("pre_close"), (F.col("high") * 2).alias("high"), "low", (F.col("close") + 1).alias("close"), "volume", F.lit(1).alias("at"))
+
+@query(f"""WITH {BARS}, b0 AS (SELECT *, 0.25::DOUBLE AS pct_chg FROM bars), last0 AS (SELECT * FROM b0 QUALIFY row_number() OVER (PARTITION BY code ORDER BY date DESC) = 1), q1 AS ({_FIRST}), m1 AS ({_merged('q1', 'last0')}),
+  b1 AS (SELECT * FROM b0 WHERE (code, date) NOT IN (SELECT (code, date) FROM m1) UNION ALL BY NAME SELECT * FROM m1), last1 AS (SELECT * FROM b1 QUALIFY row_number() OVER (PARTITION BY code ORDER BY date DESC) = 1), q2 AS ({_SECOND}), m2 AS ({_merged('q2', 'last1')}), b2 AS (SELECT * FROM b1 WHERE (code, date) NOT IN (SELECT (code, date) FROM m2) UNION ALL BY NAME SELECT * FROM m2)
+SELECT code, date, open, high, low, close, volume, {R('amount')}, pct_chg FROM b2""")
+def stream_bar_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two files of quotes; the stream is stopped after the first and started again on its checkpoint."""
+    b = bars(spark, sf_dir).withColumn("pct_chg", F.lit(0.25)).select("code", "date", *streams.BAR)
     folder = writes.scratch(spark, "quotes")
-    q.repartition(2).write.parquet(f"{folder}/quotes")
-    quotes = spark.readStream.schema(q.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/quotes")
-    return streams.upsert_stream(quotes, b.select("code", "date", "open", "high", "low", "close", "volume"), folder, f"{folder}/checkpoint")
+    store = versions.Versions(spark, f"{folder}/store")
+    streams.store_bars(store, b)
+    last = store.read("last").withColumns({"n": F.col("code").cast("int"), "at": F.lit(1)})
+    n, close = F.col("n"), F.col("close")
+
+    def quotes(days, price) -> DataFrame:
+        return last.select(
+            "code", F.date_add("date", days).alias("date"), "at", price.alias("price"), F.when(n % 5 == 0, close * 2).when(n % 5 == 1, 0.0).alias("open"), F.when(n % 7 == 0, close * 3).alias("pre_close"), F.when(n % 2 == 0, close * 4).alias("high"),
+            F.when(n % 3 == 0, close / 4).alias("low"), F.when(n % 4 == 1, 0.0).when(n % 4 > 1, 7.0).alias("volume"), F.when(n % 3 == 1, 9.0).alias("amount"), F.when(n % 3 == 2, 1.5).alias("pct_chg"),
+        )
+
+    first = quotes(F.when(n % 2 == 0, 0).when(n % 3 == 0, -5).otherwise(3), close + n % 3 * 0.5).where(F.col("code").cast("int") % 11 != 1)
+    second = quotes(F.lit(40), close + 1.0).where(F.col("code").cast("int") % 6 != 5)
+    second = writes.kept(second, "quotes")  # read before the first batch changes what is last
+    for part in (first, second):
+        part.coalesce(1).write.mode("append").parquet(f"{folder}/in")
+        stream = spark.readStream.schema(first.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+        streams.upsert_stream(stream, store, f"{folder}/checkpoint")
+    return store.read("bars").select("code", "date", "open", "high", "low", "close", "volume", *r("amount"), "pct_chg")

@@ -7,11 +7,12 @@ from collections.abc import Iterator
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from marketloom.functions.shipping import ship
+from marketloom.sources import versions, writes
 
 
 def dedup(stream: DataFrame, keys: list[str], ts: str, delay: str = "1 day") -> DataFrame:
@@ -53,32 +54,63 @@ def breaker(stream: DataFrame, failures: int = 3, cooldown_s: int = 300) -> Data
     return stream.groupBy("source").applyInPandasWithState(step, "source string, ts timestamp, state string", "count long, opened long", "append", GroupStateTimeout.NoTimeout)
 
 
-def upsert_bars(quotes: DataFrame, bars: DataFrame) -> DataFrame:
-    """Quotes of today over stored bars: the bar of the same day is replaced, else one is added. An open of 0 or null gives
-    way to the close before."""
-    both = bars.alias("b").join(quotes.alias("q"), ["code", "date"], "full_outer")
-    some = lambda c: F.coalesce(F.nullif(F.col(f"q.{c}"), F.lit(0.0)), F.col(f"b.{c}"))
-    return both.select("code", "date", F.coalesce(F.nullif("q.open", F.lit(0.0)), F.nullif("q.pre_close", F.lit(0.0)), "b.open").alias("open"), *(some(c).alias(c) for c in ("high", "low", "close", "volume")))
-
-
-def upsert_stream(quotes: DataFrame, bars: DataFrame, folder: str, checkpoint: str) -> DataFrame:
-    """Runs a stream of quotes into a table of bars until all that is there is read: each batch gives the next state of the
-    table, under a name of its own, so a batch that is run again replaces what it wrote. Of a batch the last quote of a code
-    and day counts, by `at`."""
-    spark = bars.sparkSession
-    bars.write.parquet(f"{folder}/before")
+BAR = ("open", "high", "low", "close", "volume", "amount", "pct_chg")
+
+
+def intraday(quotes: DataFrame, last: DataFrame) -> DataFrame:
+    """Bars that quotes make of what is stored. quotes: code, date, price, open, pre_close, high, low, volume, amount, pct_chg, one a code and day.
+    last: code, date and BAR of the newest bar of each code. The newest bar takes a quote of its day or an earlier one, and a later quote begins
+    a bar. An open of 0 or null is the close before; a missing high or low is the price; volume, amount and change stay, or are 0 in a new
+    bar. A quote without a price above 0, or of a code without bars, is passed over."""
+    some = lambda c: F.nullif(F.col(c), F.lit(0.0))
+    kept = F.struct(F.col("date").alias("day"), *BAR).alias("b")
+    both = quotes.where("price > 0").join(last.select("code", kept), "code")
+    w = Window.partitionBy("code").orderBy("date")
+    both = both.withColumn("before", F.coalesce(F.lag("price").over(w), F.col("b.close")))
+    old = F.col("date") <= F.col("b.day")
+    rows = both.select(
+        "code", F.when(old, F.col("b.day")).otherwise(F.col("date")).alias("date"), F.col("date").alias("at"), old.alias("old"), F.coalesce(some("open"), some("pre_close"), "before").alias("open"), F.coalesce(some("high"), "price").alias("high"),
+        F.coalesce(some("low"), "price").alias("low"), F.col("price").alias("close"), some("volume").alias("volume"), "amount", "pct_chg", "b",
+    )
+    newest = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.col("at")))
+    bars = rows.groupBy("code", "date", "old").agg(*(F.max_by(c, "at").alias(c) for c in ("open", "high", "low", "close", "b")), *(newest(c).alias(c) for c in ("volume", "amount", "pct_chg")))
+    stay = lambda c: F.coalesce(c, F.when(F.col("old"), F.col(f"b.{c}")).otherwise(0.0)).alias(c)
+    return bars.select("code", "date", "open", "high", "low", "close", *(stay(c) for c in ("volume", "amount", "pct_chg")))
+
+
+def store_bars(store: versions.Versions, bars: DataFrame) -> int:
+    """Bars (code, date, BAR) as version 0 of two tables: all of them by month, and the newest of each code by a hash of the code."""
+    bars = writes.kept(bars.select("code", "date", *BAR), "bars")
+    last = bars.groupBy("code").agg(F.max_by(F.struct("date", *BAR), "date").alias("b")).select("code", "b.*")
+    tables = {"bars": (bars, versions.month("date")), "last": (last, versions.bucket("code"))}
+    return store.commit({t: versions.Change(df.select("code", "date", *BAR).withColumn(versions.PART, part), versions.touched(df, part)) for t, (df, part) in tables.items()})
+
+
+def merge_quotes(store: versions.Versions, quotes: DataFrame, batch: int, stream: str = "quotes") -> int:
+    """One batch of quotes into the tables of store_bars: the months and codes that it touches are rewritten, in one commit. Of a batch
+    the last quote of a code and day counts, by `at`. A batch that is in already changes nothing."""
+    base = store.version()
+    if base.batches.get(stream, -1) >= batch:
+        return base.number
     columns = [c for c in quotes.columns if c not in ("code", "date", "at")]
-
-    newest = [-1]  # set by the batches, which run on the driver
-
-    def merge(batch: DataFrame, number: int) -> None:
-        last = batch.groupBy("code", "date").agg(F.max_by(F.struct(*columns), "at").alias("q")).select("code", "date", "q.*")
-        old = batch.sparkSession.read.parquet(f"{folder}/state-{number - 1}" if number else f"{folder}/before")
-        upsert_bars(last, old).write.mode("overwrite").parquet(f"{folder}/state-{number}")
-        newest[0] = number
-
-    quotes.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(f"{folder}/state-{newest[0]}" if newest[0] >= 0 else f"{folder}/before")
+    q = quotes.groupBy("code", "date").agg(F.max_by(F.struct(*columns), "at").alias("q")).select("code", "date", "q.*")
+    codes = versions.touched(q, versions.bucket("code"))
+    last = store.read("last", base, codes)
+    new = writes.kept(intraday(q, last), "bars")
+    if new.isEmpty():
+        return store.commit({}, base, stream, batch)
+    months = versions.touched(new, versions.month("date"))
+    bars = writes.upsert(store.read("bars", base, months), new, ["code", "date"])
+    newest = new.groupBy("code").agg(F.max_by(F.struct("date", *BAR), "date").alias("b")).select("code", "b.*")
+    newest = writes.upsert(last, newest, ["code"]).select("code", "date", *BAR)
+    changes = {"bars": versions.Change(bars.withColumn(versions.PART, versions.month("date")), months), "last": versions.Change(newest.withColumn(versions.PART, versions.bucket("code")), codes)}
+    return store.commit(changes, base, stream, batch)
+
+
+def upsert_stream(quotes: DataFrame, store: versions.Versions, checkpoint: str, stream: str = "quotes") -> None:
+    """Runs a stream of quotes into the tables of store_bars until all that is there is read. It may be stopped anywhere and started again
+    on the same checkpoint: a batch either is in the log of versions, or it isn't there at all."""
+    quotes.writeStream.foreachBatch(lambda batch, number: merge_quotes(store, batch, number, stream)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
 def drained(query_name: str, stream: DataFrame, checkpoint: str, mode: str = "append") -> DataFrame:
