@@ -11,13 +11,23 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marketloom.functions.text import ma_status
+from marketloom.operators.numbering import numbered, ranged
+from marketloom.sources.writes import kept
 
 
 def page_with_total(df: DataFrame, order: Sequence[Column], number: int, size: int) -> DataFrame:
-    """A page (see logs.page) with `total`, the number of all rows, in each."""
-    from marketloom.operators.logs import page
-
-    return page(df, list(order), number, size).join(F.broadcast(df.agg(F.count("*").alias("total"))))  # one row
+    """A page (from 1) with the number of all rows, in order. Ranges of the order are counted, and only those with rows of the page are
+    read and sorted for it; the page's place in its ranges follows from the counts, however deep it lies."""
+    rows, ranges = ranged(df, list(order), "pages")
+    found = ranges.collect()  # a row for each range
+    total, begin = sum(r["n"] for r in found), (number - 1) * size
+    some = [r for r in found if r["before"] < begin + size and r["before"] + r["n"] > begin]
+    place = F.lit(None).cast("long")
+    for r in some:
+        place = F.when(F.shiftright("_i", 33) == r["part"], F.lit(r["before"])).otherwise(place)
+    place = place + F.col("_i").bitwiseAND((1 << 33) - 1)
+    read = rows.where(F.col("_i") < 0) if not some else rows.where(F.col("_i").between(some[0]["part"] << 33, (some[-1]["part"] << 33) + some[-1]["n"]))
+    return read.withColumn("_n", place).where((F.col("_n") >= begin) & (F.col("_n") < begin + size)).orderBy("_n").drop("_n", "_i").withColumn("total", F.lit(total).cast("long"))
 
 
 def bar_context(bars: DataFrame) -> DataFrame:
@@ -107,13 +117,30 @@ def trimmed_tasks(tasks: DataFrame, most: int) -> DataFrame:
 
 def active_tasks(requests: DataFrame) -> DataFrame:
     """requests: id, code, created_at, finished_at (null: running). Adds accepted: whether no earlier accepted task of the code
-    was still running. A request is a repeat of the one that runs, so each run of overlapping requests accepts its first."""
-    far = F.lit("9999-01-01").cast("timestamp")
-    step = lambda a, x: F.when(x["at"] >= a["until"], F.struct(x["end"].alias("until"), F.concat(a["ids"], F.array(x["id"])).alias("ids"))).otherwise(a)
-    zero = F.struct(F.lit("0001-01-01").cast("timestamp").alias("until"), F.array().cast("array<bigint>").alias("ids"))
-    rows = requests.groupBy("code").agg(F.sort_array(F.collect_list(F.struct(F.col("created_at").alias("at"), F.col("id").cast("long").alias("id"), F.coalesce("finished_at", far).alias("end")))).alias("rows"))
-    first = rows.select("code", F.explode(F.aggregate("rows", zero, step, lambda a: a["ids"])).alias("id"))
-    return requests.join(first.withColumn("accepted", F.lit(True)), ["code", "id"], "left").withColumn("accepted", F.coalesce("accepted", F.lit(False)))
+    was still running. A request is a repeat of the one that runs, so after an accepted request the next is the first that starts when
+    it has ended: a pointer, found for all at once by counting the starts before each end. From the first request of each code the
+    pointers are followed by doubling them, so a code with many requests takes some rounds more and is dealt like any other."""
+    far = F.lit("9999-12-31").cast("timestamp")
+    rows = requests.select(F.col("id").alias("_id"), F.col("code").alias("_code"), "created_at", F.greatest(F.coalesce("finished_at", far), "created_at").alias("_end"))
+    rows = kept(rows, "requests")
+    starts = kept(numbered(rows, [F.col("_code"), F.col("created_at"), F.col("_id")], "i"), "starts")
+    # an end stands before the starts of its moment; the starts before it are its place among all less its place among ends
+    both = starts.select("_code", F.col("created_at").alias("at"), F.lit(1).alias("kind"), "i").unionByName(starts.select("_code", F.col("_end").alias("at"), F.lit(0).alias("kind"), "i"))
+    order = [F.col("_code"), F.col("at"), F.col("kind"), F.col("i")]
+    ends = kept(numbered(both, order, "p").where("kind = 0").select("_code", "at", "kind", "i", "p"), "ends")
+    follows = numbered(ends, order, "q").select("_code", F.col("i").alias("of"), (F.col("p") - F.col("q")).alias("to"))
+    spans = kept(starts.groupBy("_code").agg(F.min("i").alias("first"), F.max("i").alias("last")), "spans")
+    # a task without length ends at the place of its own start; the next request follows it
+    jump = follows.withColumn("to", F.greatest("to", F.col("of") + 1)).join(spans, follows["_code"].eqNullSafe(spans["_code"])).where(F.col("to") <= F.col("last")).select("of", "to")
+    jump = kept(jump, "jumps")
+    found = kept(spans.select(F.col("first").alias("i")), "found")
+    while not jump.isEmpty():
+        more = found.join(jump, found["i"] == jump["of"]).select(F.col("to").alias("i"))
+        found = kept(found.unionByName(more).distinct(), "found")
+        far_jump = jump.select(F.col("of"), F.col("to").alias("via")).join(jump.select(F.col("of").alias("via"), "to"), "via").select("of", "to")
+        jump = kept(far_jump, "jumps")
+    accepted = starts.join(found.withColumn("accepted", F.lit(True)), "i", "left").select("_id", "_code", F.coalesce("accepted", F.lit(False)).alias("accepted"))
+    return requests.join(accepted, (requests["id"] == accepted["_id"]) & requests["code"].eqNullSafe(accepted["_code"])).drop("_id", "_code")
 
 
 def without_codes(df: DataFrame, excluded: DataFrame) -> DataFrame:

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from marketloom.operators.portfolio import by_average
+
 # Fixed markers of error texts.
 BLOCKING = ("timeout", "timed out", "connect failed", "connection", "ssl", "proxy", "network", "503", "502", "429")
 EMPTY = ("未获取到", "未找到", "no data", "not found", "empty", "查无")
@@ -95,29 +97,16 @@ def ledger(cash: DataFrame, actions: DataFrame, trades: DataFrame) -> DataFrame:
 
 def replay(events: DataFrame, keys: Sequence[str] = ("account", "symbol")) -> DataFrame:
     """events: keys, on, priority, id, kind (buy, sell, dividend, split, deposit, withdrawal), quantity, price, charges, ratio.
-    Quantity, cost (average) and cash after all of a ledger's events: a fold in order over an array, so a
-    ledger's events must fit in a task (see ledger.py for the same by windows). A dividend pays what is held then; a
-    split changes quantity, not cost."""
-    e = F.struct("on", "priority", "id", "kind", *(F.coalesce(c, F.lit(0.0)).alias(c) for c in ("quantity", "price", "charges", "ratio")))
-    packed = events.groupBy(*keys).agg(F.sort_array(F.collect_list(e)).alias("events"))
-    zero = F.struct(F.lit(0.0).alias("q"), F.lit(0.0).alias("cost"), F.lit(0.0).alias("cash"), F.lit(0.0).alias("pnl"))
-
-    def step(a: Column, x: Column) -> Column:
-        gross = x["quantity"] * x["price"]
-        part = F.when(a["q"] > 1e-8, a["cost"] * x["quantity"] / a["q"]).otherwise(0.0)
-        state = lambda q, cost, cash, pnl: F.struct(q.alias("q"), cost.alias("cost"), cash.alias("cash"), pnl.alias("pnl"))
-        return (
-            F.when(x["kind"] == "buy", state(a["q"] + x["quantity"], a["cost"] + gross + x["charges"], a["cash"] - gross - x["charges"], a["pnl"]))
-            .when(x["kind"] == "sell", state(a["q"] - x["quantity"], a["cost"] - part, a["cash"] + gross - x["charges"], a["pnl"] + gross - x["charges"] - part))
-            .when(x["kind"] == "dividend", state(a["q"], a["cost"], a["cash"] + a["q"] * x["price"], a["pnl"]))
-            .when(x["kind"] == "split", state(a["q"] * x["ratio"], a["cost"], a["cash"], a["pnl"]))
-            .when(x["kind"] == "deposit", state(a["q"], a["cost"], a["cash"] + x["quantity"], a["pnl"]))
-            .when(x["kind"] == "withdrawal", state(a["q"], a["cost"], a["cash"] - x["quantity"], a["pnl"]))
-            .otherwise(a)
-        )
-
-    df = packed.withColumn("z", F.aggregate("events", zero, step))
-    return df.select(*keys, F.col("z.q").alias("quantity"), F.col("z.cost").alias("cost"), F.col("z.cash").alias("cash"), F.col("z.pnl").alias("realized_pnl"))
+    Quantity, cost (average), cash and profit after all of a ledger's events, by scans (see portfolio.by_average). A dividend pays what
+    is held then; a split changes quantity, not cost."""
+    rows = by_average(events, keys, ("on", "priority", "id"))
+    gross, charges = F.col("quantity") * F.col("price"), F.coalesce("charges", F.lit(0.0))
+    kind = lambda k: F.col("kind") == k
+    cash = F.when(kind("buy"), -gross - charges).when(kind("sell"), gross - charges).when(kind("dividend"), F.col("held_before") * F.col("price")).when(kind("deposit"), F.col("quantity")).when(kind("withdrawal"), -F.col("quantity"))
+    total = lambda x: F.coalesce(F.sum(x), F.lit(0.0))
+    end = F.max_by(F.struct("held", "cost"), "n").alias("z")
+    df = rows.groupBy(*keys).agg(end, total(cash).alias("cash"), total(F.when(kind("sell"), gross - charges - F.col("part"))).alias("realized_pnl"))
+    return df.select(*keys, F.col("z.held").alias("quantity"), F.col("z.cost").alias("cost"), "cash", "realized_pnl")
 
 
 def open_markets(symbols: DataFrame, calendar: DataFrame, day: Column) -> DataFrame:

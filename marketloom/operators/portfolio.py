@@ -7,12 +7,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marketloom.functions.shipping import ship
 from marketloom.operators.asof import asof
+from marketloom.operators.scan import closed, opened, scanned
+from marketloom.sources.writes import kept
 
 POSITION = ("account", "symbol")
 EPS = 1e-8
@@ -67,9 +67,46 @@ def realized(trades: DataFrame, keys: Sequence[str] = POSITION) -> DataFrame:
     return fifo_matches(trades, keys).groupBy(*keys).agg(F.sum("quantity").alias("sold"), F.sum("proceeds").alias("proceeds"), (F.sum("proceeds") - F.sum("cost")).alias("realized_pnl"))
 
 
+def by_average(events: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """events: keys, order, kind (buy, sell, split; others change nothing), quantity, price, charges, ratio. Adds n, held, cost and their values
+    before the event, and `part`, the cost of what a sell takes: its share of the cost. What is held is a linear recurrence, and once it is
+    known the cost is one; a position that is sold out starts anew."""
+    rows = opened(kept(events, "events"), keys, order)
+    opens, kind = F.col("_opens") == 0, F.col("kind")
+    of = lambda c: F.coalesce(c, F.lit(0.0))
+    change = F.when(kind == "buy", of("quantity")).when(kind == "sell", -of("quantity")).otherwise(0.0)
+    rows = scanned(rows, F.when(opens, 0.0).when(kind == "split", F.col("ratio")).otherwise(1.0), F.when(opens, 0.0).otherwise(change), "held")
+    share = F.when(F.col("held_before") > EPS, of("quantity") / F.col("held_before")).otherwise(0.0)
+    left = F.when(opens | ((kind == "sell") & (F.abs("held") < EPS)), 0.0).when(kind == "sell", 1 - share).otherwise(1.0)
+    paid = F.when(~opens & (kind == "buy"), of(F.col("quantity") * F.col("price")) + of("charges")).otherwise(0.0)
+    rows = closed(scanned(rows, left, paid, "cost"))
+    none = F.abs("held") < EPS
+    return rows.withColumns({"part": F.when(kind == "sell", F.col("cost_before") * share).otherwise(0.0), "held": F.when(none, 0.0).otherwise(F.col("held"))})
+
+
+def _events(trades: DataFrame, keys: Sequence[str]) -> DataFrame:
+    return trades.select(*keys, "date", "id", F.when(F.col("side") == "sell", "sell").otherwise("buy").alias("kind"), "quantity", "price", (F.col("fee") + F.col("tax")).alias("charges"), F.lit(1.0).alias("ratio"))
+
+
+#: Most trades of a ledger that is folded as one array.
+MOST_FOLDED = 4096
+
+
 def average_cost(trades: DataFrame, keys: Sequence[str] = POSITION) -> DataFrame:
-    """keys, quantity, cost, realized_pnl by average cost: a fold over each ledger's events in order; a sell takes its share
-    of the cost, and a position that is sold out starts anew. A ledger is one account's trades of one symbol."""
+    """keys, quantity, cost, realized_pnl by average cost. Ledgers of up to MOST_FOLDED trades are folds over an array; larger ones go
+    through scans, with the same result."""
+    trades = trades.select(*keys, "date", "id", "side", "quantity", "price", "fee", "tax")
+    sizes = trades.groupBy(*keys).count()
+    large = kept(sizes.where(F.col("count") > MOST_FOLDED).select(*(F.col(k).alias(f"_{k}") for k in keys)), "large")
+    if large.isEmpty():
+        return _folded(trades, keys)
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    return _folded(trades.join(large, same, "left_anti"), keys).unionByName(_scanned(trades.join(large, same, "left_semi"), keys))
+
+
+def _folded(trades: DataFrame, keys: Sequence[str]) -> DataFrame:
     event = F.struct("date", "id", signed().alias("q"), (F.col("quantity") * F.col("price")).alias("gross"), (F.col("fee") + F.col("tax")).alias("charges"))
     events = trades.groupBy(*keys).agg(F.sort_array(F.collect_list(event)).alias("events"))
     zero = F.struct(F.lit(0.0).alias("q"), F.lit(0.0).alias("cost"), F.lit(0.0).alias("pnl"))
@@ -84,28 +121,17 @@ def average_cost(trades: DataFrame, keys: Sequence[str] = POSITION) -> DataFrame
     return df.select(*keys, F.col("end.q").alias("quantity"), F.col("end.cost").alias("cost"), F.col("end.pnl").alias("realized_pnl"))
 
 
+def _scanned(trades: DataFrame, keys: Sequence[str]) -> DataFrame:
+    rows = by_average(_events(trades, keys), keys, ("date", "id"))
+    profit = F.when(F.col("kind") == "sell", F.col("quantity") * F.col("price") - F.col("charges") - F.col("part"))
+    df = rows.groupBy(*keys).agg(F.max_by(F.struct("held", "cost"), "n").alias("end"), F.coalesce(F.sum(profit), F.lit(0.0)).alias("realized_pnl"))
+    return df.select(*keys, F.col("end.held").alias("quantity"), F.col("end.cost").alias("cost"), "realized_pnl")
+
+
 def average_cost_sells(trades: DataFrame, keys: Sequence[str] = POSITION) -> DataFrame:
-    """keys, date, amount: the profit of each sell by average cost. The same fold, a ledger at a time in pandas, since a fold
-    in the JVM gives its end only."""
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        q, cost, rows = 0.0, 0.0, []
-        for i, x in group.sort_values(["date", "id"]).iterrows():
-            gross, charges = x["quantity"] * x["price"], x["fee"] + x["tax"]
-            if x["side"] != "sell":
-                q, cost = q + x["quantity"], cost + gross + charges
-                continue
-            part = cost * x["quantity"] / q if q > EPS else 0.0
-            q -= x["quantity"]
-            cost = 0.0 if abs(q) < EPS else cost - part
-            q = 0.0 if abs(q) < EPS else q
-            rows.append((*(x[k] for k in keys), x["date"], gross - charges - part))
-        return pd.DataFrame(rows, columns=[*keys, "date", "amount"])
-
-    ship(trades.sparkSession)
-    kinds = dict(trades.dtypes)
-    rows = trades.select(*keys, "date", "id", "side", "quantity", "price", "fee", "tax")
-    return rows.groupBy(*keys).applyInPandas(run, ", ".join(f"{k} {kinds[k]}" for k in (*keys, "date")) + ", amount double")
+    """keys, date, amount: the profit of each sell by average cost."""
+    rows = by_average(_events(trades, keys), keys, ("date", "id")).where("kind = 'sell'")
+    return rows.select(*keys, "date", (F.col("quantity") * F.col("price") - F.col("charges") - F.col("part")).alias("amount"))
 
 
 #: Parts that the amounts of a currency and month are dealt to; the few rates of the month stand in each.

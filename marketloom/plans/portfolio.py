@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from marketloom.functions.rounding import R, r
 from marketloom.operators import portfolio as p
-from marketloom.plans.registry import query
+from marketloom.plans.registry import ORACLES, query
 from marketloom.sources.testdata import BARS, INSTRUMENTS, bars, instruments, table
 
 
@@ -77,6 +77,16 @@ def avg_cost_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.average_cost(trades(spark, sf_dir)).select("account", "symbol", "quantity", *r("cost", "realized_pnl", digits=3))
 
 
+_SELLS = ORACLES["avg_cost_positions"].replace("SELECT account, symbol, n, quantity AS q,", "SELECT account, symbol, n, date, side, quantity AS q,").replace("SELECT f.account, f.symbol, s.n, CASE", "SELECT f.account, f.symbol, s.n, s.date, s.side, CASE").replace("WHEN side =", "WHEN s.side =")
+
+
+@query(_SELLS[: _SELLS.index(", fin AS")] + f", g AS (SELECT account, symbol, date, pnl - lag(pnl, 1, 0.0) OVER (PARTITION BY account, symbol ORDER BY n) AS amount, side FROM fold), d AS (SELECT account, symbol, date, sum(amount) AS profit FROM g WHERE side = 'sell' GROUP BY ALL) SELECT account, symbol, date, {R('profit', digits=2)} FROM d")
+def average_sells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The profit of each day's sells by average cost."""
+    sold = p.average_cost_sells(trades(spark, sf_dir))
+    return sold.groupBy("account", "symbol", "date").agg(F.sum("amount").alias("profit")).select("account", "symbol", "date", *r("profit", digits=2))
+
+
 RATES = [("USD", "CNY", "1996-01-01", 8.3, False), ("USD", "CNY", "1998-06-01", 8.28, False), ("USD", "CNY", "2000-01-01", 8.27, True), ("CNY", "HKD", "1995-01-01", 0.92, False), ("CNY", "HKD", "1999-01-01", 0.94, False)]
 RATES_SQL = "rates AS (SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{b}', DATE '{d}', {x}::DOUBLE, {str(s).lower()})" for a, b, d, x, s in RATES) + ") AS t(from_currency, to_currency, rate_date, rate, is_stale))"
 
