@@ -24,7 +24,7 @@ def canonical(code: Column) -> Column:
 
 
 def normalize(code: Column) -> Column:
-    """Exchange prefixes and suffixes go; Hong Kong codes become HK and five digits."""
+    """Exchange prefixes and suffixes go; Hong Kong codes become HK and five digits; what fits no rule stays as it is written."""
     c = canonical(code)
     hk = lambda digits: F.concat(F.lit("HK"), F.lpad(digits, 5, "0"))
     return (
@@ -32,7 +32,7 @@ def normalize(code: Column) -> Column:
         .when(c.rlike(r"^(SH|SZ)\d{5,6}$") | c.rlike(r"^BJ\d{6}$"), F.substring(c, 3, 10))
         .when(c.rlike(r"^\d{1,5}\.HK$"), hk(F.regexp_extract(c, r"^(\d+)", 1)))
         .when(c.rlike(r"^\d+\.(SH|SZ|SS|BJ)$"), F.regexp_extract(c, r"^(\d+)", 1))
-        .otherwise(c)
+        .otherwise(F.trim(F.coalesce(code, F.lit(""))))
     )
 
 

@@ -20,40 +20,74 @@ def number(text: Column) -> Column:
 
 
 def price_point(text: Column) -> Column:
-    """A price in prose: the last number between the last colon and 元 that isn't part of "MA<n>", else the last one before
-    the first bracket."""
-    t = F.regexp_replace(F.trim(text), ",", "")
-    plain = t.try_cast("double")
-    tail = F.regexp_extract(t, r"(?:^|[:：])([^:：]*)$", 1)
-    before_yuan = F.regexp_extract(tail, r"^(.*?)元", 1)
-    numbers = lambda s: F.regexp_extract_all(F.regexp_replace(s, r"(?i)MA\d+", " "), F.lit(r"(\d+(?:\.\d+)?)"), F.lit(1))
-    last = lambda s: F.try_element_at(numbers(s), F.lit(-1)).try_cast("double")
-    bracket = F.regexp_extract(t, r"^([^(（]*)", 1)
-    found = F.coalesce(F.when(before_yuan != "", last(before_yuan)), last(bracket))
-    return F.when(plain.isNotNull(), plain).otherwise(F.when(found > 0, found))
-
-
-#: Spark patterns of absolute dates, in the order they are tried.
-DATE_PATTERNS = ("yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd HH:mm", "yyyy-MM-dd", "yyyy/MM/dd HH:mm:ss", "yyyy/MM/dd", "yyyyMMdd", "dd MMM yyyy", "MMM dd, yyyy", "MMM d, yyyy")
-# Units of relative dates in days; minutes and hours are counted apart.
-_UNITS = {"分钟": 0, "minute": 0, "小时": 0, "hour": 0, "天": 1, "day": 1, "周": 7, "week": 7, "个月": 30, "month": 30, "年": 365, "year": 365}
+    """A price in prose. A text that is a number is that number. Else the last number between the last colon and the next 元, without its
+    sign; else the last one before the first bracket, or of the whole text if it begins with one. Numbers right after MA don't count."""
+    t = F.trim(F.regexp_replace(text, "[,，]", ""))
+    plain = F.when(t.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"), t.try_cast("double"))
+    before_yuan = F.regexp_extract(t, r"(?s)^(?:.*[:：])?([^:：]*?)元[^:：]*$", 1)
+    told = lambda s, sign: F.filter(F.regexp_extract_all(s, F.lit(rf"(?i)((?:MA)?{sign}\d+(?:\.\d+)?)"), F.lit(1)), lambda x: ~F.upper(x).startswith("MA"))
+    last = lambda s, sign: F.abs(F.try_element_at(told(s, sign), F.lit(-1)).try_cast("double"))
+    head = F.trim(F.regexp_extract(t, r"(?s)^([^(（]*)", 1))
+    found = F.coalesce(plain, last(before_yuan, "-?"), last(F.when(head == "", t).otherwise(head), ""))
+    return F.when(~t.isin("", "-", "—", "N/A"), found)
+
+
+# Units of relative dates in seconds, names of months, zones of mail dates in hours.
+_UNITS = {"分钟": 60, "小时": 3600, "天": 86400, "周": 7 * 86400, "个月": 30 * 86400, "月": 30 * 86400, "年": 365 * 86400}
+_ENGLISH = {"minute": 60, "minutes": 60, "min": 60, "mins": 60, "hour": 3600, "hours": 3600, "day": 86400, "days": 86400, "week": 7 * 86400, "weeks": 7 * 86400, "month": 30 * 86400, "months": 30 * 86400, "year": 365 * 86400, "years": 365 * 86400}
+MONTHS = ("january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december")
+ZONES = {"ut": 0, "utc": 0, "gmt": 0, "z": 0, "ast": -4, "adt": -3, "est": -5, "edt": -4, "cst": -6, "cdt": -5, "mst": -7, "mdt": -6, "pst": -8, "pdt": -7}
+
+
+def _lookup(table: dict, key: Column) -> Column:
+    return F.try_element_at(F.create_map(*(F.lit(x) for kv in table.items() for x in kv)), F.nullif(key, F.lit("")))
+
+
+def _day(year: Column, month: Column, day: Column) -> Column:
+    """A date, null where there is no such day."""
+    return F.to_date(F.try_to_timestamp(F.concat_ws("-", F.nullif(year, F.lit("")), month.cast("string"), F.nullif(day, F.lit(""))), F.lit("yyyy-M-d")))
+
+
+def _by_month_name(t: Column) -> Column:
+    """Days such as "Mon, 02 Jan 2023 15:04:05 GMT", "5 January 2023" or "Jan 5, 2023"; a zone moves them to the session's."""
+    clock = r"(?:\s+(\d{1,2}:\d{2}(?::\d{2})?)(?:\s+([a-z]+|[+-]\d{4}))?)"
+    forms = ((rf"(?i)^(?:[a-z]+,?\s+)?(\d{{1,2}})\s+([a-z]+),?\s+(\d{{4}}){clock}?$", 1, 2), (rf"(?i)^(?:[a-z]+,\s+)?([a-z]+)\s+(\d{{1,2}}),\s*(\d{{4}}){clock}?$", 2, 1), (rf"(?i)^(?:[a-z]+,\s+)?([a-z]+)\s+(\d{{1,2}})\s+(\d{{4}}){clock}$", 2, 1))
+    months = {m: k + 1 for k, m in enumerate(MONTHS)} | {m[:3]: k + 1 for k, m in enumerate(MONTHS)}
+    out = []
+    for like, d, m in forms:
+        got = lambda k, like=like: F.regexp_extract(t, like, k)
+        day = _day(got(3), _lookup(months, F.lower(got(m))), got(d))
+        zone = F.lower(got(5))
+        numeric = F.when(zone.rlike(r"^[+-]\d{4}$"), F.concat(F.substring(zone, 1, 1), F.lit("1")).try_cast("int") * (F.substring(zone, 2, 2).try_cast("int") * 3600 + F.substring(zone, 4, 2).try_cast("int") * 60))
+        offset = F.coalesce(numeric, _lookup(ZONES, zone) * 3600)
+        parts = F.split(got(4), ":")
+        seconds = sum((F.coalesce(F.get(parts, F.lit(k)).try_cast("int"), F.lit(0)) * x for k, x in enumerate((3600, 60, 1))), F.lit(0))
+        # the day's midnight in UTC, moved by clock and zone, then seen from the session's zone
+        moved = F.to_date(F.timestamp_seconds(F.datediff(day, F.lit("1970-01-01").cast("date")).cast("long") * 86400 + seconds - offset))
+        out.append(F.when(offset.isNotNull(), moved).otherwise(day))
+    return F.coalesce(*out)
 
 
 def published(text: Column, now: Column) -> Column:
-    """A date: relative ("3 days ago", "2 周前"), epoch seconds or milliseconds, Chinese, or one of DATE_PATTERNS."""
+    """The day of a news item as providers write it, by the first form that fits: a word or a span before now, seconds or milliseconds since
+    1970, ISO, a day with the month's name, or year, month and day in digits anywhere in the text. Times with a zone are seen from
+    the session's. Null for what is none of these."""
     t = F.trim(text)
     low = F.lower(t)
-    n = F.regexp_extract(low, r"^(\d+)\s*(?:分钟|minute|小时|hour|天|day|周|week|个月|month|年|year)s?\s*(?:前|ago)$", 1).try_cast("int")
-    unit = F.regexp_extract(low, r"^\d+\s*(分钟|minute|小时|hour|天|day|周|week|个月|month|年|year)", 1)
-    hours = F.when(unit.isin("小时", "hour"), n * 3600).when(unit.isin("分钟", "minute"), n * 60).otherwise(0)
-    days = F.element_at(F.create_map(*(F.lit(x) for kv in _UNITS.items() for x in kv)), F.when(unit == "", None).otherwise(unit))
-    relative = F.to_date(F.timestamp_seconds(F.unix_timestamp(now) - hours - n * days * 86400))
-    word = F.when(low.isin("today", "今天", "刚刚", "just now"), F.to_date(now)).when(low.isin("yesterday", "昨天"), F.date_sub(F.to_date(now), 1))
-    epoch = F.when(t.rlike(r"^\d{10}$"), t.try_cast("long")).when(t.rlike(r"^\d{13}$"), (t.try_cast("long") / 1000).cast("long"))
-    chinese = F.try_to_timestamp(F.regexp_replace(F.regexp_extract(t, r"^(\d{4}年\d{1,2}月\d{1,2})日?", 1), "[年月]", "-"), F.lit("yyyy-M-d"))
-    iso = F.try_to_timestamp(F.regexp_replace(t, r"(\.\d+)?(Z|[+-]\d\d:?\d\d)$", ""), F.lit(DATE_PATTERNS[0]))
-    plain = [F.try_to_timestamp(t, F.lit(p)) for p in DATE_PATTERNS[1:]]
-    return F.coalesce(word, relative, F.to_date(F.timestamp_seconds(epoch)), F.to_date(chinese), F.to_date(F.coalesce(iso, *plain)))
+    word = F.when(t.isin("今天", "今日", "刚刚") | low.isin("today", "just now", "now"), F.to_date(now)).when((t == "昨天") | (low == "yesterday"), F.date_sub(F.to_date(now), 1)).when(t == "前天", F.date_sub(F.to_date(now), 2))
+    span = r"^(\d{1,9})\s*(分钟|小时|天|周|个月|月|年)\s*前$"
+    ago = rf"^(\d{{1,9}})\s*({'|'.join(sorted(_ENGLISH, key=len, reverse=True))})\s*ago$"
+    back = F.coalesce(F.regexp_extract(t, span, 1).try_cast("long") * _lookup(_UNITS, F.regexp_extract(t, span, 2)), F.regexp_extract(low, ago, 1).try_cast("long") * _lookup(_ENGLISH, F.regexp_extract(low, ago, 2)))
+    relative = F.to_date(F.timestamp_seconds(F.unix_timestamp(now) - back))
+    epoch = F.to_date(F.timestamp_seconds(F.when(t.rlike(r"^(\d{10}|\d{13})$"), F.substring(t, 1, 10)).try_cast("long")))
+    iso = r"^(\d{4})-?(\d{2})-?(\d{2})(?:[^\d](\d{2}:\d{2}(?::\d{2}(?:\.\d+)?)?)\s*(Z|[+-]\d{2}:?\d{2})?)?$"
+    part = lambda k: F.regexp_extract(t, iso, k)
+    zone = F.regexp_replace(F.regexp_replace(part(5), "Z", "+00:00"), r"^([+-]\d{2})(\d{2})$", "$1:$2")
+    iso_day = F.when(t.rlike(r"^(\d{4}-\d{2}-\d{2}|\d{8})([^\d]|$)"), _day(part(1), F.nullif(part(2), F.lit("")), part(3)))
+    zoned = F.when(zone != "", F.to_date(F.concat(part(1), F.lit("-"), part(2), F.lit("-"), part(3), F.lit(" "), part(4), zone).try_cast("timestamp")))
+    digits = r"(\d{4})\s*[年/\-.]\s*(\d{1,2})\s*[月/\-.]\s*(\d{1,2})"
+    within = _day(*(F.nullif(F.regexp_extract(t, digits, k), F.lit("")) for k in (1, 2, 3)))
+    return F.coalesce(word, relative, epoch, F.when(iso_day.isNotNull(), F.coalesce(zoned, iso_day)), _by_month_name(F.regexp_replace(t, r"(?i)(\d+)(st|nd|rd|th)", "$1")), within)
 
 
 #: Patterns of stored times, after ISO.
@@ -102,7 +136,7 @@ def volume_bucket(ratio: Column) -> Column:
 
 def ma_status(close: Column, ma5: Column, ma10: Column, ma20: Column) -> Column:
     c, a, b, d = (F.coalesce(x, F.lit(0.0)) for x in (close, ma5, ma10, ma20))
-    return F.when((c > a) & (a > b) & (b > d) & (d > 0), "多头排列").when((c < a) & (a < b) & (b < d) & (d > 0), "空头排列").when((c > a) & (a > b), "短期向好").when((c < a) & (a < b), "短期走弱").otherwise("震荡整理")
+    return F.when((c > a) & (a > b) & (b > d) & (d > 0), "多头排列 📈").when((c < a) & (a < b) & (b < d) & (d > 0), "空头排列 📉").when((c > a) & (a > b), "短期向好 🔼").when((c < a) & (a < b), "短期走弱 🔽").otherwise("震荡整理 ↔️")
 
 
 def sentiment(score: Column) -> Column:
@@ -117,9 +151,30 @@ def snippet(text: Column, most: int = 200) -> Column:
     return F.when(F.length(text) > most, F.concat(F.substring(text, 1, most - 3), F.lit("..."))).otherwise(text)
 
 
+# English words that aren't tickers, and words that say a text is about a stock.
+COMMON_WORDS = """THE AND FOR ARE BUT NOT YOU ALL CAN HAD HER WAS ONE OUR OUT HAS HIS HOW ITS LET MAY NEW NOW OLD SEE WAY WHO DID GET HIM USE SAY SHE TOO ANY WITH FROM THAT THAN
+THIS WHAT WHEN WILL JUST ALSO BEEN EACH HAVE MUCH ONLY OVER SOME SUCH THEM THEN THEY VERY WERE YOUR ABOUT AFTER COULD EVERY OTHER THEIR THERE THESE THOSE WHICH WOULD BEING STILL WHERE
+BUY SELL HOLD LONG PUT CALL ETF IPO RSI EPS PEG ROE ROA USA USD CNY HKD EUR GBP STOCK TRADE PRICE INDEX FUND HIGH LOW OPEN CLOSE STOP LOSS TREND BULL BEAR RISK CASH BOND MACD VWAP BOLL
+HELLO PLEASE THANKS CHECK LOOK THINK MAYBE GUESS TELL SHOW WHATS WHY HOWDY HEY HI""".split()
+ABOUT_STOCKS = "分析|看看|查一?下|研究|诊断|走势|趋势|股价|股票|个股"
+_SIX, _HK, _TICKER = r"(?<!\d)([03648]\d{5}|92\d{4})(?!\d)", r"(?i)(?<![a-zA-Z])(hk\d{5})(?!\d)", r"(?<![a-zA-Z])([A-Z]{2,5}(?:\.[A-Z]{1,2})?)(?![a-zA-Z])"
+
+
 def codes_in(text: Column) -> Column:
     """Distinct six-digit A-share codes of a text, in order; digits around them disqualify."""
-    return F.array_distinct(F.regexp_extract_all(text, F.lit(r"(?<!\d)((?:60|68|00|30|83|87|43|92)\d{4})(?!\d)"), F.lit(1)))
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(_SIX), F.lit(1)))
+
+
+def code_in(text: Column) -> Column:
+    """The code that a question is about, empty for none: an A-share code, a Hong Kong one, the first word in capitals if it can be a ticker,
+    the whole text if it can be one; and where the text is about a stock, the first word of it that can be one."""
+    t = F.trim(F.coalesce(text, F.lit("")))
+    ticker = lambda c: F.when((c != "") & ~c.isin(COMMON_WORDS), c)
+    bare = F.upper(F.regexp_extract(t, r"^([A-Za-z]{2,5}(?:\.[A-Za-z]{1,2})?)$", 1))
+    words = F.transform(F.regexp_extract_all(t, F.lit(_TICKER.replace("A-Z]{2", "A-Za-z]{2").replace("A-Z]{1,2", "A-Za-z]{1,2")), F.lit(1)), F.upper)
+    first = F.when(t.rlike(ABOUT_STOCKS), F.get(F.filter(words, lambda w: ~w.isin(COMMON_WORDS)), F.lit(0)))
+    some = lambda c: F.nullif(c, F.lit(""))
+    return F.coalesce(some(F.regexp_extract(t, _SIX, 1)), F.upper(some(F.regexp_extract(t, _HK, 1))), ticker(F.regexp_extract(t, _TICKER, 1)), ticker(bare), first, F.lit(""))
 
 
 def chunks(text: Column, most_bytes: int = 4000) -> Column:

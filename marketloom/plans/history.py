@@ -25,7 +25,7 @@ _A = "avg(close) OVER (PARTITION BY code ORDER BY date ROWS BETWEEN {} PRECEDING
 
 @query(f"""WITH {BARS}, m AS (SELECT *, {_A.format(4)} AS ma5, {_A.format(9)} AS ma10, {_A.format(19)} AS ma20, lag(close) OVER (PARTITION BY code ORDER BY date) AS pc, lag(volume) OVER (PARTITION BY code ORDER BY date) AS pv, lag(date) OVER (PARTITION BY code ORDER BY date) AS prev_date FROM bars),
   l AS (SELECT *, CASE WHEN pv > 0 THEN volume / pv END AS volume_change_ratio, CASE WHEN pc > 0 THEN (close - pc) * 100 / pc END AS price_change_pct FROM m QUALIFY row_number() OVER (PARTITION BY code ORDER BY date DESC) = 1)
-SELECT code, date, prev_date, {R('volume_change_ratio', 'price_change_pct')}, CASE WHEN prev_date IS NULL THEN NULL WHEN close > ma5 AND ma5 > ma10 AND ma10 > ma20 AND ma20 > 0 THEN '多头排列' WHEN close < ma5 AND ma5 < ma10 AND ma10 < ma20 AND ma20 > 0 THEN '空头排列' WHEN close > ma5 AND ma5 > ma10 THEN '短期向好' WHEN close < ma5 AND ma5 < ma10 THEN '短期走弱' ELSE '震荡整理' END AS ma_status FROM l""")
+SELECT code, date, prev_date, {R('volume_change_ratio', 'price_change_pct')}, CASE WHEN prev_date IS NULL THEN NULL WHEN close > ma5 AND ma5 > ma10 AND ma10 > ma20 AND ma20 > 0 THEN '多头排列 📈' WHEN close < ma5 AND ma5 < ma10 AND ma10 < ma20 AND ma20 > 0 THEN '空头排列 📉' WHEN close > ma5 AND ma5 > ma10 THEN '短期向好 🔼' WHEN close < ma5 AND ma5 < ma10 THEN '短期走弱 🔽' ELSE '震荡整理 ↔️' END AS ma_status FROM l""")
 def bar_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     return history.bar_context(indicators.lenient_averages(bars(spark, sf_dir))).select("code", "date", "prev_date", *r("volume_change_ratio", "price_change_pct"), "ma_status")
 

@@ -95,15 +95,35 @@ def whole_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select(_O("p_partkey").alias("id"), p.whole(t).alias("n"))
 
 
-@query("SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN '600519,000001' WHEN doc_id % 3 = 1 THEN '' ELSE '300750' END AS codes FROM documents")
+@query("SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN '6' || lpad(CAST(doc_id % 100000 AS VARCHAR), 5, '0') || ',000001,880001,031234' WHEN doc_id % 3 = 1 THEN '' ELSE '300750,920001' END AS codes FROM documents")
 def codes_in_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = _O("doc_id") % 3
-    t = F.when(k == 0, "买入600519，并关注 000001 与600519.").when(k == 1, "订单16005190 与 12345").otherwise("SZ300750!")
+    own = F.concat(F.lit("6"), F.lpad((_O("doc_id") % 100000).cast("string"), 5, "0"))
+    t = F.when(k == 0, F.concat(F.lit("买入"), own, F.lit("，并关注 000001、880001,031234 与"), own, F.lit("."))).when(k == 1, "订单16005190 与 12345、910001、500001").otherwise("SZ300750!920001")
     return table(spark, sf_dir, "documents").select("doc_id", F.concat_ws(",", text.codes_in(t)).alias("codes"))
 
 
+#: Questions and the code that each is about; {} is six digits, five digits or letters made from the row's id.
+QUESTIONS = (("分析{six}走势", "{six}"), ("How is hk{five} now", "HK{five}"), ("Should I BUY {us} today", ""), ("what about {us}.A?", "{us}.A"), ("{low}", "{us}"), ("分析 {low} 股票", "{us}"), ("please look at {low}", ""), ("看看 the {low}", "{us}"), ("THE", ""), ("", ""), (None, ""), ("订单1{six}", ""), ("xhk{five}", ""), ("Hey {us}", "{us}"))
+
+
+def _filled_in(t: str, of: str) -> str:
+    t = "'" + t.replace("{six}", f"' || {of}six || '").replace("{five}", f"' || {of}five || '").replace("{us}", f"' || {of}us || '").replace("{low}", f"' || lower({of}us) || '") + "'"
+    return f"({t})"
+
+
+_CASES = lambda i: f"CASE doc_id % {len(QUESTIONS)} " + " ".join(f"WHEN {k} THEN {_filled_in(q[i], '')}" for k, q in enumerate(QUESTIONS) if q[i] is not None) + " END"
+_OWN = "SELECT doc_id, '3' || lpad(CAST(doc_id % 100000 AS {s}), 5, '0') AS six, lpad(CAST(doc_id % 100000 AS {s}), 5, '0') AS five, 'ZQ' || chr(CAST(65 + doc_id % 26 AS INT)) AS us FROM documents"
+
+
+@query(f"WITH d AS ({_OWN.format(s='VARCHAR')}) SELECT doc_id, {_CASES(1)} AS code FROM d")
+def code_asked_for(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("3"), F.lpad((_O("doc_id") % 100000).cast("string"), 5, "0")).alias("six"), F.lpad((_O("doc_id") % 100000).cast("string"), 5, "0").alias("five"), F.expr("'ZQ' || chr(65 + doc_id % 26)").alias("us"))
+    return rows.select("doc_id", text.code_in(F.expr(_CASES(0))).alias("code"))
+
+
 @query("""WITH e AS (SELECT event_id AS id, 10 + value / 10 AS c, 10 + (event_id % 7) / 2.0::DOUBLE AS a, 10 + (event_id % 5) / 2.0::DOUBLE AS b, CASE WHEN event_id % 11 = 0 THEN NULL ELSE 10 + (event_id % 3) / 2.0::DOUBLE END AS d FROM events)
-SELECT id, CASE WHEN c > a AND a > b AND b > coalesce(d, 0) AND coalesce(d, 0) > 0 THEN '多头排列' WHEN c < a AND a < b AND b < coalesce(d, 0) AND coalesce(d, 0) > 0 THEN '空头排列' WHEN c > a AND a > b THEN '短期向好' WHEN c < a AND a < b THEN '短期走弱' ELSE '震荡整理' END AS status FROM e""")
+SELECT id, CASE WHEN c > a AND a > b AND b > coalesce(d, 0) AND coalesce(d, 0) > 0 THEN '多头排列 📈' WHEN c < a AND a < b AND b < coalesce(d, 0) AND coalesce(d, 0) > 0 THEN '空头排列 📉' WHEN c > a AND a > b THEN '短期向好 🔼' WHEN c < a AND a < b THEN '短期走弱 🔽' ELSE '震荡整理 ↔️' END AS status FROM e""")
 def ma_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = _O("event_id")
     m = lambda n: F.lit(10.0) + k % n / 2

@@ -77,7 +77,8 @@ def avg_cost_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.average_cost(trades(spark, sf_dir)).select("account", "symbol", "quantity", *r("cost", "realized_pnl", digits=3))
 
 
-_SELLS = ORACLES["avg_cost_positions"].replace("SELECT account, symbol, n, quantity AS q,", "SELECT account, symbol, n, date, side, quantity AS q,").replace("SELECT f.account, f.symbol, s.n, CASE", "SELECT f.account, f.symbol, s.n, s.date, s.side, CASE").replace("WHEN side =", "WHEN s.side =")
+_BASE, _NEXT = ORACLES["avg_cost_positions"].split("UNION ALL\n  SELECT f.account")
+_SELLS = _BASE.replace("SELECT account, symbol, n, quantity AS q,", "SELECT account, symbol, n, date, side, quantity AS q,") + "UNION ALL\n  SELECT f.account" + _NEXT.replace("f.symbol, s.n, CASE", "f.symbol, s.n, s.date, s.side, CASE").replace("WHEN side =", "WHEN s.side =")
 
 
 @query(_SELLS[: _SELLS.index(", fin AS")] + f", g AS (SELECT account, symbol, date, pnl - lag(pnl, 1, 0.0) OVER (PARTITION BY account, symbol ORDER BY n) AS amount, side FROM fold), d AS (SELECT account, symbol, date, sum(amount) AS profit FROM g WHERE side = 'sell' GROUP BY ALL) SELECT account, symbol, date, {R('profit', digits=2)} FROM d")

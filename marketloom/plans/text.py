@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marketloom.functions import codes, text
@@ -21,9 +23,9 @@ RAW = """raw AS (SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN ' sh' || s WHE
   FROM (SELECT *, lpad(CAST(p_partkey * 7919 % 1000000 AS VARCHAR), 6, '0') AS s FROM part))"""
 
 
-@query(f"""WITH {RAW}, c AS (SELECT p_partkey, upper(trim(raw)) AS c FROM raw), n AS (SELECT p_partkey, c, CASE WHEN regexp_matches(c, '^(SH|SZ)[0-9]{{5,6}}$') OR regexp_matches(c, '^BJ[0-9]{{6}}$') THEN substr(c, 3)
+@query(f"""WITH {RAW}, c AS (SELECT p_partkey, trim(raw) AS own, upper(trim(raw)) AS c FROM raw), n AS (SELECT p_partkey, c, CASE WHEN regexp_matches(c, '^(SH|SZ)[0-9]{{5,6}}$') OR regexp_matches(c, '^BJ[0-9]{{6}}$') THEN substr(c, 3)
   WHEN regexp_matches(c, '^HK[0-9]{{1,5}}$') THEN 'HK' || lpad(substr(c, 3), 5, '0') WHEN regexp_matches(c, '^[0-9]{{1,5}}[.]HK$') THEN 'HK' || lpad(regexp_extract(c, '^([0-9]+)', 1), 5, '0')
-  WHEN regexp_matches(c, '^[0-9]{{5,6}}[.](SH|SZ|SS|BJ)$') THEN regexp_extract(c, '^([0-9]+)', 1) ELSE c END AS code FROM c)
+  WHEN regexp_matches(c, '^[0-9]{{5,6}}[.](SH|SZ|SS|BJ)$') THEN regexp_extract(c, '^([0-9]+)', 1) ELSE own END AS code FROM c)
 SELECT p_partkey, code, CASE WHEN regexp_matches(c, '^HK[0-9]{{1,5}}$') OR regexp_matches(c, '^[0-9]{{1,5}}[.]HK$') OR regexp_matches(c, '^[0-9]{{5}}$') THEN 'hk' WHEN regexp_matches(c, '^[A-Z]{{1,5}}([.][A-Z])?$') THEN 'us' ELSE 'cn' END AS market,
   CASE WHEN substr(code, 1, 3) IN ('600', '601', '603', '605') THEN 'SSE' WHEN substr(code, 1, 3) IN ('000', '001', '002', '003', '300') THEN 'SZSE' WHEN substr(code, 1, 3) = '430' OR substr(code, 1, 2) IN ('83', '87', '92') THEN 'BSE' ELSE 'CN' END AS exchange FROM n""")
 def code_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,28 +54,37 @@ def code_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("p_partkey", codes.market_tag(raw).alias("tag"), codes.is_us_index(raw).alias("us_index"), codes.is_bse(raw).alias("bse"), codes.is_growth_board(raw).alias("growth"), codes.import_code(raw).alias("imported"), codes.is_foreign(raw).alias("foreign_"), codes.is_index_or_fund(raw, F.col("name")).alias("fund"))
 
 
-@query("""SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN o_totalprice WHEN 1 THEN floor(o_totalprice) WHEN 2 THEN floor(o_totalprice) / 2 WHEN 3 THEN NULL ELSE floor(o_totalprice) + 0.5 END AS price FROM orders""")
+@query("""SELECT o_orderkey, CASE o_orderkey % 14 WHEN 0 THEN o_totalprice WHEN 1 THEN v WHEN 2 THEN v / 2 WHEN 4 THEN v + 0.5 WHEN 5 THEN v + 0.5 WHEN 6 THEN 1000 + v % 1000 WHEN 7 THEN 0 WHEN 8 THEN -v WHEN 9 THEN 19 WHEN 10 THEN v WHEN 13 THEN v END::DOUBLE AS price FROM (SELECT *, floor(o_totalprice) AS v FROM orders)""")
 def price_point_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = F.floor("o_totalprice")
-    t = (
-        F.when(F.col("o_orderkey") % 5 == 0, F.col("o_totalprice").cast("string"))
-        .when(F.col("o_orderkey") % 5 == 1, F.concat(F.lit("理想买入点："), p.cast("string"), F.lit("元（MA20 附近）")))
-        .when(F.col("o_orderkey") % 5 == 2, F.concat(F.lit("止损: MA5 下方 "), (p / 2).cast("string"), F.lit(" 元")))
-        .when(F.col("o_orderkey") % 5 == 3, "暂无")
-        .otherwise(F.concat(F.lit("约 "), p.cast("string"), F.lit(".5 (MA10)")))
-    )
-    return table(spark, sf_dir, "orders").select("o_orderkey", text.price_point(t).alias("price"))
-
-
-@query("""SELECT event_id, CASE event_id % 8 WHEN 7 THEN NULL WHEN 3 THEN DATE '2024-02-01' - CAST(event_id % 20 AS INTEGER) WHEN 4 THEN DATE '2024-02-01' - 7 * CAST(event_id % 5 AS INTEGER) ELSE CAST(ts AS DATE) END AS published FROM events""")
+    v = F.floor("o_totalprice")
+    n, say = v.cast("string"), lambda *parts: F.concat(*(F.lit(x) if isinstance(x, str) else x for x in parts))
+    forms = (
+        F.col("o_totalprice").cast("string"), say("理想买入点：", n, "元（MA20 附近）"), say("止损: MA5 下方 ", (v / 2).cast("string"), " 元"), F.lit("暂无"), say("约 ", n, ".5 (MA10)"), say("(", n, ".5)"), say("买入：1，", F.lpad((v % 1000).cast("string"), 3, "0"), "元"),
+        F.lit(" 0元"), say("-", n), say(n, "-19元"), say(n, "（回踩MA5/10附近）"), F.lit("MA5 与 ma10"), F.lit("—"), say(n, "：元"),
+    )
+    return table(spark, sf_dir, "orders").select("o_orderkey", text.price_point(_form(F.col("o_orderkey"), forms)).alias("price"))
+
+
+def _form(k: Column, forms: Sequence[Column]) -> Column:
+    out = F.lit(None).cast("string")
+    for i, form in enumerate(forms):
+        out = F.when(k % len(forms) == i, form).otherwise(out)
+    return out
+
+
+@query("""WITH e AS (SELECT event_id, CAST(event_id AS INTEGER) AS n, event_id % 28 AS k, ts, TIMESTAMP '2024-02-01 12:00:00' AS now FROM events)
+SELECT event_id, CASE WHEN k IN (7, 24) THEN NULL WHEN k = 3 THEN CAST(now AS DATE) - n % 20 WHEN k = 4 THEN CAST(now AS DATE) - n % 5 * 7 WHEN k = 8 THEN CAST(now AS DATE) - 2 WHEN k = 9 THEN CAST(now AS DATE) - n % 7 * 30 WHEN k = 10 THEN CAST(now - to_minutes(n % 2000) AS DATE)
+  WHEN k = 11 THEN CAST(now AS DATE) WHEN k IN (13, 21) THEN CAST(ts - INTERVAL 8 HOUR AS DATE) WHEN k = 23 THEN CAST(now AS DATE) - 1 WHEN k = 25 THEN CAST(now - to_hours(n % 50) AS DATE) WHEN k = 26 THEN CAST(now AS DATE) - n % 3 * 365 ELSE CAST(ts AS DATE) END AS published FROM e""")
 def publish_date_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     k, ts = F.col("event_id"), F.col("ts")
-    t = (
-        F.when(k % 8 == 0, F.date_format(ts, "yyyy-MM-dd HH:mm:ss")).when(k % 8 == 1, F.date_format(ts, "yyyy年M月d日")).when(k % 8 == 2, F.unix_timestamp(ts).cast("string"))
-        .when(k % 8 == 3, F.concat((k % 20).cast("string"), F.lit(" days ago"))).when(k % 8 == 4, F.concat((k % 5).cast("string"), F.lit("周前"))).when(k % 8 == 5, F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss'Z'"))
-        .when(k % 8 == 6, (F.unix_timestamp(ts) * 1000).cast("string")).otherwise("soon")
+    say = lambda *parts: F.concat(*(F.lit(x) if isinstance(x, str) else x for x in parts))
+    at, n = lambda form: F.date_format(ts, form), lambda m: (k % m).cast("string")
+    forms = (
+        at("yyyy-MM-dd HH:mm:ss"), at("yyyy年M月d日"), F.unix_timestamp(ts).cast("string"), say(n(20), " days ago"), say(n(5), "周前"), at("yyyy-MM-dd'T'HH:mm:ss'Z'"), (F.unix_timestamp(ts) * 1000).cast("string"), F.lit("soon"), F.lit("前天"), say(n(7), " 月前"),
+        say(n(2000), " mins ago"), F.lit("Now"), say(at("EEE, dd MMM yyyy HH:mm:ss"), " GMT"), say(at("dd MMM yyyy HH:mm:ss"), " +0800"), at("MMMM d, yyyy"), at("d MMMM yyyy"), say(at("MMM d"), "th, ", at("yyyy")), at("yyyy/MM/dd HH:mm"), at("yyyy.MM.dd"), at("yyyy-M-d"),
+        say("发布于", at("yyyy年M月d日"), "，来源"), say(at("yyyy-MM-dd'T'HH:mm:ss"), "+08:00"), at("yyyyMMdd"), F.lit(" Yesterday "), F.lit("2023年13月45日"), say(n(50), " hours ago"), say(n(3), " years ago"), say(at("MMM d, yyyy HH:mm"), " UTC"),
     )
-    return table(spark, sf_dir, "events").select("event_id", text.published(t, F.lit("2024-02-01 12:00:00").cast("timestamp")).alias("published"))
+    return table(spark, sf_dir, "events").select("event_id", text.published(_form(k, forms), F.lit("2024-02-01 12:00:00").cast("timestamp")).alias("published"))
 
 
 @query("""SELECT l_orderkey, l_linenumber, CASE WHEN l_returnflag = 'R' THEN 'sell' WHEN l_returnflag = 'A' THEN 'buy' END AS side, sha256(CAST(l_orderkey AS VARCHAR) || '|' || CAST(l_linenumber AS VARCHAR) || '|' || printf('%.8f', l_quantity) || '|' || printf('%.8f', l_extendedprice)) AS hash FROM lineitem""")

@@ -165,26 +165,3 @@ def failover(sources: list[DataFrame]) -> DataFrame:
         s = s.withColumn("_p", F.lit(k))
         every = s if every is None else every.unionByName(s, allowMissingColumns=True)
     return every.withColumn("_m", F.min("_p").over(Window.partitionBy("code"))).where("_p = _m").drop("_m").withColumnRenamed("_p", "source")
-
-
-def trade_csv(spark: SparkSession, path: str, broker: str = "huatai") -> DataFrame:
-    """A broker's files; see brokers.trade_files."""
-    from marketloom.sources.brokers import trade_files
-
-    return trade_files(spark, path, broker)
-
-
-#: Most bytes of a watch list, and of one that is pasted as text.
-MOST_FILE, MOST_TEXT = 2 << 20, 100 << 10
-
-
-def watch_list(spark: SparkSession, path: str) -> DataFrame:
-    """code, name of a CSV or text watch list: in each line the first token that looks like a code, and the first other one.
-    Lines without a code, such as headers, go; each code once."""
-    from marketloom.functions.codes import normalize
-
-    tokens = F.filter(F.split(F.col("value"), r"[,;\t|，；、]|\s+"), lambda x: F.trim(x) != "")
-    like = r"(?i)^((SH|SZ|BJ)?\d{5,6}(\.(SH|SZ|SS|BJ))?|HK\d{1,5}|\d{1,5}\.HK|[A-Z]{1,5}\.[A-Z])$"
-    df = spark.read.text(path).select(tokens.alias("t"))
-    df = df.select(F.try_element_at(F.filter("t", lambda x: x.rlike(like)), F.lit(1)).alias("code"), F.try_element_at(F.filter("t", lambda x: ~x.rlike(like)), F.lit(1)).alias("name"))
-    return df.where("code is not null").select(normalize(F.col("code")).alias("code"), "name").groupBy("code").agg(F.first("name", ignorenulls=True).alias("name"))

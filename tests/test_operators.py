@@ -39,12 +39,12 @@ def test_dividend_plans(spark, plan, cash):
     assert one(spark, text.dividend_per_share, plan) == cash
 
 
-@pytest.mark.parametrize("said, price", [("1,234.5", 1234.5), ("理想买入点：125元（MA20 附近）", 125.0), ("止损: MA5 下方 98.5 元", 98.5), ("暂无", None), ("约 12.5 (MA10)", 12.5)])
+@pytest.mark.parametrize("said, price", [("1,234.5", 1234.5), ("理想买入点：125元（MA20 附近）", 125.0), ("止损: MA5 下方 98.5 元", 98.5), ("暂无", None), ("约 12.5 (MA10)", 12.5), ("(18.5)", 18.5), ("买入：1，234元", 1234.0), ("0元", 0.0), ("18.5-19.2元", 19.2), ("MA5", None), (" - ", None), ("-3", -3.0), ("目标：18元，止损：看MA10", 18.0)])
 def test_price_points(spark, said, price):
     assert one(spark, text.price_point, said) == price
 
 
-@pytest.mark.parametrize("raw, code, market_", [("sh600519", "600519", "cn"), ("000001.SZ", "000001", "cn"), ("700.hk", "HK00700", "hk"), ("hk700", "HK00700", "hk"), ("aapl", "AAPL", "us"), ("SPX", "SPX", "us-index"), ("bj430047", "430047", "cn")])
+@pytest.mark.parametrize("raw, code, market_", [("sh600519", "600519", "cn"), ("000001.SZ", "000001", "cn"), ("700.hk", "HK00700", "hk"), ("hk700", "HK00700", "hk"), ("aapl", "aapl", "us"), ("SPX", "SPX", "us-index"), ("bj430047", "430047", "cn")])
 def test_codes(spark, raw, code, market_):
     assert one(spark, codes.normalize, raw) == code
     assert one(spark, codes.market, raw) == market_
@@ -60,6 +60,15 @@ def test_published(spark):
     assert say("1704067200") == dt.date(2024, 1, 1)
     assert say("2024-02-03T04:05:06Z") == dt.date(2024, 2, 3)
     assert say("someday") is None and say(None) is None
+    for said in ("Mon, 02 Jan 2023 23:04:05 GMT", "January 2, 2023", "2 January 2023", "Jan 2nd, 2023", "2023/01/02 10:20", "2023.01.02", "2023-1-2", "发布于2023年1月2日", "2023-01-03T01:00:00+08:00", "Tue, 3 Jan 2023 01:00 +0800", "20230102", "Jan 2, 2023 09:00 PST"):
+        assert say(said) == dt.date(2023, 1, 2), said
+    assert say("前天") == dt.date(2024, 3, 8) and say("3月前") == dt.date(2023, 12, 11) and say("5 mins ago") == say("now") == dt.date(2024, 3, 10)
+    assert say("2023-02-31") is None and say("Feb 31, 2023") is None and say("Jan 2 2023") is None
+
+
+@pytest.mark.parametrize("asked, code", [("600519怎么样", "600519"), ("hk00700 ok", "HK00700"), ("BUY AAPL", ""), ("AAPL please", "AAPL"), ("brk.b", "BRK.B"), ("tell me", ""), ("研究 the tsla", "TSLA"), ("hello", "")])
+def test_code_of_a_question(spark, asked, code):
+    assert one(spark, text.code_in, asked) == code
 
 
 def test_chunks_keep_letters_whole(spark):
@@ -194,13 +203,6 @@ def test_store_swaps(spark, tmp_path):
         assert spark.read.parquet(path).count() == n
 
 
-def test_trade_csv(spark, tmp_path):
-    (tmp_path / "t.csv").write_text("成交日期,证券代码,买卖标志,成交数量,成交价格,手续费\n20240105,600519,证券买入,\"1,000\",10.5,5\n2024-01-06,600519,卖出,500,11,-\n", encoding="utf-8")
-    rows = writes.trade_csv(spark, str(tmp_path / "t.csv")).collect()
-    assert [(str(r.date), r.side, r.quantity, r.price, r.fee) for r in rows] == [("2024-01-05", "buy", 1000.0, 10.5, 5.0), ("2024-01-06", "sell", 500.0, 11.0, 0.0)]
-    assert len({r.dedup_hash for r in rows}) == 2
-
-
 def test_breaker(spark, tmp_path):
     t = lambda s: dt.datetime(2024, 1, 1) + dt.timedelta(seconds=s)
     rows = [("a", t(0), False), ("a", t(1), False), ("a", t(2), False), ("a", t(10), True), ("a", t(310), True)]
@@ -246,9 +248,3 @@ def test_modes_only_loosen_or_tighten():
     assert misc.resolve_mode("aggressive", base, {"candidate_limit": 50, "min_volume_ratio": 1.0}) == {"candidate_limit": 50, "min_volume_ratio": 1.0, "x": 1}
     assert misc.resolve_mode("quality", base, {"candidate_limit": 50, "min_volume_ratio": 1.5}) == {"candidate_limit": 30, "min_volume_ratio": 1.5, "x": 1}
     assert misc.resolve_mode("balanced", base, {"candidate_limit": 50}) == base
-
-
-def test_watch_list(spark, tmp_path):
-    (tmp_path / "w.txt").write_text("代码,名称\nsh600519,贵州茅台\n000001.SZ;平安银行\n\n700.HK 腾讯\nsh600519,再次\n", encoding="utf-8")
-    got = {r.code: r.name for r in writes.watch_list(spark, str(tmp_path / "w.txt")).collect()}
-    assert set(got) == {"600519", "000001", "HK00700"} and got["000001"] == "平安银行"
