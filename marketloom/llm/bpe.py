@@ -6,7 +6,9 @@ refreshed, until no pair has a rank. Words of one length stand as rows of one ma
 together. The scan is quadratic in the word's length, so words above LONG_WORD bytes take the same merges from a
 heap over linked parts.
 
-Null text is an empty document. Words repeat a great deal, so each Python worker keeps what it has encoded,
+Texts with characters that are newer than this Python's Unicode tables are normalised and cut by the library's own parts; the
+merges are the same. Null text is an empty document, an empty text has no ids, rows that repeat are encoded each, an empty
+table gives no rows, and texts of any length are encoded whole. Words repeat a great deal, so each Python worker keeps what it has encoded,
 in tables that are emptied when they hold MOST_PIECES words or MOST_LETTERS letters of them.
 """
 
@@ -57,6 +59,24 @@ def _first_plane(kind: str) -> str:
 _HIGH = re.compile("[\U00010000-\U0010ffff]").search
 
 
+#: Marks that the library's tables order otherwise beside other marks; found by the test that goes through all characters.
+_ORDERED_OTHERWISE = "\u1df6\U0001e4ec\U0001e4ed"
+
+
+@lru_cache(maxsize=1)
+def _unknown():
+    """Finds characters that this Python's Unicode tables don't know, or order otherwise. The library's tables are newer, so it may hold them for letters, digits
+    or capitals; whatever both know, both take in the same way (a test goes through all of them)."""
+    spans: list[list[int]] = []
+    for c in range(0x110000):
+        if unicodedata.category(chr(c)) == "Cn":
+            if spans and spans[-1][1] == c - 1:
+                spans[-1][1] = c
+            else:
+                spans.append([c, c])
+    return re.compile("[" + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in spans) + _ORDERED_OTHERWISE + "]").search
+
+
 class WordBpe:
     """A word-level BPE vocabulary with end-of-word marks, read from a tokenizer file."""
 
@@ -71,6 +91,8 @@ class WordBpe:
         pairs = (m if isinstance(m, list) else m.split(" ") for m in model["merges"])
         self.ranks = {(a, b): k for k, (a, b) in enumerate(pairs)}
         self.letters = byte_letters()
+        self.bytes = {x: b for b, x in enumerate(self.letters)}
+        self.path = path
         parts = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.split_any = regex.compile(parts.replace(r"\s", _SPACE)).findall
         # the same with the letters and numbers of the first plane spelled out, which the standard library matches faster
@@ -88,6 +110,7 @@ class WordBpe:
         self.joined: dict[str, str] = {}
         self.back: dict[str, str] = {}
         self.held = 0  # letters of these pieces
+        self.library = None  # normaliser and pre-tokenizer, once a text needs them
 
     # -- merges -----------------------------------------------------------------------------------------------
 
@@ -187,8 +210,21 @@ class WordBpe:
 
     # -- texts ------------------------------------------------------------------------------------------------
 
+    def _by_library(self, text: str) -> list[str]:
+        """The pieces as the file's own normaliser and pre-tokenizer give them."""
+        if self.library is None:
+            from tokenizers import Tokenizer
+
+            whole = Tokenizer.from_file(self.path)
+            self.library = (whole.normalizer, whole.pre_tokenizer)
+        normalizer, cutter = self.library
+        pieces = cutter.pre_tokenize_str(normalizer.normalize_str(text) if normalizer else text)
+        return [bytes(map(self.bytes.__getitem__, p)).decode() for p, _ in pieces]
+
     def _plain(self, text: str) -> list[str]:
         if not text.isascii():
+            if _unknown()(text):
+                return self._by_library(text)
             text = unicodedata.normalize("NFC", text)
         # letter by letter: the vocabulary's lower case knows no final sigma
         text = text.lower() if "Σ" not in text else "".join(map(str.lower, text))

@@ -779,6 +779,23 @@ def test_bpe_equals_the_library(spark, tokenizer, docs, none):
     assert bpe.encode_digests(none, queries.WORD_BPE).count() == 0
 
 
+def test_bpe_equals_the_library_at_every_character(tokenizer):
+    bpe_ = bpe.vocabulary(queries.WORD_BPE)
+    known, unknown = [], []
+    for c in range(0x110000):
+        if not 0xD800 <= c < 0xE000 and (c < 0x40000 or c >= 0xE0000):
+            (unknown if bpe._unknown()(chr(c)) else known).append(chr(c))
+    assert len(known) > 150_000 and len(unknown) > 1849
+    for some in (known, unknown[:60_000]):
+        for i in range(0, len(some), 3000):
+            text = "\n".join(f"a{c}b {c} 1{c}{c}\u0301x{c}" for c in some[i : i + 3000])
+            assert bpe_.encode(text) == tokenizer.encode(text, add_special_tokens=False).ids, i
+    rnd, pool = random.Random(4), "aB1 .\n'\u0301éΣß" + "\u1c89\ua7cb\U00010d50\U0001e6ff\u1df6\u0327\U0001e4ec"
+    for _ in range(2000):
+        text = "".join(rnd.choice(pool) for _ in range(12))
+        assert bpe_.encode(text) == tokenizer.encode(text, add_special_tokens=False).ids, text
+
+
 def test_long_and_short_merges_agree():
     model = bpe.vocabulary(queries.WORD_BPE)
     for word in ("internationalization", "aaaaaaaaaaaaaaaaaaaa", "thethethetheonthe"):
