@@ -7,8 +7,10 @@ their own, which the scan doesn't read.
 1. A query scans cells: a vector's cells bound its inner product from above and below (distances the other way round). A
    sample of blocks gives each query a first threshold, the kth best lower bound there; the scan of all blocks then returns
    what is bounded above the threshold, and the kth best lower bound of that is the threshold of the next step.
-2. Exact vectors are read in the order of their upper bounds, in rounds of growing number. After a round the kth best exact
-   score is known, and what is bounded below it is certain not to belong; when nothing else is left, the result is certain.
+2. Exact vectors are read in the order of their upper bounds, in rounds of growing number: a round names the places it needs in each
+   block, and only those are unpacked and sent on. After a round the kth best exact score is known, and what is bounded below it is
+   certain not to belong; when nothing else is left, the result is certain. The queries' own vectors stand in a column of the file, so
+   finding them unpacks nothing else.
 
 Blocks are packed where they are read, so a vector that repeats a great deal spreads over blocks like any other; of equal
 vectors that a task holds, only the k + 1 with the smallest ids can be results, and only they are returned. Queries are packed
@@ -17,7 +19,7 @@ join, no broadcast.
 
 Vectors that are null or hold a null or non-finite component take no part; only vectors of a query's length are its
 candidates. A query's own row is left out, other rows of the same id are not. Rows that repeat count each; ties go to the
-smaller id, a null id last. Components beyond 62 bits and scores beyond 64 bits are held at the limit. Other columns are left
+smaller id, a null id last. Empty vectors take no part, vectors of any length do; an empty table gives no rows. Components beyond 62 bits and scores beyond 64 bits are held at the limit. Other columns are left
 out.
 """
 
@@ -38,8 +40,8 @@ from marketloom.llm.shingles import mix
 BLOCK, BLOCKS_A_TASK, QUERIES_A_TASK = 512, 64, 1024
 CELLS = 256
 #: Exact vectors that a query reads in the first round, as a multiple of k, and how that grows.
-AHEAD, GROWTH = 4, 4
-_BLOCKS = "block long, dim int, ids array<long>, cells binary, grid binary, hashes binary, exact binary"
+AHEAD, GROWTH = 2, 4
+_BLOCKS = "block long, dim int, ids array<long>, cells binary, grid binary, hashes binary, exact binary, asked array<int>"
 
 
 def pack(numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -67,8 +69,9 @@ def bounds(cells: np.ndarray, grid: np.ndarray, queries: np.ndarray) -> tuple[np
     return near + (np.maximum(q, 0) @ width)[:, None] + room, near + (np.minimum(q, 0) @ width)[:, None] - room
 
 
-def build(vectors: DataFrame, scale: float = 1024.0, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """The file: blocks of up to BLOCK vectors of one length, packed without a shuffle."""
+def build(vectors: DataFrame, scale: float = 1024.0, id_col: str = "vec_id", vector_col: str = "embedding", is_query: Column | None = None) -> DataFrame:
+    """The file: blocks of up to BLOCK vectors of one length, packed without a shuffle. is_query: of `id`; the places of such rows are kept
+    for each block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
@@ -77,18 +80,18 @@ def build(vectors: DataFrame, scale: float = 1024.0, id_col: str = "vec_id", vec
         def block(dim: int) -> pa.RecordBatch:
             nonlocal number
             rows = held.pop(dim)
-            numbers = np.stack([v for _, v in rows])
+            numbers = np.stack([v for _, v, _ in rows])
             cells, grid = pack(numbers)
             number += 1
             return pa.RecordBatch.from_pydict(
-                {"block": pa.array([number], pa.int64()), "dim": pa.array([dim], pa.int32()), "ids": pa.array([[i for i, _ in rows]], pa.list_(pa.int64())), "cells": [cells.tobytes()], "grid": [grid.tobytes()], "hashes": [vector_hashes(numbers).tobytes()], "exact": [numbers.astype("<i8").tobytes()]}
+                {"block": pa.array([number], pa.int64()), "dim": pa.array([dim], pa.int32()), "ids": pa.array([[i for i, _, _ in rows]], pa.list_(pa.int64())), "cells": [cells.tobytes()], "grid": [grid.tobytes()], "hashes": [vector_hashes(numbers).tobytes()], "exact": [numbers.astype("<i8").tobytes()], "asked": pa.array([[n for n, (_, _, q) in enumerate(rows) if q]], pa.list_(pa.int32()))}
             )
 
         for batch in batches:
-            for i, x in zip(batch.column("id").to_pylist(), batch.column("v")):
+            for i, x, asked in zip(batch.column("id").to_pylist(), batch.column("v"), batch.column("q").to_pylist()):
                 v = np.floor(np.asarray(x.values.to_numpy(zero_copy_only=False), np.float64) * scale)
                 rows = held.setdefault(len(v), [])
-                rows.append((i, np.clip(v, -(2.0**62), 2.0**62).astype(np.int64)))
+                rows.append((i, np.clip(v, -(2.0**62), 2.0**62).astype(np.int64), asked))
                 if len(rows) == BLOCK:
                     yield block(len(v))
         for dim in sorted(held):
@@ -97,19 +100,26 @@ def build(vectors: DataFrame, scale: float = 1024.0, id_col: str = "vec_id", vec
     v = vectors[vector_col].cast("array<double>")
     sound = v.isNotNull() & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     rows = vectors.where(sound & (F.size(v) > 0)).select(vectors[id_col].cast("long").alias("id"), v.alias("v"))
+    rows = rows.withColumn("q", F.coalesce(is_query, F.lit(False)) if is_query is not None else F.lit(False))
     return written(on_batches(rows, run, _BLOCKS), "vafile")
 
 
-def exact_vectors(blocks: DataFrame) -> DataFrame:
-    """name, id, dim, v (64-bit integers) of every vector. A name is made of the block and the place in it."""
+def exact_vectors(places: DataFrame) -> DataFrame:
+    """name, id, dim, v (64-bit integers) of the vectors at `places` (an array) of blocks. A name is made of the block and the place in it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in batch.to_pylist():
-                exact = np.frombuffer(r["exact"], "<i8").reshape(-1, r["dim"])
-                yield pa.RecordBatch.from_pydict({"name": (r["block"] << 10) + np.arange(len(exact)), "id": pa.array(r["ids"], pa.int64()), "dim": pa.array([r["dim"]] * len(exact), pa.int32()), "v": pa.array([x.tobytes() for x in exact], pa.binary())})
+                size, at = 8 * r["dim"], sorted(set(r["places"]))
+                yield pa.RecordBatch.from_pydict({"name": pa.array([(r["block"] << 10) + n for n in at], pa.int64()), "id": pa.array([r["ids"][n] for n in at], pa.int64()), "dim": pa.array([r["dim"]] * len(at), pa.int32()), "v": pa.array([r["exact"][n * size : (n + 1) * size] for n in at], pa.binary())})
 
-    return on_batches(blocks.select("block", "dim", "ids", "exact"), run, "name long, id long, dim int, v binary")
+    return on_batches(places.select("block", "dim", "ids", "exact", "places"), run, "name long, id long, dim int, v binary")
+
+
+def exact_of(blocks: DataFrame, names: DataFrame) -> DataFrame:
+    """The exact vectors of names: the places of each block, no more than a block holds, meet it, and nothing else is unpacked."""
+    places = names.select("name").distinct().groupBy(F.shiftright("name", 10).alias("block")).agg(F.collect_list((F.col("name") % 1024).cast("int")).alias("places"))
+    return exact_vectors(blocks.join(places, "block"))
 
 
 def inner(numbers: np.ndarray, queries: np.ndarray) -> np.ndarray:
@@ -181,10 +191,10 @@ def _kth(rows: DataFrame, score: str, k: int) -> DataFrame:
     return best.groupBy("query").agg(F.min(score).alias("least"), F.count("*").alias("n")).where(F.col("n") == k).select("query", "least")
 
 
-def candidates(blocks: DataFrame, is_query: Column, k: int = 10) -> tuple[DataFrame, DataFrame]:
-    """(queries, candidates). candidates: query, name, upper of every vector that the cells can't rule out. is_query: of `id`."""
-    queries = written(exact_vectors(blocks).where(is_query), "queries")
-    n_blocks, n_queries = blocks.count(), queries.count()
+def candidates(blocks: DataFrame, k: int = 10) -> tuple[DataFrame, DataFrame]:
+    """(queries, candidates). candidates: query, name, upper of every vector that the cells can't rule out."""
+    queries = written(exact_vectors(blocks.where(F.size("asked") > 0).withColumnRenamed("asked", "places")), "queries")
+    n_blocks, n_queries = blocks.agg(F.count("*"), F.coalesce(F.sum(F.size("asked")), F.lit(0))).first()
     told = queries.withColumn("least", F.lit(float("-inf")))
     if n_blocks > 2 * BLOCKS_A_TASK:
         # about a task's blocks give each query a threshold to begin with; without one the scan finds the same, and returns more
@@ -217,29 +227,29 @@ def _scored(pairs: DataFrame, queries: DataFrame, vectors: DataFrame) -> DataFra
     return on_batches(rows.select("query", "query_id", "vec_id", "dim", "own", "v"), run, "query long, query_id long, vec_id long, score long")
 
 
-def search(blocks: DataFrame, is_query: Column, k: int = 10) -> DataFrame:
-    """query_id, rank, vec_id, score. is_query: of the column `id`."""
-    queries, left = candidates(blocks, is_query, k)
-    vectors, found, most = exact_vectors(blocks), None, AHEAD * k
+def search(blocks: DataFrame, k: int = 10) -> DataFrame:
+    """query_id, rank, vec_id, score of the queries that the file was built with."""
+    queries, left = candidates(blocks, k)
+    # each task of the map side keeps a query's best only, so a query with many candidates isn't dealt to one task whole
+    order = Window.partitionBy("query").orderBy(F.desc("upper"), "name")
+    ranked = written(left.withColumn("r", F.row_number().over(order)), "ranked")
+    most, found, read = AHEAD * k, None, ranked.where(F.col("r") <= AHEAD * k)
     while True:
-        # each task of the map side keeps a query's best only, so a query with many candidates isn't dealt to one task whole
-        order = Window.partitionBy("query").orderBy(F.desc("upper"), "name")
-        read = written(left.withColumn("r", F.row_number().over(order)).where(F.col("r") <= most).select("query", "name"), "read")
-        scores = written(_scored(read, queries, vectors), "scores")
+        scores = written(_scored(read, queries, exact_of(blocks, read)), "scores")
         found = scores if found is None else found.unionByName(scores)
         certain = _kth(found, "score", k)
-        left = left.join(certain, "query", "left").where(F.col("least").isNull() | (F.col("upper") >= F.col("least"))).select("query", "name", "upper")
-        left = written(left.join(read, ["query", "name"], "left_anti"), "candidates")
+        left = ranked.where(F.col("r") > most).join(certain, "query", "left").where(F.col("least").isNull() | (F.col("upper") >= F.col("least")))
+        most *= GROWTH
         if left.isEmpty():
             break
-        most *= GROWTH
+        read = written(left.where(F.col("r") <= most).select("query", "name"), "read")
     order = Window.partitionBy("query").orderBy(F.desc("score"), F.asc_nulls_last("vec_id"))
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def top_k(vectors: DataFrame, every: int = 100, k: int = 10, scale: float = 1024.0, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """Queries are the rows whose id is divisible by `every`."""
-    return search(build(vectors, scale, id_col, vector_col), F.col("id") % every == 0, k)
+    return search(build(vectors, scale, id_col, vector_col, F.col("id") % every == 0), k)
 
 
 ORACLE = """

@@ -316,16 +316,26 @@ def test_top_k(spark):
     assert sorted(got, key=str) == sorted(want, key=str)
 
 
-def test_top_k_reads_few_exact_vectors(spark):
+def test_top_k_reads_few_exact_vectors(spark, monkeypatch):
     d = spark.read.parquet(DATA.replace("sf0.001", "sf0.1") + "/embeddings.parquet")
-    blocks = vafile.build(d)
-    asked, found = vafile.candidates(blocks, F.col("id") % 100 == 0)
+    blocks = vafile.build(d, is_query=F.col("id") % 100 == 0)
+    asked, found = vafile.candidates(blocks)
     n, q = d.count(), asked.count()
-    assert 10 * q <= found.count() < 0.1 * n * q
+    assert q == n / 100 and 10 * q <= found.count() < 0.1 * n * q
     upper = {(r.query, r.name): r.upper for r in found.collect()}
-    scores = vafile._scored(found, asked, vafile.exact_vectors(blocks)).collect()
+    scores = vafile._scored(found, asked, vafile.exact_of(blocks, found)).collect()
     assert len(scores) == len(upper) and all(len({r.query for r in scores}) == q for _ in "x")
     assert sum(upper.values()) >= sum(r.score for r in scores)
+    unpacked, real = [], vafile.exact_vectors
+
+    def counted(places):
+        out = real(places).cache()
+        unpacked.append(out.count())
+        return out
+
+    monkeypatch.setattr(vafile, "exact_vectors", counted)
+    assert vafile.top_k(d, every=400).count() == 10 * n / 400
+    assert unpacked[0] == n / 400 and sum(unpacked) < 0.2 * n
 
 
 def test_bounds_hold():
