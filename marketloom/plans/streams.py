@@ -48,6 +48,18 @@ def stream_breaker(spark: SparkSession, sf_dir: str) -> DataFrame:
     return streams.drained(f"b{uuid.uuid4().hex}", streams.breaker(e), _checkpoint(spark))
 
 
+@query("""WITH a AS (SELECT event_id AS id, user_id % 50 AS code, ts AS created_at FROM events WHERE event_id % 5 = 0),
+  n AS (SELECT event_id AS news_id, user_id % 50 AS code, ts AS fetched_at, CASE WHEN event_id % 7 = 0 THEN NULL ELSE CAST(ts AS DATE) - CAST(event_id % 6 AS INTEGER) END AS published FROM events WHERE event_id % 5 <> 0)
+SELECT a.id, n.news_id FROM a JOIN n ON a.code = n.code AND n.fetched_at BETWEEN a.created_at - INTERVAL 6 HOUR AND a.created_at + INTERVAL 6 HOUR AND n.published BETWEEN CAST(a.created_at AS DATE) - 2 AND CAST(a.created_at AS DATE) + 1""")
+def stream_news_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two streams over the events, one of analyses and one of news, joined as they come."""
+    k, code = F.col("event_id"), (F.col("user_id") % 50).alias("code")
+    a = _events(spark, sf_dir).where("event_id % 5 = 0").select(k.alias("id"), code, F.col("ts").alias("created_at"))
+    n = _events(spark, sf_dir).where("event_id % 5 <> 0").select(k.alias("news_id"), code, F.col("ts").alias("fetched_at"), F.when(k % 7 == 0, None).otherwise(F.date_sub(F.to_date("ts"), (k % 6).cast("int"))).alias("published"))
+    both = streams.news_of_analyses(a, n, delay="60 days")
+    return streams.drained(f"n{uuid.uuid4().hex}", both, _checkpoint(spark)).where("news_id is not null").select("id", "news_id")
+
+
 _QUOTE = """SELECT b.code, b.day + %(days)s AS date, close + %(add)s AS price, CASE WHEN n %% 5 = 0 THEN close * 2 WHEN n %% 5 = 1 THEN 0.0 END AS open, CASE WHEN n %% 7 = 0 THEN close * 3 END AS pre_close, CASE WHEN n %% 2 = 0 THEN close * 4 END AS high,
   CASE WHEN n %% 3 = 0 THEN close / 4 END AS low, CASE WHEN n %% 4 = 0 THEN NULL WHEN n %% 4 = 1 THEN 0.0 ELSE 7.0 END AS volume, CASE WHEN n %% 3 = 1 THEN 9.0 END AS amount, CASE WHEN n %% 3 = 2 THEN 1.5 END AS pct_chg FROM (SELECT *, date AS day, CAST(code AS INTEGER) AS n FROM last0) b WHERE %(where)s"""
 _FIRST = _QUOTE % {"days": "CASE WHEN n % 2 = 0 THEN 0 WHEN n % 3 = 0 THEN -5 ELSE 3 END", "add": "n % 3 * 0.5", "where": "n % 11 <> 1"}

@@ -2,18 +2,14 @@
 
 from __future__ import annotations
 
-import csv
-import io
-from collections.abc import Iterator
 from typing import NamedTuple
 
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from marketloom.functions.codes import canonical
-from marketloom.functions.shipping import ship
 from marketloom.functions.text import dedup_hash, trade_side
+from marketloom.sources.writes import kept
 
 
 class Broker(NamedTuple):
@@ -29,7 +25,7 @@ class Broker(NamedTuple):
     uid: tuple[str, ...]
 
 
-# Headers of three brokers, those that are looked for in any file after them, and encodings in their order.
+# Headers of three brokers, those that are looked for in any file after them, headers that are summed.
 BROKERS: dict[str, Broker] = {
     "huatai": Broker((), "华泰", ("成交日期", "成交时间", "发生日期", "日期"), ("证券代码", "股票代码", "代码"), ("买卖标志", "买卖方向", "操作"), ("成交数量", "数量", "成交股数"), ("成交均价", "成交价格", "价格", "成交价", "均价"), ("成交编号", "成交序号", "流水号")),
     "citic": Broker(("zhongxin",), "中信", ("发生日期", "成交日期", "日期"), ("证券代码", "股票代码", "代码"), ("买卖方向", "买卖标志", "业务名称"), ("成交数量", "数量", "成交股数"), ("成交价格", "成交均价", "价格", "成交价"), ("合同编号", "成交编号", "委托编号")),
@@ -37,7 +33,6 @@ BROKERS: dict[str, Broker] = {
 }
 ANY = Broker((), "", ("成交日期", "发生日期", "日期", "成交时间"), ("证券代码", "股票代码", "代码"), ("买卖标志", "买卖方向", "交易方向", "业务名称", "操作"), ("成交数量", "数量", "成交股数"), ("成交均价", "成交价格", "价格", "成交价", "均价"), ("成交编号", "成交序号", "合同编号", "委托编号", "流水号"))
 FEES, TAXES, CURRENCY = ("手续费", "佣金", "交易费", "规费", "过户费"), ("印花税", "税费", "其他税费"), ("币种", "货币")
-ENCODINGS = ("utf-8-sig", "gbk", "gb18030")
 
 
 def register(name: str, broker: Broker) -> None:
@@ -61,26 +56,52 @@ def broker_of(name: str) -> Broker:
     return BROKERS[key]
 
 
+def _splits(df: DataFrame, value: str) -> Column:
+    """Sum of a value over the splits of a file that come before each; df has a row for each split."""
+    return F.coalesce(F.sum(value).over(Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+
+
 def read_files(spark: SparkSession, path: str) -> DataFrame:
-    """file, line (the header is line 1), cells: each row as a map of header to text. A file is read whole, in the first
-    encoding that fits."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for name, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist()):
-                for encoding in (*ENCODINGS, "latin-1"):
-                    try:
-                        text = content.decode(encoding)
-                        break
-                    except UnicodeDecodeError:
-                        continue
-                rows = [[*row.items()] for row in csv.DictReader(io.StringIO(text, newline=""), restkey="", restval="")]
-                rows = [[(k, v) for k, v in row if k] for row in rows]
-                yield pa.RecordBatch.from_arrays([pa.array([name] * len(rows), pa.string()), pa.array(range(2, len(rows) + 2), pa.int32()), pa.array(rows, pa.map_(pa.string(), pa.string()))], names=["file", "line", "cells"])
-
-    ship(spark)
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return files.mapInArrow(run, "file string, line int, cells map<string,string>")
+    """file, line (the header is line 1), cells: each row as a map of header to text. Files are read in byte ranges, each by a task of its
+    own: a line begins a row where the quotes before it in the file are even in number, which follows from the counts of the ranges
+    before and of the lines before in its own range; rows are numbered in the same way. A row with line breaks inside quotes is put
+    together from its lines, wherever the ranges part them. Blank lines don't count. A file that isn't UTF-8 is taken for GB 18030, which
+    holds GBK; one that is neither fails."""
+    lines = spark.read.option("lineSep", "\n").text(path)
+    quotes = F.octet_length("value") - F.octet_length(F.replace("value", F.lit('"'), F.lit("")))  # bytes, whatever the encoding
+    lines = lines.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("at"), F.col("value").cast("binary").alias("raw"), (quotes % 2).alias("odd"), F.is_valid_utf8("value").alias("utf8"), (F.trim(F.rtrim(F.translate("value", "\r\ufeff", ""))) == "").alias("blank"))
+    lines = kept(lines, "lines")
+    own = Window.partitionBy("file", "split").orderBy("at")
+    before = lambda c: F.coalesce(F.sum(c).over(own.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    splits = lines.groupBy("file", "split").agg(F.sum("odd").alias("odd"))
+    splits = splits.select("file", "split", _splits(splits, "odd").alias("odd_before"))
+    plain = lines.groupBy("file").agg(F.bool_and("utf8").alias("plain"))
+    text = F.when(F.col("plain"), F.decode("raw", "UTF-8")).otherwise(F.decode("raw", "GB18030"))
+    setting = "spark.sql.legacy.javaCharsets"
+    usual = spark.conf.get(setting, "false")
+    spark.conf.set(setting, "true")  # decode() takes this charset only where the setting held when the plan was made
+    try:
+        lines = lines.join(splits, ["file", "split"]).withColumn("begins", ((F.col("odd_before") + before("odd")) % 2 == 0).cast("int")).where("NOT (blank AND begins = 1)")
+        lines = kept(lines.join(plain, "file").select("file", "split", "at", "begins", text.alias("text")), "lines")
+    finally:
+        spark.conf.set(setting, usual)
+    splits = lines.groupBy("file", "split").agg(F.sum("begins").alias("begun"))
+    splits = splits.select("file", "split", _splits(splits, "begun").alias("begun_before"))
+    upto = F.sum("begins").over(own.rowsBetween(Window.unboundedPreceding, 0))
+    rows = lines.join(splits, ["file", "split"]).withColumn("line", F.col("begun_before") + upto)
+    rows = rows.groupBy("file", "line").agg(F.transform(F.sort_array(F.collect_list(F.struct("split", "at", "text"))), lambda x: x["text"]).alias("parts"))
+    rows = kept(rows.select("file", F.col("line").cast("int").alias("line"), F.regexp_replace(F.regexp_replace(F.array_join("parts", "\n"), "\r$", ""), "^\ufeff", "").alias("row")), "rows")
+    heads = rows.where("line = 1").select("file", F.col("row").alias("head"))
+    widest = heads.agg(F.max(F.length("head") - F.length(F.replace("head", F.lit(","), F.lit(""))))).first()[0]
+    columns = ", ".join(f"c{i} string" for i in range((widest or 0) + 1))
+    cut = lambda c: F.from_csv(c, columns, {"escape": '"', "multiLine": "true", "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false", "maxCharsPerColumn": "-1"})
+    cells = lambda c: F.array(*(F.coalesce(F.col(f"{c}.c{i}"), F.lit("")) for i in range((widest or 0) + 1)))
+    heads = heads.withColumn("h", cut("head")).select("file", cells("h").alias("names"))
+    found = rows.where("line > 1").withColumn("x", cut("row")).join(heads, "file").select("file", "line", "names", cells("x").alias("values"))
+    pairs = F.filter(F.arrays_zip("names", "values"), lambda x: x["names"] != "")
+    # of a name that occurs again only the first column counts
+    pairs = F.filter(pairs, lambda x, i: F.array_position(F.transform(pairs, lambda y: y["names"]), x["names"]) == i + 1)
+    return found.select("file", "line", F.map_from_entries(pairs).alias("cells"))
 
 
 def _cell(name: str) -> Column:

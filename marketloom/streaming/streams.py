@@ -54,6 +54,19 @@ def breaker(stream: DataFrame, failures: int = 3, cooldown_s: int = 300) -> Data
     return stream.groupBy("source").applyInPandasWithState(step, "source string, ts timestamp, state string", "count long, opened long", "append", GroupStateTimeout.NoTimeout)
 
 
+def news_of_analyses(analyses: DataFrame, news: DataFrame, hours: int = 6, window_days: int = 3, delay: str = "1 day") -> DataFrame:
+    """analyses: id, code, created_at. news: news_id, code, fetched_at, published. The news of each analysis's code that were fetched within
+    `hours` of it, before or after, as either arrives: id, created_at, news_id, published, with news_id null for an analysis without any, once
+    the watermark is past its time. Rows that the other side can't meet any more are dropped from the state. News published outside
+    the analysis's window don't count."""
+    a = analyses.withWatermark("created_at", delay).alias("a")
+    n = news.withWatermark("fetched_at", delay).alias("n")
+    apart = F.expr(f"n.fetched_at BETWEEN a.created_at - INTERVAL {hours} HOURS AND a.created_at + INTERVAL {hours} HOURS")
+    day = F.to_date("a.created_at")
+    around = F.col("n.published").between(F.date_sub(day, max(0, window_days - 1)), F.date_add(day, 1))
+    return a.join(n, (F.col("a.code") == F.col("n.code")) & apart & around, "leftOuter").select("a.id", "a.created_at", "n.news_id", "n.published")
+
+
 BAR = ("open", "high", "low", "close", "volume", "amount", "pct_chg")
 
 

@@ -1,6 +1,8 @@
 """Brokers' files, bars as a source, tools, write plans and fuzzy names, on small literal cases."""
 
+import csv
 import datetime as dt
+import io
 import difflib
 import random
 
@@ -31,6 +33,34 @@ def test_broker_files(spark, tmp_path, encoding):
     assert [(str(r.date), r.side, r.price) for r in brokers.trade_files(spark, str(tmp_path / "m.csv"), "cmb").collect()] == [("2026-01-05", "buy", 10.0)]
 
 
+@pytest.mark.parametrize("encoding", ["utf-8-sig", "gb18030"])
+def test_large_broker_file_in_ranges(spark, tmp_path, encoding):
+    """Against the csv module: quoted line breaks, commas and quotes at the edges of byte ranges, Chinese letters, blank and short rows."""
+    rnd = random.Random(3)
+    out = io.StringIO()
+    w = csv.writer(out, lineterminator="\r\n")
+    w.writerow(["日期", "说明", "数量", "说明"])
+    for i in range(6000):
+        w.writerow([f"2026-01-{i % 28 + 1:02d}", rnd.choice(["平", 'he said "yes, no"', "两\n行", "a\n\n,b\n\"\"\n", " spaced ", ""]), i, "again"][: rnd.choice([4, 4, 4, 2])])
+        if i % 97 == 0:
+            out.write("\r\n")
+    data = out.getvalue().encode(encoding)
+    (tmp_path / "big.csv").write_bytes(data)
+    rows = [r for r in csv.reader(io.StringIO(out.getvalue(), newline="")) if r]
+    spark.conf.set("spark.sql.files.maxPartitionBytes", 4096)
+    spark.conf.set("spark.sql.files.openCostInBytes", 0)
+    try:
+        assert spark.read.text(str(tmp_path / "big.csv")).rdd.getNumPartitions() > 20
+        got = {r.line: r.cells for r in brokers.read_files(spark, str(tmp_path)).collect()}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert len(got) == 6000
+    for k, row in enumerate(rows[1:]):
+        want = dict(zip(["日期", "说明", "数量"], row + [""] * 3))
+        assert {a: b.replace("\r", "") for a, b in got[k + 2].items()} == {a: b.replace("\r", "") for a, b in want.items()}, k
+
+
 def test_broker_registry():
     own = brokers.BROKERS["cmb"]._replace(aliases=("zhongxin",))
     with pytest.raises(ValueError):

@@ -163,3 +163,27 @@ def test_two_writers(spark, tmp_path):
     with pytest.raises(ValueError, match="doesn't name"):
         store.commit({"t": Change(rows, every[:1])})
     assert store.latest() == 2 and store.read("t", parts=[]).count() == 0
+
+
+def test_late_news_and_dropped_state(spark, tmp_path):
+    """Unmatched analyses come once the watermark is past them, news that are late within the delay still match, and state goes."""
+    t = lambda h: dt.datetime(2024, 1, 10) + dt.timedelta(hours=h)
+    a_schema, n_schema = "id int, code string, created_at timestamp", "news_id int, code string, fetched_at timestamp, published date"
+    day = lambda h: t(h).date()
+    steps = [
+        ([(1, "x", t(0)), (2, "y", t(0)), (3, "x", t(1))], [(10, "x", t(5), day(0)), (11, "x", t(7), day(0)), (12, "x", t(3), day(-200)), (13, "x", t(2), None)]),
+        ([(4, "z", t(20))], [(14, "y", t(-4), day(0)), (15, "z", t(26), day(20))]),  # news of y come late, and still match
+        ([(5, "z", t(200))], [(16, "z", t(200), day(200))]),
+        ([(6, "z", t(201))], [(17, "x", t(1), day(0)), (18, "q", t(201), day(200))]),  # far too late for analysis 1
+    ]
+    progress = []
+    for k, (a, n) in enumerate(steps):
+        spark.createDataFrame(a, a_schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "a"))
+        spark.createDataFrame(n, n_schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "n"))
+        joined = streams.news_of_analyses(spark.readStream.schema(a_schema).parquet(str(tmp_path / "a")), spark.readStream.schema(n_schema).parquet(str(tmp_path / "n")), delay="12 hours")
+        q = joined.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+        q.awaitTermination()
+        progress += [s["numRowsTotal"] for p in q.recentProgress for s in p["stateOperators"]][-1:]
+    got = sorted((r.id, r.news_id or 0) for r in spark.read.schema("id int, created_at timestamp, news_id int, published date").parquet(str(tmp_path / "out")).collect())
+    assert got == [(1, 10), (2, 14), (3, 10), (3, 11), (4, 15), (5, 16), (6, 16)]
+    assert progress[-1] <= 6  # of fourteen rows
