@@ -6,10 +6,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 from typing import Any
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, TimerValues
 
 from marketloom.functions.shipping import ship
 from marketloom.sources import versions, writes
@@ -25,33 +27,84 @@ def windowed(stream: DataFrame, ts: str, width: str, keys: list[str], delay: str
     return stream.withWatermark(ts, delay).groupBy(F.window(ts, width).alias("w"), *keys).agg(F.count("*").alias("n"), F.sum("value").alias("total"))
 
 
-def breaker(stream: DataFrame, failures: int = 3, cooldown_s: int = 300) -> DataFrame:
-    """stream: source, ts, ok. A row each time a source's breaker opens or closes: source, ts, state. It opens after so many
-    failures in a row and half-opens after the cooldown; a success then closes it, a failure opens it again. What a source
-    calls in one batch is put in order (failures after successes of the same moment) and held by its task."""
-
-    def step(key: tuple[Any, ...], parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        count, opened = state.get if state.exists else (0, 0)
-        rows: list[tuple] = []
-        events = pd.concat(list(parts)).sort_values(["ts", "ok"], ascending=[True, False])
-        for ts, ok in zip(events["ts"], events["ok"]):
-            now = int(ts.timestamp())
-            if opened and now - opened < cooldown_s:
+#: Seconds of event time that are put in order together.
+SPAN = 3600
+_ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+class _Breaker(StatefulProcessor):
+    """Calls wait in the state, by spans of event time, until the watermark has passed their span; a timer for each span then takes them in
+    order. So a task holds one Arrow batch or one span of one source, however many calls a batch brings, and late ones find their place."""
+
+    def __init__(self, failures: int, cooldown_s: int):
+        self.failures, self.cooldown_s = failures, cooldown_s
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("state", "count long, opened long")
+        self.parts = handle.getMapState("parts", "span long", "n long")
+        self.calls = handle.getMapState("calls", "span long, part long", "calls binary")
+
+    def handleInputRows(self, key: tuple[Any, ...], rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:  # noqa: N802
+        for some in rows:
+            at = some["ts"].astype("datetime64[us]").astype("int64").to_numpy()
+            packed = at * 2 + ~some["ok"].to_numpy(bool)  # failures after successes of the same moment
+            spans = at // (SPAN * 1_000_000)
+            for span in np.unique(spans):
+                k = (int(span),)
+                n = self.parts.getValue(k)[0] if self.parts.containsKey(k) else 0
+                self.calls.updateValue((int(span), n), (packed[spans == span].tobytes(),))
+                self.parts.updateValue(k, (n + 1,))
+                if not n:
+                    self.handle.registerTimer((int(span) + 1) * SPAN * 1000)
+        yield self._told([])
+
+    def handleExpiredTimer(self, key: tuple[Any, ...], timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802
+        span = expiredTimerInfo.getExpiryTimeInMs() // (SPAN * 1000) - 1
+        count, opened = self.state.get() if self.state.exists() else (0, 0)
+        n = self.parts.getValue((span,))[0]
+        calls = np.sort(np.concatenate([np.frombuffer(bytes(self.calls.getValue((span, i))[0]), np.int64) for i in range(n)]))
+        out: list[tuple] = []
+        for call in calls.tolist():
+            us, failed = divmod(call, 2)
+            now = us // 1_000_000
+            if opened and now - opened < self.cooldown_s:
                 continue  # calls are refused
-            if ok:
-                if opened:
-                    rows.append((key[0], ts, "closed"))
-                count, opened = 0, 0
-            else:
+            if failed:
                 count += 1
-                if opened or count >= failures:
-                    rows.append((key[0], ts, "open"))
+                if opened or count >= self.failures:
+                    out.append((key[0], us, "open"))
                     opened = now
-        state.update((count, opened))
-        yield pd.DataFrame(rows, columns=["source", "ts", "state"])
-
-    ship(stream.sparkSession)
-    return stream.groupBy("source").applyInPandasWithState(step, "source string, ts timestamp, state string", "count long, opened long", "append", GroupStateTimeout.NoTimeout)
+            else:
+                if opened:
+                    out.append((key[0], us, "closed"))
+                count, opened = 0, 0
+        for i in range(n):
+            self.calls.removeKey((span, i))
+        self.parts.removeKey((span,))
+        if count or opened:
+            self.state.update((count, opened))
+        else:
+            self.state.clear()  # a source without failures leaves nothing
+        yield self._told(out)
+
+    def _told(self, rows: list[tuple]) -> pd.DataFrame:
+        text = lambda k: pd.Series([r[k] for r in rows], dtype=object)
+        return pd.DataFrame({"source": text(0), "ts": pd.Series([r[1] for r in rows], dtype="int64").astype("datetime64[us]"), "state": text(2)})
+
+    def close(self) -> None:
+        pass
+
+
+def breaker(stream: DataFrame, failures: int = 3, cooldown_s: int = 300, delay: str = "10 minutes") -> DataFrame:
+    """stream: source, ts, ok. A row each time a source's breaker opens or closes: source, ts, state, once the watermark is past it. It opens
+    after so many failures in a row and half-opens after the cooldown; a success then closes it, a failure opens it again. Times
+    are taken in UTC."""
+    spark = stream.sparkSession
+    ship(spark)
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", _ROCKS)
+    calls = stream.select("source", "ts", "ok").withWatermark("ts", delay).groupBy("source")
+    return calls.transformWithStateInPandas(_Breaker(failures, cooldown_s), "source string, ts timestamp, state string", "Append", "EventTime")
 
 
 def news_of_analyses(analyses: DataFrame, news: DataFrame, hours: int = 6, window_days: int = 3, delay: str = "1 day") -> DataFrame:

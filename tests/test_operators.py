@@ -205,13 +205,42 @@ def test_store_swaps(spark, tmp_path):
 
 def test_breaker(spark, tmp_path):
     t = lambda s: dt.datetime(2024, 1, 1) + dt.timedelta(seconds=s)
-    rows = [("a", t(0), False), ("a", t(1), False), ("a", t(2), False), ("a", t(10), True), ("a", t(310), True)]
+    rows = [("a", t(0), False), ("a", t(1), False), ("a", t(2), False), ("a", t(10), True), ("a", t(310), True), ("tick", t(90_000), True)]
     spark.createDataFrame(rows, "source string, ts timestamp, ok boolean").coalesce(1).write.parquet(str(tmp_path / "in"))
     s = spark.readStream.schema("source string, ts timestamp, ok boolean").parquet(str(tmp_path / "in"))
     got = [(r.state, r.ts) for r in streams.drained("breaker_test", streams.breaker(s), str(tmp_path / "cp")).orderBy("ts").collect()]
     assert got == [("open", t(2)), ("closed", t(310))]
 
 
+def test_breaker_with_many_and_late_calls(spark, tmp_path):
+    """Most calls are one source's, in any order; a second batch brings some late ones, and a call too late is passed over."""
+    begin, n = dt.datetime(2024, 1, 1), 60_000
+    calls = spark.range(n).select(F.when(F.col("id") % 10 == 0, "b").otherwise("a").alias("source"), F.timestamp_micros(F.lit(1704067200 * 1_000_000) + F.pmod(F.xxhash64("id"), F.lit(200_000)) * 1_000_000).alias("ts"), (F.pmod(F.xxhash64("id", F.lit(1)), F.lit(3)) == 0).alias("ok"))
+    schema, folder = calls.schema, str(tmp_path / "in")
+    first = calls.where("ts < '2024-01-02 06:00:00'").repartition(3)
+    late = [("a", begin + dt.timedelta(hours=29, minutes=55, seconds=k), False) for k in range(5)]
+    rest = calls.where("ts >= '2024-01-02 06:00:00'").union(spark.createDataFrame([*late, ("a", begin, True), ("tick", begin + dt.timedelta(days=9), True)], schema))
+    for k, part in enumerate((first, rest)):
+        part.write.mode("append").parquet(folder)
+        got = streams.drained(f"breaker_{k}", streams.breaker(spark.readStream.schema(schema).parquet(folder)), str(tmp_path / "cp")).where("source <> 'tick'")
+    rows = [(r.source, r.ts, r.ok) for r in first.collect() + rest.where("source <> 'tick' and ts <> '2024-01-01 00:00:00'").collect()]
+    want = []
+    for source in ("a", "b"):
+        count, opened = 0, None
+        for _, ts, ok in sorted((r for r in rows if r[0] == source), key=lambda r: (r[1], not r[2])):
+            if opened is not None and (ts - opened).total_seconds() < 300:
+                continue
+            if ok:
+                want += [(source, ts, "closed")] if opened is not None else []
+                count, opened = 0, None
+            else:
+                count += 1
+                if opened is not None or count >= 3:
+                    want.append((source, ts, "open"))
+                    opened = ts
+    assert sorted((r.source, r.ts, r.state) for r in got.collect()) == sorted(want) and len(want) > 200
+
+
 def test_replay_with_dividend_and_split(spark):
     from marketloom.operators import misc
 
