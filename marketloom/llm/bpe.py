@@ -70,11 +70,13 @@ def _unknown():
     spans: list[list[int]] = []
     for c in range(0x110000):
         if unicodedata.category(chr(c)) == "Cn":
-            if spans and spans[-1][1] == c - 1:
+            if spans and spans[-1][1] == c - 1 and c != 0x10000:
                 spans[-1][1] = c
             else:
                 spans.append([c, c])
-    return re.compile("[" + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in spans) + _ORDERED_OTHERWISE + "]").search
+    # apart, since a class within the first plane is one table, and one beyond it a list that is gone through for each letter
+    low, high = (re.compile("[" + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in spans if (a > 0xFFFF) == beyond) + "".join(c for c in _ORDERED_OTHERWISE if (c > "\uffff") == beyond) + "]").search for beyond in (False, True))
+    return lambda text: low(text) or (_HIGH(text) and high(text))
 
 
 class WordBpe:
