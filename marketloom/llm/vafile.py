@@ -232,17 +232,18 @@ def search(blocks: DataFrame, k: int = 10) -> DataFrame:
     queries, left = candidates(blocks, k)
     # each task of the map side keeps a query's best only, so a query with many candidates isn't dealt to one task whole
     order = Window.partitionBy("query").orderBy(F.desc("upper"), "name")
-    ranked = written(left.withColumn("r", F.row_number().over(order)), "ranked")
-    most, found, read = AHEAD * k, None, ranked.where(F.col("r") <= AHEAD * k)
+    most, found = AHEAD * k, None
+    read = written(left.withColumn("r", F.row_number().over(order)).where(F.col("r") <= most).select("query", "name"), "read")
     while True:
         scores = written(_scored(read, queries, exact_of(blocks, read)), "scores")
         found = scores if found is None else found.unionByName(scores)
         certain = _kth(found, "score", k)
-        left = ranked.where(F.col("r") > most).join(certain, "query", "left").where(F.col("least").isNull() | (F.col("upper") >= F.col("least")))
-        most *= GROWTH
+        left = left.join(certain, "query", "left").where(F.col("least").isNull() | (F.col("upper") >= F.col("least"))).select("query", "name", "upper")
+        left = written(left.join(read, ["query", "name"], "left_anti"), "candidates")
         if left.isEmpty():
             break
-        read = written(left.where(F.col("r") <= most).select("query", "name"), "read")
+        most *= GROWTH
+        read = written(left.withColumn("r", F.row_number().over(order)).where(F.col("r") <= most).select("query", "name"), "read")
     order = Window.partitionBy("query").orderBy(F.desc("score"), F.asc_nulls_last("vec_id"))
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
