@@ -37,7 +37,7 @@ def boxes(bars: DataFrame, most: int = 120, least: int = 60, band: float = 0.05,
 
 def one_yang_three_yin(bars: DataFrame, body: float = 0.02, shrink: float = 0.8) -> DataFrame:
     """code, date of bars that end the pattern: a large rise, three small bars or falls that stay above its open, close within
-    its body and trade less than `shrink` of its volume, then a rise above its close."""
+    its body, trade less than `shrink` of its volume and each less than the bar before, then a rise above its close."""
     w = Window.partitionBy("code").orderBy("date")
     bar = F.struct("open", "high", "low", "close", "volume")
     df = bars.select("code", "date", bar.alias("b"), *(F.lag(bar, k).over(w).alias(f"b{k}") for k in (4, 3, 2, 1)))
@@ -45,9 +45,9 @@ def one_yang_three_yin(bars: DataFrame, body: float = 0.02, shrink: float = 0.8)
     rise = (first["close"] > first["open"]) & ((first["close"] - first["open"]) / first["open"] > body)
     inside = rise
     for k in (3, 2, 1):
-        b = F.col(f"b{k}")
+        b, before = F.col(f"b{k}"), F.col(f"b{k + 1}")
         small = (b["close"] < b["open"]) | (F.abs(b["close"] - b["open"]) / b["open"] <= body)
-        inside = inside & small & (b["low"] >= first["open"]) & b["close"].between(first["open"], first["close"]) & (b["volume"] < first["volume"] * shrink)
+        inside = inside & small & (b["low"] >= first["open"]) & b["close"].between(first["open"], first["close"]) & (b["volume"] < first["volume"] * shrink) & (b["volume"] < before["volume"])
     return df.where(inside & (last["close"] > last["open"]) & (last["close"] > first["close"])).select("code", "date")
 
 

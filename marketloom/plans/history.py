@@ -11,7 +11,7 @@ from marketloom.operators import backtest, history, indicators, misc
 from marketloom.plans.backtest import SUMMARY, _results
 from marketloom.plans.registry import query
 from marketloom.sources import writes
-from marketloom.sources.testdata import ANALYSES, BARS, INSTRUMENTS, analyses, bars, instruments, table
+from marketloom.sources.testdata import ANALYSES, BARS, INSTRUMENTS, MONTHLY_BARS, analyses, bars, instruments, table
 
 
 @query("SELECT o_orderkey AS id, o_totalprice AS price, (SELECT count(*) FROM orders WHERE o_orderstatus = 'P') AS total FROM orders WHERE o_orderstatus = 'P' ORDER BY o_totalprice DESC, o_orderkey LIMIT 7 OFFSET 7")
@@ -117,10 +117,10 @@ def resumed_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return history.resumed(runs).select("run_id", "resume_at")
 
 
-@query(f"""WITH {BARS}, d AS (SELECT code, date, close FROM bars WHERE date >= DATE '2001-01-01'), b AS (SELECT code, date, volume / 1000 AS turnover FROM bars WHERE date >= DATE '2001-01-01' AND CAST(code AS INTEGER) % 3 <> 0) SELECT d.code, d.date, d.close, {R('turnover')} FROM d LEFT JOIN b ON d.code = b.code AND d.date = b.date""")
+@query(f"""WITH {BARS}, d AS (SELECT code, date, close FROM bars), b AS (SELECT code, date, volume / 1000 AS turnover FROM bars WHERE CAST(code AS INTEGER) % 3 <> 0) SELECT d.code, d.date, d.close, {R('turnover')} FROM d LEFT JOIN b ON d.code = b.code AND d.date = b.date""")
 def daily_with_basics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bars and the daily basics of those that have them (a left join on the source's own key)."""
-    b = bars(spark, sf_dir).where("date >= date'2001-01-01'")
+    b = bars(spark, sf_dir)
     basics = b.where(F.col("code").cast("int") % 3 != 0).select("code", "date", (F.col("volume") / 1000).alias("turnover"))
     return b.join(basics, ["code", "date"], "left").select("code", "date", "close", *r("turnover"))
 
@@ -140,15 +140,13 @@ def invalidated_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return writes.invalidate_from(o.select("account", "on", "id"), o.where("o_orderstatus = 'P' and account <> 3"))
 
 
-@query(f"""WITH {BARS}, td AS (SELECT max(date) AS d FROM bars), o AS (SELECT code, date AS trade_date, close FROM bars, td WHERE date >= d - 40), n AS (SELECT code, trade_date, close * 2 AS close FROM o WHERE CAST(code AS INTEGER) % 2 = 0) SELECT * FROM n UNION ALL SELECT * FROM o WHERE trade_date NOT IN (SELECT trade_date FROM n)""")
+@query(f"""WITH {MONTHLY_BARS}, o AS (SELECT code, date AS trade_date, close FROM bars), n AS (SELECT code, trade_date, close * 2 AS close FROM o WHERE CAST(code AS INTEGER) % 2 = 0 AND month(trade_date) % 2 = 0) SELECT * FROM n UNION ALL SELECT * FROM o WHERE trade_date NOT IN (SELECT trade_date FROM n)""")
 def replaced_date(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Dates of a stored table that are written again, with fewer rows: whole partitions are replaced."""
-    b = bars(spark, sf_dir).select("code", F.col("date").alias("trade_date"), "close")
-    last = b.agg(F.max("trade_date")).first()[0]
+    """Dates of a stored table that are written again, with fewer rows: whole partitions are replaced, others stay."""
+    old = bars(spark, sf_dir, "month").select("code", F.col("date").alias("trade_date"), "close")
     path = writes.scratch(spark, "snapshots")
-    old = b.where(F.col("trade_date") >= F.date_sub(F.lit(last), 40))
     writes.replace_date(path, old)
-    writes.replace_date(path, old.where(F.col("code").cast("int") % 2 == 0).withColumn("close", F.col("close") * 2))
+    writes.replace_date(path, old.where((F.col("code").cast("int") % 2 == 0) & (F.month("trade_date") % 2 == 0)).withColumn("close", F.col("close") * 2))
     return spark.read.parquet(path).select("code", "trade_date", "close")
 
 

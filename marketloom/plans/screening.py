@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from marketloom.functions.rounding import R, half_up_sql, r
 from marketloom.operators import screening as s
 from marketloom.plans.registry import query
-from marketloom.sources.testdata import ANALYSES, BARS, INSTRUMENTS, analyses, bars, instruments, table
+from marketloom.sources.testdata import ANALYSES, BARS, INSTRUMENTS, MONTHLY_BARS, analyses, bars, instruments, table
 
 
 def last_date(spark: SparkSession, sf_dir: str) -> datetime.date:
@@ -62,22 +62,17 @@ def factor_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _snapshot(spark, sf_dir).select("code", "name", *r("ma5", "ma10", "ma20", "ma60", "pct_chg"), "close", "is_st", "days_since_listed", "volume_ratio", "avg_amount", "breakout_ratio", "turnover_rate", "trend_score", "liquidity_score", F.concat_ws(",", "risk_flags").alias("risk_flags"))
 
 
-def busiest_date(spark: SparkSession, sf_dir: str) -> datetime.date:
-    """The day with the most bars, the latest of them."""
-    days = bars(spark, sf_dir).groupBy("date").agg(F.count("*").alias("n"))
-    return days.agg(F.max_by("date", F.struct("n", "date"))).first()[0]
+#: The same at the last full month of monthly bars, at which most symbols have one, and some pass.
+MONTHLY = SCREEN.replace(BARS, MONTHLY_BARS).replace("SELECT max(date) AS d FROM bars", "SELECT max(date) AS d FROM bars WHERE date < (SELECT max(date) FROM bars)").replace("td.d - 240", "td.d - 800")
 
 
-#: The same on the busiest day and with no thresholds of amount and volume, so that small data has survivors.
-LOOSE = SCREEN.replace("td AS (SELECT max(date) AS d FROM bars)", "td AS (SELECT arg_max(date, (n, date)) AS d FROM (SELECT date, count(*) AS n FROM bars GROUP BY date))")
-for _a, _b in (("avg_amount < 20000", "avg_amount < 0"), ("avg_amount >= 20000", "avg_amount >= 0"), ("volume_ratio < 1 ", "volume_ratio < 0 "), ("volume_ratio >= 1 ", "volume_ratio >= 0 ")):
-    LOOSE = LOOSE.replace(_a, _b)
-
-
-@query(f"WITH {LOOSE} SELECT code, rank, rule_score, rule_hits FROM screened WHERE rank IS NOT NULL")
+@query(f"WITH {MONTHLY} SELECT code, rank, rule_score, rule_hits FROM screened WHERE rank IS NOT NULL")
 def screen_selected(spark: SparkSession, sf_dir: str) -> DataFrame:
-    day = s.factor_snapshot(bars(spark, sf_dir), instruments(spark, sf_dir), busiest_date(spark, sf_dir))
-    return s.screen(day, min_avg_amount=0.0, min_volume_ratio=0.0).where("rank is not null").select("code", "rank", "rule_score", F.concat_ws(",", "rule_hits").alias("rule_hits"))
+    df = bars(spark, sf_dir, "month")
+    full = F.add_months(F.lit(last_date(spark, sf_dir)).cast("date"), -1)
+    month = spark.range(1).select(F.trunc(full, "month")).first()[0]
+    day = s.factor_snapshot(df, instruments(spark, sf_dir), month, lookback=400)
+    return s.screen(day).where("rank is not null").select("code", "rank", "rule_score", F.concat_ws(",", "rule_hits").alias("rule_hits"))
 
 
 @query(f"WITH {SCREEN} SELECT code, reasons, rule_hits, rule_score FROM screened WHERE rank IS NULL")

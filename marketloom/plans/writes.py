@@ -11,10 +11,10 @@ from marketloom.sources import writes
 from marketloom.sources.testdata import BARS, bars, table
 
 
-@query(f"WITH {BARS}, n AS (SELECT code, CASE WHEN CAST(code AS INTEGER) % 2 = 0 THEN date ELSE date + 10000 END AS date, close * 2 AS close FROM bars WHERE date >= DATE '2001-01-01') SELECT code, date, close FROM bars b WHERE NOT EXISTS (SELECT 1 FROM n WHERE n.code = b.code AND n.date = b.date) UNION ALL SELECT * FROM n")
+@query(f"WITH {BARS}, n AS (SELECT code, CASE WHEN CAST(code AS INTEGER) % 2 = 0 THEN date ELSE date + 10000 END AS date, close * 2 AS close FROM bars) SELECT code, date, close FROM bars b WHERE NOT EXISTS (SELECT 1 FROM n WHERE n.code = b.code AND n.date = b.date) UNION ALL SELECT * FROM n")
 def upsert_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     old = bars(spark, sf_dir).select("code", "date", "close")
-    new = old.where("date >= date'2001-01-01'").select("code", F.when(F.col("code").cast("int") % 2 == 0, F.col("date")).otherwise(F.date_add("date", 10000)).alias("date"), (F.col("close") * 2).alias("close"))
+    new = old.select("code", F.when(F.col("code").cast("int") % 2 == 0, F.col("date")).otherwise(F.date_add("date", 10000)).alias("date"), (F.col("close") * 2).alias("close"))
     return writes.upsert(old, new, ["code", "date"])
 
 
@@ -47,11 +47,11 @@ def run_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return writes.change_status(runs, o.where("o_orderkey % 4 <> 0").select(F.col("o_orderkey").alias("run_id"), state("o_custkey").alias("to")))
 
 
-@query(f"""WITH {BARS}, a AS (SELECT * FROM bars WHERE CAST(code AS INTEGER) % 3 <> 0 AND date >= DATE '2001-01-01'), b AS (SELECT * FROM bars WHERE date >= DATE '2001-03-01'),
+@query(f"""WITH {BARS}, a AS (SELECT * FROM bars WHERE CAST(code AS INTEGER) % 3 <> 0), b AS (SELECT * FROM bars),
   p AS (SELECT 0 AS source, code, date, close, volume / 100 * 100.0 AS volume, volume / 100 * 100.0 * close AS amount FROM a UNION ALL SELECT 1, code, date, close, volume, amount / 1000 * 1000.0 FROM b WHERE code NOT IN (SELECT code FROM a)) SELECT source, code, date, close, {R('volume', 'amount')} FROM p""")
 def source_failover(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = bars(spark, sf_dir)
-    first = df.where((F.col("code").cast("int") % 3 != 0) & (F.col("date") >= "2001-01-01")).select("code", F.col("date").alias("datetime"), "open", "high", "low", "close", F.col("volume").alias("vol"))
-    second = df.where(F.col("date") >= "2001-03-01").select("code", F.col("date").alias("trade_date"), "close", (F.col("volume") / 100).alias("vol"), (F.col("amount") / 1000).alias("amount"))
+    first = df.where(F.col("code").cast("int") % 3 != 0).select("code", F.col("date").alias("datetime"), "open", "high", "low", "close", F.col("volume").alias("vol"))
+    second = df.select("code", F.col("date").alias("trade_date"), "close", (F.col("volume") / 100).alias("vol"), (F.col("amount") / 1000).alias("amount"))
     both = writes.failover([writes.normalize_source(first, "pytdx"), writes.normalize_source(second, "tushare")])
     return both.select("source", "code", "date", "close", *r("volume", "amount"))

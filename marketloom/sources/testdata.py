@@ -10,9 +10,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Daily bars of each supplier: price is extended price over quantity, first and last by a total order of lines."""
-    line = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", F.to_date("l_shipdate").alias("date"))
+def bars(spark: SparkSession, sf_dir: str, period: str = "day") -> DataFrame:
+    """Bars of each supplier by day, or by month under its first day: price is extended price over quantity, first and last by a
+    total order of lines."""
+    day = F.to_date("l_shipdate") if period == "day" else F.trunc("l_shipdate", period)
+    line = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", day.alias("date"))
     price = F.col("l_extendedprice") / F.col("l_quantity")
     order = F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "l_quantity")
     grouped = line.groupBy(F.col("l_suppkey").alias("_s"), "date").agg(
@@ -35,6 +37,8 @@ BARS = """bars AS (
   FROM lineitem GROUP BY l_suppkey, CAST(l_shipdate AS DATE)
 )"""
 
+MONTHLY_BARS = BARS.replace("CAST(l_shipdate AS DATE)", "CAST(date_trunc('month', l_shipdate) AS DATE)")
+
 
 def instruments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Suppliers as instruments: industry is the nation, market the region; list date is the first bar."""
