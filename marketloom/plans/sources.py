@@ -20,6 +20,14 @@ def bars_in_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source.date_range(bars(spark, sf_dir), "000003", "1999-03-05", "2000-03-05").select("code", "date", "close")
 
 
+@query(f"WITH {BARS} SELECT code, date, open, high, low, close, volume FROM bars")
+def bar_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All bars, written as CSV files by symbol and read back by the data source of such files."""
+    path = writes.scratch(spark, "bar-files")
+    bars(spark, sf_dir).drop("amount").repartition("code").write.partitionBy("code").option("header", True).option("maxRecordsPerFile", 1_000_000).csv(path)
+    return source.of_files(spark, path)
+
+
 @query("""WITH x AS (SELECT l_orderkey AS o, l_linenumber AS n, l_partkey AS p, l_extendedprice AS e, l_quantity AS q, CAST(l_shipdate AS DATE) AS d FROM lineitem)
 SELECT CAST(o AS VARCHAR) || '-' || n || '-' || p AS code, d AS date, CASE WHEN o % 3 = 0 THEN NULL ELSE q END AS open, floor(e) AS close, q AS volume FROM x WHERE o % 5 <> 1 AND o % 7 <> 2 AND o % 11 <> 3""")
 def clean_bars(spark: SparkSession, sf_dir: str) -> DataFrame:

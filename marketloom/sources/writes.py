@@ -55,21 +55,25 @@ def report_file(lines: DataFrame, path: str) -> None:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder that driver and executors share; one of this machine only where there are no others (tests)."""
+    """A new path in a folder that driver and executors share, of this machine only where there are no others (tests). It goes when
+    the application ends."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="marketloom-")
-    return f"{base}/{name}/{uuid.uuid4().hex}"
+    folder = f"{base}/{name}/{uuid.uuid4().hex}"
+    place = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(place)
+    fs.deleteOnExit(place)
+    return f"{folder}/data"
 
 
 def kept(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder, which cuts its lineage; it goes when the application ends."""
     spark, path = df.sparkSession, scratch(df.sparkSession, name)
     df.write.parquet(path)
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
     return spark.read.schema(df.schema).parquet(path)
 
 

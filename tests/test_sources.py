@@ -84,6 +84,40 @@ def test_bars_as_a_data_source(spark, tmp_path):
     assert bars.prefetched(df, ["AAA"] * 5).count() == 2
 
 
+def test_bar_files_open_what_is_asked_for(spark, tmp_path):
+    text = "date,close,volume,other\n2026-01-02, 1.5 ,100,x\n2026-02-30,2,1,y\nsoon,n/a,1e2,\n2026-01-05,.5,,\"a\nb\"\n"
+    for path in ("aaa.csv", "bbb.csv", "ccc.csv", "deep/code=d%3A1/part-0.csv", "_hidden.csv"):
+        (tmp_path / path).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / path).write_text("\ufeff" + text, encoding="utf-8")
+    (tmp_path / "empty.csv").write_text("")
+    got = bars.of_files(spark, f"file://{tmp_path}", ["AAA"]).select("date", "open", "close", "volume").collect()
+    assert [(r.date and str(r.date), r.open, r.close, r.volume) for r in got] == [("2026-01-02", None, 1.5, 100.0), (None, None, 2.0, 1.0), (None, None, None, 100.0), ("2026-01-05", None, 0.5, None)]
+    assert {r.code for r in bars.of_files(spark, str(tmp_path)).collect()} == {"AAA", "BBB", "CCC", "d:1"}
+    source = bars.BarFiles({"path": str(tmp_path), "split_bytes": "1"})
+    assert len(source.reader(None).partitions()) == 5
+    for more, files, days in (({"codes": '["BBB"]'}, ["BBB"], 4), ({"codes": '["AAA", "CCC", "ZZZ"]'}, ["AAA", "CCC"], 8), ({"codes": "[]"}, [], 0), ({"codes": '["d:1"]', "start": "2026-01-03"}, ["d:1"], 1), ({"end": "2026-01-02", "codes": '["AAA"]'}, ["AAA"], 1)):
+        reader = bars.BarFiles({**source.options, **more}).reader(None)
+        assert sorted(c for p in reader.partitions() for c, _ in p.files) == files
+        assert sum(len(b) for p in reader.partitions() for b in reader.read(p)) == days
+    assert len(bars.BarFiles({"path": str(tmp_path)}).reader(None).partitions()) == 1
+
+
+def test_bar_files_as_a_stream(spark, tmp_path):
+    source, out, log = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "log")
+    source.mkdir()
+    bars.register(spark)
+
+    def run() -> list[tuple]:
+        spark.readStream.format("bar_files").option("settle", 0).load(str(source)).writeStream.format("parquet").option("path", out).option("checkpointLocation", log).trigger(availableNow=True).start().awaitTermination(120)
+        return sorted((r.code, r.close) for r in spark.read.parquet(out).collect())
+
+    (source / "b.csv").write_text("date,close\n2026-01-02,1\n")
+    assert run() == [("B", 1.0)]
+    (source / "a.csv").write_text("date,close\n2026-01-02,2\n")
+    assert run() == [("A", 2.0), ("B", 1.0)]
+    assert run() == [("A", 2.0), ("B", 1.0)]
+
+
 def test_clean(spark):
     raw = spark.createDataFrame([("a", "2026-01-02", "1", "x", "5"), ("a", "soon", "1", "1", "5"), ("a", "2026-01-03", "", "1", "5"), ("a", "2026-01-04", "2", "1", None)], "code string, date string, close string, open string, volume string")
     assert [(r.code, str(r.date), r.close, r.open, r.volume) for r in bars.clean(raw).collect()] == [("a", "2026-01-02", 1.0, None, 5.0)]
