@@ -177,19 +177,27 @@ def code_in(text: Column) -> Column:
     return F.coalesce(some(F.regexp_extract(t, _SIX, 1)), F.upper(some(F.regexp_extract(t, _HK, 1))), ticker(F.regexp_extract(t, _TICKER, 1)), ticker(bare), first, F.lit(""))
 
 
-def chunks(text: Column, most_bytes: int = 4000) -> Column:
-    """The text cut into pieces of at most most_bytes of UTF-8, at line ends where possible and never within a letter."""
+PAGE_MARK_BYTES = 16
+
+
+def chunks(text: Column, most_bytes: int = 4000, page_marks: bool = False) -> Column:
+    """The text cut into pieces of at most most_bytes of UTF-8, at line ends where possible and never within a letter. With page
+    marks each piece ends with its number and how many there are; 16 bytes of a piece are kept for that."""
 
     ship(SparkSession.getActiveSession())
 
     @F.pandas_udf(T.ArrayType(T.StringType()))
     def cut(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in texts:
-            yield s.map(lambda x: None if x is None else cut_bytes(x, most_bytes))
+            yield s.map(lambda x: None if x is None else paged(cut_bytes(x, most_bytes - PAGE_MARK_BYTES)) if page_marks else cut_bytes(x, most_bytes))
 
     return cut(text)
 
 
+def paged(parts: list[str]) -> list[str]:
+    return [f"{x}\n\n📄 {i}/{len(parts)}" for i, x in enumerate(parts, 1)]
+
+
 def cut_bytes(text: str, most: int) -> list[str]:
     out, held, size = [], [], 0
     for line in text.split("\n"):

@@ -55,3 +55,39 @@ def source_failover(spark: SparkSession, sf_dir: str) -> DataFrame:
     second = df.select("code", F.col("date").alias("trade_date"), "close", (F.col("volume") / 100).alias("vol"), (F.col("amount") / 1000).alias("amount"))
     both = writes.failover([writes.normalize_source(first, "pytdx"), writes.normalize_source(second, "tushare")])
     return both.select("source", "code", "date", "close", *r("volume", "amount"))
+
+
+@query("""SELECT 'q' || p_partkey AS query_id, p_brand AS code, '{"pe":' || p_size || CASE WHEN p_partkey % 4 <> 0 THEN ',"kind":"' || p_type || '"' ELSE '' END || '}' AS payload FROM part
+UNION ALL SELECT 'old' || s_suppkey, 'S', '{}' FROM supplier""")
+def fundamental_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Snapshots are added to those that are there, each a JSON payload; what a block lacks isn't in it."""
+    k = F.col("p_partkey")
+    old = table(spark, sf_dir, "supplier").select(F.concat(F.lit("old"), F.col("s_suppkey").cast("string")).alias("query_id"), F.lit("S").alias("code"), F.lit("{}").alias("payload"))
+    blocks = table(spark, sf_dir, "part").select(F.concat(F.lit("q"), k.cast("string")).alias("query_id"), F.col("p_brand").alias("code"), F.col("p_size").alias("pe"), F.when(k % 4 != 0, F.col("p_type")).alias("kind"))
+    return writes.appended(old, writes.snapshot_rows(blocks))
+
+
+@query("""WITH x AS (SELECT o_orderkey AS k, o_orderpriority AS advice, floor(o_totalprice) AS v FROM orders)
+SELECT 'q' || k AS query_id, 'c' || (k % 50) AS code, k % 101 AS score, advice, CASE WHEN k % 3 = 0 THEN v WHEN k % 3 = 1 THEN v END AS ideal_buy, CASE WHEN k % 3 = 0 THEN v / 2 END AS secondary_buy, CASE WHEN k % 3 <> 2 THEN v - 1 END AS stop_loss, CASE WHEN k % 3 = 1 THEN v + 0.5 END AS take_profit FROM x
+UNION ALL SELECT 'old' || c_custkey, NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM customer""")
+def analysis_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Analyses are added to the history with the prices that their dashboards name, wherever they stand in them."""
+    k, v = F.col("o_orderkey"), F.floor("o_totalprice")
+    said = lambda c: c.cast("string")
+    flat = F.concat(F.lit('{"ideal_buy": "'), said(v), F.lit('元", "secondary_buy": "MA20 附近 '), said(v / 2), F.lit(' 元", "stop_loss": '), said(v - 1), F.lit("}"))
+    deep = F.concat(F.lit('{"battle_plan": {"sniper_points": {"ideal_buy": "约 '), said(v), F.lit('元", "stop_loss": "'), said(v - 1), F.lit('元", "take_profit": '), said(v + 0.5), F.lit("}}}"))
+    results = table(spark, sf_dir, "orders").select(
+        F.concat(F.lit("q"), said(k)).alias("query_id"), F.concat(F.lit("c"), said(k % 50)).alias("code"), (k % 101).alias("score"), F.col("o_orderpriority").alias("advice"),
+        F.when(k % 3 == 0, flat).when(k % 3 == 1, deep).otherwise('{"summary": "暂无"}').alias("dashboard"))
+    old = table(spark, sf_dir, "customer").select(F.concat(F.lit("old"), said(F.col("c_custkey"))).alias("query_id"))
+    return writes.appended(writes.history_rows(results), old)
+
+
+@query("""WITH l AS (SELECT o_orderkey % 16 AS report, '## ' || o_orderkey AS value FROM orders UNION ALL SELECT o_orderkey % 16, '评分 ' || (o_orderkey % 101) || ' ' || o_orderpriority FROM orders) SELECT CAST(report AS INTEGER) AS report, value FROM l""")
+def report_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two lines for each analysis, written as text files by report and read back."""
+    k = F.col("o_orderkey")
+    lines = F.array(F.concat(F.lit("## "), k.cast("string")), F.concat(F.lit("评分 "), (k % 101).cast("string"), F.lit(" "), "o_orderpriority"))
+    path = writes.scratch(spark, "reports")
+    writes.report_files(table(spark, sf_dir, "orders").select((k % 16).alias("report"), "o_orderkey", F.posexplode(lines).alias("n", "value")).select("report", F.struct("o_orderkey", "n").alias("ord"), "value"), path)
+    return spark.read.text(path).select("report", "value")

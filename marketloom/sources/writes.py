@@ -49,9 +49,10 @@ def history_rows(results: DataFrame) -> DataFrame:
     return results.select("query_id", "code", "score", "advice", price_points(F.col("dashboard")).alias("p")).select("query_id", "code", "score", "advice", "p.*")
 
 
-def report_file(lines: DataFrame, path: str) -> None:
-    """A report as one text file: lines: ord, value."""
-    lines.orderBy("ord").select("value").coalesce(1).write.mode("overwrite").text(path)
+def report_files(lines: DataFrame, path: str) -> None:
+    """lines: report, ord, value. A folder report=... with one text file for each report, its lines in order."""
+    ordered = lines.repartition("report").sortWithinPartitions("report", "ord")
+    ordered.select("report", "value").write.mode("overwrite").partitionBy("report").text(path)
 
 
 def scratch(spark: SparkSession, name: str) -> str:

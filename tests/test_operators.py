@@ -76,6 +76,8 @@ def test_chunks_keep_letters_whole(spark):
     got = text.cut_bytes(said, 10)
     assert all(len(x.encode()) <= 10 for x in got) and "".join(got).replace("\n", "") == said.replace("\n", "")
     assert one(spark, lambda c: text.chunks(c, 10), said) == got
+    paged = one(spark, lambda c: text.chunks(c, 10 + text.PAGE_MARK_BYTES, page_marks=True), said)
+    assert paged == [f"{x}\n\n📄 {i}/{len(got)}" for i, x in enumerate(got, 1)]
 
 
 def test_ema_matches_recursion(spark):

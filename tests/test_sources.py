@@ -144,8 +144,11 @@ def test_write_plans(spark, tmp_path):
     assert (row.ideal_buy, row.secondary_buy, row.stop_loss, row.take_profit) == (12.0, None, 9.0, None)
     both = writes.appended(writes.history_rows(res), spark.createDataFrame([("r",)], "query_id string"))
     assert both.count() == 2
-    writes.report_file(spark.createDataFrame([(2, "b"), (1, "a")], "ord int, value string"), str(tmp_path / "r"))
-    assert [r.value for r in spark.read.text(str(tmp_path / "r")).collect()] == ["a", "b"]
+    lines = [(name, k, f"{name}{k}") for k in (3, 1, 2) for name in ("a", "b")]
+    writes.report_files(spark.createDataFrame(lines, "report string, ord int, value string").repartition(3), str(tmp_path / "r"))
+    for name in ("a", "b"):
+        files = list((tmp_path / "r" / f"report={name}").glob("*.txt"))
+        assert [f.read_text() for f in files] == [f"{name}1\n{name}2\n{name}3\n"]
 
 
 def test_run_ids_and_limits():
