@@ -7,7 +7,8 @@ CHUNK_SHARE of its bytes lie in chunks outside the chunk band; what is left afte
 
 BANDS and CHUNK_BAND were read off invented prose; fit_bands() reads them off texts that are known to be good.
 
-Null text counts as empty. Every row gives one row, whatever repeats; other columns are left out.
+Null text counts as empty. Every row gives one row, whatever repeats; other columns are left out. Very long texts are
+compressed whole; an empty table gives no rows.
 """
 
 from __future__ import annotations

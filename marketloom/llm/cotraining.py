@@ -10,7 +10,7 @@ Training reads a bounded sample: about `most_labelled` labelled documents and `m
 text, so that an id or a text that fills a third of all rows can't fill it: rows of equal id and text count once. Only their
 feature vectors reach the driver. A label that occurs more than once counts by its mean. Null or empty text and
 null metadata have features of their own. Rows repeat as in the input. Without labels of both classes every score is 0.5
-and every row is accepted. Other columns are left out.
+and every row is accepted. Other columns are left out. Texts of any length are read whole; an empty table gives no rows.
 """
 
 from __future__ import annotations

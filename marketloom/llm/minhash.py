@@ -18,7 +18,8 @@ texts agree in a coordinate with the probability of their weighted Jaccard index
    too, are compared with every part, since two texts of one class need no comparison. Their links go through components.
 
 Null text and text without words stand alone. Rows with the same id and text are one document and share a class.
-class_id is the least doc_id of a class (null ids last). Other columns are left out.
+class_id is the least doc_id of a class (null ids last). Other columns are left out. Very long texts are hashed whole, in pieces; an
+empty table gives no rows.
 """
 
 from __future__ import annotations

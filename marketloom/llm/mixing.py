@@ -14,7 +14,8 @@ their other columns: rows of equal id and text are alike there, and find their s
 share a bucket: those alone aren't spread.
 
 Size is the number of words; null text has 0. A null source is a source of its own, last in order. Rows that repeat
-count each. A source without words has target 0. Other columns are left out.
+count each. A source without words has target 0. Other columns are left out. Texts of any
+length count whole; an empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -13,7 +13,8 @@ Unpacked data is read as a stream, member after member, in pieces of about PIECE
 goes on; each piece is a layer. Where MOST_PIECE bytes have no such place, pieces overlap by OVERLAP. All of a piece stands
 for one span of the original, so it doesn't matter in which piece something is found.
 
-Offsets are code points, end exclusive. Null text has no findings. Rows repeat as in the input, other columns are left out.
+Offsets are code points, end exclusive. Null text has no findings. Rows repeat as in the input, other columns are left out. An empty
+table gives no rows.
 """
 
 from __future__ import annotations

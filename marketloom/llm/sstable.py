@@ -12,7 +12,8 @@ bisects the index and reads one block.
 
 A key is 1 byte (0 for a null id, 1 else), the id as 8 bytes that sort as the integer does, and 8 bytes of the text's
 hash and a running number that keep rows apart that share an id; null ids come first. Null text is an empty document.
-Rows that repeat are kept, next to each other. Extra columns are left out.
+Rows that repeat are kept, next to each other. Extra columns are left out. Texts of any length are encoded whole; an empty table
+gives no shards and no rows.
 
 A shard is written under a temporary name and moved, so a task that is run again replaces what it wrote.
 """

@@ -902,6 +902,72 @@ def test_language_held_out(spark):
     assert sum(x.lang_pred == x.lang for x in r) / len(r) > 0.97
 
 
+def brute_segmentations(word, pieces):
+    """All ways to cut a word into pieces, as lists of their places."""
+    if not word:
+        return [[]]
+    return [[i, *rest] for i, p in enumerate(pieces) if word.startswith(p) for rest in brute_segmentations(word[len(p) :], pieces)]
+
+
+def test_language_is_fitted_as_by_brute_force():
+    counts = {"a": Counter({"xyx": 3, "yy": 1, "xxyyx": 2}), "b": Counter({"yx": 4, "yyyx": 1})}
+    model = language.fit(counts, ["xy", "▁x", "yy", "▁y"], rounds=2)
+    assert model.langs == ["a", "b"] and set(model.pieces) == {"xy", "▁x", "yy", "▁y", "▁", "x", "y"}
+    for k, lang in enumerate(model.langs):
+        p = [1 / len(model.pieces)] * len(model.pieces)
+        for _ in range(2):
+            expected = [0.0] * len(p)
+            for word, n in counts[lang].items():
+                ways = brute_segmentations("▁" + word, model.pieces)
+                weights = [np.prod([p[i] for i in way]) for way in ways]
+                for way, weight in zip(ways, weights):
+                    for i in way:
+                        expected[i] += n * weight / sum(weights)
+            p = [(x + 0.1) / (sum(expected) + 0.1 * len(p)) for x in expected]
+        assert np.allclose(model.table[:, k], p)
+
+
+def test_languages_of_a_table_by_brute_force(spark):
+    """Every row of the query, with sums over pieces that are looked up one by one."""
+    d = spark.read.parquet(f"{DATA}/documents.parquet")
+    model = language.train(d, queries.PIECES)
+    longest, known = max(map(len, model.pieces)), {}
+
+    def log_probability(word):
+        if word not in known:
+            marked, sums, logs = "▁" + word, [np.ones(len(model.langs))], np.zeros(len(model.langs))
+            for end in range(1, len(marked) + 1):
+                x = np.zeros(len(model.langs))
+                for begin in range(max(0, end - longest), end):
+                    i = model.index.get(marked[begin:end])
+                    if i is not None:
+                        x += sums[begin] * model.table[i]
+                    elif end - begin == 1:
+                        x += sums[begin] * model.floor
+                sums.append(x)
+                if x.max() < 1e-150:
+                    logs, sums = logs + np.log(x), [s / x for s in sums]
+            known[word] = logs + np.log(sums[-1])
+        return known[word]
+
+    want = []
+    for r in d.collect():
+        words = language.words_of(r.text or "")
+        x = sum(map(log_probability, words), np.zeros(len(model.langs)))
+        p = np.exp(x - x.max())
+        held = zlib.crc32(str(r.doc_id).encode()) % 4 == 2
+        want.append((r.doc_id, held, model.langs[int(p.argmax())] if words else "und", round(float(p.max() / p.sum()) if words else 0.0, 6)))
+    got = [(r.doc_id, r.held_out, r.lang_pred, round(r.score, 6)) for r in queries.op10_language_id(spark, DATA).collect()]
+    assert sorted(got) == sorted(want)
+
+
+def test_languages_learnt_are_bounded(spark):
+    rows = [(0, f"the same words {x}", lang) for lang, n in (("en", 5), ("de", 3), ("aa", 3), ("zz", 1)) for x in "abcdefgh"[:n]]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert language.train(d, queries.PIECES, most_langs=2).langs == ["aa", "en"]
+    assert language.predict(d, language.train(d, queries.PIECES, most_langs=2)).count() == len(rows)
+
+
 def test_language_awkward(docs, none):
     model = language.train(docs, queries.PIECES, per_lang=50)
     rows = language.predict(docs, model).collect()
@@ -923,6 +989,54 @@ def test_language_sample_is_bounded_whatever_repeats(spark):
 # -- pipeline -----------------------------------------------------------------------------------------------------
 
 
+def brute_accepted(rows, model):
+    out = []
+    for r in rows:
+        x, m = np.array(cotraining.text_view(r.text)), np.array(cotraining.meta_view(r.lang, r.source, r.n_chars))
+        z = [np.clip(a * (v @ view.weights[:-1] + view.weights[-1]) + b, -30, 30) for (a, b), v, view in zip(model.platt, (x, m), model.views)]
+        if 1 / (1 + np.exp(-(np.array([*z, 1.0]) @ model.joint))) >= cotraining.THRESHOLD:
+            out.append(r)
+    return out
+
+
+def brute_mixed(rows, mixed):
+    """The documents of a source in their seeded order: whole repetitions of each, one more while words are left, part of the next."""
+    sizes = Counter()
+    for r in rows:
+        sizes[r.source] += len(SPLIT(r.text or ""))
+    goal, want = brute_targets({s: sizes[s] for s in {r.source for r in rows}}), Counter()
+    md5 = lambda t: hashlib.md5(t.encode()).hexdigest()
+    for s, target in goal.items():
+        whole = int(target // sizes[s]) if sizes[s] else 0
+        left = int(target - whole * sizes[s] + 1e-9)
+        for r in sorted((r for r in rows if r.source == s), key=lambda r: md5(f"mix-1:{'' if r.doc_id is None else r.doc_id}:{md5(r.text or '')}")):
+            words = SPLIT(r.text or "")
+            more, left = min(left, len(words)), left - min(left, len(words))
+            if words:
+                want[r.doc_id, r.text] += whole + (more == len(words))
+            if 0 < more < len(words):
+                want[r.doc_id, " ".join(words[:more])] += 1
+    assert Counter((r.doc_id, r.text) for r in mixed) == +want
+
+
+def test_pipeline_on_awkward_and_empty_tables(spark, docs, none):
+    import corpus_pipeline as c
+
+    for table in (docs, none):
+        kept = table
+        for name, stage in c.STAGES:
+            before, kept = kept, c.written(stage(spark, kept, DATA), name.replace(" ", "-"))
+            if name != "bpe":
+                assert kept.columns == docs.columns
+            if name == "source mixing":
+                brute_mixed(before.collect(), kept.collect())
+            else:
+                assert kept.count() <= before.count()
+            if table is none:
+                assert kept.count() == 0
+        assert table is none or kept.count() > 0
+
+
 def test_pipeline(spark, tokenizer):
     import corpus_pipeline as c
 
@@ -932,6 +1046,10 @@ def test_pipeline(spark, tokenizer):
         docs = stage(spark, docs, DATA)
         docs = c.written(docs, name.replace(" ", "-"))
         out[name] = docs
+    raw = spark.read.parquet(f"{DATA}/documents.parquet")
+    model = cotraining.train(raw, spark.read.parquet(f"{DATA}/labels.parquet"))
+    good = brute_accepted(raw.collect(), model)
+    assert 0 < len(good) < raw.count() and sorted(map(tuple, out["quality classifier"].collect()), key=str) == sorted(map(tuple, good), key=str)
     before = {r.doc_id: r.text for r in out["quality classifier"].collect()}
     after = {r.doc_id: r.text for r in out["line dedup"].collect()}
     assert after == brute_lines(list(before.items())) and out["line dedup"].columns == ["doc_id", "text", "lang", "source", "n_chars"]
@@ -939,5 +1057,6 @@ def test_pipeline(spark, tokenizer):
     assert sorted(r.doc_id for r in out["near dedup"].collect()) == sorted({want[i, t] for i, t in after.items()})
     rows = out["bpe"].collect()
     mixed = out["source mixing"].collect()
+    brute_mixed(out["near dedup"].collect(), mixed)
     assert len(rows) == len(mixed) and all(r.n_chars == len(r.text) for r in mixed)
     assert Counter((r.doc_id, tuple(r.ids)) for r in rows) == Counter((r.doc_id, tuple(tokenizer.encode(r.text, add_special_tokens=False).ids)) for r in mixed)
