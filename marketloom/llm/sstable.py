@@ -27,23 +27,25 @@ import uuid
 import zlib
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyarrow import fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from marketloom.llm.common import new_path, on_batches, small_batches, texts_of, written
+from marketloom.llm.common import new_path, on_batches, small_batches, written
 
 MAGIC = b"LOOMSST1"
 FOOTER = struct.Struct("<QQQQQQBB8s")
 BLOCK_BYTES, RESTART = 1 << 16, 16
 BLOOM_BITS, BLOOM_PROBES = 10, 7
 MOST_WORDS, MOST_LETTERS = 1_200_000, 32 << 20
+#: Words that go to the library as one text; what may part them, and what its neighbours are tried with.
+GROUP, MARKS, PROBES = 128, "\x01\x02\x1f|", ("", "a", "Zé1", "'s", "...", "\u0301x", "\x01")
 #: Text that a shard is meant for.
 SHARD_BYTES = 64 << 20
 
@@ -207,7 +209,9 @@ class Reader:
 class LibraryEncoder:
     """The tokenizers library behind a bounded table of words. No id of the vocabulary spans a space or a line feed.
 
-    New words go to the library many at a time, parted by a special token, which it cuts out before anything else."""
+    New words go to the library many at a time, parted by a character that is a word and an id of its own, so that it
+    normalises a few long texts, not each word. Special tokens would cut its input into as many texts as there are words.
+    Words and their ids stay in Arrow arrays; no word becomes a Python object."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -217,40 +221,72 @@ class LibraryEncoder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
-        self.special = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items()}
-        self.mark = max(self.special, default=None)
-        self.known: dict[str, bytes] = {}
-        self.held = 0  # letters of these words
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.mark, self.mark_id = next(((c, ids[0]) for c in MARKS if len(ids := self._ids(c)) == 1 and self._parts(c, ids)), (None, None))
+        self._empty()
+
+    def _empty(self) -> None:
+        self.words, self.ids = pa.array([], pa.large_string()), pa.array([], pa.large_binary())
+
+    def _ids(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
+    def _parts(self, mark: str, ids: list[int]) -> bool:
+        """Whether the mark, between spaces, leaves the ids of its neighbours as they are."""
+        return all(self._ids(f"{a} {mark} {b}") == self._ids(a) + ids + self._ids(b) for a in PROBES for b in PROBES)
 
     def _packed(self, ids: Iterable[int]) -> bytes:
         return np.array(ids, f"<u{self.width}").tobytes()
 
-    def learn(self, words: set[str]) -> None:
-        new = words - self.known.keys()
-        size = sum(map(len, new))
-        if len(self.known) + len(new) > MOST_WORDS or self.held + size > MOST_LETTERS:
-            self.known.clear()
-            new, self.held = words, 0
-            size = sum(map(len, new))
-        self.held += size
-        alone = [w for w in new if self.mark is None or any(t in w for t in self.special)]
-        self.known.update((w, self._packed(self.tokenizer.encode(w, add_special_tokens=False).ids)) for w in alone)
-        rest = sorted(new.difference(alone))
-        groups = [rest[i : i + 256] for i in range(0, len(rest), 256)]
-        for i in range(0, len(groups), 64):
-            some = groups[i : i + 64]
-            for group, got in zip(some, self.tokenizer.encode_batch_fast([self.mark.join(g) for g in some], add_special_tokens=False)):
-                ids = np.array(got.ids, f"<u{self.width}")
-                stops = np.flatnonzero(ids == self.special[self.mark])
-                data, w = ids.tobytes(), self.width
-                for word, a, b in zip(group, [0, *(stops + 1).tolist()], [*stops.tolist(), len(ids)], strict=True):
-                    self.known[word] = data[a * w : b * w]
-
-    def encode_all(self, texts: list[str]) -> Iterator[bytes]:
-        cut = [x.replace("\n", " ").split(" ") for x in texts]
-        self.learn(set(chain.from_iterable(cut)))
-        for words in cut:
-            yield b"".join(map(self.known.__getitem__, words))
+    def _alone(self, words: pa.Array) -> pa.Array:
+        return pa.array([self._packed(self._ids(w)) for w in words.to_pylist()], pa.large_binary())
+
+    def _together(self, words: pa.Array) -> pa.Array:
+        """The packed ids of words without the mark and special tokens."""
+        stops = np.append(np.arange(0, len(words), GROUP), len(words))
+        texts = pc.binary_join(pa.ListArray.from_arrays(stops.astype(np.int32), words), pa.scalar(f" {self.mark} ", words.type))
+        out = []
+        for i in range(0, len(texts), 64):
+            for k, got in enumerate(self.tokenizer.encode_batch_fast(texts[i : i + 64].to_pylist(), add_special_tokens=False), i):
+                ids, group = np.array([*got.ids, self.mark_id], f"<u{self.width}"), words[k * GROUP : (k + 1) * GROUP]
+                ends = np.flatnonzero(ids == self.mark_id)
+                if len(ends) == len(group):
+                    ends = np.append(0, ends - np.arange(len(ends))) * self.width
+                    out.append(pa.Array.from_buffers(pa.large_binary(), len(group), [None, pa.py_buffer(ends), pa.py_buffer(ids[ids != self.mark_id])]))
+                else:  # a word has the mark's id without the mark
+                    out.append(self._alone(group))
+        return pa.concat_arrays(out) if out else pa.array([], pa.large_binary())
+
+    def learn(self, words: pa.Array) -> np.ndarray:
+        """Where the words, each once, now stand in the table."""
+        at = pc.index_in(words, value_set=self.words)
+        fresh = at.is_null()
+        new = words.filter(fresh)
+        if len(self.words) + len(new) > MOST_WORDS or sum(pc.sum(pc.binary_length(x)).as_py() or 0 for x in (self.words, new)) > MOST_LETTERS:
+            self._empty()
+            new, fresh = words, pa.array(np.full(len(words), True))
+        apart = np.full(len(new), self.mark is None)
+        for x in (*self.special, *filter(None, [self.mark])):
+            apart |= pc.match_substring(new, x).to_numpy(zero_copy_only=False)
+        rest, alone = new.filter(pa.array(~apart)), new.filter(pa.array(apart))
+        places = np.empty(len(new), np.int64)
+        places[np.argsort(apart, kind="stable")] = np.arange(len(self.words), len(self.words) + len(new))
+        out = at.fill_null(0).to_numpy().astype(np.int64)
+        out[fresh.to_numpy(zero_copy_only=False)] = places
+        if len(new):
+            self.words = pa.concat_arrays([self.words, rest, alone])
+            self.ids = pa.concat_arrays([self.ids, self._together(rest), self._alone(alone)])
+        return out
+
+    def encode_all(self, texts: pa.Array) -> Iterator[bytes]:
+        """The packed ids of each text, null as empty."""
+        cut = pc.split_pattern(pc.replace_substring(texts.cast(pa.large_string()).fill_null(""), "\n", " "), " ")
+        words = cut.values.dictionary_encode()
+        at = self.learn(words.dictionary)
+        _, stops, data = self.ids.take(pa.array(at[words.indices.to_numpy()])).buffers()
+        stops, data = np.frombuffer(stops, np.int64)[cut.offsets.to_numpy()].tolist(), memoryview(data or b"")
+        for a, b in zip(stops, stops[1:]):
+            yield bytes(data[a:b])
 
 
 @lru_cache(maxsize=1)
@@ -283,8 +319,8 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int, folder: str | Non
         end, number, before = np.array([end_id], f"<u{coder.width}").tobytes(), 0, None
         with files.open_output_stream(own) as out:
             writer = Writer(out, coder.width)
-            for batch in small_batches(batches):
-                for doc_id, h, ids in zip(batch.column("doc_id").to_pylist(), batch.column("h").to_pylist(), coder.encode_all(texts_of(batch))):
+            for batch in small_batches(batches, most=8 << 20):
+                for doc_id, h, ids in zip(batch.column("doc_id").to_pylist(), batch.column("h").to_pylist(), coder.encode_all(batch.column("text"))):
                     h += 1 << 63  # as bytes it sorts as Spark sorts it
                     number = number + 1 if before == (doc_id, h) else 0
                     before = doc_id, h

@@ -835,6 +835,44 @@ def test_shards(spark, tokenizer, docs, none):
     assert sstable.read_shards(sstable.write_shards(none, queries.WORD_BPE, 2)).count() == 0
 
 
+def test_shard_encoder_equals_the_library_on_few_long_texts(tokenizer, monkeypatch):
+    import pyarrow as pa
+
+    class Spy:
+        def __init__(self, inner):
+            self.inner, self.given = inner, []
+
+        def __getattr__(self, name):
+            return getattr(self.inner, name)
+
+        def encode_batch_fast(self, texts, **kw):
+            self.given += texts
+            return self.inner.encode_batch_fast(texts, **kw)
+
+    coder = sstable.LibraryEncoder(queries.WORD_BPE)
+    coder.tokenizer = spy = Spy(coder.tokenizer)
+    plain = [f"Wort{i}é, it's" for i in range(3000)]
+    odd = ["", " ", "\n\n", None, "a \x01 b", "a\x01b \x01\x01", "x<|endoftext|>y <|startoftext|>", "\u0301a e\u0301 \u0130I\u03a3 \u03a3", "\tq\u00a0r\x0b s\x85t", "1234 ...!! \U0001f600\u200d", "x" * 5000]
+    rnd = random.Random(5)
+    odd += ["".join(rnd.choice("aB1 .\n'\u0301éΣß\x01\x02\x00|\u0327\u1100\u1161") for _ in range(30)) for _ in range(500)]
+    want = lambda texts: [np.array(tokenizer.encode(x or "", add_special_tokens=False).ids, f"<u{coder.width}").tobytes() for x in texts]
+    assert [*coder.encode_all(pa.array(plain))] == want(plain)
+    # special tokens would cut the library's input into a text for each word; a word goes there once
+    assert len(spy.given) == -(-3001 // sstable.GROUP) and not any(x in t for t in spy.given for x in coder.special)
+    for texts in (odd, odd + plain, pa.array(odd + plain).slice(3, 200).to_pylist(), [None], []):
+        assert [*coder.encode_all(pa.array(texts, pa.string()))] == want(texts)
+    assert [*coder.encode_all(pa.array(odd + plain).slice(3, 200))] == want((odd + plain)[3:203])
+    monkeypatch.setattr(sstable, "MOST_WORDS", 50)  # the table is emptied again and again
+    for i in range(0, len(odd), 10):
+        assert [*coder.encode_all(pa.array(odd[i : i + 10]))] == want(odd[i : i + 10])
+    coder = sstable.LibraryEncoder(queries.WORD_BPE)
+    coder.mark = None  # a vocabulary without such a character
+    assert [*coder.encode_all(pa.array(odd))] == want(odd)
+    coder = sstable.LibraryEncoder(queries.WORD_BPE)
+    coder.mark_id = coder._ids("a")[0]  # words that have its id are told apart
+    assert [*coder.encode_all(pa.array(["a b", "c a a", "d"]))] == want(["a b", "c a a", "d"])
+
+
 def test_shard_blocks_and_damage(tmp_path):
     import pyarrow as pa
 
