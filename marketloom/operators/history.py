@@ -85,12 +85,13 @@ def learning_summary(summary: DataFrame) -> DataFrame:
 
 
 def touched_summaries(old: DataFrame, results: DataFrame, touched: DataFrame) -> DataFrame:
-    """The table of summaries after results of some codes changed: theirs and the overall one are computed anew."""
+    """The table of summaries after results of some codes changed: theirs and the overall one are computed anew. Results of other codes are
+    grouped under null, so that what holds for touched codes only (a filter with a cast) is never asked of '__overall__'."""
     from marketloom.operators.backtest import summary
 
     some = touched.select("code").distinct()
-    new = summary(results)
-    new = new.join(some, "code", "left_semi").unionByName(new.where("code = '__overall__'"))
+    marked = results.join(some.withColumn("_touched", F.lit(True)), "code", "left")
+    new = summary(marked.withColumn("code", F.when(F.col("_touched"), F.col("code"))).drop("_touched")).where("code is not null")
     gone = some.unionByName(some.sparkSession.sql("SELECT '__overall__' AS code"))
     return old.join(gone, "code", "left_anti").unionByName(new)
 
