@@ -62,8 +62,8 @@ def stream_news_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     k, code = F.col("event_id"), (F.col("user_id") % 50).alias("code")
     a = _events(spark, sf_dir).where("event_id % 5 = 0").select(k.alias("id"), code, F.col("ts").alias("created_at"))
     n = _events(spark, sf_dir).where("event_id % 5 <> 0").select(k.alias("news_id"), code, F.col("ts").alias("fetched_at"), F.when(k % 7 == 0, None).otherwise(F.date_sub(F.to_date("ts"), (k % 6).cast("int"))).alias("published"))
-    both = streams.news_of_analyses(a, n, delay="60 days")
-    return streams.drained(f"n{uuid.uuid4().hex}", both, _checkpoint(spark)).where("news_id is not null").select("id", "news_id")
+    both = streams.news_of_analyses(a, n, delay="60 days").select("id", "news_id")
+    return streams.drained(f"n{uuid.uuid4().hex}", both, _checkpoint(spark)).where("news_id is not null")
 
 
 _QUOTE = """SELECT b.code, b.day + %(days)s AS date, close + %(add)s AS price, CASE WHEN n %% 5 = 0 THEN close * 2 WHEN n %% 5 = 1 THEN 0.0 END AS open, CASE WHEN n %% 7 = 0 THEN close * 3 END AS pre_close, CASE WHEN n %% 2 = 0 THEN close * 4 END AS high,

@@ -111,13 +111,18 @@ def news_of_analyses(analyses: DataFrame, news: DataFrame, hours: int = 6, windo
     """analyses: id, code, created_at. news: news_id, code, fetched_at, published. The news of each analysis's code that were fetched within
     `hours` of it, before or after, as either arrives: id, created_at, news_id, published, with news_id null for an analysis without any, once
     the watermark is past its time. Rows that the other side can't meet any more are dropped from the state. News published outside
-    the analysis's window don't count."""
-    a = analyses.withWatermark("created_at", delay).alias("a")
-    n = news.withWatermark("fetched_at", delay).alias("n")
+    the analysis's window don't count. An analysis waits in one cell of twice `hours`, news in the two that they reach, if an analysis of
+    that cell can count them, so a row is held against its own cell only, not against all rows of its code."""
+    width, at = max(1, 2 * hours) * 3600, F.unix_timestamp("fetched_at")
+    day_of = lambda second: F.to_date(F.timestamp_seconds(second))
+    meets = lambda k: F.col("published").between(F.date_sub(day_of(k * width), max(0, window_days - 1)), F.date_add(day_of((k + 1) * width - 1), 1))
+    cells = F.filter(F.array_distinct(F.array(*(F.floor((at + k * hours * 3600) / width) for k in (-1, 1)))), meets)
+    a = analyses.withColumn("_cell", F.floor(F.unix_timestamp("created_at") / width)).withWatermark("created_at", delay).alias("a")
+    n = news.withColumn("_cell", F.explode(cells)).withWatermark("fetched_at", delay).alias("n")
     apart = F.expr(f"n.fetched_at BETWEEN a.created_at - INTERVAL {hours} HOURS AND a.created_at + INTERVAL {hours} HOURS")
     day = F.to_date("a.created_at")
     around = F.col("n.published").between(F.date_sub(day, max(0, window_days - 1)), F.date_add(day, 1))
-    return a.join(n, (F.col("a.code") == F.col("n.code")) & apart & around, "leftOuter").select("a.id", "a.created_at", "n.news_id", "n.published")
+    return a.join(n, (F.col("a.code") == F.col("n.code")) & (F.col("a._cell") == F.col("n._cell")) & apart & around, "leftOuter").select("a.id", "a.created_at", "n.news_id", "n.published")
 
 
 BAR = ("open", "high", "low", "close", "volume", "amount", "pct_chg")

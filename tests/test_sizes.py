@@ -1,9 +1,13 @@
 """What holds on small tables and failed on larger ones."""
 
+import datetime as dt
+
 import pytest
 from pyspark.sql import functions as F
 
 from marketloom.operators import backtest, history
+from marketloom.sources import writes
+from marketloom.streaming import streams
 
 
 @pytest.fixture
@@ -23,3 +27,19 @@ def test_touched_codes_by_a_cast(spark, no_broadcast):
     df = history.touched_summaries(old, res, res.where(F.col("code").cast("int") % 3 == 0))
     assert {r.code: r.total for r in df.collect()} == {"000000": 4, "000001": -1, "000002": -1, "000003": 5, "000004": -1, "000005": -1, "__overall__": 30}
     assert {r.win_rate_pct for r in df.collect()} == {100.0}
+
+
+def test_streams_meet_in_cells_of_time(spark, tmp_path):
+    """News of one code are held against analyses about as old, however many there are of the code; days' and cells' ends don't part them."""
+    start = dt.datetime(2024, 1, 1)
+    at = [start + dt.timedelta(minutes=37 * k) for k in range(2000)] + [start + dt.timedelta(hours=h) for h in range(0, 48, 6)]
+    a = [(k, "x", x) for k, x in enumerate(at)]
+    n = [(k, "x", x + dt.timedelta(minutes=k % 3), (x - dt.timedelta(days=k % 5 - 1)).date()) for k, x in enumerate(at)]
+    spark.createDataFrame(a, "id int, code string, created_at timestamp").coalesce(1).write.parquet(str(tmp_path / "a"))
+    spark.createDataFrame(n, "news_id int, code string, fetched_at timestamp, published date").coalesce(1).write.parquet(str(tmp_path / "n"))
+    joined = streams.news_of_analyses(*(spark.readStream.schema(s).parquet(str(tmp_path / f)) for f, s in (("a", "id int, code string, created_at timestamp"), ("n", "news_id int, code string, fetched_at timestamp, published date"))), delay="60 days")
+    found = streams.drained("cells", joined, writes.scratch(spark, "cells"))
+    got = {(r.id, r.news_id) for r in found.collect() if r.news_id is not None}
+    assert found.select(F.input_file_name()).distinct().count() > 1  # one code is the work of many tasks
+    want = {(i, j) for i, _, x in a for j, _, y, p in n if abs(x - y) <= dt.timedelta(hours=6) and dt.timedelta(days=-2) <= p - x.date() <= dt.timedelta(days=1)}
+    assert got == want and len(want) > 10000
