@@ -3,14 +3,18 @@
 from __future__ import annotations
 
 import difflib
+import itertools
+import math
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from marketloom.functions.shipping import ship
+from marketloom.sources.writes import kept
 
 
 def number(text: Column) -> Column:
@@ -221,36 +225,76 @@ def cut_bytes(text: str, most: int) -> list[str]:
     return out or [""]
 
 
+#: Names that one task holds against each other: asked for, known.
+BLOCK = (8192, 32768)
+
+
 def fuzzy_names(requests: DataFrame, names: DataFrame, least: float = 0.8, near: float = 0.7) -> DataFrame:
     """requests: name. names: known, code, each known once. The most similar known name at `least`, or at `near` if just one
     letter differs at equal length of 3 or more; names of up to two letters are never matched loosely.
 
-    Letters, numbered where they repeat, are a name's tokens. A similarity of `near` takes near * (a + b) / 2 common tokens of
-    names of a and b letters, and so at least c = near / (2 - near) of either's. Two sets with that many in common share one of
-    the first a - ceil(c * a) + 1 and b - ceil(c * b) + 1 in any one order of tokens: names meet by those, rare ones first. No
-    pair is lost, and names that share common letters only don't meet. What is left is compared by common tokens, and then in
-    Python."""
-    c = near / (2 - near)
-    spelled = lambda n: F.transform(F.split(n, ""), lambda x, i: F.concat(x, F.size(F.filter(F.slice(F.split(n, ""), F.lit(1), i + 1), lambda y: y == x)).cast("string")))
-    side = lambda df, name: df.where(F.length(name) > 2).select(F.col(name), F.length(name).alias("l"), spelled(F.col(name)).alias("tokens"))
-    r, k = side(requests.select("name").distinct(), "name"), side(names.select("known").distinct(), "known")
-    seen = r.select(F.explode("tokens").alias("token")).unionByName(k.select(F.explode("tokens").alias("token"))).groupBy("token").agg(F.count("*").alias("n"))
-
-    def ahead(df: DataFrame, name: str) -> DataFrame:
-        each = df.select(name, "l", "tokens", F.explode("tokens").alias("token")).join(seen, "token")
-        each = each.withColumn("at", F.row_number().over(Window.partitionBy(name).orderBy("n", "token")))
-        return each.where(F.col("at") <= F.col("l") - F.ceil(F.col("l") * c - 1e-9) + 1).drop("at", "n")
-
-    a, b = ahead(r, "name"), ahead(k, "known").withColumnsRenamed({"l": "l2", "tokens": "tokens2"})
-    pairs = a.join(b, (a["token"] == b["token"]) & (b["l2"] >= a["l"] * c - 1e-9) & (b["l2"] <= a["l"] / c + 1e-9)).drop("token")
-    pairs = pairs.where(F.size(F.array_intersect("tokens", "tokens2")) >= near * (F.col("l") + F.col("l2")) / 2 - 1e-9).select("name", "known", "l", "l2").distinct()
-
-    @F.pandas_udf("double")
-    def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)], dtype="float64")
-
-    pairs = pairs.withColumn("ratio", similarity("name", "known")).where(F.col("ratio") >= near)
-    differ = F.size(F.filter(F.arrays_zip(F.split("name", "").alias("a"), F.split("known", "").alias("b")), lambda x: x["a"] != x["b"]))
-    pairs = pairs.where((F.col("ratio") >= least) | ((F.col("l") == F.col("l2")) & (differ == 1))).join(names, "known")
-    best = pairs.groupBy("name").agg(F.max_by(F.struct("known", "code", "ratio"), F.struct("ratio", "known")).alias("m"))
-    return best.select("name", "m.known", "m.code", "m.ratio")
+    Every name that is asked for is held against every known one, block by block, in tasks of their own (best_matches)."""
+    ship(requests.sparkSession)
+    side = lambda df, name: kept(df.where(F.length(name) > 2).select(name).distinct(), "names")
+    r, k = side(requests, "name"), side(names, "known")
+    rows, columns = (max(1, -(-df.count() // most)) for df, most in zip((r, k), BLOCK))
+    deal = lambda name, n: F.pmod(F.xxhash64(name), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    a = r.withColumns({"p": deal("name", rows), "q": every(columns)}).repartition(rows * columns, "p", "q")
+    b = k.withColumns({"q": deal("known", columns), "p": every(rows)}).repartition(rows * columns, "p", "q")
+    found = a.groupBy("p", "q").cogroup(b.groupBy("p", "q")).applyInPandas(lambda x, y: best_matches(x["name"], y["known"], least, near), "name string, known string, ratio double")
+    best = found.groupBy("name").agg(F.max_by(F.struct("known", "ratio"), F.struct("ratio", "known")).alias("m")).select("name", "m.*")
+    return best.join(names, "known").select("name", "known", "code", "ratio")
+
+
+def best_matches(asked: pd.Series, known: pd.Series, least: float, near: float) -> pd.DataFrame:
+    """name, known, ratio: the best match among `known` of each name that has one. A similarity of `least` between names of a and b letters takes
+    m = least * (a + b) / 2 letters in common, rounded up, in order. Of each name 64 bits tell which letters, numbered where they repeat, it may
+    hold: most pairs lack too many of each other's and go by two operations on whole arrays. What has no m letters in common in order goes
+    next, and what is left is compared as it is. So time grows with pairs, at about 3 ns each, and memory with the two blocks."""
+    best: dict[str, tuple[float, str]] = {}
+    rows, columns = _by_length(asked), _by_length(known)
+    for (la, (xs, a, abits)), (lb, (ys, b, bbits)) in itertools.product(rows.items(), columns.items()):
+        m = math.ceil(least * (la + lb) / 2 - 1e-9)
+        more, less = (max(n - m, int(la == lb)) for n in (la, lb))  # letters that the other may lack; one where just one differs
+        if min(more, less) < 0:
+            continue
+        for i, j in itertools.product(range(0, len(xs), 16), range(0, len(ys), 8192)):
+            some = bbits[j : j + 8192]
+            at = np.flatnonzero(np.bitwise_count(abits[i : i + 16, None] & ~some) <= more)
+            x, y = i + at // len(some), j + at % len(some)
+            alike = np.bitwise_count(bbits[y] & ~abits[x]) <= less
+            x, y = x[alike], y[alike]
+            alike = _common(a[x], b[y]) >= la - more
+            for name, other in zip((xs[n] for n in x[alike]), (ys[n] for n in y[alike])):
+                ratio = difflib.SequenceMatcher(None, name, other).ratio()
+                if ratio >= least or (ratio >= near and la == lb and sum(p != q for p, q in zip(name, other)) == 1):
+                    best[name] = max(best.get(name, (0.0, "")), (ratio, other))
+    return pd.DataFrame({"name": list(best), "known": [o for _, o in best.values()], "ratio": [r for r, _ in best.values()]}).astype({"name": object, "known": object, "ratio": "float64"})
+
+
+def _by_length(names: pd.Series) -> dict[int, tuple[list[str], np.ndarray, np.ndarray]]:
+    """Names of each length: themselves, their letters and their bits."""
+    out = {}
+    for n, some in names.groupby(names.map(len)):
+        letters = np.array(some.tolist(), dtype=f"<U{n}").view(np.uint32).reshape(-1, n).astype(np.uint64)
+        bits = np.zeros(len(some), np.uint64)
+        for j in range(n):
+            again = (letters[:, :j] == letters[:, j : j + 1]).sum(axis=1).astype(np.uint64)
+            bits |= np.uint64(1) << (((letters[:, j] * np.uint64(64) + again) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(58))
+        out[n] = (some.tolist(), letters, bits)
+    return out
+
+
+def _common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many letters the rows of a and b have in common in order, at most: the longest common subsequence in bits of one word each (longer
+    names count as alike)."""
+    n = a.shape[1]
+    if n > 64:
+        return np.full(len(a), n)
+    place, every = np.uint64(1) << np.arange(n, dtype=np.uint64), np.uint64(2**n - 1)
+    left = np.full(len(a), every)
+    for j in range(b.shape[1]):
+        same = left & np.where(a == b[:, j : j + 1], place, np.uint64(0)).sum(axis=1, dtype=np.uint64)
+        left = ((left + same) | (left - same)) & every
+    return n - np.bitwise_count(left).astype(int)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from marketloom.functions import codes, text
 from marketloom.plans.registry import query
 from marketloom.sources.testdata import table
+from marketloom.sources.writes import kept
 
 
 def _codes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -116,6 +117,6 @@ def text_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 def name_fuzzy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Beginnings of documents as names; every fiftieth is asked for with two letters changed."""
     names = table(spark, sf_dir, "documents").select(F.substring("text", 1, 16).alias("known"), F.col("doc_id").alias("code")).where("known is not null")
-    names = names.groupBy("known").agg(F.min("code").alias("code"))
+    names = kept(names.groupBy("known").agg(F.min("code").alias("code")), "names")  # the texts are read once
     asked = names.where("code % 50 = 0").select(F.concat(F.substring("known", 1, 3), F.lit("X"), F.substring("known", 5, 6), F.lit("Y"), F.substring("known", 12, 40)).alias("name"))
     return text.fuzzy_names(asked, names)

@@ -1,10 +1,15 @@
 """What holds on small tables and failed on larger ones."""
 
 import datetime as dt
+import difflib
+import random
+import time
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from marketloom.functions import text
 from marketloom.operators import backtest, history
 from marketloom.sources import writes
 from marketloom.streaming import streams
@@ -43,3 +48,23 @@ def test_streams_meet_in_cells_of_time(spark, tmp_path):
     assert found.select(F.input_file_name()).distinct().count() > 1  # one code is the work of many tasks
     want = {(i, j) for i, _, x in a for j, _, y, p in n if abs(x - y) <= dt.timedelta(hours=6) and dt.timedelta(days=-2) <= p - x.date() <= dt.timedelta(days=1)}
     assert got == want and len(want) > 10000
+
+
+def test_names_of_the_same_letters_are_held_apart_fast(spark, monkeypatch):
+    """Names of a few letters, so that most share several: in many blocks, and fifty million pairs in seconds."""
+    rnd = random.Random(5)
+    known = list(dict.fromkeys("".join(rnd.choices("abcdefgh", k=rnd.choice((3, 4, 5, 16, 16, 70)))) for _ in range(300)))
+    asked = [x[:1] + "z" + x[2:] for x in known[::3]] + [x[1:] + "yx"[len(x) % 2] for x in known[::4]]
+    want = {}
+    for x in asked:
+        for y in known:
+            r = difflib.SequenceMatcher(None, x, y).ratio()
+            if r >= 0.8 or (r >= 0.7 and len(x) == len(y) and sum(a != b for a, b in zip(x, y)) == 1):
+                want[x] = max(want.get(x, (0, "")), (r, y))
+    monkeypatch.setattr(text, "BLOCK", (40, 100))
+    got = text.fuzzy_names(spark.createDataFrame([(x,) for x in asked], "name string"), spark.createDataFrame([*zip(known, range(len(known)))], "known string, code int")).collect()
+    assert {r.name: (r.ratio, r.known) for r in got} == want and len(want) > 100 and all(known[r.code] == r.known for r in got)
+    letters = "etaoinshrdlu etaoin e"
+    known, began = ["".join(rnd.choices(letters, k=16)) for _ in range(50000)], time.process_time()
+    found = text.best_matches(pd.Series([x[:3] + "X" + x[4:10] + "Y" + x[11:] for x in known[::50]]), pd.Series(known), 0.8, 0.7)
+    assert len(found) == 1000 and time.process_time() - began < 20
