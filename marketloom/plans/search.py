@@ -53,6 +53,5 @@ def news_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = e.where("event_id % 5 = 0").select(k.alias("id"), (F.col("user_id") % 50).alias("code"), F.when(k % 4 == 0, k).alias("query_id"), F.col("ts").alias("created_at"))
     n = e.where("event_id % 5 <> 0").select(k.alias("news_id"), (F.col("user_id") % 50).alias("code"), F.when(k % 2 == 1, k - 1).alias("query_id"), F.col("ts").alias("fetched_at"), F.when(k % 7 == 0, None).otherwise(F.date_sub(F.to_date("ts"), (k % 6).cast("int"))).alias("published"))
     direct = a.join(n.select("query_id"), "query_id", "left_semi").select("id")
-    near = logs.news_of_analyses(a.join(direct, "id", "left_anti").withColumn("query_id", F.lit(None).cast("long")), n)
-    pairs = near.join(a.select("id", F.to_date("created_at").alias("anchor")), "id").join(n.select("news_id", "published"), "news_id")
-    return search.published_around(pairs, 3).select("id", "news_id")
+    rest = a.join(direct, "id", "left_anti").drop("query_id").withColumn("anchor", F.to_date("created_at"))
+    return search.published_around(logs.news_near(rest, n.drop("query_id")), 3).select("id", "news_id")

@@ -3,6 +3,7 @@
 import datetime as dt
 import difflib
 import random
+import re
 import time
 
 import pandas as pd
@@ -11,8 +12,10 @@ from pyspark.sql import functions as F
 
 from marketloom.functions import text
 from marketloom.operators import backtest, history
+from marketloom.plans import registry
 from marketloom.sources import writes
 from marketloom.streaming import streams
+from tests.conftest import DATA
 
 
 @pytest.fixture
@@ -68,3 +71,10 @@ def test_names_of_the_same_letters_are_held_apart_fast(spark, monkeypatch):
     known, began = ["".join(rnd.choices(letters, k=16)) for _ in range(50000)], time.process_time()
     found = text.best_matches(pd.Series([x[:3] + "X" + x[4:10] + "Y" + x[11:] for x in known[::50]]), pd.Series(known), 0.8, 0.7)
     assert len(found) == 1000 and time.process_time() - began < 20
+
+
+def test_pairs_of_news_are_not_dealt_again(spark, no_broadcast):
+    """Pairs grow with the square of the events. Analyses and news are joined by query id (two joins) and by cells of time; pairs never again."""
+    plan = registry.queries()["news_fallback"](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+    kinds = re.findall(r"\bJoin (\w+)", plan)
+    assert sorted(kinds) == ["Inner", "LeftAnti", "LeftSemi"] and kinds[0] == "Inner", plan
