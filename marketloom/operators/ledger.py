@@ -42,9 +42,19 @@ def restated(trades: DataFrame, actions: DataFrame, keys: Sequence[str] = POSITI
     return rows.withColumn("held", F.sum(signed).over(w))
 
 
+def _oversells() -> Column:
+    return (F.col("kind") == "trade") & (F.col("held") * F.col("factor") < -p.EPS)
+
+
 def oversold(rows: DataFrame, keys: Sequence[str] = POSITION) -> DataFrame:
     """keys of positions in which a sell takes more than is held, by the ledger with splits."""
-    return rows.where((F.col("kind") == "trade") & (F.col("held") * F.col("factor") < -p.EPS)).select(*keys).distinct()
+    return rows.where(_oversells()).select(*keys).distinct()
+
+
+def sound(rows: DataFrame, keys: Sequence[str] = POSITION) -> DataFrame:
+    """rows without the positions of oversold(), found where the rows are, with no join. What restated() adds depends on earlier rows only, so
+    until() may follow."""
+    return rows.withColumn("_bad", F.bool_or(_oversells()).over(Window.partitionBy(*keys))).where(~F.coalesce("_bad", F.lit(False))).drop("_bad")
 
 
 def dividends(rows: DataFrame, keys: Sequence[str] = POSITION) -> DataFrame:
@@ -55,9 +65,15 @@ def dividends(rows: DataFrame, keys: Sequence[str] = POSITION) -> DataFrame:
 
 def lots(rows: DataFrame, keys: Sequence[str] = POSITION) -> DataFrame:
     """keys, buy_id, remaining, unit_cost of the lots held at the end, first in first out, after all splits."""
-    end = rows.groupBy(*keys).agg(F.max_by("factor", F.struct("date", "_priority", "id")).alias("_factor"))
-    held = p.fifo_lots(rows.where("kind = 'trade'"), keys)
-    return held.join(end, list(keys)).select(*keys, "buy_id", (F.col("remaining") * F.col("_factor")).alias("remaining"), (F.col("unit_cost") / F.col("_factor")).alias("unit_cost"))
+    every = Window.partitionBy(*keys).orderBy("date", "_priority", "id").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    trade, sell = F.col("kind") == "trade", F.col("side") == "sell"
+    buy = trade & ~sell & (F.col("quantity") > 0)
+    # windows of one order, so a position's rows are dealt and sorted once
+    rows = rows.withColumn("_end", F.sum(F.when(buy, F.col("quantity"))).over(Window.partitionBy(*keys).orderBy("date", "_priority", "id").rowsBetween(Window.unboundedPreceding, 0)))
+    rows = rows.withColumns({"_factor": F.last("factor").over(every), "_sold": F.sum(F.when(trade & sell, F.col("quantity"))).over(every)}).where(buy)
+    left = F.least("quantity", F.greatest(F.lit(0.0), F.col("_end") - F.coalesce("_sold", F.lit(0.0))))
+    unit = (F.col("quantity") * F.col("price") + F.col("fee") + F.col("tax")) / F.col("quantity")
+    return rows.withColumn("_left", left).where(F.col("_left") > p.EPS).select(*keys, F.col("id").alias("buy_id"), (F.col("_left") * F.col("_factor")).alias("remaining"), (unit / F.col("_factor")).alias("unit_cost"))
 
 
 def positions(rows: DataFrame, method: str = "fifo", keys: Sequence[str] = POSITION) -> DataFrame:
@@ -74,8 +90,9 @@ def realized(rows: DataFrame, method: str = "fifo", keys: Sequence[str] = POSITI
     """keys, date, amount: the profit of each sell."""
     trades = rows.where("kind = 'trade'")
     if method == "fifo":
-        sold = p.fifo_matches(trades, keys).groupBy(*keys, F.col("sell_id").alias("id")).agg((F.sum("proceeds") - F.sum("cost")).alias("amount"))
-        return sold.join(trades.select(*keys, "id", "date"), [*keys, "id"]).select(*keys, "date", "amount")
+        # the sell's date goes with its id, so that matches needn't be joined to trades
+        sold = p.fifo_matches(trades.withColumn("id", F.struct("date", "id")), keys).groupBy(*keys, "sell_id").agg((F.sum("proceeds") - F.sum("cost")).alias("amount"))
+        return sold.select(*keys, "sell_id.date", "amount")
     return p.average_cost_sells(trades, keys)
 
 
@@ -83,8 +100,15 @@ def snapshot(accounts: DataFrame, cash: DataFrame, trades: DataFrame, actions: D
     """accounts: account, base. cash: account, currency, date, direction (in or out), amount. closes: symbol, date, close.
     A row for each account: total_cash, market_value, equity, realized_pnl, unrealized_pnl, fee_total, tax_total in its base
     currency, and whether a rate was stale."""
-    cash, trades, actions = (until(x, as_of) for x in (cash, trades, actions))
-    rows = restated(trades, actions)
+    return snapshot_of(accounts, cash, restated(until(trades, as_of), until(actions, as_of)), closes, rates, as_of, method)
+
+
+def snapshot_of(accounts: DataFrame, cash: DataFrame, rows: DataFrame, closes: DataFrame, rates: DataFrame, as_of: Column, method: str = "fifo") -> DataFrame:
+    """snapshot() of a ledger as restated() gives it, whole or until as_of. Amounts are summed by account, currency and day before they are
+    converted: those of a day have one rate."""
+    cash = until(cash, as_of)
+    rows = until(rows, as_of)
+    trades = rows.where("kind = 'trade'")
     gross = F.col("quantity") * F.col("price")
     charges = F.col("fee") + F.col("tax")
     moves = trades.select("account", "currency", F.when(F.col("side") == "sell", gross - charges).otherwise(-gross - charges).alias("amount"))
@@ -97,7 +121,9 @@ def snapshot(accounts: DataFrame, cash: DataFrame, trades: DataFrame, actions: D
     lines = line(balances, "cash", F.col("amount"), "on")
     for df, kind, amount, on in ((held, "value", value, "on"), (held, "cost", F.col("cost"), "on"), (realized(rows, method), "realized", F.col("amount"), "date"), (trades, "fee", F.col("fee"), "date"), (trades, "tax", F.col("tax"), "date")):
         lines = lines.unionByName(line(df, kind, amount, on))
-    done = p.to_base(lines.join(accounts, "account"), rates)
+    # a line of about nothing is worth nothing, and its rate doesn't count
+    days = lines.where(F.abs("amount") > p.EPS).groupBy("account", "currency", "kind", "on").agg(F.sum("amount").alias("total"))
+    done = p.to_base(days.join(accounts, "account").withColumn("amount", F.lit(1.0)), rates).withColumn("converted", F.col("total") * F.col("converted"))
     total = lambda kind: F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col("converted"))), F.lit(0.0))
     sums = done.groupBy("account").agg(*(total(k).alias(k) for k in ("cash", "value", "cost", "realized", "fee", "tax")), F.bool_or("stale").alias("fx_stale"))
     out = accounts.join(sums, "account", "left").fillna(0.0, ["cash", "value", "cost", "realized", "fee", "tax"])

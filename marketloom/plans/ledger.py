@@ -23,16 +23,14 @@ def _id():
 ID = "concat_ws('-', lpad(CAST(k1 AS VARCHAR), 9, '0'), lpad(CAST(k2 AS VARCHAR), 9, '0'), lpad(CAST(k3 AS VARCHAR), 9, '0'), printf('%014.2f', k5))"
 
 
-def _ledger(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Trades of all accounts and splits and dividends of all symbols; positions that would be oversold are left out."""
+def _ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trades of all accounts and splits and dividends of all symbols, restated; positions that would be oversold are left out."""
     t = raw_trades(spark, sf_dir).withColumns({"id": _id(), "currency": currency()})
     keys = t.select(*ledger.POSITION).distinct()
     acts = spark.createDataFrame([("1996-05-06", "a1", "split", 2.0, None), ("1997-03-03", "a2", "dividend", None, 0.5), ("1998-11-11", "a3", "split", 0.5, None), ("1999-02-02", "a4", "dividend", None, 0.25), ("2003-01-01", "a5", "split", 10.0, None)], "date string, id string, kind string, ratio double, per_share double")
     # five actions a symbol, sent to every position: their product is the table of actions
     acts = keys.join(F.broadcast(acts.withColumn("date", F.to_date("date"))), F.lit(True))
-    rows = ledger.restated(t, acts)
-    bad = ledger.oversold(rows)
-    return t.join(bad, list(ledger.POSITION), "left_anti"), acts.join(bad, list(ledger.POSITION), "left_anti")
+    return ledger.sound(ledger.restated(t, acts))
 
 
 _P = "account, symbol, currency"
@@ -54,20 +52,17 @@ LEDGER = f"""{RAW}, t0 AS (SELECT account, symbol, {CUR} AS currency, date, {ID}
 
 @query(f"WITH {LEDGER} SELECT account, symbol, id AS buy_id, {R('remaining', 'unit_cost')} FROM lot")
 def ledger_lots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t, a = (ledger.until(x, F.lit(AS_OF).cast("date")) for x in _ledger(spark, sf_dir))
-    return ledger.lots(ledger.restated(t, a)).select("account", "symbol", "buy_id", *r("remaining", "unit_cost"))
+    return ledger.lots(ledger.until(_ledger(spark, sf_dir), F.lit(AS_OF).cast("date"))).select("account", "symbol", "buy_id", *r("remaining", "unit_cost"))
 
 
 @query(f"WITH {LEDGER}, d AS (SELECT account, symbol, date, held * factor * per_share AS amount FROM good WHERE kind = 'dividend' AND per_share > 0 AND held * factor > 1e-8) SELECT account, symbol, date, {R('amount')} FROM d")
 def ledger_dividends(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t, a = (ledger.until(x, F.lit(AS_OF).cast("date")) for x in _ledger(spark, sf_dir))
-    return ledger.dividends(ledger.restated(t, a)).select("account", "symbol", "date", *r("amount"))
+    return ledger.dividends(ledger.until(_ledger(spark, sf_dir), F.lit(AS_OF).cast("date"))).select("account", "symbol", "date", *r("amount"))
 
 
 @query(f"WITH {LEDGER}, g AS (SELECT account, symbol, count(*) AS sells, sum(amount) AS profit FROM real GROUP BY ALL) SELECT account, symbol, sells, {R('profit', digits=3)} FROM g")
 def ledger_realized(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t, a = (ledger.until(x, F.lit(AS_OF).cast("date")) for x in _ledger(spark, sf_dir))
-    sold = ledger.realized(ledger.restated(t, a))
+    sold = ledger.realized(ledger.until(_ledger(spark, sf_dir), F.lit(AS_OF).cast("date")))
     return sold.groupBy("account", "symbol").agg(F.count("*").alias("sells"), F.sum("amount").alias("profit")).select("account", "symbol", "sells", *r("profit", digits=3))
 
 
@@ -94,12 +89,12 @@ SNAPSHOT = f"""WITH {LEDGER}, {BARS}, {RATES_SQL}, cash_ AS (SELECT account, {CU
 @query(f"{SNAPSHOT} SELECT account, fx_stale, {R('total_cash', 'market_value', 'equity', 'realized_pnl', 'unrealized_pnl', 'fee_total', 'tax_total', digits=1)} FROM fin")
 def portfolio_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All accounts by first in, first out, with splits, dividends, cash and rates at each event's day."""
-    t, a = _ledger(spark, sf_dir)
+    rows = _ledger(spark, sf_dir)
     account = (F.col("o_custkey") % 10).alias("account")
     cash = table(spark, sf_dir, "orders").select(account, F.to_date("o_orderdate").alias("date"), F.when(F.col("o_orderstatus") == "P", "out").otherwise("in").alias("direction"), F.col("o_totalprice").alias("amount")).withColumn("currency", currency())
-    accounts = t.select("account").union(cash.select("account")).distinct().withColumn("base", F.lit("CNY"))
+    accounts = cash.select("account").distinct().withColumn("base", F.lit("CNY"))
     b = bars(spark, sf_dir).select(F.col("code").alias("symbol"), "date", "close")
-    df = ledger.snapshot(accounts, cash, t, a, b, rates(spark), F.lit(AS_OF).cast("date"))
+    df = ledger.snapshot_of(accounts, cash, rows, b, rates(spark), F.lit(AS_OF).cast("date"))
     return df.select("account", "fx_stale", *r("total_cash", "market_value", "equity", "realized_pnl", "unrealized_pnl", "fee_total", "tax_total", digits=1))
 
 
@@ -118,13 +113,12 @@ def _state(day: str) -> str:
 SELECT s.account, n_lots, n_positions, n_days, newest, {R('quantity', 'cost', digits=2)} FROM s LEFT JOIN l ON l.account = s.account""")
 def account_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All accounts at one day, then every other account at a later one, each as one commit of positions, lots and snapshots."""
-    t, a = (kept(x, "ledger") for x in _ledger(spark, sf_dir))
+    rows = _ledger(spark, sf_dir)
     every = table(spark, sf_dir, "orders").select((F.col("o_custkey") % 10).alias("account")).distinct().withColumn("method", F.lit("fifo"))
     store = Versions(spark, scratch(spark, "accounts"))
     for day, some in ((AS_OF, F.lit(True)), (LATER, F.col("account") % 2 == 0)):
         on = F.lit(day).cast("date")
-        rows = ledger.restated(ledger.until(t.where(some), on), ledger.until(a.where(some), on))
-        lots = kept(ledger.lots(rows).withColumn("method", F.lit("fifo")), "lots")
+        lots = kept(ledger.lots(ledger.until(rows.where(some), on)).withColumn("method", F.lit("fifo")), "lots")
         held = lots.groupBy("account", "method", "symbol", "currency").agg(F.sum("remaining").alias("quantity"), F.sum(F.col("remaining") * F.col("unit_cost")).alias("cost"))
         cost = held.groupBy("account", "method").agg(F.sum("cost").alias("cost"))
         refreshed = every.where(some)

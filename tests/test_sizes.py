@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from marketloom.functions import text
-from marketloom.operators import backtest, history
+from marketloom.operators import backtest, history, ledger
 from marketloom.plans import registry
 from marketloom.sources import writes
 from marketloom.streaming import streams
@@ -78,3 +78,9 @@ def test_pairs_of_news_are_not_dealt_again(spark, no_broadcast):
     plan = registry.queries()["news_fallback"](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
     kinds = re.findall(r"\bJoin (\w+)", plan)
     assert sorted(kinds) == ["Inner", "LeftAnti", "LeftSemi"] and kinds[0] == "Inner", plan
+
+
+def test_ledger_is_dealt_out_once(spark):
+    """Lots come of windows over one ledger: trades meet orders (also for the list of positions) and five actions, and nothing is joined after."""
+    plan = registry.queries()["ledger_lots"](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+    assert len(re.findall(r"\bJoin (\w+)", plan)) == 3, plan
