@@ -84,3 +84,15 @@ def test_ledger_is_dealt_out_once(spark):
     """Lots come of windows over one ledger: trades meet orders (also for the list of positions) and five actions, and nothing is joined after."""
     plan = registry.queries()["ledger_lots"](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
     assert len(re.findall(r"\bJoin (\w+)", plan)) == 3, plan
+
+
+def test_ledger_until_a_day(spark):
+    """A ledger is restated once for all days: what is restated doesn't change with what comes after, and a position oversold on any day is out."""
+    day = lambda df: df.withColumn("date", F.to_date("date"))
+    t = day(spark.createDataFrame([(a, "x", "CNY", f"2026-01-{d:02d}", i, s, q, 10.0 + d, 1.0, 0.0) for i, (a, d, s, q) in enumerate([(1, 2, "buy", 10.0), (1, 4, "sell", 12.0), (1, 6, "buy", 4.0), (1, 8, "sell", 6.0), (2, 2, "buy", 5.0), (2, 9, "sell", 6.0), (3, 3, "buy", 1.0)])], "account int, symbol string, currency string, date string, id int, side string, quantity double, price double, fee double, tax double"))
+    a = day(spark.createDataFrame([(k, "x", "CNY", d, i, "split", r, None) for k in (1, 2, 3) for i, d, r in ((100, "2026-01-03", 2.0), (101, "2026-01-07", 0.5))], "account int, symbol string, currency string, date string, id int, kind string, ratio double, per_share double"))
+    rows = ledger.sound(ledger.restated(t, a))
+    lots = lambda at: {(r.account, r.buy_id): (r.remaining, round(r.unit_cost, 9)) for r in ledger.lots(ledger.until(rows, F.lit(at).cast("date"))).collect()}
+    assert lots("2026-01-02") == {(1, 0): (10.0, 12.1)}
+    assert lots("2026-01-06") == {(1, 0): (8.0, 6.05), (1, 2): (4.0, 16.25), (3, 6): (1.0, 14.0)}
+    assert lots("2026-01-31") == {(3, 6): (0.5, 28.0)}
