@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from marketloom.operators import portfolio as p
 from marketloom.operators.asof import asof
 from marketloom.sources.versions import Versions, bucket, replace_keys
+from marketloom.sources.writes import kept
 
 POSITION = ("account", "symbol", "currency")
 
@@ -107,7 +108,8 @@ def snapshot_of(accounts: DataFrame, cash: DataFrame, rows: DataFrame, closes: D
     """snapshot() of a ledger as restated() gives it, whole or until as_of. Amounts are summed by account, currency and day before they are
     converted: those of a day have one rate."""
     cash = until(cash, as_of)
-    rows = until(rows, as_of)
+    # written once, as each kind of line would deal out the trades anew, with columns of its own
+    rows = kept(until(rows, as_of).select(*POSITION, "date", "_priority", "id", "kind", "side", "quantity", "price", "fee", "tax", "factor", "held", "per_share"), "ledger")
     trades = rows.where("kind = 'trade'")
     gross = F.col("quantity") * F.col("price")
     charges = F.col("fee") + F.col("tax")

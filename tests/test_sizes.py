@@ -96,3 +96,9 @@ def test_ledger_until_a_day(spark):
     assert lots("2026-01-02") == {(1, 0): (10.0, 12.1)}
     assert lots("2026-01-06") == {(1, 0): (8.0, 6.05), (1, 2): (4.0, 16.25), (3, 6): (1.0, 14.0)}
     assert lots("2026-01-31") == {(3, 6): (0.5, 28.0)}
+
+
+def test_snapshot_reads_a_written_ledger(spark):
+    """Lines of several kinds come of one ledger that is written; only closes read the trades' table again."""
+    plan = registry.queries()["portfolio_snapshot"](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+    assert len(re.findall(r"Relation \[l_orderkey", plan)) == 1, plan
