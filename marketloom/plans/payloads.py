@@ -9,6 +9,7 @@ from marketloom.functions import payloads as p
 from marketloom.functions import text
 from marketloom.functions.rounding import R, r
 from marketloom.operators import market
+from marketloom.operators.numbering import numbered
 from marketloom.plans.registry import query
 from marketloom.sources import brokers
 from marketloom.sources.testdata import table
@@ -138,11 +139,11 @@ SELECT CAST(b AS INTEGER) AS broker, line, d AS date, lpad(CAST(l_suppkey AS VAR
   sha256(CAST(d AS VARCHAR) || '|' || lpad(CAST(l_suppkey AS VARCHAR), 6, '0') || '|' || CASE WHEN s < 3 THEN 'buy' ELSE 'sell' END || '|' || printf('%.8f', q) || '|2.50000000|1.75000000|' || CASE WHEN b = 1 THEN '0.50000000' ELSE '0.00000000' END || '|' || CASE WHEN b = 0 THEN 'CNY' ELSE '' END || '|' || line) AS dedup_hash FROM x WHERE s < 6 AND NOT (o % 11 = 3)""")
 def broker_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of three brokers' files, with their own headers; some have no side, some no price."""
-    from pyspark.sql import Window
-
-    b = _O("l_suppkey") % 3
-    order = Window.partitionBy("b").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
-    rows = table(spark, sf_dir, "lineitem").withColumn("b", b).withColumn("line", F.row_number().over(order) + 1)
+    order = ("b", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+    rows = table(spark, sf_dir, "lineitem").withColumn("b", _O("l_suppkey") % 3).select(*order, "l_quantity", "l_shipdate")
+    rows = numbered(rows, [_O(c) for c in order])  # three brokers are too few for a window each
+    first = rows.groupBy("b").agg(F.min("n").alias("first"))  # a row for each broker
+    rows = rows.join(F.broadcast(first), "b").withColumn("line", (_O("n") - _O("first") + 2).cast("int"))
     side = F.element_at(F.array(*map(F.lit, _SIDES)), (_O("l_orderkey") % 7 + 1).cast("int"))
     price = F.when(_O("l_orderkey") % 11 == 3, "-").otherwise("2.5")
     code, n, day = F.lpad(_O("l_suppkey").cast("string"), 6, "0"), F.format_string("%,.2f", "l_quantity"), F.to_date("l_shipdate")

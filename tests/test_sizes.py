@@ -102,3 +102,9 @@ def test_snapshot_reads_a_written_ledger(spark):
     """Lines of several kinds come of one ledger that is written; only closes read the trades' table again."""
     plan = registry.queries()["portfolio_snapshot"](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
     assert len(re.findall(r"Relation \[l_orderkey", plan)) == 1, plan
+
+
+def test_lines_of_brokers_are_numbered_by_ranges(spark):
+    """A window for each broker would be as many tasks as there are brokers."""
+    plan = registry.queries()["broker_records"](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+    assert "row_number" not in plan, plan
